@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, simhash
 from .common import table
 
 
@@ -28,8 +28,12 @@ FROM m GROUP BY doc_id, text
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=2, shingle=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup}
+    return {"op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
