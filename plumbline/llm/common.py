@@ -62,11 +62,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: i
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of concatenated texts, and how many words each text has. No word spans two texts."""
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without separators) of concatenated texts, and how many each text has. No word spans two texts."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    solid = ~IS_SPACE[data]
+    solid = ~separator[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = offsets[1:-1]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash
+from . import line_dedup, packing, repetition, simhash
 from .common import table
 
 
@@ -32,8 +33,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=2, shingle=3)
 
 
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents")).drop("dup_char_shares")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokens=1024, end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash}
+    return {"op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash, "op6_repetition": op6_repetition, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
