@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, packing, repetition, simhash
+from . import line_dedup, mixing, packing, repetition, simhash
 from .common import table
 
 
@@ -37,13 +38,40 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents")).drop("dup_char_shares")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = mixing.schedule(table(spark, sf_dir, "documents"), block=16, temperature=0.5, frame=1000)
+    return s.select(F.col("_id").alias("doc_id"), "source", "block", "position", "release", "deadline", "slot")
+
+
+#: Earliest deadline first, slot by slot, over one frame; then every document's place by its rank.
+OP7_SQL = r"""
+WITH RECURSIVE n AS (SELECT source, round(pow(count(*)::DOUBLE, 0.5), 6) AS w FROM documents GROUP BY source),
+a AS (SELECT source, greatest(1, floor(w * 1000 / (SELECT sum(w) FROM n) + 0.5)::BIGINT) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM n),
+f AS (SELECT list(a ORDER BY k) AS a, sum(a)::BIGINT AS size FROM a),
+e AS (
+  SELECT 0::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::STRUCT(due BIGINT, k BIGINT) AS c, NULL::BIGINT AS i FROM f
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, j: CASE WHEN j = p.k THEN x + 1 ELSE x END), p, done[p.k]
+  FROM (SELECT e.t, e.done, f.size, list_min(list_transform(
+      list_filter(range(1, len(f.a) + 1), lambda j: e.done[j] < f.a[j] AND (e.done[j] * f.size) // f.a[j] <= e.t),
+      lambda j: {'due': ((e.done[j] + 1) * f.size + f.a[j] - 1) // f.a[j], 'k': j})) AS p
+    FROM e, f WHERE e.t < f.size)),
+s AS (SELECT c.k AS k, i, t - 1 AS slot FROM e WHERE c IS NOT NULL),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rk FROM documents),
+b AS (SELECT r.*, rk // 16 AS block, rk % 16 AS position, a.a, a.k FROM r JOIN a ON r.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, b.source, block, position, (block * size) // b.a AS release, ((block + 1) * size + b.a - 1) // b.a AS deadline,
+  (block // b.a) * size + slot AS slot
+FROM b CROSS JOIN f JOIN s ON s.k = b.k AND s.i = block % b.a
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokens=1024, end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash, "op6_repetition": op6_repetition, "op9_packing": op9_packing}
+    return {"op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash, "op6_repetition": op6_repetition, "op7_mixing": op7_mixing, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
