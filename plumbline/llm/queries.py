@@ -8,8 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, repetition, simhash
-from .common import table
+from . import compression, line_dedup, mixing, packing, quality, repetition, simhash, toxicity
+from .common import fold, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), modulus=4, held=2)
+    return compression.scored(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +75,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokens=1024, end_id=2)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5, held=0)
+    return compression.scored(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash, "op6_repetition": op6_repetition, "op7_mixing": op7_mixing, "op9_packing": op9_packing}
+    return {
+        "op1_quality": op1_quality,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_simhash": op4_simhash,
+        "op6_repetition": op6_repetition,
+        "op7_mixing": op7_mixing,
+        "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
