@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, line_dedup, mixing, packing, quality, repetition, simhash, toxicity
+from . import compression, language, line_dedup, mixing, packing, quality, repetition, simhash, toxicity
 from .common import fold, table
 
 
@@ -71,6 +71,12 @@ FROM b CROSS JOIN f JOIN s ON s.k = b.k AND s.i = block % b.a
 """
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identified(docs, language.fit(docs, modulus=4, held=2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokens=1024, end_id=2)
 
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op6_repetition": op6_repetition,
         "op7_mixing": op7_mixing,
+        "op8_language": op8_language,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
     }
