@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, language, line_dedup, mixing, packing, quality, repetition, simhash, toxicity
+from . import compression, language, language_model, line_dedup, mixing, packing, quality, repetition, simhash, toxicity
 from .common import fold, table
 
 
+def held_out(modulus: int, rest: int) -> Column:
+    return F.coalesce(fold("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), modulus=4, held=2)
-    return compression.scored(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+    return compression.scored(docs, model).select("doc_id", held_out(4, 2), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = language_model.scored(docs, language_model.build(docs, modulus=7, held=2))
+    return scores.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +84,7 @@ FROM b CROSS JOIN f JOIN s ON s.k = b.k AND s.i = block % b.a
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identified(docs, language.fit(docs, modulus=4, held=2))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +94,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5, held=0)
-    return compression.scored(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return compression.scored(docs, model).select("doc_id", held_out(5, 0), F.col("_score").alias("score"), (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_language_model": op2_language_model,
         "op3_line_dedup": op3_line_dedup,
         "op4_simhash": op4_simhash,
         "op6_repetition": op6_repetition,
