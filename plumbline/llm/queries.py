@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, language, language_model, line_dedup, mixing, packing, quality, repetition, simhash, toxicity
+from . import compression, language, language_model, line_dedup, mixing, neighbours, packing, quality, repetition, simhash, toxicity
 from .common import fold, table
 
 
@@ -50,6 +50,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=2, shingle=3)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents")).drop("dup_char_shares")
 
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_model": op2_language_model,
         "op3_line_dedup": op3_line_dedup,
         "op4_simhash": op4_simhash,
+        "op5_neighbours": op5_neighbours,
         "op6_repetition": op6_repetition,
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,
