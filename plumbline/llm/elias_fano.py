@@ -14,7 +14,7 @@ import numpy as np
 
 _U = np.uint64
 _BITS = np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8) & 1
-_POP = _BITS.sum(1).astype(np.int64)
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 _PLACE = np.zeros((256, 8), np.int64)  # place of the k-th bit set in a byte
 for _b in range(256):
     _at = np.flatnonzero(_BITS[_b])
@@ -41,7 +41,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         over = (64 - shift.astype(np.int64)) < low
         _or_into(packed, (pos >> 6)[over] + 1, rest[over] >> (_U(64) - shift[over]))
     ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64))))
-    return {"head": np.array([n, low], np.int64), "high": words, "ones": ones, "low": packed}
+    return {"head": np.array([n, low], np.int64), "high": words, "ones": ones, "zeros": 64 * np.arange(len(ones)) - ones, "low": packed}
 
 
 def _or_into(out: np.ndarray, index: np.ndarray, bits: np.ndarray) -> None:
@@ -54,29 +54,26 @@ def _or_into(out: np.ndarray, index: np.ndarray, bits: np.ndarray) -> None:
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits = (int(x) for x in arrays["head"])
-        self.high, self.ones, self.low = arrays["high"], arrays["ones"], arrays["low"]
+        self.high, self.ones, self.zeros, self.low = arrays["high"], arrays["ones"], arrays["zeros"], arrays["low"]
 
     def _in_word(self, words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th bit set in each word."""
-        octets = words.view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POP[octets], axis=1)
-        octet = (upto <= k[:, None]).sum(1)
-        rows = np.arange(len(k))
-        before = np.where(octet > 0, upto[rows, octet - 1], 0)
-        return octet * 8 + _PLACE[octets[rows, octet], k - before]
+        """Place of the k-th bit set in each word: the bytes' running counts by a multiplication, compared with k in one subtraction."""
+        c = words - (words >> _U(1) & _U(0x5555555555555555))
+        c = (c & _U(0x3333333333333333)) + (c >> _U(2) & _U(0x3333333333333333))
+        c = (c + (c >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+        k = k.astype(np.uint64)
+        place = np.bitwise_count((k * _ONES | _TOPS) - c & _TOPS).astype(np.uint64) << _U(3)
+        before = (c << _U(8)) >> place & _U(255)
+        return place.astype(np.int64) + _PLACE[words >> place & _U(255), k - before]
 
     def select1(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, k, "right") - 1
-        return word * 64 + self._in_word(np.ascontiguousarray(self.high[word]), k - self.ones[word])
+        return word * 64 + self._in_word(self.high[word], k - self.ones[word])
 
     def select0(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero: zeros before word w are 64 w - ones[w]."""
-        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(self.high), np.int64)
-        while (lo + 1 < hi).any():
-            mid = (lo + hi) >> 1
-            below = 64 * mid - self.ones[mid] <= k
-            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-        return lo * 64 + self._in_word(~self.high[lo], k - (64 * lo - self.ones[lo]))
+        """Place of the k-th zero."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return word * 64 + self._in_word(~self.high[word], k - self.zeros[word])
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -92,30 +89,46 @@ class EliasFano:
         return (self.select1(i) - i).astype(np.uint64) << _U(self.bits) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of the value, or -1: the successor search within the run of equal high bits."""
+        """Index of the value (of repeated values the first), or -1: successor search from where its high bits' run begins. Runs hold two
+        elements on average; where they are long (values that crowd), a binary search goes first."""
         x = x.astype(np.uint64)
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         h = (x >> _U(self.bits)).astype(np.int64)
-        zeros = 64 * len(self.high) - int(self.ones[-1])
-        far = h >= zeros - 1
-        h = np.where(far, 0, h)
-        end = self.select0(h) - h
-        begin = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
+        far = h >= int(self.zeros[-1]) - 1
+        h[far] = 0
+        place = np.zeros(len(x), np.int64)  # where the run of elements with these high bits begins
+        later = np.flatnonzero(h)
+        place[later] = self.select0(h[later] - 1) + 1
+        at = place - h
         want = x & _U((1 << self.bits) - 1)
-        lo, hi = begin.copy(), end.copy()
-        while True:
-            go = np.flatnonzero(lo < hi)
-            if not len(go):
+        out = np.full(len(x), -1, np.int64)
+        go = np.flatnonzero(~far)
+        step = 0
+        while len(go):
+            inside = (self.high[place[go] >> 6] >> (place[go] & 63).astype(np.uint64) & _U(1)).astype(bool)
+            go = go[inside]
+            have = self.lows(at[go])
+            hit = have == want[go]
+            out[go[hit]] = at[go[hit]]
+            go = go[have < want[go]]
+            step += 1
+            if step == 8 and len(go):
+                end = self.select0(h[go]) - h[go]
+                lo = at[go]
+                hi = end.copy()
+                while (open_ := np.flatnonzero(lo < hi)).size:
+                    mid = lo[open_] + hi[open_] >> 1
+                    less = self.lows(mid) < want[go[open_]]
+                    lo[open_] = np.where(less, mid + 1, lo[open_])
+                    hi[open_] = np.where(less, hi[open_], mid)
+                ok = lo < end
+                ok[ok] = self.lows(lo[ok]) == want[go[ok]]
+                out[go[ok]] = lo[ok]
                 break
-            mid = (lo[go] + hi[go]) >> 1
-            less = self.lows(mid) < want[go]
-            lo[go] = np.where(less, mid + 1, lo[go])
-            hi[go] = np.where(less, hi[go], mid)
-        ok = (lo < end) & ~far
-        at = np.where(ok, lo, 0)
-        ok &= self.lows(at) == want
-        return np.where(ok, at, -1)
+            place[go] += 1
+            at[go] += 1
+        return out
 
 
 def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
@@ -145,5 +158,5 @@ def read_arrays(path: str) -> dict[str, np.ndarray]:
     out = {}
     for k, (kind, length, at) in head.items():
         d = np.dtype(kind)
-        out[k] = raw[start + at : start + at + length * d.itemsize].view(d)
+        out[k] = np.asarray(raw[start + at : start + at + length * d.itemsize]).view(d)
     return out

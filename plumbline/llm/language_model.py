@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,15 @@ def emit(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(shards[at].astype(np.int32)), pa.array([pack(keys[a:b], counts[a:b]) for a, b in zip(at, to, strict=True)], pa.binary())], ["shard", "blob"])
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them; hashed, so that only the distinct ones are sorted."""
+    codes, u = pd.factorize(values)
+    order = np.argsort(u)
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    return u[order], place[codes]
+
+
 def codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """256 quantiles and each value's nearest one."""
     if not len(values):
@@ -181,7 +191,7 @@ class Trie:
             f = self.file(level, s)
             if not f["values"].n:
                 continue
-            own, where = np.unique(context[part] - base[s], return_inverse=True)
+            own, where = distinct(context[part] - base[s])
             begin, end = f["pointers"].access(own).astype(np.int64), f["pointers"].access(own + 1).astype(np.int64)
             shift = np.where(begin > 0, f["values"].access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0)
             go = np.flatnonzero((end > begin)[where])
@@ -208,21 +218,21 @@ class Trie:
         base = self.info["words"]
         out = np.zeros(len(word), np.int64)
         for s, part in self.by_shard(np.searchsorted(base, word, "right") - 1):
-            own, where = np.unique(word[part] - base[s], return_inverse=True)
+            own, where = distinct(word[part] - base[s])
             out[part] = self.file("pairs", s)["pointers"].access(own).astype(np.int64)[where] + self.info["pairs"][s]
         return out
 
     # whole token sequences
 
     def numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, where = np.unique(keys, return_inverse=True)
+        u, where = distinct(keys)
         number, count = self.lookup(u)
         return number[where], count[where]
 
     def sorted_call(self, f, *columns: np.ndarray) -> np.ndarray:
         """f over the distinct rows of the columns, sorted; its results in the rows' order."""
         if len(columns) == 1:
-            u, where = np.unique(columns[0], return_inverse=True)
+            u, where = distinct(columns[0])
             return f(u)[where]
         order = np.lexsort(columns[::-1])
         cols = [c[order] for c in columns]
@@ -243,7 +253,7 @@ class Trie:
         often = count >= MIN_COUNT
         t = np.flatnonzero(often[1:] & often[:-1] & ~last[:-1]) + 1
         key = number[t - 1].astype(np.uint64) << _U(32) | number[t].astype(np.uint64)
-        u, where = np.unique(key, return_inverse=True)
+        u, where = distinct(key)
         out[t] = self.children("pairs", (u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64))[where]
         return out
 
@@ -263,20 +273,20 @@ class Trie:
         has = np.zeros(len(number), bool)
         has[1:] = ~last[:-1] & (number[:-1] >= 0)
         t = np.flatnonzero(has)
-        u, where = np.unique(number[t - 1], return_inverse=True)
+        u, where = distinct(number[t - 1])
         score[t] += self.value("pairs", "weight", u)[where]
         p = np.flatnonzero(pair >= 0)
-        u, where = np.unique(pair[p], return_inverse=True)
+        u, where = distinct(pair[p])
         score[p] = self.value("pairs", "prob", u)[where]
         if "triples" in self.info:
             t = np.flatnonzero((pair[:-1] >= 0) & ~last[:-1]) + 1
-            u, where = np.unique(pair[t - 1], return_inverse=True)
+            u, where = distinct(pair[t - 1])
             score[t] += self.value("triples", "weight", u)[where]
             t, key = self.triple_keys(number, pair, last)
-            u, where = np.unique(key, return_inverse=True)
+            u, where = distinct(key)
             triple = self.children("triples", (u >> _U(CHILD_BITS)).astype(np.int64), (u & _U((1 << CHILD_BITS) - 1)).astype(np.int64))[where]
             t, triple = t[triple >= 0], triple[triple >= 0]
-            u, where = np.unique(triple, return_inverse=True)
+            u, where = distinct(triple)
             score[t] = self.value("triples", "prob", u)[where]
         return base, score
 
@@ -378,7 +388,7 @@ def build(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
         context, child = (keys >> _U(32)).astype(np.int64) - base, (keys & _U(0xFFFFFFFF)).astype(np.int64)
         totals = np.asarray(trie.file("words", shard)["counts"]).astype(np.int64)
         weight = context_weights(context, counts, totals)
-        u, where = np.unique(child, return_inverse=True)
+        u, where = distinct(child)
         p1 = (trie.counts(u)[where] + 1) / (trie.n + trie.v + 1)
         prob = np.log10((counts - DISCOUNT) / np.maximum(totals[context], 1) + 10 ** weight[context] * p1)
         pb, pq = codebook(prob)
@@ -415,14 +425,14 @@ def build(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
         totals = np.asarray(pairs["counts"]).astype(np.int64)
         weight = context_weights(context, counts, totals)
         # the second word v of each context, and the pair (v, w) that the child stands for
-        own_context, where = np.unique(context, return_inverse=True)
+        own_context, where = distinct(context)
         pointers = pairs["pointers"].access(np.arange(pairs["pointers"].n)).astype(np.int64)
         first = np.searchsorted(pointers, own_context, "right") - 1
         begin = pointers[first]
         shift = np.where(begin > 0, pairs["values"].access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0) if len(begin) else begin
         second = pairs["values"].access(own_context).astype(np.int64) - shift if len(begin) else begin
         lower = trie.sorted_call(trie.first_child, second)[where] + child if len(begin) else child
-        u, where2 = np.unique(lower, return_inverse=True)
+        u, where2 = distinct(lower)
         p2 = 10 ** trie.value("pairs", "prob", u)[where2]
         prob = np.log10((counts - DISCOUNT) / np.maximum(totals[context], 1) + 10 ** weight[context] * p2)
         pb, pq = codebook(prob)
