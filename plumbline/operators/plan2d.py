@@ -83,8 +83,8 @@ def complex_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classified_edges(edges: DataFrame, parts: DataFrame, keys: list[str], *, near: float = 0.04, cover: float = 0.5, door: tuple[float, float] = (priors.DOOR_MIN, priors.DOOR_MAX), collinear: float = 0.5) -> DataFrame:
-    """edges with covered, gap_a, gap_b and kind: wall if the line's solid intervals cover over half of the edge; door if the gap around
-    its middle is bounded on both sides, of a door's width, on a line with enough wall; else open."""
+    """edges with covered, gap_a, gap_b and kind: door if the line's wall has a gap at the edge's middle, bounded on both sides, of a door's
+    width, on a line with enough wall; wall if solid intervals cover over half of the edge; else open."""
     line = [*keys, "axis", "line"]
     lines = edges.select(*line, "coord").distinct()
     p = parts.select(*keys, "axis", F.col("coord").alias("_pc"), F.col("a").alias("_pa"), F.col("b").alias("_pb"))
@@ -100,7 +100,9 @@ def classified_edges(edges: DataFrame, parts: DataFrame, keys: list[str], *, nea
     total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["b"] - x["a"])
     e = e.withColumns({"covered": part / (F.col("b") - F.col("a")), "gap_a": lo, "gap_b": hi, "_t": total})
     gap = F.col("gap_b") - F.col("gap_a")
-    kind = F.when(F.col("covered") > cover, "wall").when((gap >= door[0] - 1e-9) & (gap <= door[1] + 1e-9) & (F.col("_t") >= collinear), "door").otherwise("open")
+    free = ~F.exists("_w", lambda x: (x["a"] < mid) & (x["b"] > mid))
+    doorway = F.coalesce(free & (gap >= door[0] - 1e-9) & (gap <= door[1] + 1e-9) & (F.col("_t") >= collinear), F.lit(False))
+    kind = F.when(doorway, "door").when(F.col("covered") > cover, "wall").otherwise("open")
     return e.withColumn("kind", kind).drop("_w", "_t")
 
 
