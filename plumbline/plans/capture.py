@@ -55,9 +55,9 @@ def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float
     cells = plan2d.complex_cells(cuts, keys)
     seen = floor.select(*keys, grid_index(F.col("v"), 0.0, res).alias("r"), grid_index(F.col("u"), 0.0, res).alias("c")).distinct()
     seen = raster.closed(seen, raster.box(1))
-    cells = plan2d.cell_fractions(cells, seen, res, keys)
+    cells = plan2d.cell_fractions(cells, seen, res, keys).checkpoint()
     edges = plan2d.classified_edges(plan2d.complex_edges(cells, keys), parts, keys).checkpoint()
-    cells = plan2d.filled(cells, edges, keys)
+    cells = plan2d.filled(cells, edges, keys).checkpoint()
     found = plan2d.rooms_of(cells, edges, keys).checkpoint()
     openings = plan2d.room_openings(edges, found, keys)
     bound = rooms.edge_faces(plan2d.boundary_edges(found, keys), faces, keys)
