@@ -1 +1,61 @@
-from . import query  # noqa: F401
+"""Streaming queries: each drains a stream over the events files and is held against its batch form."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..streaming import streams
+from . import query, table
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(where).schema
+    # a stream reads a folder: the events file, by its name
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _name() -> str:
+    return f"stream_{uuid.uuid4().hex}"
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.tumbling(streams.timed(_events(spark, sf_dir), "ts", "1 hour"), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")])
+    d = streams.drained(s, _name(), "complete")
+    return d.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT epoch_us(w) AS start_us, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), CASE WHEN hour(ts) < 12 THEN date_trunc('day', ts) - INTERVAL 12 HOUR ELSE date_trunc('day', ts) + INTERVAL 12 HOUR END]) AS w FROM events) GROUP BY w")
+def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.sliding(streams.timed(_events(spark, sf_dir), "ts", "1 day"), "ts", "1 day", "12 hours", [], [F.count("*").alias("n")])
+    return streams.drained(s, _name(), "complete").select(F.unix_micros("window.start").alias("start_us"), "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1200000000 THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+SELECT user_id, epoch_us(min(ts)) AS first_us, count(*) AS n FROM s GROUP BY user_id, session""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.sessions(streams.timed(_events(spark, sf_dir), "ts", "1 hour"), "ts", "20 minutes", ["user_id"], [F.count("*").alias("n")])
+    return streams.drained(s, _name(), "complete").select("user_id", F.unix_micros("session_window.start").alias("first_us"), "n")
+
+
+@query("SELECT e.event_id, c.c_nationkey FROM events e JOIN customer c ON c.c_custkey = e.user_id")
+def looked_up_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    return streams.drained(_events(spark, sf_dir).join(c, "user_id").select("event_id", "c_nationkey"), _name())
+
+
+@query("SELECT count(DISTINCT (user_id, event_type, date_trunc('minute', ts))) AS n FROM events")
+def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = streams.timed(_events(spark, sf_dir), "ts", "40 days").withColumn("m", F.date_trunc("minute", "ts"))
+    d = streams.drained(streams.first_seen(e, ["user_id", "event_type", "m"]).select("event_id"), _name())
+    return d.agg(F.count("*").alias("n"))
+
+
+@query()
+def keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("frame_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s"), (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharpness"))
+    return streams.drained(streams.keyframes(e, "user_id", gap_s=3600.0), _name())

@@ -1 +1,152 @@
-from . import query  # noqa: F401
+"""Rooms, typing, damage: the survey queries, over regions and rooms derived from the order tables; and the known room's plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import priors
+from ..operators import damage, graph, rooms
+from ..plans.capture import plan_capture
+from ..plans.known_room import POINTS_SQL, points_m
+from . import query, table
+
+_values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+FEATURES = "f AS (SELECT c_custkey AS room, 0.5::DOUBLE + c_custkey % 37 AS area, 0.8::DOUBLE + c_custkey % 5 AS inscribed_width, 1.0::DOUBLE + c_custkey % 4 AS elongation, c_custkey % 3 AS n_openings, c_custkey % 5 AS degree, c_custkey * 7 % 500 AS below_points FROM customer)"
+CLASSES = ["toilet", "shower", "bathtub", "sink", "stove", "refrigerator", "kitchen cabinet", "microwave", "sofa", "television", "bed", "wardrobe", "dining table", "desk", "office chair", "staircase", "stair railing", "washing machine"]
+FIXTURES = f"x AS (SELECT o_custkey AS room, list_extract({CLASSES!r}, (1 + o_orderkey % 18)::BIGINT) AS class, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL)"
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("room"), (0.5 + k % 37).cast("double").alias("area"), (0.8 + k % 5).cast("double").alias("inscribed_width"), (1.0 + k % 4).cast("double").alias("elongation"), (k % 3).alias("n_openings"), (k % 5).alias("degree"), (k * 7 % 500).alias("below_points"))
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0")
+    return o.groupBy(F.col("o_custkey").alias("room"), F.element_at(names, (1 + F.col("o_orderkey") % 18).cast("int")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {FEATURES}, {FIXTURES}, w AS (SELECT * FROM (VALUES {_values(priors.FIXTURE_WEIGHTS)}) t(class, type, weight)), dv AS (SELECT * FROM (VALUES {_values(priors.DECISIVE)}) t(class, type)), sz AS (SELECT * FROM (VALUES {_values(priors.PLAUSIBLE_AREA)}) t(type, lo, hi)),
+st AS (SELECT room FROM f WHERE below_points > 400), d0 AS (SELECT DISTINCT x.room, dv.type FROM x JOIN dv USING (class)),
+d AS (SELECT * FROM d0 UNION SELECT room, 'Stairs' FROM st WHERE room NOT IN (SELECT room FROM d0 WHERE type <> 'Stairs')),
+ev AS (SELECT room, type, weight::DOUBLE * least(n, 3) AS s FROM x JOIN w USING (class) UNION ALL SELECT room, 'Stairs', 4 FROM st),
+sc AS (SELECT ev.room, ev.type, sum(s) * CASE WHEN any_value(area) BETWEEN any_value(coalesce(lo, 0)) AND any_value(coalesce(hi, 1e9)) THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS s FROM ev JOIN f USING (room) LEFT JOIN sz ON sz.type = ev.type GROUP BY ev.room, ev.type),
+b AS (SELECT room, list(type ORDER BY s DESC, type DESC) AS t, list(s ORDER BY s DESC, type DESC) AS v FROM sc JOIN d USING (room, type) GROUP BY room), h AS (SELECT room, list(DISTINCT class) AS has FROM x GROUP BY room),
+q AS (SELECT f.*, coalesce(v[1], 0) AS s1, coalesce(v[2], 0) AS s2, t[1] AS t1, t[2] AS t2, coalesce(len(t), 0) AS nb, coalesce(has, []) AS has FROM f LEFT JOIN b USING (room) LEFT JOIN h USING (room))
+SELECT room, CASE WHEN inscribed_width < 1.6 AND elongation >= 2 AND s1 < 4 THEN 'Corridor' WHEN area < 2.8 AND n_openings <= 1 AND s1 < 3 THEN 'Closet'
+ WHEN s1 >= 3 AND t1 = 'Bathroom' AND area < 2.5 AND NOT list_has_any(has, ['shower', 'bathtub']) THEN 'WC' WHEN s1 >= 3 AND s2 >= 3 AND list_sort([t1, t2]) = ['Kitchen', 'Living'] THEN 'Living / Kitchen' WHEN s1 >= 3 AND (nb = 1 OR s1 >= 1.5 * s2) THEN t1
+ WHEN degree >= 3 AND area < 15 AND len(has) = 0 THEN 'Hall' ELSE 'Room' END AS type, round(s1, 6) AS score FROM q"""
+)
+def space_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rooms.space_types(features(spark, sf_dir), fixtures(spark, sf_dir), []).select("room", "type", F.round("score", 6).alias("score"))
+
+
+@query("WITH n AS (SELECT o_custkey AS room, o_orderpriority AS class, count(*) AS n FROM orders WHERE o_orderkey % 10 / 10.0::DOUBLE > 0.3 GROUP BY ALL) SELECT room, count(*)::INTEGER AS classes, CAST(sum(n) AS BIGINT) AS objects FROM n GROUP BY room")
+def fixture_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("room"), F.col("o_orderpriority").alias("class"), (F.col("o_orderkey") % 10 / 10.0).alias("conf"))
+    m = rooms.sightings(o, [])
+    return m.select("room", F.size("fixtures").alias("classes"), F.aggregate(F.map_values("fixtures"), F.lit(0).cast("long"), lambda s, x: s + x).alias("objects"))
+
+
+DAMAGE = ["water_stain", "mould", "peeling_paint", "spalling", "crack"]
+REGIONS = f"""g AS (SELECT o_orderkey AS damage_id, list_extract({DAMAGE!r}, (1 + o_orderkey % 5)::BIGINT) AS class, CASE WHEN o_orderkey % 3 = 0 THEN 'ceiling' ELSE 'wall' END AS kind, o_custkey % 200 AS room, CASE WHEN o_orderkey % 2 = 0 THEN 'u' ELSE 'v' END AS axis, o_orderkey * 7 % 500 / 100.0::DOUBLE AS coord, o_orderkey * 11 % 300 / 100.0::DOUBLE AS a0, o_orderkey * 11 % 300 / 100.0::DOUBLE + 0.4 AS a1, o_orderkey % 11 / 10.0::DOUBLE AS height, o_orderkey % 9 / 10.0::DOUBLE AS extent, CASE WHEN o_orderkey % 7 = 0 THEN 'major' ELSE 'minor' END AS severity, o_orderkey % 13 / 5.0::DOUBLE AS area FROM orders WHERE o_orderkey % 5 < 5),
+rm AS (SELECT c_custkey AS room, list_extract(['Bathroom', 'Room', 'Kitchen', 'Hall', 'Bedroom', 'Closet', 'Room', 'Room', 'Room', 'Room'], (1 + c_custkey % 10)::BIGINT) AS type FROM customer WHERE c_custkey < 200),
+ad AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey < 190 AND c_custkey % 3 = 0), wn AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'u' ELSE 'v' END AS axis, s_suppkey * 17 % 500 / 100.0::DOUBLE AS coord, s_suppkey % 3 / 2.0::DOUBLE AS a, s_suppkey % 3 / 2.0::DOUBLE + 0.9 AS b FROM supplier)"""
+FLAGS = """ws AS (SELECT room FROM rm WHERE type IN ('Bathroom', 'WC', 'Kitchen', 'Utility', 'Living / Kitchen')), nw AS (SELECT room FROM ws UNION SELECT a FROM ad WHERE b IN (SELECT room FROM ws) UNION SELECT b FROM ad WHERE a IN (SELECT room FROM ws)),
+nwin AS (SELECT DISTINCT damage_id FROM g JOIN wn ON g.axis = wn.axis AND abs(g.coord - wn.coord) <= 0.1::DOUBLE AND a0 < wn.b + 0.6 AND a1 > wn.a - 0.6),
+fl AS (SELECT damage_id, 'R1-ceiling-moisture' AS rule FROM g WHERE kind = 'ceiling' AND class IN ('water_stain', 'mould') UNION ALL SELECT damage_id, 'R2-rising-damp' FROM g WHERE kind = 'wall' AND class IN ('water_stain', 'mould') AND height < 0.4::DOUBLE
+UNION ALL SELECT damage_id, 'R3-wet-room-wall' FROM g WHERE kind = 'wall' AND class IN ('water_stain', 'mould') AND room IN (SELECT room FROM nw) UNION ALL SELECT damage_id, 'R4-condensation' FROM g WHERE kind = 'wall' AND class = 'mould' AND damage_id IN (SELECT damage_id FROM nwin)
+UNION ALL SELECT damage_id, 'R5-structural-crack' FROM g WHERE class = 'crack' AND (extent > 0.5 OR severity = 'major') UNION ALL SELECT damage_id, 'R6-spalling' FROM g WHERE class = 'spalling')"""
+
+
+def damage_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    k, c, s = F.col("o_orderkey"), F.col("c_custkey"), F.col("s_suppkey")
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (1 + i % len(names)).cast("int"))
+    a0 = (k * 11 % 300 / 100.0).cast("double")
+    g = table(spark, sf_dir, "orders").select(k.alias("damage_id"), pick(DAMAGE, k).alias("class"), F.when(k % 3 == 0, "ceiling").otherwise("wall").alias("kind"), (F.col("o_custkey") % 200).alias("room"), F.when(k % 2 == 0, "u").otherwise("v").alias("axis"), (k * 7 % 500 / 100.0).alias("coord"), a0.alias("a0"), (a0 + 0.4).alias("a1"), (k % 11 / 10.0).alias("height"), (k % 9 / 10.0).alias("extent"), F.when(k % 7 == 0, "major").otherwise("minor").alias("severity"), (k % 13 / 5.0).alias("area"))
+    cust = table(spark, sf_dir, "customer")
+    rm = cust.filter("c_custkey < 200").select(c.alias("room"), pick(["Bathroom", "Room", "Kitchen", "Hall", "Bedroom", "Closet", "Room", "Room", "Room", "Room"], c).alias("type"))
+    ad = cust.filter("c_custkey < 190 and c_custkey % 3 = 0").select(c.alias("a"), (c + 7).alias("b"))
+    wn = table(spark, sf_dir, "supplier").select(F.when(s % 2 == 0, "u").otherwise("v").alias("axis"), (s * 17 % 500 / 100.0).alias("coord"), (s % 3 / 2.0).alias("a"), (s % 3 / 2.0 + 0.9).alias("b"))
+    return g, rm, ad, wn
+
+
+@query(f"WITH {REGIONS}, {FLAGS} SELECT damage_id, rule FROM fl")
+def concealed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage.concealed_flags(*damage_tables(spark, sf_dir), [])
+
+
+@query(f"WITH {REGIONS}, {FLAGS}, rp AS (SELECT * FROM (VALUES {_values(priors.REPAIRS)}) t(class, action, k, least, unit)) SELECT damage_id, action, round_even(CASE WHEN unit = 'm' THEN extent ELSE greatest(area * k::DOUBLE, least::DOUBLE) END, 2) AS qty, unit FROM g JOIN rp USING (class) UNION ALL SELECT damage_id, 'Investigate (' || rule || ')', 1.0::DOUBLE, 'ea' FROM fl")
+def scope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = damage_tables(spark, sf_dir)
+    return damage.scope_items(t[0], damage.concealed_flags(*t, []), [])
+
+
+TILES = "t AS (SELECT l_suppkey % 6 AS surface_id, l_orderkey * 31 % 40 AS a, l_partkey * 17 % 12 AS b, min(CASE WHEN l_orderkey % 3 = 0 THEN 'crack' ELSE 'mould' END) AS class, 2 AS views, 0.75::DOUBLE AS confidence FROM lineitem WHERE l_orderkey % 61 = 0 GROUP BY 1, 2, 3)"
+
+
+@query(
+    f"""WITH RECURSIVE {TILES}, n AS (SELECT x.surface_id, x.class, x.a * 1048576 + x.b AS p, y.a * 1048576 + y.b AS q FROM t x JOIN t y ON x.surface_id = y.surface_id AND x.class = y.class AND abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1),
+w(surface_id, class, p, q) AS (SELECT surface_id, class, p, q FROM n WHERE p = q UNION SELECT w.surface_id, w.class, w.p, n.q FROM w JOIN n ON n.surface_id = w.surface_id AND n.class = w.class AND n.p = w.q), m AS (SELECT surface_id, class, p // 1048576 AS a, p % 1048576 AS b, min(q) AS component FROM w GROUP BY ALL),
+e AS (SELECT m.surface_id, m.class, m.component, m.a + i AS a, m.b + j AS b FROM m, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(i, j)), x AS (SELECT surface_id, class, component, count(*) AS exposed FROM e ANTI JOIN t ON t.surface_id = e.surface_id AND t.a = e.a AND t.b = e.b GROUP BY ALL)
+SELECT m.surface_id, m.class, m.component, round(count(*) * 0.16, 6)::DOUBLE AS area, round(0.5 * coalesce(any_value(exposed), 0) / 4 * 0.16 + 0.1 * count(*) * 0.16, 6)::DOUBLE AS ci95, round((max(a) - min(a) + 1) * 0.4, 6)::DOUBLE AS extent_a FROM m LEFT JOIN x ON x.surface_id = m.surface_id AND x.class = m.class AND x.component = m.component GROUP BY ALL"""
+)
+def damage_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 61 = 0")
+    t = li.groupBy((F.col("l_suppkey") % 6).alias("surface_id"), (F.col("l_orderkey") * 31 % 40).alias("a"), (F.col("l_partkey") * 17 % 12).alias("b")).agg(F.min(F.when(F.col("l_orderkey") % 3 == 0, "crack").otherwise("mould")).alias("class")).withColumns({"views": F.lit(2), "confidence": F.lit(0.75)})
+    r = damage.regions(t, [])
+    return r.select("surface_id", "class", "component", F.round("area.value", 6).alias("area"), F.round("area.ci95", 6).alias("ci95"), F.round("extent_a", 6).alias("extent_a"))
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS surface_id, l_partkey % 30 AS a, [l_quantity / 100, l_discount * 3, 1 - l_quantity / 100 - l_discount * 3] AS p FROM lineitem WHERE l_tax >= 0.02),
+g AS (SELECT surface_id, a, avg(p[1]) AS m1, avg(p[2]) AS m2, avg(p[3]) AS m3, count(*) AS views, count(*) FILTER (WHERE NOT (p[3] > p[1] AND p[3] > p[2])) AS agree FROM p GROUP BY ALL)
+SELECT surface_id, a, CASE WHEN m1 >= m2 THEN 'crack' ELSE 'mould' END AS class, round(greatest(m1, m2), 6) AS confidence, views::INTEGER AS views FROM g WHERE views >= 2 AND agree >= 2 AND 1 - m3 >= 0.45"""
+)
+def voted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = F.col("l_quantity") / 100, F.col("l_discount") * 3
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("surface_id"), (F.col("l_partkey") % 30).alias("a"), F.array(q, d, 1 - q - d).alias("probs"), F.when(F.col("l_tax") >= 0.02, 1.0).otherwise(0.0).alias("surface_p"))
+    v = damage.voted(p, ["surface_id", "a"], [], ["crack", "mould", "plain"], defect=0.45)
+    return v.select("surface_id", "a", "class", F.round("confidence", 6).alias("confidence"), "views")
+
+
+@query("WITH RECURSIVE r AS (SELECT c_nationkey AS k, c_custkey * 37 % 60 AS u0, c_custkey * 11 % 60 AS v0, c_custkey * 37 % 60 + 1 + c_custkey % 7 AS u1, c_custkey * 11 % 60 + 1 + c_custkey % 5 AS v1 FROM customer) SELECT k, count(*)::DOUBLE AS area FROM (SELECT DISTINCT k, x, unnest(range(v0, v1)) AS y FROM (SELECT k, v0, v1, unnest(range(u0, u1)) AS x FROM r)) GROUP BY k")
+def union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (c * 37 % 60).alias("u0"), (c * 11 % 60).alias("v0"), (c * 37 % 60 + 1 + c % 7).alias("u1"), (c * 11 % 60 + 1 + c % 5).alias("v1"))
+    return rooms.union_area(r, ["k"]).select("k", F.col("area").cast("double").alias("area"))
+
+
+@query("WITH e AS (SELECT DISTINCT c_custkey % 40 AS room, s_suppkey % 40 AS other, c_custkey AS photo, s_suppkey * 7 % 90 + c_custkey % 9 AS inliers FROM customer JOIN supplier ON c_nationkey = s_nationkey), b AS (SELECT room, other, photo, max(inliers) AS inliers FROM e WHERE room <> other AND inliers >= 25 GROUP BY ALL) SELECT room, other, photo, inliers, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY inliers DESC, photo, other) AS rn FROM b) WHERE rn <= 4")
+def photo_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    e = c.join(s, c["c_nationkey"] == s["s_nationkey"]).select((F.col("c_custkey") % 40).alias("room"), (F.col("s_suppkey") % 40).alias("other"), F.col("c_custkey").alias("photo"), (F.col("s_suppkey") * 7 % 90 + F.col("c_custkey") % 9).alias("inliers"))
+    return rooms.cross_room_matches(e, []).select("room", "other", "photo", "inliers", "rank")
+
+
+@query()
+def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximum spanning forest of nations linked by orders, by order status."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    e = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderstatus").alias("k"), F.col("c_nationkey").alias("a"), (F.col("o_orderkey") % 25).cast("int").alias("b"))
+    w = e.filter("a <> b").select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("k", "a", "b").agg(F.count("*").alias("w"))
+    return graph.max_spanning_forest(w, "a", "b", "w", ["k"])
+
+
+@query()
+def object_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("class"), (F.col("event_id") % 50 / 10.0).alias("u"), (F.col("event_id") % 30 / 10.0).alias("v"), (-F.col("value")).alias("conf"), "event_id")
+    return graph.greedy_instances(e, ["user_id", "class"], ("u", "v"), ["conf", "event_id"])
+
+
+@query(
+    f"""WITH {POINTS_SQL}, f AS (SELECT round(avg(u_mm) FILTER (WHERE s = 2) / 1000.0, 2) AS u0, round(avg(u_mm) FILTER (WHERE s = 6) / 1000.0, 2) AS um, round(avg(u_mm) FILTER (WHERE s = 3) / 1000.0, 2) AS u1, round(avg(v_mm) FILTER (WHERE s = 0) / 1000.0, 2) AS v0, round(avg(v_mm) FILTER (WHERE s = 1) / 1000.0, 2) AS v1 FROM points)
+SELECT 1 AS room, round((um - u0) * (v1 - v0), 2) AS area, round(um - u0, 2) AS length_u, round(v1 - v0, 2) AS length_v, TRUE AS bounded FROM f UNION ALL SELECT 2, round((u1 - um) * (v1 - v0), 2), round(u1 - um, 2), round(v1 - v0, 2), TRUE FROM f"""
+)
+def plan_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan of the known room: faces, cut lines, complex, rooms, dimensions."""
+    plan = plan_capture(points_m(spark, sf_dir), ["capture_id"], cover=0.30)
+    return plan.rooms.select("room", F.round("area.value", 2).alias("area"), F.round("length_u.value", 2).alias("length_u"), F.round("length_v.value", 2).alias("length_v"), "bounded")
