@@ -113,6 +113,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK) -> I
             i = j
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns under their names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def text_bytes(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 

@@ -207,11 +207,11 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, hel
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and _score, of the whole text."""
+    """All columns of docs and __score, of the whole text."""
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         return pa.array(model.score([t.as_py() or b"" for t in text]))
 
-    return docs.withColumn("_score", score(text_bytes(F.col(text_col).cast("string"))))
+    return docs.withColumn("__score", score(text_bytes(F.col(text_col).cast("string"))))
 

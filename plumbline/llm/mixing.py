@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, stored
+from .common import columns, partitions, stored
 
 MAX_SOURCES = 1_000
 
@@ -87,9 +87,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
     key = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s")))
     taken = F.to_json(F.struct(F.col("_id").alias("i"), F.col("source").alias("s")))
     # rows that share id and source share a list of slots
-    s = schedule(docs, id_col, source_col, **options).groupBy(taken.alias("_k")).agg(F.sort_array(F.collect_list(F.struct("slot", "position"))).alias("_slots"))
-    d = docs.withColumn("_k", key)
-    d = d.withColumn("_c", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(*docs.columns))))
-    j = d.join(s, "_k").withColumn("_at", F.expr("_slots[_c - 1]"))
+    s = schedule(docs, id_col, source_col, **options).groupBy(taken.alias("__mix_k")).agg(F.sort_array(F.collect_list(F.struct("slot", "position"))).alias("__mix_slots"))
+    d = docs.withColumn("__mix_k", key)
+    d = d.withColumn("__mix_c", F.row_number().over(Window.partitionBy("__mix_k").orderBy(F.xxhash64(F.to_json(F.struct(*columns(docs)))))))
+    j = d.join(s, "__mix_k").withColumn("__mix_at", F.expr("__mix_slots[__mix_c - 1]"))
     n = partitions(docs.sparkSession)
-    return j.repartitionByRange(n, "_at").sortWithinPartitions("_at").select(*[F.col(c) for c in docs.columns])
+    return j.repartitionByRange(n, "__mix_at").sortWithinPartitions("__mix_at").select(*columns(docs))

@@ -22,4 +22,4 @@ def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held: int = 0,
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that aren't toxic, all columns as they are."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    return compression.scored(docs, model, id_col, text_col).filter(F.col("_score") < THRESHOLD).drop("_score")
+    return compression.scored(docs, model, id_col, text_col).filter(F.col("__score") < THRESHOLD).drop("__score")
