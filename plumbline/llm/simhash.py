@@ -28,7 +28,7 @@ from .components import components
 from .vptree import Labels, Tree
 
 #: Fingerprints that a shard holds, more or less; shards at most, and sampled fingerprints a shard for the tree above the shards (8 MB in all).
-SHARD_ROWS, MAX_SHARDS, SAMPLE = 16_384, 65_536, 16
+SHARD_ROWS, MAX_SHARDS, SAMPLE = 4_096, 65_536, 16
 _x = xxhash.xxh64_intdigest
 
 
