@@ -251,9 +251,10 @@ def neck_splits(rooms: DataFrame, edges: DataFrame, keys: list[str], *, most: fl
     """rooms' cells with part: a room is cut along the narrowest line whose cross-section is at most ``most`` and that leaves two parts of
     ``least_area`` or more, again and again. A room has a few hundred cells."""
     e = edges.filter(F.col("kind") == "open").select(*keys, "axis", "line", "i", "j", "i2", "j2", (F.col("b") - F.col("a")).alias("len"))
-    ra = rooms.select(*keys, "i", "j", "room")
+    fresh = lambda *names: rooms.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  new columns: cells and edges stem from the same table
+    ra = fresh(*keys, "i", "j", "room")
     e = e.join(ra, [*keys, "i", "j"]).join(ra.select(*keys, F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("room").alias("_r2")), [*keys, "i2", "j2"]).filter("room = _r2").drop("_r2")
-    cells = rooms.select(*keys, "room", "i", "j", ((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("cell_area"))
+    cells = fresh(*keys, "room", "i", "j", "u0", "u1", "v0", "v1").select(*keys, "room", "i", "j", ((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("cell_area"))
     head = "".join(f"`{k}` {rooms.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(key: tuple, cs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
