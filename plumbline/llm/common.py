@@ -118,6 +118,11 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
 
 
+def row(df: DataFrame) -> Column:
+    """A whole row as one struct: set aside, no column of it can clash with what is computed beside it."""
+    return F.struct(*columns(df)).alias("row")
+
+
 def text_bytes(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 

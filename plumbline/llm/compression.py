@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, text_bytes
@@ -207,11 +207,14 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, hel
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and __score, of the whole text."""
+    """doc_id and score, of each whole text."""
+    return docs.select(F.col(id_col).alias("doc_id"), score_of(model, text_col).alias("score"))
 
+
+def score_of(model: Model, text_col: str = "text") -> Column:
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         return pa.array(model.score([t.as_py() or b"" for t in text]))
 
-    return docs.withColumn("__score", score(text_bytes(F.col(text_col).cast("string"))))
+    return score(text_bytes(F.col(text_col).cast("string")))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, columns, partitions, stored, text_bytes
+from .common import SPACES, partitions, row, stored, text_bytes
 
 _ROW = "hi long, lo long, pos int, n_lines int"
 #: A row to drop; one whose group goes on next door; the first row there of such a group; such a group's count of documents.
@@ -223,12 +223,11 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     def kept(text: pa.Array, n: pa.Array, keep: pa.Array) -> pa.Array:
         return pa.array([kept_lines(t.as_py(), k.as_py(), b.as_py()) if b.is_valid else t.as_py() for t, k, b in zip(text, n, keep, strict=True)], pa.binary())
 
-    b = bitmaps.filter("n_dropped > 0").select(F.col("_id").alias("__ld_id"), F.col("_th").alias("__ld_th"), F.col("n_lines").alias("__ld_n"), F.col("keep").alias("__ld_keep"))
-    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    j = docs.withColumn("__ld_own", th)
-    j = j.join(b, j[id_col].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_own") == F.col("__ld_th")), "left")
-    text = kept(F.col(text_col).cast("binary"), F.col("__ld_n"), F.col("__ld_keep")).cast("string")
-    return j.withColumn("__ld_new", F.when(F.col("__ld_keep").isNull(), F.col(text_col)).otherwise(text)).select(*[F.col("__ld_new").alias(n) if n == text_col else c for n, c in zip(docs.columns, columns(docs), strict=True)])
+    b = bitmaps.filter("n_dropped > 0").select(F.col("_id").alias("b_id"), F.col("_th").alias("b_th"), F.col("n_lines").alias("n"), "keep")
+    d = docs.select(row(docs), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
+    j = d.join(b, d["id"].eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th")), "left")
+    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(kept(F.col("text").cast("binary"), F.col("n"), F.col("keep")).cast("string"))
+    return j.withColumn("row", F.col("row").withField("`" + text_col.replace("`", "``") + "`", text)).select("row.*")
 
 
 def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +237,7 @@ def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_co
     def sha(text: pa.Array, n: pa.Array, keep: pa.Array) -> pa.Array:
         return pa.array([hashlib.sha256(kept_lines(t.as_py(), k.as_py(), b.as_py())).hexdigest() for t, k, b in zip(text, n, keep, strict=True)], pa.string())
 
-    b = bitmaps.select(F.col("_id").alias("__ld_id"), F.col("_th").alias("__ld_th"), "n_lines", "n_dropped", "keep")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("__ld_own", F.xxhash64("_text"))
-    j = d.join(b, d["doc_id"].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_own") == F.col("__ld_th")))
+    b = bitmaps.select(F.col("_id").alias("b_id"), F.col("_th").alias("b_th"), "n_lines", "n_dropped", "keep")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("d_th", F.xxhash64("_text"))
+    j = d.join(b, d["doc_id"].eqNullSafe(F.col("b_id")) & (F.col("d_th") == F.col("b_th")))
     return j.select("doc_id", "n_lines", "n_dropped", sha(F.col("_text").cast("binary"), F.col("n_lines"), F.col("keep")).alias("kept_sha256"))

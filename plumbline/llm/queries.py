@@ -19,7 +19,7 @@ def held_out(modulus: int, rest: int) -> Column:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), modulus=4, held=2)
-    return compression.scored(docs, model).select("doc_id", held_out(4, 2), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+    return compression.scored(docs, model).select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5, held=0)
-    return compression.scored(docs, model).select("doc_id", held_out(5, 0), F.col("__score").alias("score"), (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return compression.scored(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, stored, text_bytes
+from .common import discard, row, stored, text_bytes
 from .components import components
 from .vptree import Labels, Tree
 
@@ -115,11 +115,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are the first of their component (least id, nulls last), one row each, all columns as they are."""
     c = clusters(docs, id_col, text_col, **options)
-    first = c.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), F.col("_id"), F.col("_th"))).alias("_k")).select(F.col("_k._id").alias("__sh_id"), F.col("_k._th").alias("__sh_k")).distinct()
+    first = c.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), F.col("_id"), F.col("_th"))).alias("_k")).select(F.col("_k._id").alias("kept_id"), F.col("_k._th").alias("kept_th")).distinct()
     first = stored(first, "kept-ids")
-    rows = docs.withColumn("__sh_th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = rows.join(first, rows[id_col].eqNullSafe(F.col("__sh_id")) & (F.col("__sh_th") == F.col("__sh_k")), "left_semi")
-    return rows.dropDuplicates([id_col, "__sh_th"]).select(*columns(docs))
+    rows = docs.select(row(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
+    rows = rows.join(first, rows["id"].eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
+    return rows.dropDuplicates(["id", "th"]).select("row.*")
 
 
 __all__ = ["clusters", "discard", "fingerprint", "fingerprints", "keep_one", "links", "near_duplicates"]
