@@ -380,3 +380,19 @@ def side_by_side(rooms: DataFrame, order: list[Column], keys: list[str], gap: fl
     """rooms (width) with offset: laid out in a row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rooms.withColumn("offset", F.coalesce(F.sum(F.col("width") + gap).over(w), F.lit(0.0)))
+
+
+def oriented_walls(walls: DataFrame, keys: list[str], res: float, h_band: tuple[float, float], *, h_step: float = 0.15, cover: float = 0.4) -> DataFrame:
+    """keys, axis, r, c: cells of each wall family in whose surroundings (three by three) enough of the height is covered."""
+    at_u = F.col("axis") == "u"
+    u, v = F.when(at_u, F.col("at")).otherwise(F.col("along")), F.when(at_u, F.col("along")).otherwise(F.col("at"))
+    cells = walls.withColumns({"r": F.floor(v / res), "c": F.floor(u / res)})
+    cov = robust.height_coverage(cells, [*keys, "axis", "r", "c"], F.col("h"), h_band[0], h_band[1], h_step)
+    return raster.boxed_sum(cov, "coverage").filter(F.least(F.col("coverage"), F.lit(1.0)) > cover).drop("coverage")
+
+
+def barrier(oriented: DataFrame, keys: list[str], gap: int, grow: int = 1) -> DataFrame:
+    """keys, r, c: walls with the gaps along them bridged (doors closed), grown and closed."""
+    side = lambda axis, along, line: intervals.bridged(raster.dilated(oriented.filter(F.col("axis") == axis).select(*keys, "r", "c"), [(0, 0)]), along, [*keys, line], gap).select(*keys, "r", "c")
+    lines = raster.union(side("u", "r", "c"), side("v", "c", "r"))
+    return raster.closed(raster.dilated(lines, raster.disk(grow)), raster.box(2))
