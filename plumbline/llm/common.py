@@ -118,9 +118,16 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
 
 
-def row(df: DataFrame) -> Column:
-    """A whole row as one struct: set aside, no column of it can clash with what is computed beside it."""
-    return F.struct(*columns(df)).alias("row")
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def text_bytes(column: str | Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, partitions, row, stored, text_bytes
+from .common import SPACES, columns, partitions, spare, stored, text_bytes
 
 _ROW = "hi long, lo long, pos int, n_lines int"
 #: A row to drop; one whose group goes on next door; the first row there of such a group; such a group's count of documents.
@@ -217,17 +217,19 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs, their text replaced by the kept lines, joined by a newline. Only rows that lose lines cross to Python."""
+    """The rows and columns of docs, their text replaced by the kept lines, joined by a newline. Only texts that lose lines cross to Python."""
 
     @F.arrow_udf("binary")
     def kept(text: pa.Array, n: pa.Array, keep: pa.Array) -> pa.Array:
         return pa.array([kept_lines(t.as_py(), k.as_py(), b.as_py()) if b.is_valid else t.as_py() for t, k, b in zip(text, n, keep, strict=True)], pa.binary())
 
-    b = bitmaps.filter("n_dropped > 0").select(F.col("_id").alias("b_id"), F.col("_th").alias("b_th"), F.col("n_lines").alias("n"), "keep")
-    d = docs.select(row(docs), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
-    j = d.join(b, d["id"].eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th")), "left")
-    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(kept(F.col("text").cast("binary"), F.col("n"), F.col("keep")).cast("string"))
-    return j.withColumn("row", F.col("row").withField("`" + text_col.replace("`", "``") + "`", text)).select("row.*")
+    th, b_id, b_th, n, keep, new = spare(docs, "th", "b_id", "b_th", "n", "keep", "new")
+    b = bitmaps.filter("n_dropped > 0").select(F.col("_id").alias(b_id), F.col("_th").alias(b_th), F.col("n_lines").alias(n), F.col("keep").alias(keep))
+    d = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    j = d.join(b, d[id_col].eqNullSafe(F.col(b_id)) & (F.col(th) == F.col(b_th)), "left")
+    text = kept(F.when(F.col(keep).isNotNull(), F.col(text_col).cast("binary")), F.col(n), F.col(keep)).cast("string")
+    j = j.withColumn(new, F.when(F.col(keep).isNull(), F.col(text_col)).otherwise(text))
+    return j.select(*[F.col(new).alias(c) if c == text_col else x for c, x in zip(docs.columns, columns(docs), strict=True)])
 
 
 def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

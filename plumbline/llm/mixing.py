@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, row, stored
+from .common import columns, partitions, spare, stored
 
 MAX_SOURCES = 1_000
 
@@ -84,12 +84,13 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows and columns of docs in the order of the mix: files, and rows in them, follow the slots. Nothing is dropped or repeated."""
-    key = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"))).alias("key")
+    key = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s")))
     taken = F.to_json(F.struct(F.col("_id").alias("i"), F.col("source").alias("s")))
     # rows that share id and source share a list of slots
     s = schedule(docs, id_col, source_col, **options).groupBy(taken.alias("key")).agg(F.sort_array(F.collect_list(F.struct("slot", "position"))).alias("slots"))
-    d = docs.select(row(docs), key)
-    d = d.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.to_json("row")))))
-    j = d.join(s, "key").select("row", F.expr("slots[copy - 1]").alias("at"))
+    k, copy, own, at = spare(docs, "key", "copy", "slots", "at")
+    d = docs.withColumn(k, key)
+    d = d.withColumn(copy, F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64(F.to_json(F.struct(*columns(docs)))))))
+    j = d.join(s.select(F.col("key").alias(k), F.col("slots").alias(own)), k).withColumn(at, F.expr(f"{own}[{copy} - 1]"))
     n = partitions(docs.sparkSession)
-    return j.repartitionByRange(n, "at").sortWithinPartitions("at").select("row.*")
+    return j.repartitionByRange(n, at).sortWithinPartitions(at).select(*columns(docs))

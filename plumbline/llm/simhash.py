@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, row, stored, text_bytes
+from .common import columns, discard, spare, stored, text_bytes
 from .components import components
 from .vptree import Labels, Tree
 
@@ -117,9 +117,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     c = clusters(docs, id_col, text_col, **options)
     first = c.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), F.col("_id"), F.col("_th"))).alias("_k")).select(F.col("_k._id").alias("kept_id"), F.col("_k._th").alias("kept_th")).distinct()
     first = stored(first, "kept-ids")
-    rows = docs.select(row(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
-    rows = rows.join(first, rows["id"].eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
-    return rows.dropDuplicates(["id", "th"]).select("row.*")
+    th, kept_id, kept_th = spare(docs, "th", "kept_id", "kept_th")
+    first = first.select(F.col("kept_id").alias(kept_id), F.col("kept_th").alias(kept_th))
+    rows = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = rows.join(first, rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(th) == F.col(kept_th)), "left_semi")
+    return rows.dropDuplicates([id_col, th]).select(*columns(docs))
 
 
 __all__ = ["clusters", "discard", "fingerprint", "fingerprints", "keep_one", "links", "near_duplicates"]

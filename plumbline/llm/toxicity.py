@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import compression
-from .common import row
+from .common import columns, spare
 
 WINDOWS = (64, 192)
 THRESHOLD = 0.5
@@ -23,4 +23,5 @@ def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held: int = 0,
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that aren't toxic, all columns as they are."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    return docs.select(row(docs), compression.score_of(model, text_col).alias("score")).filter(F.col("score") < THRESHOLD).select("row.*")
+    (score,) = spare(docs, "score")
+    return docs.withColumn(score, compression.score_of(model, text_col)).filter(F.col(score) < THRESHOLD).select(*columns(docs))
