@@ -377,3 +377,18 @@ def test_plans_use_hash_joins(spark, sf):
 
     for name in ("overlapping_spans", "nearest_views", "overlapping_rectangles", "orders_in_spans", "band_nearest"):
         assert "NestedLoop" not in REGISTRY[name](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_trajectory_report(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(80, 3))
+    b = 1.06 * a + [1, 0, 2] + rng.normal(scale=0.01, size=a.shape)
+    d = spark.createDataFrame(pd.DataFrame(np.c_[a, b], columns=list("abcxyz")))
+    depth = spark.createDataFrame([(f, 2.0 * (0.9 + 0.01 * f), 2.0) for f in range(11) for _ in range(5)], "frame int, predicted double, truth double")
+    r = scoring.trajectory_report(d, list("abc"), list("xyz"), depth).first()
+    assert abs(r["scale"] - 1.06) < 0.01 and r["residual"] < 0.03 and abs(r["depth_ratio"] - 0.95) < 1e-9 and r["pairs"] == 80
+
+
+def test_labelled_split(spark, sf):
+    d = captures.labelled(spark, f"{sf}/embeddings.parquet", "label").groupBy("split").count().toPandas().set_index("split")["count"]
+    assert set(d.index) == {"train", "test"} and 0.1 < d["test"] / d.sum() < 0.3
