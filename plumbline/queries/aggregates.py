@@ -43,12 +43,12 @@ def wall_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT l_returnflag AS k, pmod_(4 * atan2((l_partkey % 51 - 25)::DOUBLE, l_quantity - 25)) AS a FROM lineitem WHERE l_quantity <> 25 OR l_partkey % 51 <> 25),
+    """WITH d AS (SELECT l_returnflag AS k, ((4 * atan2((l_partkey % 51 - 25)::DOUBLE, l_quantity - 25)) % (2 * pi()) + 2 * pi()) % (2 * pi()) AS a FROM lineitem WHERE l_quantity <> 25 OR l_partkey % 51 <> 25),
 h AS (SELECT k, (floor(a / (2 * pi() / 720))::BIGINT) % 720 AS bin, count(*) AS n FROM d GROUP BY ALL),
 g AS (SELECT o, exp(-0.5 * (o / 3.0) * (o / 3.0)) AS w FROM range(-12, 13) t(o)), gs AS (SELECT o, w / (SELECT sum(w) FROM g) AS w FROM g),
 s AS (SELECT k, ((bin + o) % 720 + 720) % 720 AS bin, sum(n * w) AS s FROM h, gs GROUP BY ALL),
 p AS (SELECT k, (bin + 1) * (2 * pi() / 720) AS peak FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(s, 9) DESC, bin) = 1)
-SELECT k, round(atan2(avg(sin(a)), avg(cos(a))) / 4, 9) AS yaw FROM d JOIN p USING (k) WHERE abs(atan2(sin(a - peak), cos(a - peak))) < 0.15 GROUP BY k""".replace("pmod_(4 * atan2((l_partkey % 51 - 25)::DOUBLE, l_quantity - 25))", "((4 * atan2((l_partkey % 51 - 25)::DOUBLE, l_quantity - 25)) % (2 * pi()) + 2 * pi()) % (2 * pi())")
+SELECT k, round(atan2(avg(sin(a)), avg(cos(a))) / 4, 9) AS yaw FROM d JOIN p USING (k) WHERE abs(atan2(sin(a - peak), cos(a - peak))) < 0.15 GROUP BY k"""
 )
 def yaw_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_quantity") - 25).alias("dx"), (F.col("l_partkey") % 51 - 25).cast("double").alias("dz"))
@@ -165,14 +165,10 @@ def length_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT label, list(embedding[i]) AS dummy, 0 AS z FROM embeddings, range(1, 2) t(i) WHERE FALSE GROUP BY label),
-m AS (SELECT label, [(SELECT avg(e.embedding[i]::DOUBLE) FROM embeddings e WHERE e.label = x.label) for i in range(1, 1)] AS q FROM (SELECT DISTINCT label FROM embeddings) x WHERE FALSE),
-u AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) GROUP BY ALL), w AS (SELECT label, list(v ORDER BY i) AS w FROM u GROUP BY label),
+    """WITH u AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) GROUP BY ALL), w AS (SELECT label, list(v ORDER BY i) AS w FROM u GROUP BY label),
 l AS (SELECT vec_id, w.label AS k, list_sum(list_transform(range(1, 65), lambda j: embedding[j]::DOUBLE * w.w[j])) * 8 AS z FROM embeddings, w),
 s AS (SELECT vec_id, k, z, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM l)
-SELECT vec_id, arg_max(k, (round(z, 9), -k))::INTEGER AS predicted, round(max(e / t), 6) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS t FROM s) GROUP BY vec_id""".replace("""WITH c AS (SELECT label, list(embedding[i]) AS dummy, 0 AS z FROM embeddings, range(1, 2) t(i) WHERE FALSE GROUP BY label),
-m AS (SELECT label, [(SELECT avg(e.embedding[i]::DOUBLE) FROM embeddings e WHERE e.label = x.label) for i in range(1, 1)] AS q FROM (SELECT DISTINCT label FROM embeddings) x WHERE FALSE),
-u AS""", "WITH u AS")
+SELECT vec_id, arg_max(k, (round(z, 9), -k))::INTEGER AS predicted, round(max(e / t), 6) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS t FROM s) GROUP BY vec_id"""
 )
 def probe_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear probe whose weights are the labels' centroids: ten rows, broadcast."""

@@ -64,23 +64,27 @@ def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(raster.union(a, b), "or").unionByName(n(raster.both(a, b), "and")).unionByName(n(raster.minus(a, b), "minus"))
 
 
-def _components_sql(steps: str) -> str:
-    return f"""WITH RECURSIVE {SPARSE}, n AS (SELECT a.k, a.r * 1048576 + a.c AS x, b.r * 1048576 + b.c AS y FROM c a JOIN c b ON a.k = b.k AND {steps}),
-w(k, x, y) AS (SELECT k, r * 1048576 + c, r * 1048576 + c FROM c UNION SELECT w.k, w.x, n.y FROM w JOIN n ON n.k = w.k AND n.x = w.y)
-SELECT k, x // 1048576 AS r, x % 1048576 AS c, min(y) AS component FROM w GROUP BY k, x"""
+NEAR_8, NEAR_4 = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1", "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
 
 
-@query(_components_sql("abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1"))
+def _components_sql(near: str, where: str = "") -> str:
+    return f"""WITH RECURSIVE {SPARSE}, n AS (SELECT a.k, a.r * 1048576 + a.c AS x, b.r * 1048576 + b.c AS y FROM c a JOIN c b ON a.k = b.k AND {near}),
+w(k, x, y) AS (SELECT k, r * 1048576 + c, r * 1048576 + c FROM c UNION SELECT w.k, w.x, n.y FROM w JOIN n ON n.k = w.k AND n.x = w.y),
+m AS (SELECT k, x // 1048576 AS r, x % 1048576 AS c, min(y) AS component FROM w GROUP BY k, x)
+SELECT k, r, c, component FROM m {where}"""
+
+
+@query(_components_sql(NEAR_8))
 def components_8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cell_components(sparse(spark, sf_dir), "r", "c", ["k"], diagonal=True).select("k", "r", "c", "component")
 
 
-@query(_components_sql("abs(a.r - b.r) + abs(a.c - b.c) <= 1"))
+@query(_components_sql(NEAR_4))
 def components_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cell_components(sparse(spark, sf_dir), "r", "c", ["k"], diagonal=False).select("k", "r", "c", "component")
 
 
-@query(_components_sql("abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1").replace("SELECT k, x // 1048576 AS r, x % 1048576 AS c, min(y) AS component FROM w GROUP BY k, x", ", m AS (SELECT k, x // 1048576 AS r, x % 1048576 AS c, min(y) AS component FROM w GROUP BY k, x) SELECT k, r, c, component FROM m QUALIFY max(c) OVER (PARTITION BY k, component) - min(c) OVER (PARTITION BY k, component) + 1 >= 4").replace("\n, m AS", ", m AS"))
+@query(_components_sql(NEAR_8, "QUALIFY max(c) OVER (PARTITION BY k, component) - min(c) OVER (PARTITION BY k, component) + 1 >= 4"))
 def long_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = graph.cell_components(sparse(spark, sf_dir), "r", "c", ["k"], diagonal=True)
     return raster.long_components(comp, "c", 4, ["k"]).select("k", "r", "c", "component")

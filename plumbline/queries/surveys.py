@@ -113,7 +113,7 @@ def voted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("surface_id", "a", "class", F.round("confidence", 6).alias("confidence"), "views")
 
 
-@query("WITH RECURSIVE r AS (SELECT c_nationkey AS k, c_custkey * 37 % 60 AS u0, c_custkey * 11 % 60 AS v0, c_custkey * 37 % 60 + 1 + c_custkey % 7 AS u1, c_custkey * 11 % 60 + 1 + c_custkey % 5 AS v1 FROM customer) SELECT k, count(*)::DOUBLE AS area FROM (SELECT DISTINCT k, x, unnest(range(v0, v1)) AS y FROM (SELECT k, v0, v1, unnest(range(u0, u1)) AS x FROM r)) GROUP BY k")
+@query("WITH r AS (SELECT c_nationkey AS k, c_custkey * 37 % 60 AS u0, c_custkey * 11 % 60 AS v0, c_custkey * 37 % 60 + 1 + c_custkey % 7 AS u1, c_custkey * 11 % 60 + 1 + c_custkey % 5 AS v1 FROM customer) SELECT k, count(*)::DOUBLE AS area FROM (SELECT DISTINCT k, x, unnest(range(v0, v1)) AS y FROM (SELECT k, v0, v1, unnest(range(u0, u1)) AS x FROM r)) GROUP BY k")
 def union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     r = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (c * 37 % 60).alias("u0"), (c * 11 % 60).alias("v0"), (c * 37 % 60 + 1 + c % 7).alias("u1"), (c * 11 % 60 + 1 + c % 5).alias("v1"))
