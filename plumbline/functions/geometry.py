@@ -178,14 +178,20 @@ def array_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used: a lambda over an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalised(a: Column) -> Column:
-    n = F.sqrt(array_dot(a, a))
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12)))
+    return let(F.greatest(F.sqrt(array_dot(a, a)), F.lit(1e-12)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(logits, lambda z: let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp(x - top)), shares)))
 
 
 def linear_probe(features: Column, weights: list[list[float]] | Column, bias: list[float] | Column) -> Column:
@@ -198,9 +204,9 @@ def linear_probe(features: Column, weights: list[list[float]] | Column, bias: li
 def zero_shot_gate(features: Column, prompts: Column, chosen: int, temperature: float = 100.0) -> Column:
     """Probability mass of the first ``chosen`` prompts."""
     p = softmax(F.transform(prompts, lambda row: array_dot(features, row) * temperature))
-    return F.aggregate(F.slice(p, 1, chosen), F.lit(0.0), lambda s, x: s + x)
+    return let(p, lambda q: F.aggregate(F.slice(q, 1, chosen), F.lit(0.0), lambda s, x: s + x))
 
 
 def argmax(a: Column) -> Column:
     """Zero-based place of the first greatest element."""
-    return F.array_position(a, F.array_max(a)).cast("int") - 1
+    return let(a, lambda x: F.array_position(x, F.array_max(x)).cast("int") - 1)

@@ -177,7 +177,8 @@ def probe_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = u.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"] * 8).alias("w"))
     w = w.agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "w"))), lambda x: x["w"]).alias("_w"), F.sort_array(F.collect_list("label")).alias("_k"))
     p = e.crossJoin(F.broadcast(w)).withColumn("_p", G.linear_probe(F.col("embedding"), F.col("_w"), F.transform("_k", lambda _: F.lit(0.0))))
-    return p.select("vec_id", F.col("_k")[G.argmax(F.col("_p"))].alias("predicted"), F.round(F.array_max("_p"), 6).alias("p"))
+    best = G.let(F.col("_p"), lambda x: F.struct(G.argmax(x).alias("i"), F.array_max(x).alias("p")))
+    return p.select("vec_id", "_k", best.alias("_b")).select("vec_id", F.col("_k")[F.col("_b.i")].alias("predicted"), F.round("_b.p", 6).alias("p"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / n) * (x::DOUBLE / n)))), 9) AS norm, round(embedding[1]::DOUBLE / n, 6) AS first FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
