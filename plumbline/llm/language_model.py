@@ -261,6 +261,8 @@ class Trie:
         """Tokens whose own and preceding pairs are both kept, and (pair before, place among the successors of its second word)."""
         t = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0)) + 1
         place = pair[t] - self.sorted_call(self.first_child, number[t - 1]) if len(t) else t
+        if len(t) and place.max() >= 1 << CHILD_BITS:
+            raise ValueError(f"a word with 2^{CHILD_BITS} kept successors or more")
         return t, pair[t - 1].astype(np.uint64) << _U(CHILD_BITS) | place.astype(np.uint64)
 
     def log10(self, number: np.ndarray, count: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
