@@ -3,7 +3,7 @@ their target weights, and the rest is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet to the shared folder and reads
 them again as the next one's docs. All stages but the last return the columns of documents. Mixing keeps every row: its decision is the
-order of the rows in the files.
+order of the rows in the files, which packing follows.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens in sequences of at most 1024."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), tokens=1024, end_id=2)
+    """Pieces of at most 1024 tokens in sequences of at most 1024, both in the order of the mix: sequences are numbered by their earliest piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), tokens=1024, end_id=2, follow=True)
 
 
 STAGES = [

@@ -6,7 +6,8 @@ resource, the one whose weighted residual norm after placing is least (or whose
 
 Pieces of one length are alike, so the plan needs only how many there are of each: sequences with equal residuals move as a block, and
 the plan is a list of steps (length, so many sequences from this one on, so many pieces each, at this offset), a few for each length
-whatever the corpus. The pieces are then numbered within their length (range partitioning, counts by partition) and look up their step.
+whatever the corpus. The pieces are then numbered within their length (range partitioning, counts by partition) and look up their step. Numbered by id, the result
+depends on the rows alone; numbered by place, it follows the order of the rows in their files, as a mix wants.
 
 Null text is empty text: its one id is the end id. Repeated rows and ids are packed like any others. An empty table gives an empty result.
 """
@@ -21,7 +22,8 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
@@ -68,8 +70,10 @@ def piece_bounds(n: int, most: int) -> list[int]:
     return [0, *range(n % most or most, n + 1, most)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, most: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: a row for each piece."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, most: int = 1024, end_id: int = 2, with_ids: bool = False, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: a row for each piece, with the columns to carry of its document."""
+    carry = carry or {}
+    carried = list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -86,11 +90,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
                     if with_ids:
                         kept.append(ids[a:b].astype(np.int32))
-            arrays = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(kept, pa.list_(pa.int32()))] if with_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+            of = pa.array(row, pa.int64())
+            arrays = [batch.column("doc_id").take(of), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), *(batch.column(c).take(of) for c in carried)], ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *carried])
 
-    src = docs.select(F.col(id_col).alias("doc_id"), text_bytes(F.col(text_col).cast("string")).alias("_text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    src = docs.select(F.col(id_col).alias("doc_id"), text_bytes(F.col(text_col).cast("string")).alias("_text"), *[v.alias(c) for c, v in carry.items()])
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def plan(counts: dict[int, int], tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), select: str = "norm") -> np.ndarray:
@@ -149,10 +154,11 @@ def _ranked(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, Dat
     return ranked.withColumn("_rank", F.col("_m") - F.col("_least") + F.col("_before")).select(*rows.columns, "_rank"), each.groupBy("_key").agg(F.sum("_n").alias("n"))
 
 
-def pack(rows: DataFrame, *, tokens: int = 1024, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), select: str = "norm") -> DataFrame:
-    """The pieces (with a column length, 1 to tokens) with sequence_id and offset. Without a limit on documents or attention cost, those that the tokens imply."""
+def pack(rows: DataFrame, *, tokens: int = 1024, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), select: str = "norm", order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
+    """The pieces (with a column length, 1 to tokens) with sequence_id and offset. Without a limit on documents or attention cost, those that the
+    tokens imply. Pieces of one length take their places by ``order``."""
     documents, attention = documents or tokens, attention or tokens * tokens
-    ranked, counts = _ranked(rows, "length", [c for c in ("doc_id", "piece", "start") if c in rows.columns])
+    ranked, counts = _ranked(rows, "length", [c for c in order if c in rows.columns])
     have = {int(r["_key"]): int(r["n"]) for r in counts.collect()}  # at most ``tokens`` rows
     steps = plan(have, tokens, documents, attention, weights, select)
     steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
@@ -172,11 +178,36 @@ def pack(rows: DataFrame, *, tokens: int = 1024, documents: int | None = None, a
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, tokens: int = 1024, documents: int | None = None, attention: int | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """Tokenises, cuts and packs; a piece is never longer than what one sequence's attention cost allows."""
+def row_place(docs: DataFrame) -> dict[str, Column]:
+    """Columns that order the rows as they lie in files: by file name (longer ones last, as their part numbers are greater), then row in it;
+    rows that come from no file as they come."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return {"_long": F.lit(0), "_file": F.lit(""), "_row": F.monotonically_increasing_id()}
+    name = F.col("_metadata.file_name")
+    return {"_long": F.length(name), "_file": name, "_row": F.col("_metadata.row_index")}
+
+
+def renumbered(packed: DataFrame, order: list[str]) -> DataFrame:
+    """The sequences numbered anew (0, 1, ...) by the place of their first piece in ``order``."""
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct(*order)).alias("_first")).select("sequence_id", "_first.*", F.lit(0).alias("_all"))
+    ranked, _ = _ranked(first, "_all", order)
+    numbers = ranked.select(F.col("sequence_id").alias("_old"), F.col("_rank").alias("_new"))
+    joined = packed.join(numbers, packed["sequence_id"] == numbers["_old"])
+    return joined.select(*[F.col("_new").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns])
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, tokens: int = 1024, documents: int | None = None, attention: int | None = None, end_id: int = 2, with_ids: bool = False, follow: bool = False) -> DataFrame:
+    """Tokenises, cuts and packs; a piece is never longer than what one sequence's attention cost allows. With ``follow`` the order of the rows in
+    their files decides: which of the pieces of one length comes first, and that sequences are numbered by their first piece."""
     most = min(tokens, isqrt(attention)) if attention else tokens
-    rows = stored(pieces(docs, tokenizer, id_col, text_col, most=most, end_id=end_id, with_ids=with_ids), "pieces")
-    return pack(rows, tokens=tokens, documents=documents, attention=attention)
+    place = row_place(docs) if follow else {}
+    rows = stored(pieces(docs, tokenizer, id_col, text_col, most=most, end_id=end_id, with_ids=with_ids, carry=place), "pieces")
+    if not follow:
+        return pack(rows, tokens=tokens, documents=documents, attention=attention)
+    order = [*place, "piece"]
+    return renumbered(pack(rows, tokens=tokens, documents=documents, attention=attention, order=tuple(order)), order).drop(*place)
 
 
-__all__ = ["Encoder", "discard", "encoder", "pack", "pack_documents", "piece_bounds", "pieces", "plan"]
+__all__ = ["Encoder", "discard", "encoder", "pack", "pack_documents", "piece_bounds", "pieces", "plan", "renumbered", "row_place"]

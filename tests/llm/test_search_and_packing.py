@@ -252,3 +252,25 @@ def test_pipeline(spark):
     check_sequences(packed, 1024)
     assert {r.doc_id for r in packed} == {r[0] for r in mixed.select("doc_id").collect()}
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mix_sources", "best_fit_packing"]
+
+
+def test_packing_follows_the_mix(spark):
+    """Other weights give other sequences; sequences are numbered by their earliest piece in the mix."""
+    from plumbline.llm.common import stored
+
+    rows = [(i, "word " * (1 + i % 40), "ab"[i % 2]) for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for weights in ({"a": 9.0, "b": 1.0}, {"a": 1.0, "b": 9.0}):
+        options = {"block": 2, "weights": weights, "frame": 10}
+        packed = packing.pack_documents(stored(mixing.mixed(d, **options), "m"), PATH, tokens=64, follow=True).collect()
+        slot = {r["_id"]: (r["slot"], r["position"]) for r in mixing.schedule(d, **options).collect()}
+        check_sequences(packed, 64)
+        assert sorted(r.doc_id for r in packed) == list(range(1200))
+        first = {}
+        for r in packed:
+            first[r.sequence_id] = min(first.get(r.sequence_id, slot[r.doc_id]), slot[r.doc_id])
+        assert sorted(first) == list(range(len(first))) and [first[k] for k in sorted(first)] == sorted(first.values())
+        got.append({(r.doc_id, r.sequence_id, r.offset) for r in packed})
+    assert got[0] != got[1]
+    assert packing.pack_documents(d.limit(0), PATH, follow=True).count() == 0
