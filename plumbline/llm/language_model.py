@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, bytes_of, chunks, fold, mix, new_path, partitions, per_doc, span_hashes, text_bytes, words
 from .elias_fano import EliasFano, encode, read_arrays, write_arrays
 
-MIN_COUNT, DISCOUNT = 2, 0.75
+MIN_COUNT, DISCOUNT = 1, 0.75  # every pair and triple of the training texts is kept
 TOKENS = 1_000_000  # that a task holds at once
 PAIR_BITS, CHILD_BITS = 38, 26
 END = int(mix(np.array([0x656E64], np.uint64))[0])  # the end token's key

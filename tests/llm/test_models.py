@@ -74,6 +74,14 @@ def test_language_model_odd_inputs(spark):
     assert language_model.scored(e.limit(0), language_model.build(e)).count() == 0
 
 
+def test_pairs_and_triples_seen_once_count(spark):
+    """A text whose pairs and triples stand once in the training texts scores above one of the same words in another order."""
+    d = spark.createDataFrame([(1, "red green blue grey pink teal")], "doc_id long, text string")
+    e = spark.createDataFrame([(1, "red green blue grey pink teal"), (2, "teal pink grey blue green red")], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in language_model.scored(e, language_model.build(d, modulus=1, held=5)).collect()}
+    assert r[1]["base_score"] == pytest.approx(r[2]["base_score"]) and r[1]["score"] > r[2]["score"] + 1
+
+
 def test_level_files_hold_whole_distributions(spark, docs):
     """Over all words the probabilities after a context add up to one, up to quantisation."""
     info = language_model.build(docs.limit(300))
