@@ -274,3 +274,22 @@ def test_packing_follows_the_mix(spark):
         got.append({(r.doc_id, r.sequence_id, r.offset) for r in packed})
     assert got[0] != got[1]
     assert packing.pack_documents(d.limit(0), PATH, follow=True).count() == 0
+
+
+def _recall(spark, v: np.ndarray, step: int, shift: float = 0.0) -> float:
+    """Share of the exact ten nearest; with a shift the queries aren't in the index."""
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(8)
+    q = spark.createDataFrame([(i, (v[i] + shift).tolist()) for i in range(0, len(v), step)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(e, q, k=10).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect()
+    hits = 0
+    for r in got:
+        d = ((v - v[r.query_id] - shift) ** 2).sum(1)
+        d[r.query_id] = np.inf
+        hits += len(set(r.ids) & set(np.argsort(d)[:10].tolist()))
+    return hits / (10 * len(range(0, len(v), step)))
+
+
+def test_recall_beside_one_large_vector(spark):
+    v = np.random.default_rng(1).normal(size=(5000, 8))
+    v[7] *= 1e6
+    assert _recall(spark, v, 50) > 0.9
