@@ -293,3 +293,10 @@ def test_recall_beside_one_large_vector(spark):
     v = np.random.default_rng(1).normal(size=(5000, 8))
     v[7] *= 1e6
     assert _recall(spark, v, 50) > 0.9
+
+
+def test_recall_in_many_tight_groups(spark):
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(400, 8)), 30, 0) + rng.normal(size=(12000, 8)) * 1e-5
+    assert _recall(spark, v, 60) > 0.95
+    assert _recall(spark, v, 60, shift=1e-6) > 0.95
