@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +21,9 @@ LOWER[65:91] += 32
 #: Bytes of text that the vectorised passes hold at once.
 CHUNK = 2 << 20
 
-_MUL = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(kind: str, base: int, n: int) -> np.ndarray:
-    have = _tables.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        x = np.full(size, base, np.uint64)
-        x[0] = 1
-        _tables[kind] = have = np.multiply.accumulate(x)
-    return have[:n]
+#: Spans of more bytes than this are hashed one by one.
+LANES = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,21 +35,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """64-bit hashes of data[s:e] for sorted, non-overlapping spans: prefix sums of a polynomial, one pass over the bytes."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, "right")))
-        at, to = int(starts[i]), int(ends[j - 1])
-        n = to - at
-        pref = np.empty(n + 1, np.uint64)
-        pref[0] = 0
-        np.cumsum((data[at:to].astype(np.uint64) + np.uint64(1)) * _powers("p", _MUL, n), out=pref[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        inverse = _powers("i", pow(_MUL, -1, 1 << 64), n + 1)
-        out[i:j] = mix((pref[e] - pref[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[s:e]: eight bytes of every span at a time, chained through a scrambling that isn't linear; XXH3 of long ones."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    at, place, left = slice(None), starts, n
+    for step in range(LANES // 8):
+        x = lanes[place] & _KEEP[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step))
+        go = np.flatnonzero(left > 8)
+        if not len(go):
+            break
+        at = go if step == 0 else at[go]
+        place, left = place[go] + 8, left[go] - 8
+    for i in np.flatnonzero(n > LANES):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], 1)
     return out
 
 
@@ -144,13 +136,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; a folder of this machine only where Spark runs on it alone."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = have.get() if have.isDefined() else "/tmp/checkpoints"
         if not have.isDefined():
-            spark.sparkContext.setCheckpointDir(where)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+            have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = have.get()
     return where.rstrip("/")
 
 
@@ -158,29 +153,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_plumbline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows that make() gives, stored; the tables that it stored on the way are deleted."""
+    before = len(_made)
+    out = stored(make(), name)
+    for path in _made[before:]:
+        if path != out._plumbline_path:
+            _made.remove(path)
+            _delete(spark, path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deals whole rows over the cluster when the input comes in fewer partitions than there are cores."""
-    spark = df.sparkSession
-    return df if df.rdd.getNumPartitions() >= (least or spark.sparkContext.defaultParallelism) else df.repartition(partitions(spark))
