@@ -8,17 +8,22 @@ Two ways to build the pair from labelled texts:
   single windows that get shorter.
 
 A text is cut into windows at spaces; the differences of their compressed lengths, normalised, become a few features of the text
-(mean, extremes, sums, counts) and a logistic calibration, fitted on labelled texts that the dictionaries haven't seen, turns them
-into a score. Training takes a bounded sample of labelled rows (``PER_CLASS`` texts a class, ``MAX_CHARS`` characters of each, chosen by
-a hash of the id); every text is scored as a whole. Null is an empty text, which scores like a text without evidence. Rows with a null
-label aren't used. With one class only, or none, every score is that class's share (one half without rows).
+(mean, extremes, sums, counts, and how many windows there are, as extremes and sums spread with these) and a logistic calibration, fitted on labelled texts that the dictionaries haven't seen, turns them
+into a score. Training takes a bounded sample of labelled rows (``per_class`` texts a class, chosen by hash) and reads their whole texts:
+the driver takes them one at a time and keeps counts, min-hashes and a bounded set of windows, the calibration's features are computed
+on the executors. Every text is scored as a whole. Null is an empty text, which scores like a text without evidence. Rows with a null
+label aren't used; an id that repeats in the labels counts once, with its greatest label, and equal rows of the documents once. With one
+class only, or none, nothing can be told apart: the model isn't ``calibrated`` and every score is that class's share (one half without
+rows).
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_bytes
+from .common import discard, fold, stored, text_bytes
 
-PER_CLASS, MAX_CHARS = 4000, 16_384
+PER_CLASS = 4000
 _STRIP = b".,;:!?*%&$#\"'()[]"
 _made: dict[int, tuple] = {}
 
@@ -45,31 +50,34 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return out
 
 
-def distinct_texts(texts: list[bytes]) -> list[bytes]:
-    """Without texts that share one of four min-hashes of five-word shingles with an earlier one."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    factors = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    for t in texts:
-        w = t.lower().split()
-        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))], np.uint64)
-        least = {(k, int((h * f).min())) for k, f in enumerate(factors)}
-        if not least & seen:
-            seen |= least
-            out.append(t)
-    return out
+class Distinct:
+    """Tells texts that share one of four min-hashes of five-word shingles with an earlier one; holds four numbers a text."""
+
+    FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def is_new(self, text: bytes) -> bool:
+        w = text.lower().split()
+        least = [(1 << 64) - 1] * 4
+        for i in range(0, max(1, len(w) - 4), 1 << 16):
+            h = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[j : j + 5])) for j in range(i, min(i + (1 << 16), max(1, len(w) - 4)))], np.uint64)
+            least = [min(x, int((h * np.uint64(f)).min())) for x, f in zip(least, self.FACTORS, strict=True)]
+        keys = set(enumerate(least))
+        new = not keys & self.seen
+        if new:
+            self.seen |= keys
+        return new
 
 
-def term_counts(texts: list[bytes]) -> Counter:
-    """In how many texts a word (between spaces) or a word's beginning of four to eight bytes (after a space) occurs."""
-    df: Counter = Counter()
-    for t in texts:
-        s: set[bytes] = set()
-        for w in {w.strip(_STRIP) for w in t.lower().split()}:
-            s.add(b" " + w + b" ")
-            s.update(b" " + w[:k] for k in range(4, min(8, len(w)) + 1))
-        df.update(s)
-    return df
+def terms(text: bytes) -> set[bytes]:
+    """Its words (between spaces) and its words' beginnings of four to eight bytes (after a space)."""
+    out: set[bytes] = set()
+    for w in {w.strip(_STRIP) for w in text.lower().split()}:
+        out.add(b" " + w + b" ")
+        out.update(b" " + w[:k] for k in range(4, min(8, len(w)) + 1))
+    return out
 
 
 def marked_terms(own: Counter, other: Counter, n: int, m: int, z_least: float, ratio: float) -> list[bytes]:
@@ -123,14 +131,19 @@ class Model:
                 n = max(1, len(t))
                 shares = [d / len(p) for d, p in zip(diff, parts, strict=True)] or [0.0]
                 total = sum(diff) / n
-                out += [total, min(shares), max(shares), sum(d < 0 for d in diff) / len(shares), sum(d > 0 for d in diff) / len(shares), math.tanh(8 * total), math.log1p(len(t))]
+                out += [total, min(shares), max(shares), sum(d < 0 for d in diff) / len(shares), sum(d > 0 for d in diff) / len(shares), math.tanh(8 * total), math.log1p(len(diff))]
         return out
 
-    def calibrate(self, texts: list[bytes], labels: list[int]) -> Model:
+    @property
+    def calibrated(self) -> bool:
+        return self.weights is not None
+
+    def calibrate(self, features: list[list[float]], labels: list[int], shares: tuple[int, int]) -> Model:
+        """shares: how many training texts each class has."""
         y = np.array(labels, float)
-        self.constant = float((y.sum() + 0.5) / (len(y) + 1))
+        self.constant = (shares[1] + 0.5) / (sum(shares) + 1)
         if 0 < y.sum() < len(y):
-            x = np.array([self.features(t) for t in texts])
+            x = np.array(features)
             self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
             self.weights = logistic(np.c_[np.ones(len(x)), (x - self.mean) / self.scale], y)
         return self
@@ -165,45 +178,84 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 50) ->
     return w
 
 
-def train(texts: list[bytes], labels: list[int], *, kind: str, sizes: tuple[int, ...], lower: bool, base_bytes: int = 32_768, z_least: float = 6.0, ratio: float = 8.0) -> Model:
-    """Dictionaries from two thirds of the texts, calibration from the rest."""
-    order = sorted(range(len(texts)), key=lambda i: xxhash.xxh3_64_intdigest(texts[i]))
-    build = [i for k, i in enumerate(order) if k % 3]
-    rest = [i for k, i in enumerate(order) if not k % 3]
-    of = [distinct_texts([texts[i] for i in build if labels[i] == c]) for c in (0, 1)]
-    if kind == "contrast":
-        df = [term_counts(of[c]) for c in (0, 1)]
-        n = [max(1, len(of[c])) for c in (0, 1)]
-        common = [t for t, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0])) if t.endswith(b" ") and len(t) > 2]
-        base, used = [], 0
-        for t in common:
-            if used + len(t) > base_bytes:
-                break
-            base.append(t)
-            used += len(t)
-        start = b"".join(base[::-1]) or b"\0" * 64
-        dictionaries = tuple(start + b"".join(marked_terms(df[c], df[1 - c], n[c], n[1 - c], z_least, ratio))[-base_bytes:] for c in (0, 1))
-    else:
-        dictionaries = []
-        for c in (0, 1):
-            parts = sorted({p for t in of[c] for p in windows(t.lower() if lower else t, 512)}, key=xxhash.xxh3_64_intdigest)
-            dictionaries.append((b"".join(parts[: 1 + 2 * base_bytes // 512])[: 2 * base_bytes]) or b"\0" * 64)
-        dictionaries = tuple(dictionaries)
-    return Model(dictionaries, sizes, lower, kind == "contrast").calibrate([texts[i] for i in rest], [labels[i] for i in rest])
-
-
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """At most per_class labelled texts of each class, of ids whose crc32 modulo ``modulus`` isn't ``held``: MAX_CHARS characters of each,
-    from a place that a hash gives. Ids that repeat in the labels count once, with their greatest label."""
+class Windows:
+    """The windows with the least hashes, at most so many."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.heap: list[tuple[int, bytes]] = []
+        self.have: set[bytes] = set()
+
+    def add(self, parts: Iterable[bytes]) -> None:
+        for p in parts:
+            item = (-xxhash.xxh3_64_intdigest(p), p)
+            if p in self.have or (len(self.heap) == self.most and item <= self.heap[0]):
+                continue
+            self.have.add(p)
+            if len(self.heap) < self.most:
+                heapq.heappush(self.heap, item)
+            else:
+                self.have.discard(heapq.heapreplace(self.heap, item)[1])
+
+    def content(self, size: int) -> bytes:
+        return b"".join(p for _, p in sorted(self.heap, reverse=True))[:size] or b"\0" * 64
+
+
+def dictionaries(texts: Iterable[tuple[bytes, int]], *, kind: str, lower: bool, base_bytes: int, z_least: float, ratio: float) -> tuple[bytes, bytes]:
+    """Both dictionaries from labelled texts, taken one at a time."""
+    distinct = (Distinct(), Distinct())
+    df, n = (Counter(), Counter()), [0, 0]
+    kept = (Windows(1 + 2 * base_bytes // 512), Windows(1 + 2 * base_bytes // 512))
+    for text, label in texts:
+        if not distinct[label].is_new(text):
+            continue
+        n[label] += 1
+        if kind == "contrast":
+            df[label].update(terms(text))
+        else:
+            kept[label].add(windows(text.lower() if lower else text, 512))
+    if kind != "contrast":
+        return kept[0].content(2 * base_bytes), kept[1].content(2 * base_bytes)
+    base, used = [], 0
+    for t in (t for t, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0])) if t.endswith(b" ") and len(t) > 2):
+        if used + len(t) > base_bytes:
+            break
+        base.append(t)
+        used += len(t)
+    start = b"".join(base[::-1]) or b"\0" * 64
+    own = [b"".join(marked_terms(df[c], df[1 - c], max(1, n[c]), max(1, n[1 - c]), z_least, ratio))[-base_bytes:] for c in (0, 1)]
+    return start + own[0], start + own[1]
+
+
+def train(rows: DataFrame, *, kind: str, sizes: tuple[int, ...], lower: bool, base_bytes: int = 32_768, z_least: float = 6.0, ratio: float = 8.0) -> Model:
+    """Dictionaries from two thirds of the sampled rows (by the text's hash), calibration on the rest."""
+    rows = stored(rows, "sample")
+    rest = F.pmod("_h", F.lit(3)) == 0
+    build = rows.filter(~rest).orderBy("_h", "_y", "_id").select("_t", "_y").toLocalIterator()
+    model = Model(dictionaries(((bytes(r["_t"]), r["_y"]) for r in build), kind=kind, lower=lower, base_bytes=base_bytes, z_least=z_least, ratio=ratio), sizes, lower, kind == "contrast")
+
+    @F.arrow_udf("array<double>")
+    def features(text: pa.Array) -> pa.Array:
+        return pa.array([model.features(t.as_py()) for t in text], pa.list_(pa.float64()))
+
+    got = sorted((list(r["_f"]), r["_y"]) for r in rows.filter(rest).select("_y", features("_t").alias("_f")).collect())  # under 2 x per_class short rows
+    many = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    discard(rows)
+    return model.calibrate([f for f, _ in got], [y for _, y in got], (many.get(0, 0), many.get(1, 0)))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """_id, _y, _h, _t: at most per_class distinct labelled rows of each class, with their whole texts, of ids whose crc32 modulo ``modulus``
+    isn't ``held``. First the ids and hashes are chosen, so that no text but theirs moves."""
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (fold("_id", modulus) != held))
     lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = [lab.filter(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x per_class rows
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    part = F.substr(text, 1 + F.pmod(F.xxhash64("_id"), F.greatest(F.length(text) - MAX_CHARS + 1, F.lit(1))).cast("int"), F.lit(MAX_CHARS))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(few, "_id").select("_id", "_y", part.cast("binary").alias("_t")).limit(4 * per_class).collect()
-    rows.sort(key=lambda r: (r["_id"], bytes(r["_t"])))
-    return [bytes(r["_t"]) for r in rows], [int(r["_y"]) for r in rows]
+    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(few, "_id").select("_id", "_y", F.xxhash64("_text").alias("_h"), "_text")
+    keys = texts.select("_id", "_y", "_h").distinct()  # more rows than ids only where an id has several texts
+    keys = [keys.filter(F.col("_y") == c).orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(per_class) for c in (0, 1)]
+    return texts.join(F.broadcast(keys[0].unionByName(keys[1])), ["_id", "_y", "_h"]).groupBy("_id", "_y", "_h").agg(F.min(F.col("_text").cast("binary")).alias("_t"))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

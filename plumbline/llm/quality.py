@@ -13,5 +13,4 @@ WINDOW = 512
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, per_class: int = compression.PER_CLASS, **columns) -> compression.Model:
-    texts, y = compression.sample(docs, labels, "quality", modulus, held, per_class=per_class, **columns)
-    return compression.train(texts, y, kind="plain", sizes=(WINDOW,), lower=False)
+    return compression.train(compression.sample(docs, labels, "quality", modulus, held, per_class=per_class, **columns), kind="plain", sizes=(WINDOW,), lower=False, base_bytes=65_536)
