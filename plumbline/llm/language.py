@@ -1,13 +1,14 @@
 """Language identification as a mixture: each document's language proportions by expectation-maximisation over n-gram likelihoods.
 
-Training counts byte trigrams (letters in context, lower-cased, hashed to 2^16 buckets) of a sample of labelled documents, at most
-``PER_LANGUAGE`` of each language and ``MAX_CHARS`` characters of each; the counts give smoothed log-likelihoods for each language. A
-document is cut into units of ``UNIT`` bytes, each in one language; EM estimates the proportions, starting from all languages, and
+Training counts byte trigrams (letters in context, lower-cased, hashed to 2^16 buckets) of the whole texts of a sample of labelled
+documents, about ``per_language`` of each language; the counts give smoothed log-likelihoods for each language. The sample is a range of
+hashes of id and text, of a width that each language's count gives, so no task gathers a language. A document is cut into units of ``UNIT`` bytes, each in one language; EM estimates the proportions, starting from all languages, and
 languages are then taken out, least first, as long as the penalised likelihood (half a log of the units for each language) doesn't fall.
 The prediction is the language with the largest proportion, the score its proportion.
 
 Null text, and text without a letter, is ``und`` with score 0; so is everything if no language was learnt. Ids may repeat or be null.
-Every text is read whole. Rows with a null language aren't learnt from.
+Every text is read whole. Rows with a null language aren't learnt from; equal rows are learnt from once. A model holds a quarter of a
+megabyte a language; more than ``MAX_LANGUAGES`` are refused.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bytes_of, chunks, fold, text_bytes
 
-PER_LANGUAGE, MAX_CHARS, MAX_LANGUAGES = 1000, 16_384, 1000
+PER_LANGUAGE, MAX_LANGUAGES = 1000, 1000
 UNIT, BUCKETS, SMOOTH = 24, 1 << 16, 0.5
 _FOLD = np.full(256, 32, np.uint8)  # what isn't a letter separates
 _FOLD[65:91] = np.arange(97, 123)
@@ -48,17 +48,18 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sample_counts(docs: DataFrame, modulus: int, held: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram counts (languages x buckets)."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).filter(F.col("_lang").isNotNull() & (F.coalesce(fold("_id", modulus), F.lit(-1)) != held))
-    picked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_n") <= per_language).drop("_n")
-    languages = sorted(r[0] for r in picked.select("_lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), text_bytes(F.col(text_col).cast("string")).alias("_text"))
+    rows = rows.filter(F.col("_lang").isNotNull() & (F.coalesce(fold("_id", modulus), F.lit(-1)) != held))
+    many = rows.groupBy("_lang").count().orderBy("_lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(many) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = [r["_lang"] for r in many]
     number = {x: i for i, x in enumerate(languages)}
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    part = F.substr(text, 1 + F.pmod(F.xxhash64("_id"), F.greatest(F.length(text) - MAX_CHARS + 1, F.lit(1))).cast("int"), F.lit(MAX_CHARS))
-    few = F.broadcast(picked.distinct())  # per_language rows a language at most
-    mine = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col))
-    texts = mine.join(few, ["_id", "_lang"]).select("_lang", part.cast("binary").alias("_text"))
+    scale = 1 << 53
+    width = [F.struct(F.lit(r["_lang"]).alias("_lang"), F.lit(min(scale, per_language * scale // r["count"])).alias("_width")) for r in many]
+    widths = docs.sparkSession.range(1).select(F.inline(F.array(*width))) if width else rows.select("_lang", F.lit(0).cast("long").alias("_width")).limit(0)
+    few = rows.join(F.broadcast(widths), "_lang").withColumn("_h", F.xxhash64("_id", "_text")).filter(F.pmod("_h", F.lit(scale)) < F.col("_width"))
+    texts = few.groupBy("_lang", "_h").agg(F.min("_text").alias("_text"))  # equal rows once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
