@@ -9,12 +9,14 @@ the plan is a list of steps (length, so many sequences from this one on, so many
 whatever the corpus. The pieces are then numbered within their length (range partitioning, counts by partition) and look up their step. Numbered by id, the result
 depends on the rows alone; numbered by place, it follows the order of the rows in their files, as a mix wants.
 
-Null text is empty text: its one id is the end id. Repeated rows and ids are packed like any others. An empty table gives an empty result.
+Null text is empty text: its one id is the end id. Texts of any length and any characters are encoded whole. Repeated rows and ids are packed
+like any others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from math import isqrt
@@ -32,11 +34,15 @@ from .common import discard, partitions, stored, text_bytes
 
 #: Fixed value: the pattern that cuts texts before byte-level BPE, as in the vocabulary file's ByteLevel step.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space that the pattern above can't be matched against: its matcher gives up on runs of about a million characters.
+_LONG_SPACE = 50_000
+_long_space = re.compile(r"\s{%d}" % _LONG_SPACE)
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file. Texts without added tokens go through the faster of two equal implementations."""
+    """Ids of a byte-level BPE vocabulary file. Texts without added tokens or very long white space go through the faster of two equal
+    implementations."""
 
     def __init__(self, path: str):
         self.slow = Tokenizer.from_file(path)
@@ -52,7 +58,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("plumbline", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(t in text for t in self.added):
+        if self.fast is None or any(t in text for t in self.added) or (len(text) >= _LONG_SPACE and _long_space.search(text)):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
