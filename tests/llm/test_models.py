@@ -117,7 +117,35 @@ def test_classifiers_do_not_need_labels(spark):
             r = compression.scored(d, fit(d, lab)).collect()
             assert len(r) == 3 and all(0 <= x["score"] <= 1 for x in r)
         assert toxicity.clean(d.limit(0), lab).count() == 0
-        assert toxicity.clean(d, lab).columns == d.columns
+        kept = toxicity.clean(d, lab)  # without both classes nothing can be told apart, so nothing goes
+        assert kept.columns == d.columns and kept.count() == 3
+
+
+def test_one_class_alone_drops_nothing(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for some in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0")):
+        assert toxicity.clean(docs, some).count() == docs.count()
+
+
+def test_samples_are_bounded_and_whole(spark):
+    """Ids that repeat with many texts, equal rows and long texts: so many rows of each class, each text as it is."""
+    d = spark.createDataFrame([(1, f"t{i} " + "x" * 40_000) for i in range(300)] + [(2, "same")] * 300 + [(k, f"u{k}") for k in range(3, 90)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2, k % 2) for k in range(90)] * 2, "doc_id long, quality int, toxic int")
+    rows = compression.sample(d, lab, "toxic", 5, 0, per_class=20).collect()
+    assert max(sum(r["_y"] == c for r in rows) for c in (0, 1)) == 20
+    texts = {r.text.encode() for r in d.collect()}
+    assert all(bytes(r["_t"]) in texts for r in rows) and len({(r["_id"], bytes(r["_t"])) for r in rows}) == len(rows)
+    again = compression.sample(d.repartition(7), lab, "toxic", 5, 0, per_class=20).collect()
+    assert sorted((r["_id"], bytes(r["_t"])) for r in again) == sorted((r["_id"], bytes(r["_t"])) for r in rows)
+
+
+def test_windows_keep_the_least_hashes():
+    import xxhash
+
+    parts = [f"w{i % 700}".encode() for i in range(3000)]
+    w = compression.Windows(50)
+    w.add(parts)
+    assert w.content(10_000) == b"".join(sorted(set(parts), key=xxhash.xxh3_64_intdigest)[:50])
 
 
 def test_whole_texts_are_scored(spark, docs):
@@ -146,6 +174,14 @@ def test_mixtures(spark, docs):
     assert [x["lang"] for x in got[2]["languages"]] == ["en"]
 
 
+def test_a_language_s_sample_is_bounded(spark):
+    """A language with most rows is learnt from about as many as the others; equal rows once."""
+    d = spark.createDataFrame([(i, f"alpha{i} beta", "aa") for i in range(20_000)] + [(i, "gamma delta", "bb") for i in [5] * 5000], "doc_id long, text string, lang string")
+    names, counts = language.sample_counts(d, 4, 9, per_language=200)
+    whole = {"aa": 10 + 4 + 4, "bb": 5 + 5}
+    assert names == ["aa", "bb"] and 100 * 9 < counts[0].sum() < 300 * whole["aa"] and counts[1].sum() in (0, whole["bb"])
+
+
 def test_languages_odd_inputs(spark):
     e = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (None, "12 34!", "fr"), (4, "the thing is that", "en"), (5, "é", None), (5, "é", None)], "doc_id long, text string, lang string")
     r = language.identified(e, language.fit(e, 4, 9)).orderBy("doc_id").collect()

@@ -86,6 +86,20 @@ def test_repetition(spark, docs):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r.kept or not r.base_failed)
 
 
+def test_words_of_one_polynomial(spark):
+    """A Thue-Morse word and its complement agree under any polynomial modulo 2^64; they are two words and two lines here."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    d = spark.createDataFrame([(1, f"{a}\n{b}\n" + " ".join([a, "x"] * 4) + "\n" + " ".join([b, "x"] * 4))], "doc_id long, text string")
+    r = repetition.repetition(d).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == repeats_by_brute_force(d.first().text)
+    from plumbline.llm import language_model
+
+    e = spark.createDataFrame([(2, a), (3, b)], "doc_id long, text string")
+    got = language_model.scored(e, language_model.build(e.filter("doc_id = 2"), modulus=1, held=5)).orderBy("doc_id").collect()
+    assert [x["n_known"] for x in got] == [2, 1]
+
+
 def test_repetition_shares_against_brute_force(spark, docs):
     lengths = sorted(repetition.NGRAM_LIMITS)
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -166,6 +180,19 @@ def test_added_tokens_in_a_text():
         assert packing.encoder(PATH)(t) == _library(t)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\u00a0", "a", "é", "!?"])
+def test_very_long_runs(run):
+    text = "one " + run * (1_000_000 // len(run)) + " two"
+    assert packing.encoder(PATH)(text) == _library(text)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\t ", "x", "7", "\u2003", "<|endoftext|>"]), st.integers(1, 120_000)), max_size=5))
+def test_long_runs_in_a_row(parts):
+    text = "".join(c * (n if c != "<|endoftext|>" else 1) for c, n in parts)
+    assert packing.encoder(PATH)(text) == _library(text)
+
+
 def check_sequences(rows, tokens):
     by = collections.defaultdict(list)
     for r in rows:
