@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, greedy search answers queries on it.
 
 Equal vectors are one node, whatever their number; a node keeps the ids of its first ``keep`` members, which is all that a list of
-nearest rows can need. Nodes and their original vectors are written to the shared folder, in shards that executors map into memory. Each
-round joins every node's neighbours (and, of the nodes that point at it, at most as many), compares their vectors with each other
+nearest rows can need. Every table, however small, takes the same way: random blocks, rounds, search. Nodes and their original vectors
+are written to the shared folder, in shards that executors map into memory. Each round joins every node's neighbours (and, of the nodes that point at it, at most as many), compares their vectors with each other
 (neighbours of neighbours), proposes what is nearer than a node's farthest neighbour, and keeps the nearest; ids travel, vectors are read
 from the files, distances are in double precision. Rounds end when under ``stop`` of the graph changes. The same is done for a quarter
 of the nodes, a quarter of these, and so on, so that links lead from group to group. A query walks from the thinnest graph's nodes, and
@@ -28,7 +28,7 @@ from .elias_fano import read_arrays, write_arrays
 from .language_model import local_path
 
 DEGREE, BEAM, BLOCK, SHARD, ROUNDS, STOP = 24, 400, 1024, 8192, 15, 0.02
-WHOLE, STARTS, EXPAND = 4096, 512, 8  # up to WHOLE nodes are compared pair by pair
+STARTS, EXPAND = 512, 8
 _files: dict[str, list[dict]] = {}
 
 
@@ -102,7 +102,7 @@ _GRAPH = "id long, nb long, dist double, new boolean, radius double, n int"
 
 def first_graph(nodes: DataFrame, n: int, degree: int) -> DataFrame:
     """Each node's nearest in two random blocks; with one alone no join would ever leave its block."""
-    blocks = 1 if n <= WHOLE else n // BLOCK
+    blocks = max(1, n // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by("id")
@@ -204,11 +204,11 @@ def write_nodes(nodes: DataFrame, n: int) -> dict:
 
 def neighbour_graph(nodes: DataFrame, n: int, index: dict, degree: int, rounds: int, stop: float) -> DataFrame:
     graph = stored(first_graph(nodes, n, degree), "ann-graph")
-    for r in range(rounds if n > WHOLE else 0):
+    for r in range(rounds):
         after = stored(descend(graph, index, degree, r), "ann-graph")
         discard(graph)
         graph = after
-        if (after.filter("new").count()) < stop * n * degree:
+        if after.filter("new").count() <= stop * n * degree:
             break
     return graph
 

@@ -317,9 +317,10 @@ def _recall(spark, v: np.ndarray, step: int, shift: float = 0.0) -> float:
 
 
 def test_recall_beside_one_large_vector(spark):
-    v = np.random.default_rng(1).normal(size=(5000, 8))
+    v = np.random.default_rng(1).normal(size=(12_000, 16))
     v[7] *= 1e6
-    assert _recall(spark, v, 50) > 0.9
+    v[9] = 1e6
+    assert _recall(spark, v, 100) > 0.9
 
 
 def test_recall_in_many_tight_groups(spark):
