@@ -67,7 +67,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Earliest deadline first, slot by slot, over one frame; then every document's place by its rank.
 OP7_SQL = r"""
 WITH RECURSIVE n AS (SELECT source, round(pow(count(*)::DOUBLE, 0.5), 6) AS w FROM documents GROUP BY source),
-a AS (SELECT source, greatest(1, floor(w * 1000 / (SELECT sum(w) FROM n) + 0.5)::BIGINT) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM n),
+z AS (SELECT least(65536, greatest(1000, ceil(sum(w) / min(w))))::BIGINT AS z, sum(w) AS total FROM n),
+a AS (SELECT source, greatest(1, floor(w * z / total + 0.5)::BIGINT) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM n, z),
 f AS (SELECT list(a ORDER BY k) AS a, sum(a)::BIGINT AS size FROM a),
 e AS (
   SELECT 0::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::STRUCT(due BIGINT, k BIGINT) AS c, NULL::BIGINT AS i FROM f

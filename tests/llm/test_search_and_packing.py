@@ -127,27 +127,70 @@ def test_mixing_query(spark, sf):
     assert_same(queries.op7_mixing(spark, sf), connect(sf), queries.OP7_SQL)
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, None: 1.0, "absent": 4.0}])
-def test_deviation_is_under_a_block(spark, weights):
-    rows = [(i, "a") for i in range(900)] + [(1000 + i, "b") for i in range(500)] + [(2000 + i, None) for i in range(150)] + [(None, "a"), (5, "a"), (5, "a")]
-    d = spark.createDataFrame(rows, "doc_id long, source string")
-    s = mixing.schedule(d, block=4, weights=weights, frame=100).toPandas()
-    assert len(s) == len(rows)
-    slots = mixing.target_slots(d, weights=weights, frame=100)
-    size = sum(n for _, n in slots)
-    share = {k: n / size for k, n in slots}
+def _worst(s, share: dict, only: set | None = None) -> float:
+    """The greatest distance from the targets, in blocks, until a source has run out."""
     blocks = s.assign(source=s["source"].fillna("?")).drop_duplicates(["source", "block"])
     assert not blocks["slot"].duplicated().any() and (blocks["slot"] >= blocks["release"]).all() and (blocks["slot"] < blocks["deadline"]).all()
     end = min(b["slot"].max() for _, b in blocks.groupby("source"))
+    worst = 0.0
     for k, w in share.items():
         own = np.sort(blocks.loc[blocks["source"] == (k or "?"), "slot"].to_numpy())
-        for t in range(0, int(end), 7):
-            assert abs((own < t).sum() - w * t) < 1
+        worst = max(worst, *(abs((own < t).sum() - w * t) for t in range(0, int(end) + 1)))
+    return worst
+
+
+MIX = [(i, "a") for i in range(900)] + [(1000 + i, "b") for i in range(500)] + [(2000 + i, None) for i in range(150)] + [(None, "a"), (5, "a"), (5, "a")]
+
+
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 3.0, None: 1.0, "absent": 4.0}, {"a": 0.517, "b": 0.37, None: 0.113}, {"a": 1, "b": 1, None: 1}, {"a": 0.9, "b": 0.0999, None: 0.0001}])
+def test_deviation_from_given_weights_is_under_a_block(spark, weights):
+    d = spark.createDataFrame(MIX, "doc_id long, source string")
+    s = mixing.schedule(d, block=2, weights=weights, frame=100).toPandas()
+    assert len(s) == len(MIX)
+    total = sum(w for k, w in weights.items() if k != "absent")
+    assert _worst(s, {k: w / total for k, w in weights.items() if k != "absent"}) < 1 + 1e-9
+
+
+def test_deviation_from_counts_is_under_a_block(spark):
+    d = spark.createDataFrame(MIX, "doc_id long, source string")
+    s = mixing.schedule(d, block=4, frame=100).toPandas()
+    w = {k: n**0.5 for k, n in (("a", 903), ("b", 500), (None, 150))}
+    slots = {k: int(x * 100 / sum(w.values()) + 0.5) for k, x in w.items()}
+    assert len(s) == len(MIX) and _worst(s, {k: n / sum(slots.values()) for k, n in slots.items()}) < 1
+
+
+def test_a_weight_of_zero_is_out_of_the_mix(spark):
+    d = spark.createDataFrame(MIX, "doc_id long, source string")
+    s = mixing.schedule(d, block=2, weights={"a": 1.0, "b": 0.0}).toPandas()
+    assert len(s) == len(MIX) and (s["slot"].notna() == (s["source"] == "a")).all()
+    m = mixing.mixed(d, block=2, weights={"a": 1.0, "b": 0.0})
+    assert {r["source"] for r in m.collect()} == {"a"} and m.count() == 903
+    assert mixing.mixed(d, weights={}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.schedule(d, weights={"a": -1.0})
+
+
+def test_a_rare_source_gets_no_more_than_its_weight(spark):
+    d = spark.createDataFrame([(i, "a") for i in range(6000)] + [(9000 + i, "b") for i in range(4)], "doc_id long, source string")
+    s = mixing.schedule(d, block=1, weights={"a": 0.9997, "b": 0.0003}, frame=100).toPandas()
+    b = np.sort(s.loc[s["source"] == "b", "slot"].to_numpy())
+    assert len(b) == 4 and all(k / 0.0003 - 1 < t < (k + 1) / 0.0003 + 1 for k, t in enumerate(b))
+
+
+def test_more_sources_than_one_frame_s(spark):
+    d = spark.createDataFrame([(i, f"s{i % 1300}" if i % 3 else "big") for i in range(9000)], "doc_id long, source string")
+    s = mixing.schedule(d, block=1).toPandas()
+    assert len(s) == 9000 and s["slot"].notna().all() and not s["slot"].duplicated().any()
+    big = np.sort(s.loc[s["source"] == "big", "slot"].to_numpy())
+    counts = s.groupby("source").size() ** 0.5
+    share = counts["big"] / counts.sum()
+    assert abs((big < 2000).sum() - share * 2000) < 2 + 0.1 * share * 2000  # two blocks, beside the rounding of the weights
 
 
 def test_mixed_rows_keep_their_order_and_columns(spark):
     rows = [(i, f"t{i}", "a" if i % 3 else "b", None) for i in range(200)] + [(7, "t7", "a", None), (None, None, None, "z")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+    d = d.unionByName(spark.createDataFrame([(None, f"n{i}", "a", "z") for i in range(50)], d.schema))
     m = mixing.mixed(d, block=2, frame=10)
     assert m.columns == d.columns and sorted(map(str, m.collect())) == sorted(map(str, d.collect()))
     slot = {r["_id"]: r["slot"] for r in mixing.schedule(d.filter("doc_id > 7"), block=2, frame=10).collect()}
