@@ -278,6 +278,18 @@ def test_all_capacities_hold(spark, docs):
         assert len(parts) <= 3 and sum(n * n for _, n in parts) <= 512 * 300
 
 
+@pytest.mark.parametrize("capacity", [{"documents": 2}, {"attention": 512 * 100}])
+def test_each_capacity_binds(spark, docs, capacity):
+    """A capacity alone needs more sequences than the tokens do, and no sequence exceeds it."""
+    free = packing.pack_documents(docs.filter("length(text) < 900"), PATH, tokens=512).collect()
+    tight = packing.pack_documents(docs.filter("length(text) < 900"), PATH, tokens=512, **capacity).collect()
+    parts = check_sequences(tight, 512).values()
+    most = lambda rows: max(map(len, rows)) if "documents" in capacity else max(sum(n * n for _, n in p) for p in rows)
+    limit = next(iter(capacity.values()))
+    assert most(parts) <= limit < most(check_sequences(free, 512).values())
+    assert len({r.sequence_id for r in tight}) > len({r.sequence_id for r in free})
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20), st.sampled_from(["norm", "dot"]))
 def test_plans_place_every_piece_once(counts, select):
