@@ -79,11 +79,13 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
         pos = i * self.bits
-        word, shift = pos >> 6, (pos & 63).astype(np.uint64)
-        a = self.low[word] >> shift
-        over = shift.astype(np.int64) + self.bits > 64
-        b = np.where(over, self.low[word + 1] << ((_U(64) - shift) & _U(63)), _U(0))
-        return (a | b) & _U((1 << self.bits) - 1)
+        word = pos >> 6
+        shift = (pos & 63).view(np.uint64)
+        low = self.low[word] >> shift
+        word += 1
+        low |= self.low[word] << _U(1) << (_U(63) - shift)  # nothing of it where the shift is zero
+        low &= _U((1 << self.bits) - 1)
+        return low
 
     def access(self, i: np.ndarray) -> np.ndarray:
         return (self.select1(i) - i).astype(np.uint64) << _U(self.bits) | self.lows(i)
@@ -100,34 +102,31 @@ class EliasFano:
         place = np.zeros(len(x), np.int64)  # where the run of elements with these high bits begins
         later = np.flatnonzero(h)
         place[later] = self.select0(h[later] - 1) + 1
-        at = place - h
         want = x & _U((1 << self.bits) - 1)
         out = np.full(len(x), -1, np.int64)
-        go = np.flatnonzero(~far)
+        go = np.flatnonzero(~far) if far.any() else np.arange(len(x))
+        place, at, want, h = place[go], (place - h)[go], want[go], h[go]
         step = 0
         while len(go):
-            inside = (self.high[place[go] >> 6] >> (place[go] & 63).astype(np.uint64) & _U(1)).astype(bool)
-            go = go[inside]
-            have = self.lows(at[go])
-            hit = have == want[go]
-            out[go[hit]] = at[go[hit]]
-            go = go[have < want[go]]
+            inside = (self.high[place >> 6] >> (place & 63).view(np.uint64) & _U(1)).astype(bool)
+            have = self.lows(np.where(inside, at, 0))
+            hit = np.flatnonzero(inside & (have == want))
+            out[go[hit]] = at[hit]
+            on = np.flatnonzero(inside & (have < want))
+            go, place, at, want, h = go[on], place[on] + 1, at[on] + 1, want[on], h[on]
             step += 1
             if step == 8 and len(go):
-                end = self.select0(h[go]) - h[go]
-                lo = at[go]
-                hi = end.copy()
+                end = self.select0(h) - h
+                lo, hi = at, end.copy()
                 while (open_ := np.flatnonzero(lo < hi)).size:
                     mid = lo[open_] + hi[open_] >> 1
-                    less = self.lows(mid) < want[go[open_]]
+                    less = self.lows(mid) < want[open_]
                     lo[open_] = np.where(less, mid + 1, lo[open_])
                     hi[open_] = np.where(less, hi[open_], mid)
                 ok = lo < end
-                ok[ok] = self.lows(lo[ok]) == want[go[ok]]
+                ok[ok] = self.lows(lo[ok]) == want[ok]
                 out[go[ok]] = lo[ok]
                 break
-            place[go] += 1
-            at[go] += 1
         return out
 
 

@@ -7,13 +7,12 @@ context follow those of the one before, shifted by what has gone before, so that
 value; the pointers are monotone too. Probabilities and back-off weights are bytes into a table of 256 quantiles.
 
 Smoothing: add-one for words, p1 = (c + 1) / (N + V + 1); above that interpolated absolute discounting,
-p(w | h) = (c(hw) - D) / c(h) + weight(h) p(w | h'), where pairs and triples count if they occur MIN_COUNT times or more; the weight is
-what the counted ones leave, so that every distribution sums to one (up to quantisation).
+p(w | h) = (c(hw) - D) / c(h) + weight(h) p(w | h'), for every pair and triple of the training texts; the weight is
+what these leave, so that every distribution sums to one (up to quantisation).
 
 Building takes a pass over the training texts for each level. A task counts its own n-grams (sorted, summed) and sends them, delta-coded
-byte planes, to the shard of their first word; a shard's task merges them, prunes, and writes its file. A pair can occur often
-enough only if both words do, and a triple only if both pairs do, so that each pass looks its candidates up in the level before; this
-drops nothing. Nothing of the model passes through the driver but a row for each shard. Scoring maps the files.
+byte planes, to the shard of their first word; a shard's task merges them and writes its file. Each pass looks the words, or pairs, of
+its candidates up in the level before. Nothing of the model passes through the driver but a row for each shard. Scoring maps the files.
 
 Null text is empty text: its one token is the end. Repeated rows count and score as often as they stand there. Without training texts
 all counts are zero. The shared folder must be one that executors can open as files (file: or a mounted path).
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, bytes_of, chunks, fold, mix, new_path, partitions, per_doc, span_hashes, text_bytes, words
 from .elias_fano import EliasFano, encode, read_arrays, write_arrays
 
-MIN_COUNT, DISCOUNT = 1, 0.75  # every pair and triple of the training texts is kept
+DISCOUNT = 0.75
 TOKENS = 1_000_000  # that a task holds at once
 PAIR_BITS, CHILD_BITS = 38, 26
 END = int(mix(np.array([0x656E64], np.uint64))[0])  # the end token's key
@@ -126,6 +125,32 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[order], place[codes]
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct rows (a, b) of numbers below the bound, and each row's place among them: one sort of numbers that hold a, b and the
+    row's own place, where 64 bits hold them."""
+    bits, own = max(1, (bound - 1).bit_length()), max(1, (len(a) - 1).bit_length())
+    if 2 * bits + own > 64:
+        u, place = distinct(a.astype(np.uint64) << _U(32) | b.astype(np.uint64))
+        return (u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64), place
+    key = a.astype(np.uint64) << _U(bits + own) | b.astype(np.uint64) << _U(own) | np.arange(len(a), dtype=np.uint64)
+    key.sort()
+    row = (key & _U((1 << own) - 1)).astype(np.int64)
+    key >>= _U(own)
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    place = np.empty(len(key), np.int64)
+    place[row] = np.cumsum(new) - 1
+    u = key[new]
+    return (u >> _U(bits)).astype(np.int64), (u & _U((1 << bits) - 1)).astype(np.int64), place
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and each one's place among them."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new], np.cumsum(new) - 1
+
+
 def codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """256 quantiles and each value's nearest one."""
     if not len(values):
@@ -191,7 +216,7 @@ class Trie:
             f = self.file(level, s)
             if not f["values"].n:
                 continue
-            own, where = distinct(context[part] - base[s])
+            own, where = runs(context[part] - base[s])
             begin, end = f["pointers"].access(own).astype(np.int64), f["pointers"].access(own + 1).astype(np.int64)
             shift = np.where(begin > 0, f["values"].access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0)
             go = np.flatnonzero((end > begin)[where])
@@ -218,17 +243,10 @@ class Trie:
         base = self.info["words"]
         out = np.zeros(len(word), np.int64)
         for s, part in self.by_shard(np.searchsorted(base, word, "right") - 1):
-            own, where = distinct(word[part] - base[s])
+            own, where = runs(word[part] - base[s])
             out[part] = self.file("pairs", s)["pointers"].access(own).astype(np.int64)[where] + self.info["pairs"][s]
         return out
 
-    # whole token sequences
-
-    def numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, where = distinct(keys)
-        number, count = self.lookup(u)
-        return number[where], count[where]
-
     def sorted_call(self, f, *columns: np.ndarray) -> np.ndarray:
         """f over the distinct rows of the columns, sorted; its results in the rows' order."""
         if len(columns) == 1:
@@ -245,51 +263,78 @@ class Trie:
         out[order] = f(*[c[new] for c in cols])[np.cumsum(new) - 1] if len(order) else 0
         return out
 
-    def pairs(self, number: np.ndarray, count: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """For each token the number of the pair (token before, token), or -1."""
-        out = np.full(len(number), -1, np.int64)
-        if "pairs" not in self.info or len(number) < 2:
-            return out
-        often = count >= MIN_COUNT
-        t = np.flatnonzero(often[1:] & often[:-1] & ~last[:-1]) + 1
-        key = number[t - 1].astype(np.uint64) << _U(32) | number[t].astype(np.uint64)
-        u, where = distinct(key)
-        out[t] = self.children("pairs", (u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64))[where]
-        return out
 
-    def triple_keys(self, number: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens whose own and preceding pairs are both kept, and (pair before, place among the successors of its second word)."""
-        t = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0)) + 1
-        place = pair[t] - self.sorted_call(self.first_child, number[t - 1]) if len(t) else t
-        if len(t) and place.max() >= 1 << CHILD_BITS:
+class Batch:
+    """The tokens of some texts, looked up a distinct word, pair and triple at a time. Words of the batch go by their place among its distinct
+    words, pairs by theirs among its distinct known pairs; both orders are those of the trie's numbers."""
+
+    def __init__(self, trie: Trie, keys: np.ndarray, counts: np.ndarray):
+        self.trie = trie
+        self.last = np.zeros(len(keys), bool)
+        self.last[np.cumsum(counts) - 1] = True
+        u, self.word = distinct(keys)
+        self.number, self.count = trie.lookup(u)
+        self.known = self.number >= 0
+
+    def pair_tokens(self) -> np.ndarray:
+        """Tokens that follow a token of their text, both known."""
+        known = self.known[self.word]
+        return np.flatnonzero(known[1:] & known[:-1] & ~self.last[:-1]) + 1
+
+    def pair_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        t = self.pair_tokens()
+        return summed(self.number[self.word[t - 1]].astype(np.uint64) << _U(32) | self.number[self.word[t]].astype(np.uint64))
+
+    def find_pairs(self) -> None:
+        """pair: for each token the place of its pair (the token before, itself), or -1; pair_number: these pairs' numbers."""
+        t = self.pair_tokens()
+        a, b, place = distinct_pairs(self.word[t - 1], self.word[t], len(self.number))
+        found = self.trie.children("pairs", self.number[a], self.number[b])
+        has = found >= 0
+        self.pair = np.full(len(self.word), -1, np.int64)
+        self.pair[t] = np.where(has, np.cumsum(has) - 1, -1)[place]
+        self.pair_number, self.pair_context = found[has], self.number[a[has]]
+
+    def find_triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose own and preceding pairs are known; their distinct triples as (number of the first pair, place of the second among the
+        successors of its first word), and each token's place among these."""
+        t = np.flatnonzero((self.pair[1:] >= 0) & (self.pair[:-1] >= 0)) + 1
+        a, b, place = distinct_pairs(self.pair[t - 1], self.pair[t], len(self.pair_number))
+        word, at = runs(self.pair_context)
+        child = (self.pair_number - self.trie.first_child(word)[at])[b]
+        if len(child) and child.max() >= 1 << CHILD_BITS:
             raise ValueError(f"a word with 2^{CHILD_BITS} kept successors or more")
-        return t, pair[t - 1].astype(np.uint64) << _U(CHILD_BITS) | place.astype(np.uint64)
+        return t, self.pair_number[a], child, place
+
+    def triple_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        self.find_pairs()
+        _, first, child, place = self.find_triples()
+        return first.astype(np.uint64) << _U(CHILD_BITS) | child.astype(np.uint64), np.bincount(place, minlength=len(first)).astype(np.int64)
 
-    def log10(self, number: np.ndarray, count: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def log10(self) -> tuple[np.ndarray, np.ndarray]:
         """Base and smoothed log10 probability of each token."""
-        base = np.log10((count + 1) / (self.n + self.v + 1))
+        trie = self.trie
+        base = np.log10((self.count + 1) / (trie.n + trie.v + 1))[self.word]
         score = base.copy()
-        if "pairs" not in self.info or not len(number):
+        if "pairs" not in trie.info or not len(score):
             return base, score
-        pair = self.pairs(number, count, last)
-        has = np.zeros(len(number), bool)
-        has[1:] = ~last[:-1] & (number[:-1] >= 0)
-        t = np.flatnonzero(has)
-        u, where = distinct(number[t - 1])
-        score[t] += self.value("pairs", "weight", u)[where]
-        p = np.flatnonzero(pair >= 0)
-        u, where = distinct(pair[p])
-        score[p] = self.value("pairs", "prob", u)[where]
-        if "triples" in self.info:
-            t = np.flatnonzero((pair[:-1] >= 0) & ~last[:-1]) + 1
-            u, where = distinct(pair[t - 1])
-            score[t] += self.value("triples", "weight", u)[where]
-            t, key = self.triple_keys(number, pair, last)
-            u, where = distinct(key)
-            triple = self.children("triples", (u >> _U(CHILD_BITS)).astype(np.int64), (u & _U((1 << CHILD_BITS) - 1)).astype(np.int64))[where]
-            t, triple = t[triple >= 0], triple[triple >= 0]
-            u, where = distinct(triple)
-            score[t] = self.value("triples", "prob", u)[where]
+        weight = np.zeros(len(self.number))
+        weight[self.known] = trie.value("pairs", "weight", self.number[self.known])
+        t = np.flatnonzero(~self.last[:-1]) + 1
+        score[t] += weight[self.word[t - 1]]
+        self.find_pairs()
+        p = np.flatnonzero(self.pair >= 0)
+        score[p] = trie.value("pairs", "prob", self.pair_number)[self.pair[p]]
+        if "triples" in trie.info:
+            t = np.flatnonzero((self.pair[:-1] >= 0) & ~self.last[:-1]) + 1
+            score[t] += trie.value("triples", "weight", self.pair_number)[self.pair[t - 1]]
+            t, first, child, place = self.find_triples()
+            triple = trie.children("triples", first, child)
+            has = triple >= 0
+            prob = np.zeros(len(triple))
+            prob[has] = trie.value("triples", "prob", triple[has])
+            hit = has[place]
+            score[t[hit]] = prob[place[hit]]
         return base, score
 
 
@@ -374,18 +419,11 @@ def build(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     def count_pairs(batches, info=dict(info)):
         trie = Trie(info)
         for keys, n, _ in token_batches(batches):
-            number, count = trie.numbers(keys)
-            last = np.zeros(len(keys), bool)
-            last[np.cumsum(n) - 1] = True
-            often = count >= MIN_COUNT
-            t = np.flatnonzero(often[1:] & often[:-1] & ~last[:-1])
-            k, c = summed(number[t].astype(np.uint64) << _U(32) | number[t + 1].astype(np.uint64))
+            k, c = Batch(trie, keys, n).pair_keys()
             yield from emit(np.searchsorted(info["words"], (k >> _U(32)).astype(np.int64), "right") - 1, k, c)
 
     def write_pairs(shard, keys, counts, info=dict(info)):
         trie = Trie(info)
-        kept = counts >= MIN_COUNT
-        keys, counts = keys[kept], counts[kept]
         base, own = info["words"][shard], int(info["words"][shard + 1] - info["words"][shard])
         context, child = (keys >> _U(32)).astype(np.int64) - base, (keys & _U(0xFFFFFFFF)).astype(np.int64)
         totals = np.asarray(trie.file("words", shard)["counts"]).astype(np.int64)
@@ -410,17 +448,11 @@ def build(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     def count_triples(batches, info=dict(info)):
         trie = Trie(info)
         for keys, n, _ in token_batches(batches):
-            number, count = trie.numbers(keys)
-            last = np.zeros(len(keys), bool)
-            last[np.cumsum(n) - 1] = True
-            _, key = trie.triple_keys(number, trie.pairs(number, count, last), last)
-            k, c = summed(key)
+            k, c = Batch(trie, keys, n).triple_keys()
             yield from emit(np.searchsorted(info["pairs"], (k >> _U(CHILD_BITS)).astype(np.int64), "right") - 1, k, c)
 
     def write_triples(shard, keys, counts, info=dict(info)):
         trie = Trie(info)
-        kept = counts >= MIN_COUNT
-        keys, counts = keys[kept], counts[kept]
         base, own = info["pairs"][shard], int(info["pairs"][shard + 1] - info["pairs"][shard])
         context, child = (keys >> _U(CHILD_BITS)).astype(np.int64) - base, (keys & _U((1 << CHILD_BITS) - 1)).astype(np.int64)
         pairs = trie.file("pairs", shard)
@@ -455,11 +487,10 @@ def scored(docs: DataFrame, info: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(info)
         for keys, n, ids in token_batches(batches):
-            number, count = trie.numbers(keys)
-            last = np.zeros(len(keys), bool)
-            last[np.cumsum(n) - 1] = True
-            base, score = trie.log10(number, count, last)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(per_doc((count > 0).astype(np.int64), n)), pa.array(np.full(len(n), trie.n, np.int64)), pa.array(per_sum(base, n)), pa.array(per_sum(score, n))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            found = Batch(trie, keys, n)
+            base, score = found.log10()
+            known = (found.count > 0)[found.word].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(per_doc(known, n)), pa.array(np.full(len(n), trie.n, np.int64)), pa.array(per_sum(base, n)), pa.array(per_sum(score, n))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     src = docs.select(F.col(id_col).alias("_id"), text_bytes(F.col(text_col).cast("string")).alias("_text"))
     return src.mapInArrow(run, f"doc_id {src.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
