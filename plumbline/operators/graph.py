@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_TREE_EDGES = 1_000_000
+TILE = 256
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sees to a folder for checkpoints: spark.checkpoint.dir; one of this machine only where Spark runs on it alone."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or "/tmp/checkpoints")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: list[str] | None = None, rounds: int = 100) -> DataFrame:
@@ -16,9 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: lis
     small stars (all lesser ones do), checkpointed, until no edge changes. The rounds grow with the logarithm of the nodes, whatever the
     diameter, and no round has more edges than the one before."""
     keys = keys or []
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoint_dir(edges.sparkSession)
     ends = edges.select(*keys, F.greatest(a, b).alias("_x"), F.least(a, b).alias("_y")).distinct().checkpoint()
     nodes = ends.select(*keys, F.col("_x").alias("node")).unionByName(ends.select(*keys, F.col("_y").alias("node"))).distinct()
     now, before = ends.filter("_x <> _y"), None
@@ -37,16 +46,53 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: lis
     return nodes.join(roots, [*keys, "node"], "left").select(*keys, "node", F.coalesce("_root", "node").alias("component"))
 
 
+def _tile_labels(r, c, diagonal: bool):
+    """For each cell of a tile the place of the first cell (by row, then column) of its region; cells sorted by row, then column."""
+    import numpy as np
+
+    at = np.full((TILE + 1, TILE + 2), -1)
+    at[r, c + 1] = np.arange(len(r))
+    pairs = []
+    for i, j in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else []):
+        other = at[r + i, c + 1 + j]
+        pairs.append((np.flatnonzero(other >= 0), other[other >= 0]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    label = np.arange(len(r))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (deeper := label[label]).tobytes() != label.tobytes():
+            label = deeper
+
+
 def cell_components(cells: DataFrame, r: str, c: str, keys: list[str], diagonal: bool) -> DataFrame:
-    """cells with component: 4- or 8-connected regions of a sparse raster, per key. A cell is named by r * 2^20 + c."""
+    """cells with component: 4- or 8-connected regions of a sparse raster, per key. A cell is named by r * 2^20 + c (columns from -2^19 to
+    2^19 - 1). Regions are labelled inside tiles of TILE x TILE cells first; what crosses tile borders is a graph of their labels."""
+    import numpy as np
+
+    checkpoint_dir(cells.sparkSession)
+    tiles = cells.select(*keys, r, c).distinct().withColumns({"_tr": F.floor(F.col(r) / TILE), "_tc": F.floor(F.col(c) / TILE)})
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.select(*keys, r, c).schema.fields)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([r, c])
+        y, x = pdf[r].to_numpy(np.int64), pdf[c].to_numpy(np.int64)
+        name = y * (1 << 20) + x
+        return pdf[[*keys, r, c]].assign(_id=name, _local=name[_tile_labels(y % TILE, x % TILE, diagonal)])
+
+    own = tiles.groupBy(*keys, "_tr", "_tc").applyInPandas(label, f"{head}, _id long, _local long").checkpoint()
+    edge = lambda x: F.pmod(F.col(x), F.lit(TILE)).isin(0, TILE - 1)
+    border = own.filter(edge(r) | edge(c))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    name = (F.col(r) * F.lit(1 << 20) + F.col(c)).cast("long")
-    own = cells.select(*keys, r, c).distinct().withColumn("_id", name)
-    moved = own.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
-    moved = moved.select(*keys, F.col("_id").alias("_a"), ((F.col(r) + F.col("_s.i")) * F.lit(1 << 20) + F.col(c) + F.col("_s.j")).cast("long").alias("_id"))
-    links = moved.join(own.select(*keys, "_id"), [*keys, "_id"]).select(*keys, F.col("_a").alias("a"), F.col("_id").alias("b"))
-    comp = connected_components(links, keys=keys).withColumnRenamed("node", "_id")
-    return own.join(comp, [*keys, "_id"], "left").withColumn("component", F.coalesce("component", "_id")).drop("_id")
+    moved = border.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+    moved = moved.select(*keys, F.col("_local").alias("_a"), ((F.col(r) + F.col("_s.i")) * F.lit(1 << 20) + F.col(c) + F.col("_s.j")).cast("long").alias("_id"))
+    links = moved.join(border.select(*keys, "_id", "_local"), [*keys, "_id"]).select(*keys, F.col("_a").alias("a"), F.col("_local").alias("b")).filter("a <> b").distinct().checkpoint()
+    if links.isEmpty():
+        return own.withColumnRenamed("_local", "component").drop("_id")
+    comp = connected_components(links, keys=keys).withColumnRenamed("node", "_local")
+    return own.join(comp, [*keys, "_local"], "left").select(*keys, r, c, F.coalesce("component", "_local").alias("component"))
 
 
 def max_spanning_forest(edges: DataFrame, a: str, b: str, weight: str, keys: list[str]) -> DataFrame:

@@ -131,7 +131,7 @@ def ray_cells(rays: DataFrame, res: float, keys: list[str], *, stop_short: int =
 
 
 def _distance(mask):
-    """Exact Euclidean distance of set cells to the nearest unset one (outside counts as unset): two passes of lower envelopes."""
+    """Exact Euclidean distance of set cells to the nearest unset one (outside counts as unset): down and up the columns, then along the rows."""
     import numpy as np
 
     h, w = mask.shape
@@ -142,9 +142,13 @@ def _distance(mask):
         g[i] = np.where(g[i] > 0, np.minimum(g[i], g[i - 1] + 1), 0)
     for i in range(h, -1, -1):
         g[i] = np.where(g[i] > 0, np.minimum(g[i], g[i + 1] + 1), 0)
-    g = g**2
-    cols = np.arange(w + 2)
-    return np.sqrt((g[:, None, :] + (cols[:, None] - cols[None, :])[None] ** 2).min(2))[1:-1, 1:-1]
+    best = (g := g**2).copy()
+    for d in range(1, w + 2):  # along the rows; a cell farther off than the greatest distance so far can't be the nearest
+        if d * d >= best.max():
+            break
+        np.minimum(best[:, d:], g[:, :-d] + d * d, out=best[:, d:])
+        np.minimum(best[:, :-d], g[:, d:] + d * d, out=best[:, :-d])
+    return np.sqrt(best)[1:-1, 1:-1]
 
 
 def _mask(pdf: pd.DataFrame):

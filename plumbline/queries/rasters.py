@@ -10,20 +10,26 @@ from ..plans.known_room import POINTS_SQL, points_mm
 from . import query, table
 
 P = f"WITH {POINTS_SQL}"
-CELLS = "c AS (SELECT DISTINCT l_suppkey % 5 AS k, l_orderkey * 31 % 60 AS r, l_partkey * 17 % 60 AS c FROM lineitem WHERE l_orderkey % 23 = 0)"
+#: A raster for each supplier, so that rasters grow in number with the data and stay as dense as they are.
+CELLS = "c AS (SELECT DISTINCT l_suppkey AS k, l_orderkey * 31 % 60 AS r, l_partkey * 17 % 60 AS c FROM lineitem)"
+OTHER = "o AS (SELECT DISTINCT l_suppkey AS k, l_partkey * 31 % 60 AS r, l_orderkey * 17 % 60 AS c FROM lineitem)"
+SPARSE = "c AS (SELECT DISTINCT l_suppkey AS k, l_orderkey * 31 % 90 AS r, l_partkey * 17 % 90 AS c FROM lineitem)"
+
+
+def _raster(spark: SparkSession, sf_dir: str, r: str, c: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.expr(r).alias("r"), F.expr(c).alias("c")).distinct()
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").filter("l_orderkey % 23 = 0")
-    return d.select((F.col("l_suppkey") % 5).alias("k"), (F.col("l_orderkey") * 31 % 60).alias("r"), (F.col("l_partkey") * 17 % 60).alias("c")).distinct()
+    return _raster(spark, sf_dir, "l_orderkey * 31 % 60", "l_partkey * 17 % 60")
 
 
-SPARSE = "c AS (SELECT DISTINCT l_suppkey % 5 AS k, l_orderkey * 31 % 40 AS r, l_partkey * 17 % 40 AS c FROM lineitem WHERE l_orderkey % 97 = 0)"
+def other_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raster(spark, sf_dir, "l_partkey * 31 % 60", "l_orderkey * 17 % 60")
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").filter("l_orderkey % 97 = 0")
-    return d.select((F.col("l_suppkey") % 5).alias("k"), (F.col("l_orderkey") * 31 % 40).alias("r"), (F.col("l_partkey") * 17 % 40).alias("c")).distinct()
+    return _raster(spark, sf_dir, "l_orderkey * 31 % 90", "l_partkey * 17 % 90")
 
 
 DISK = "d AS (SELECT i, unnest(range(-round(3 * sqrt(1 - (i / 3.0) * (i / 3.0)))::BIGINT, round(3 * sqrt(1 - (i / 3.0) * (i / 3.0)))::BIGINT + 1)) AS j FROM range(-3, 4) t(i))"
@@ -56,19 +62,18 @@ def boxed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.boxed_sum(d, "n")
 
 
-@query(f"WITH {CELLS}, o AS (SELECT DISTINCT l_suppkey % 5 AS k, l_partkey * 31 % 60 AS r, l_orderkey * 17 % 60 AS c FROM lineitem WHERE l_orderkey % 29 = 0) SELECT 'or' AS op, count(*) AS n FROM (SELECT * FROM c UNION SELECT * FROM o) UNION ALL SELECT 'and', count(*) FROM (SELECT * FROM c INTERSECT SELECT * FROM o) UNION ALL SELECT 'minus', count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM o)")
+@query(f"WITH {CELLS}, {OTHER} SELECT 'or' AS op, count(*) AS n FROM (SELECT * FROM c UNION SELECT * FROM o) UNION ALL SELECT 'and', count(*) FROM (SELECT * FROM c INTERSECT SELECT * FROM o) UNION ALL SELECT 'minus', count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM o)")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = cells(spark, sf_dir)
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 29 = 0").select((F.col("l_suppkey") % 5).alias("k"), (F.col("l_partkey") * 31 % 60).alias("r"), (F.col("l_orderkey") * 17 % 60).alias("c")).distinct()
+    a, b = cells(spark, sf_dir), other_cells(spark, sf_dir)
     n = lambda d, op: d.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
     return n(raster.union(a, b), "or").unionByName(n(raster.both(a, b), "and")).unionByName(n(raster.minus(a, b), "minus"))
 
 
-NEAR_8, NEAR_4 = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1", "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
+NEAR_8, NEAR_4 = "abs(i) <= 1 AND abs(j) <= 1", "abs(i) + abs(j) <= 1"
 
 
 def _components_sql(near: str, where: str = "") -> str:
-    return f"""WITH RECURSIVE {SPARSE}, n AS (SELECT a.k, a.r * 1048576 + a.c AS x, b.r * 1048576 + b.c AS y FROM c a JOIN c b ON a.k = b.k AND {near}),
+    return f"""WITH RECURSIVE {SPARSE}, s AS (SELECT i, j FROM range(-1, 2) t(i), range(-1, 2) u(j) WHERE {near}), n AS (SELECT a.k, a.r * 1048576 + a.c AS x, b.r * 1048576 + b.c AS y FROM c a CROSS JOIN s JOIN c b ON a.k = b.k AND b.r = a.r + i AND b.c = a.c + j),
 w(k, x, y) AS (SELECT k, r * 1048576 + c, r * 1048576 + c FROM c UNION SELECT w.k, w.x, n.y FROM w JOIN n ON n.k = w.k AND n.x = w.y),
 m AS (SELECT k, x // 1048576 AS r, x % 1048576 AS c, min(y) AS component FROM w GROUP BY k, x)
 SELECT k, r, c, component FROM m {where}"""
@@ -92,7 +97,7 @@ def long_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {CELLS}, g AS (SELECT k, min(r) - 1 AS r0, max(r) + 1 AS r1, min(c) - 1 AS c0, max(c) + 1 AS c1 FROM c GROUP BY k), e AS (SELECT k, r, unnest(range(c0, c1 + 1)) AS c, r0, c0, r1, c1 FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM g)), f AS (SELECT e.* FROM e ANTI JOIN c ON c.k = e.k AND c.r = e.r AND c.c = e.c),
-o(k, r, c) AS (SELECT k, r, c FROM f WHERE r = r0 OR r = r1 OR c = c0 OR c = c1 UNION SELECT f.k, f.r, f.c FROM o JOIN f ON f.k = o.k AND abs(f.r - o.r) + abs(f.c - o.c) = 1)
+o(k, r, c) AS (SELECT k, r, c FROM f WHERE r = r0 OR r = r1 OR c = c0 OR c = c1 UNION SELECT f.k, f.r, f.c FROM o CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(i, j) JOIN f ON f.k = o.k AND f.r = o.r + i AND f.c = o.c + j)
 SELECT k, r, c FROM c UNION SELECT f.k, f.r, f.c FROM f ANTI JOIN o ON o.k = f.k AND o.r = f.r AND o.c = f.c"""
 )
 def filled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,20 +111,18 @@ def rectangle_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.rectangle_cells(r, 0.5, ["region"])
 
 
-@query(f"WITH {CELLS}, s AS (SELECT DISTINCT l_suppkey % 5 AS k, l_partkey * 31 % 60 AS r, l_orderkey * 17 % 60 AS c FROM lineitem WHERE l_orderkey % 29 = 0) SELECT c.k, c.r // 10 AS region, round(avg(CASE WHEN s.k IS NULL THEN 0 ELSE 1 END), 9) AS share FROM c LEFT JOIN s ON s.k = c.k AND s.r = c.r AND s.c = c.c GROUP BY ALL")
+@query(f"WITH {CELLS}, {OTHER} SELECT c.k, c.r // 10 AS region, round(avg(CASE WHEN o.k IS NULL THEN 0 ELSE 1 END), 9) AS share FROM c LEFT JOIN o ON o.k = c.k AND o.r = c.r AND o.c = c.c GROUP BY ALL")
 def seen_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 29 = 0").select((F.col("l_suppkey") % 5).alias("k"), (F.col("l_partkey") * 31 % 60).alias("r"), (F.col("l_orderkey") * 17 % 60).alias("c"))
-    d = raster.overlap_share(cells(spark, sf_dir).withColumn("region", F.floor(F.col("r") / 10)), b, ["k"], "region")
+    d = raster.overlap_share(cells(spark, sf_dir).withColumn("region", F.floor(F.col("r") / 10)), other_cells(spark, sf_dir), ["k"], "region")
     return d.select("k", "region", F.round("share", 9).alias("share"))
 
 
-RAYS = "y AS (SELECT l_suppkey AS k, floor(l_partkey % 500 / 10.0)::BIGINT AS c0, floor(l_orderkey % 500 / 10.0)::BIGINT AS r0, floor(l_partkey * 7 % 500 / 10.0)::BIGINT AS c1, floor(l_orderkey * 11 % 500 / 10.0)::BIGINT AS r1 FROM lineitem WHERE l_orderkey % 13 = 0)"
+RAYS = "y AS (SELECT l_suppkey AS k, floor(l_partkey % 500 / 10.0)::BIGINT AS c0, floor(l_orderkey % 500 / 10.0)::BIGINT AS r0, floor(l_partkey * 7 % 500 / 10.0)::BIGINT AS c1, floor(l_orderkey * 11 % 500 / 10.0)::BIGINT AS r1 FROM lineitem)"
 
 
 @query(f"WITH {RAYS}, n AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n FROM y), e AS (SELECT *, unnest(range(0, n - 2)) AS i FROM n WHERE n > 3) SELECT DISTINCT k, round(r0 + (r1 - r0) * i / n)::BIGINT AS r, round(c0 + (c1 - c0) * i / n)::BIGINT AS c FROM e")
 def carved_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").filter("l_orderkey % 13 = 0")
-    r = d.select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 500).alias("u0"), (F.col("l_orderkey") % 500).alias("v0"), (F.col("l_partkey") * 7 % 500).alias("u1"), (F.col("l_orderkey") * 11 % 500).alias("v1"))
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 500).alias("u0"), (F.col("l_orderkey") % 500).alias("v0"), (F.col("l_partkey") * 7 % 500).alias("u1"), (F.col("l_orderkey") * 11 % 500).alias("v1"))
     return raster.ray_cells(r, 10.0, ["k"])
 
 

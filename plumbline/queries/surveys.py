@@ -14,7 +14,7 @@ from . import query, table
 _values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 FEATURES = "f AS (SELECT c_custkey AS room, 0.5::DOUBLE + c_custkey % 37 AS area, 0.8::DOUBLE + c_custkey % 5 AS inscribed_width, 1.0::DOUBLE + c_custkey % 4 AS elongation, c_custkey % 3 AS n_openings, c_custkey % 5 AS degree, c_custkey * 7 % 500 AS below_points FROM customer)"
 CLASSES = ["toilet", "shower", "bathtub", "sink", "stove", "refrigerator", "kitchen cabinet", "microwave", "sofa", "television", "bed", "wardrobe", "dining table", "desk", "office chair", "staircase", "stair railing", "washing machine"]
-FIXTURES = f"x AS (SELECT o_custkey AS room, list_extract({CLASSES!r}, (1 + o_orderkey % 18)::BIGINT) AS class, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL)"
+FIXTURES = f"x AS (SELECT o_custkey AS room, list_extract({CLASSES!r}, (1 + o_orderkey % 18)::BIGINT) AS class, count(*) AS n FROM orders GROUP BY ALL)"
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in CLASSES])
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("room"), F.element_at(names, (1 + F.col("o_orderkey") % 18).cast("int")).alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -52,9 +52,9 @@ def fixture_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAMAGE = ["water_stain", "mould", "peeling_paint", "spalling", "crack"]
-REGIONS = f"""g AS (SELECT o_orderkey AS damage_id, list_extract({DAMAGE!r}, (1 + o_orderkey % 5)::BIGINT) AS class, CASE WHEN o_orderkey % 3 = 0 THEN 'ceiling' ELSE 'wall' END AS kind, o_custkey % 200 AS room, CASE WHEN o_orderkey % 2 = 0 THEN 'u' ELSE 'v' END AS axis, o_orderkey * 7 % 500 / 100.0::DOUBLE AS coord, o_orderkey * 11 % 300 / 100.0::DOUBLE AS a0, o_orderkey * 11 % 300 / 100.0::DOUBLE + 0.4 AS a1, o_orderkey % 11 / 10.0::DOUBLE AS height, o_orderkey % 9 / 10.0::DOUBLE AS extent, CASE WHEN o_orderkey % 7 = 0 THEN 'major' ELSE 'minor' END AS severity, o_orderkey % 13 / 5.0::DOUBLE AS area FROM orders WHERE o_orderkey % 5 < 5),
-rm AS (SELECT c_custkey AS room, list_extract(['Bathroom', 'Room', 'Kitchen', 'Hall', 'Bedroom', 'Closet', 'Room', 'Room', 'Room', 'Room'], (1 + c_custkey % 10)::BIGINT) AS type FROM customer WHERE c_custkey < 200),
-ad AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey < 190 AND c_custkey % 3 = 0), wn AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'u' ELSE 'v' END AS axis, s_suppkey * 17 % 500 / 100.0::DOUBLE AS coord, s_suppkey % 3 / 2.0::DOUBLE AS a, s_suppkey % 3 / 2.0::DOUBLE + 0.9 AS b FROM supplier)"""
+REGIONS = f"""g AS (SELECT o_orderkey AS damage_id, list_extract({DAMAGE!r}, (1 + o_orderkey % 5)::BIGINT) AS class, CASE WHEN o_orderkey % 3 = 0 THEN 'ceiling' ELSE 'wall' END AS kind, o_custkey AS room, CASE WHEN o_orderkey % 2 = 0 THEN 'u' ELSE 'v' END AS axis, o_orderkey * 7 % 500 / 100.0::DOUBLE AS coord, o_orderkey * 11 % 300 / 100.0::DOUBLE AS a0, o_orderkey * 11 % 300 / 100.0::DOUBLE + 0.4 AS a1, o_orderkey % 11 / 10.0::DOUBLE AS height, o_orderkey % 9 / 10.0::DOUBLE AS extent, CASE WHEN o_orderkey % 7 = 0 THEN 'major' ELSE 'minor' END AS severity, o_orderkey % 13 / 5.0::DOUBLE AS area FROM orders),
+rm AS (SELECT c_custkey AS room, list_extract(['Bathroom', 'Room', 'Kitchen', 'Hall', 'Bedroom', 'Closet', 'Room', 'Room', 'Room', 'Room'], (1 + c_custkey % 10)::BIGINT) AS type FROM customer),
+ad AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer), wn AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'u' ELSE 'v' END AS axis, s_suppkey * 17 % 500 / 100.0::DOUBLE AS coord, s_suppkey % 3 / 2.0::DOUBLE AS a, s_suppkey % 3 / 2.0::DOUBLE + 0.9 AS b FROM supplier)"""
 FLAGS = """ws AS (SELECT room FROM rm WHERE type IN ('Bathroom', 'WC', 'Kitchen', 'Utility', 'Living / Kitchen')), nw AS (SELECT room FROM ws UNION SELECT a FROM ad WHERE b IN (SELECT room FROM ws) UNION SELECT b FROM ad WHERE a IN (SELECT room FROM ws)),
 nwin AS (SELECT DISTINCT damage_id FROM g JOIN wn ON g.axis = wn.axis AND abs(g.coord - wn.coord) <= 0.1::DOUBLE AND a0 < wn.b + 0.6 AND a1 > wn.a - 0.6),
 fl AS (SELECT damage_id, 'R1-ceiling-moisture' AS rule FROM g WHERE kind = 'ceiling' AND class IN ('water_stain', 'mould') UNION ALL SELECT damage_id, 'R2-rising-damp' FROM g WHERE kind = 'wall' AND class IN ('water_stain', 'mould') AND height < 0.4::DOUBLE
@@ -66,10 +66,10 @@ def damage_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     k, c, s = F.col("o_orderkey"), F.col("c_custkey"), F.col("s_suppkey")
     pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (1 + i % len(names)).cast("int"))
     a0 = (k * 11 % 300 / 100.0).cast("double")
-    g = table(spark, sf_dir, "orders").select(k.alias("damage_id"), pick(DAMAGE, k).alias("class"), F.when(k % 3 == 0, "ceiling").otherwise("wall").alias("kind"), (F.col("o_custkey") % 200).alias("room"), F.when(k % 2 == 0, "u").otherwise("v").alias("axis"), (k * 7 % 500 / 100.0).alias("coord"), a0.alias("a0"), (a0 + 0.4).alias("a1"), (k % 11 / 10.0).alias("height"), (k % 9 / 10.0).alias("extent"), F.when(k % 7 == 0, "major").otherwise("minor").alias("severity"), (k % 13 / 5.0).alias("area"))
+    g = table(spark, sf_dir, "orders").select(k.alias("damage_id"), pick(DAMAGE, k).alias("class"), F.when(k % 3 == 0, "ceiling").otherwise("wall").alias("kind"), F.col("o_custkey").alias("room"), F.when(k % 2 == 0, "u").otherwise("v").alias("axis"), (k * 7 % 500 / 100.0).alias("coord"), a0.alias("a0"), (a0 + 0.4).alias("a1"), (k % 11 / 10.0).alias("height"), (k % 9 / 10.0).alias("extent"), F.when(k % 7 == 0, "major").otherwise("minor").alias("severity"), (k % 13 / 5.0).alias("area"))
     cust = table(spark, sf_dir, "customer")
-    rm = cust.filter("c_custkey < 200").select(c.alias("room"), pick(["Bathroom", "Room", "Kitchen", "Hall", "Bedroom", "Closet", "Room", "Room", "Room", "Room"], c).alias("type"))
-    ad = cust.filter("c_custkey < 190 and c_custkey % 3 = 0").select(c.alias("a"), (c + 7).alias("b"))
+    rm = cust.select(c.alias("room"), pick(["Bathroom", "Room", "Kitchen", "Hall", "Bedroom", "Closet", "Room", "Room", "Room", "Room"], c).alias("type"))
+    ad = cust.select(c.alias("a"), (c + 7).alias("b"))
     wn = table(spark, sf_dir, "supplier").select(F.when(s % 2 == 0, "u").otherwise("v").alias("axis"), (s * 17 % 500 / 100.0).alias("coord"), (s % 3 / 2.0).alias("a"), (s % 3 / 2.0 + 0.9).alias("b"))
     return g, rm, ad, wn
 
@@ -85,7 +85,7 @@ def scope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage.scope_items(t[0], damage.concealed_flags(*t, []), [])
 
 
-TILES = "t AS (SELECT l_suppkey % 6 AS surface_id, l_orderkey * 31 % 40 AS a, l_partkey * 17 % 12 AS b, min(CASE WHEN l_orderkey % 3 = 0 THEN 'crack' ELSE 'mould' END) AS class, 2 AS views, 0.75::DOUBLE AS confidence FROM lineitem WHERE l_orderkey % 61 = 0 GROUP BY 1, 2, 3)"
+TILES = "t AS (SELECT l_suppkey AS surface_id, l_orderkey * 31 % 150 AS a, l_partkey * 17 % 60 AS b, min(CASE WHEN l_orderkey % 3 = 0 THEN 'crack' ELSE 'mould' END) AS class, 2 AS views, 0.75::DOUBLE AS confidence FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query(
@@ -95,8 +95,8 @@ e AS (SELECT m.surface_id, m.class, m.component, m.a + i AS a, m.b + j AS b FROM
 SELECT m.surface_id, m.class, m.component, round(count(*) * 0.16, 6)::DOUBLE AS area, round(0.5 * coalesce(any_value(exposed), 0) / 4 * 0.16 + 0.1 * count(*) * 0.16, 6)::DOUBLE AS ci95, round((max(a) - min(a) + 1) * 0.4, 6)::DOUBLE AS extent_a FROM m LEFT JOIN x ON x.surface_id = m.surface_id AND x.class = m.class AND x.component = m.component GROUP BY ALL"""
 )
 def damage_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 61 = 0")
-    t = li.groupBy((F.col("l_suppkey") % 6).alias("surface_id"), (F.col("l_orderkey") * 31 % 40).alias("a"), (F.col("l_partkey") * 17 % 12).alias("b")).agg(F.min(F.when(F.col("l_orderkey") % 3 == 0, "crack").otherwise("mould")).alias("class")).withColumns({"views": F.lit(2), "confidence": F.lit(0.75)})
+    li = table(spark, sf_dir, "lineitem")
+    t = li.groupBy(F.col("l_suppkey").alias("surface_id"), (F.col("l_orderkey") * 31 % 150).alias("a"), (F.col("l_partkey") * 17 % 60).alias("b")).agg(F.min(F.when(F.col("l_orderkey") % 3 == 0, "crack").otherwise("mould")).alias("class")).withColumns({"views": F.lit(2), "confidence": F.lit(0.75)})
     r = damage.regions(t, [])
     return r.select("surface_id", "class", "component", F.round("area.value", 6).alias("area"), F.round("area.ci95", 6).alias("ci95"), F.round("extent_a", 6).alias("extent_a"))
 

@@ -155,6 +155,41 @@ def test_spanning_forest(spark):
     assert len(order) == 8 and order["step"].max() == 7
 
 
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_components_across_tiles(spark, diagonal):
+    """Regions that cross tile borders and the origin, against a flood fill."""
+    rng = np.random.default_rng(3)
+    cells = {(int(r), int(c)) for r, c in rng.integers(-300, 300, (6000, 2))}
+    for r, c in rng.integers(-280, 280, (25, 2)):  # long walks
+        for dr, dc in rng.integers(-1, 2, (400, 2)):
+            r, c = r + dr, c + dc
+            cells |= {(int(r), int(c)), (int(r), int(c) + 1)}
+    cells |= {(256, c) for c in range(-300, 300)} | {(r, 255) for r in range(-300, 300)}
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (diagonal or not (i and j))]
+    name, want = lambda x: x[0] * (1 << 20) + x[1], {}
+    for start in sorted(cells):
+        if start not in want:
+            region, todo = {start}, [start]
+            while todo:
+                r, c = todo.pop()
+                near = {(r + i, c + j) for i, j in steps} & cells - region
+                region |= near
+                todo += near
+            want |= dict.fromkeys(region, min(map(name, region)))
+    d = spark.createDataFrame([(k, *x) for x in cells for k in (1, 2)], "k int, r long, c long").repartition(5)
+    got = graph.cell_components(d, "r", "c", ["k"], diagonal=diagonal).collect()
+    assert len(got) == 2 * len(cells) and all(want[x["r"], x["c"]] == x["component"] for x in got)
+
+
+def test_distances_against_brute_force():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (7, 30), (40, 23)):
+        m = rng.random(shape) < 0.9
+        out = np.argwhere(~np.pad(m, 1))
+        want = [np.sqrt(((out - [i + 1, j + 1]) ** 2).sum(1).min()) if m[i, j] else 0 for i in range(shape[0]) for j in range(shape[1])]
+        assert np.allclose(raster._distance(m).ravel(), want)
+
+
 def test_watershed_labels_every_reached_cell(spark):
     cells = [(1, r, c, (1 if (r, c) == (2, 2) else 2 if (r, c) == (2, 12) else 0)) for r in range(5) for c in range(15) if not (c == 7 and r != 2)]
     w = raster.watershed(spark.createDataFrame(cells, "k int, r int, c int, marker int"), ["k"]).toPandas()
