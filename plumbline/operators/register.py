@@ -66,23 +66,44 @@ def gravity(normals: DataFrame, n: list[str], guess: tuple[float, float, float])
     return up
 
 
+def _nearest(src: np.ndarray, dst: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of src the nearest point of dst within reach and its distance (-1 and infinity without one), by cells of that size."""
+    span = 1 << 31
+    name = lambda x: x[:, 0] * span + x[:, 1]
+    cells = np.floor(dst / reach).astype(np.int64)
+    order = np.argsort(name(cells), kind="stable")
+    keys, home = name(cells)[order], np.floor(src / reach).astype(np.int64)
+    best, dist = np.full(len(src), -1), np.full(len(src), np.inf)
+    for a in (-1, 0, 1):
+        for b in (-1, 0, 1):
+            k = name(home + [a, b])
+            lo, hi = np.searchsorted(keys, k), np.searchsorted(keys, k, "right")
+            n = hi - lo
+            who = np.repeat(np.arange(len(src)), n)
+            if not len(who):
+                continue
+            j = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            d = np.hypot(*(dst[j] - src[who]).T)
+            first = (np.cumsum(n) - n)[n > 0]
+            least = np.minimum.reduceat(d, first)
+            at = np.flatnonzero(d == np.repeat(least, n[n > 0]))
+            own, one = np.unique(who[at], return_index=True)
+            better = least < dist[own]
+            best[own[better]], dist[own[better]] = j[at[one]][better], least[better]
+    far = dist >= reach
+    best[far], dist[far] = -1, np.inf
+    return best, dist
+
+
 def icp_2d(src: np.ndarray, dst: np.ndarray, *, rounds: int = 25, reach: float = 0.15, trim: float = 0.8, least: int = 50) -> tuple[float, np.ndarray, float]:
     """Yaw, shift and inlier share that lay src on dst about src's centroid; the best ``trim`` of the pairs within ``reach`` count."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y) in enumerate(np.floor(dst / reach).astype(int)):
-        cells.setdefault((x, y), []).append(i)
     centre = src.mean(0)
     yaw, shift, share = 0.0, np.zeros(2), 0.0
     for _ in range(rounds):
         r = np.array([[np.cos(yaw), -np.sin(yaw)], [np.sin(yaw), np.cos(yaw)]])
         moved = (src - centre) @ r.T + centre + shift
-        idx, dist = np.full(len(src), -1), np.full(len(src), np.inf)
-        for i, (p, (x, y)) in enumerate(zip(moved, np.floor(moved / reach).astype(int), strict=True)):
-            near = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in cells.get((x + a, y + b), ())]
-            if near:
-                d = np.hypot(*(dst[near] - p).T)
-                idx[i], dist[i] = near[int(d.argmin())], d.min()
-        ok = dist < reach
+        idx, dist = _nearest(moved, dst, reach)
+        ok = idx >= 0
         share = float(ok.mean())
         if ok.sum() < least:
             break
@@ -100,27 +121,33 @@ def icp_2d(src: np.ndarray, dst: np.ndarray, *, rounds: int = 25, reach: float =
     return float(yaw), shift, share
 
 
-def anchors(points: DataFrame, *, keys: list[str], segment_s: float, apart: float = priors.REVISIT_S, most_yaw: float = 4.0, most_shift: float = 0.25, least_share: float = 0.5) -> DataFrame:
-    """keys, segment, yaw, du, dv, share: each segment's points laid on those of segments at least ``apart`` seconds away; implausible ones go.
-    The map of a capture is voxel-reduced before, which bounds a key."""
+def anchors(points: DataFrame, *, keys: list[str], segment_s: float, apart: float = priors.REVISIT_S, most_yaw: float = 4.0, most_shift: float = 0.25, least_share: float = 0.5, least: int = 200, overlap: float = 0.3) -> DataFrame:
+    """keys, segment, yaw, du, dv, weight: what of each segment lies within ``overlap`` of the segments at least ``apart`` seconds away (so many
+    points at least) laid on these; implausible moves go. The weight is the share of inliers times that of the overlap. The map of a
+    capture is voxel-reduced before, which bounds a key."""
     head = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mids = {s: (s + 0.5) * segment_s for s in pdf["segment"].unique()}
+        mid = pdf["segment"].map(mids).to_numpy()
+        xy = pdf[["u", "v"]].to_numpy(float)
         rows = []
-        for s, own in pdf.groupby("segment"):
-            far = pdf[(pdf["segment"].map(mids) - mids[s]).abs() >= apart]
-            if len(own) < 50 or len(far) < 50:
+        for s in sorted(mids):
+            own, far = xy[pdf["segment"].to_numpy() == s], xy[np.abs(mid - mids[s]) >= apart]
+            if len(own) < least or not len(far):
+                continue
+            near = _nearest(own, far, overlap)[0] >= 0
+            if near.sum() < least:
                 continue
-            yaw, t, share = icp_2d(own[["u", "v"]].to_numpy(), far[["u", "v"]].to_numpy())
+            yaw, t, share = icp_2d(own[near], far)
             if abs(np.degrees(yaw)) <= most_yaw and np.hypot(*t) <= most_shift and share >= least_share:
-                rows.append((int(s), yaw, float(t[0]), float(t[1]), share))
-        out = pd.DataFrame(rows, columns=["segment", "yaw", "du", "dv", "share"]).astype({"segment": "int64", "yaw": float, "du": float, "dv": float, "share": float})
+                rows.append((int(s), yaw, float(t[0]), float(t[1]), share * float(near.mean())))
+        out = pd.DataFrame(rows, columns=["segment", "yaw", "du", "dv", "weight"]).astype({"segment": "int64", "yaw": float, "du": float, "dv": float, "weight": float})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return points.groupBy(*keys).applyInPandas(run, f"{head}{', ' * bool(keys)}segment long, yaw double, du double, dv double, share double")
+    return points.groupBy(*keys).applyInPandas(run, f"{head}{', ' * bool(keys)}segment long, yaw double, du double, dv double, weight double")
 
 
 def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, rhs: np.ndarray) -> np.ndarray:
@@ -137,15 +164,15 @@ def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, rhs: np.ndarr
     return y
 
 
-def pose_graph(segments: DataFrame, *, keys: list[str], values: list[str], odometry: float = priors.SIGMA_ODOMETRY, icp: float = priors.SIGMA_ICP) -> DataFrame:
-    """keys, segment, values: corrections that vary little from segment to segment and agree with the anchors (null values: no anchor);
-    the chain's normal equations are tridiagonal."""
+def pose_graph(segments: DataFrame, *, keys: list[str], values: list[str], weight: str | None = None, odometry: float = priors.SIGMA_ODOMETRY, icp: float = priors.SIGMA_ICP) -> DataFrame:
+    """keys, segment, values: corrections that vary little from segment to segment and agree with the anchors (null values: no anchor), each as
+    much as its weight says (one without a column of weights); the chain's normal equations are tridiagonal."""
     head = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("segment")
         n, a, b = len(pdf), 1 / odometry**2, 1 / icp**2
-        seen = pdf[values[0]].notna().to_numpy()
+        seen = pdf[values[0]].notna().to_numpy() * (pdf[weight].fillna(0).to_numpy(float) if weight else 1.0)
         off = np.full(n - 1, -a)
         diag = np.full(n, 2 * a)
         diag[[0, -1]] = a if n > 1 else 0

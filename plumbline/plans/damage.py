@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import priors
 from ..operators import damage
 
 TILE_KEY = ["surface_id", "a", "b"]
 #: Fixed value: the order of the classes in ingested probabilities.
-CLASSES = ["algae", "crack", "mould", "peeling_paint", "plain", "spalling", "water_stain"]
+CLASSES = ["algae", "major_crack", "minor_crack", "peeling", "plain", "spalling", "stain"]
 
 
 @dataclass
@@ -28,10 +29,9 @@ def scan_damage(pixels: DataFrame, probs: DataFrame, surfaces: DataFrame, rooms:
     chosen views only: pixels are fetched late); surfaces: surface_id, kind, room, axis, coord."""
     best = damage.best_views(damage.tile_views(pixels, TILE_KEY, keys), TILE_KEY, keys)
     seen = probs.join(best.select(*keys, "frame", *TILE_KEY), [*keys, "frame", *TILE_KEY], "left_semi")
-    tiles = damage.voted(seen, TILE_KEY, keys, classes)
+    tiles = damage.voted(seen, TILE_KEY, keys, classes, report=dict(priors.DAMAGE_CLASS))
     reg = damage.regions(tiles, keys).join(surfaces, [*keys, "surface_id"])
     reg = reg.withColumn("damage_id", F.concat_ws("-", F.lit("D"), F.col("surface_id").cast("string"), "class", F.col("component").cast("string")))
-    flat = reg.select(*keys, "damage_id", "class", "kind", "room", "axis", "coord", F.col("a0"), (F.col("a0") + F.col("extent_a")).alias("a1"), F.col("b0").alias("height"), F.greatest("extent_a", "extent_b").alias("extent"), F.col("area.value").alias("area"))
-    flat = flat.withColumn("severity", damage.severity(F.col("area"), F.col("extent")))
+    flat = reg.select(*keys, "damage_id", "class", "kind", "room", "axis", "coord", F.col("a0"), (F.col("a0") + F.col("extent_a")).alias("a1"), F.col("b0").alias("height"), F.greatest("extent_a", "extent_b").alias("extent"), F.col("area.value").alias("area"), "severity")
     flags = damage.concealed_flags(flat, rooms, adjacent, windows, keys)
     return Damage(best, reg, damage.inspected(best, TILE_KEY, keys), flags, damage.scope_items(flat, flags, keys))

@@ -27,6 +27,8 @@ DECISIVE = [
     ("toilet", "Bathroom"), ("shower", "Bathroom"), ("bathtub", "Bathroom"), ("stove", "Kitchen"), ("kitchen cabinet", "Kitchen"),
     ("refrigerator", "Kitchen"), ("bed", "Bedroom"), ("sofa", "Living"), ("staircase", "Stairs"), ("stair railing", "Stairs"), ("washing machine", "Utility"),
 ]
+#: Class that the probe tells apart, damage class of the report.
+DAMAGE_CLASS = [("algae", "mould"), ("stain", "water_stain"), ("peeling", "peeling_paint"), ("spalling", "spalling"), ("minor_crack", "crack"), ("major_crack", "crack")]
 MIN_TYPE_SCORE, MIN_TYPE_MARGIN, IMPLAUSIBLE, STAIR_POINTS = 3.0, 1.5, 0.3, 400
 WET_TYPES = ["Bathroom", "WC", "Kitchen", "Utility", "Living / Kitchen"]
 MOIST_CLASSES = ["water_stain", "mould"]

@@ -104,7 +104,7 @@ def damage_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH p AS (SELECT l_suppkey AS surface_id, l_partkey % 30 AS a, [l_quantity / 100, l_discount * 3, 1 - l_quantity / 100 - l_discount * 3] AS p FROM lineitem WHERE l_tax >= 0.02),
 g AS (SELECT surface_id, a, avg(p[1]) AS m1, avg(p[2]) AS m2, avg(p[3]) AS m3, count(*) AS views, count(*) FILTER (WHERE NOT (p[3] > p[1] AND p[3] > p[2])) AS agree FROM p GROUP BY ALL)
-SELECT surface_id, a, CASE WHEN m1 >= m2 THEN 'crack' ELSE 'mould' END AS class, round(greatest(m1, m2), 6) AS confidence, views::INTEGER AS views FROM g WHERE views >= 2 AND agree >= 2 AND 1 - m3 >= 0.45"""
+SELECT surface_id, a, CASE WHEN m1 >= m2 THEN 'crack' ELSE 'mould' END AS class, round(1 - m3, 6) AS confidence, views::INTEGER AS views FROM g WHERE views >= 2 AND agree >= 2 AND 1 - m3 >= 0.45"""
 )
 def voted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = F.col("l_quantity") / 100, F.col("l_discount") * 3
