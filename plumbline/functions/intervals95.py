@@ -42,9 +42,18 @@ def area_ci(area: Column, length_u: Column, ci_u: Column, length_v: Column, ci_v
     return area * F.hypot(ci_u / length_u, ci_v / length_v)
 
 
-def opening_ci(kind: Column) -> Column:
-    """Width of a door (two jambs of 8 mm), a window (20 mm), another opening (two edges of 30 mm)."""
-    return F.lit(Z) * F.when(kind == "door", F.lit((2 * 0.008**2) ** 0.5)).when(kind == "window", F.lit(0.02)).otherwise(F.lit((2 * 0.03**2) ** 0.5))
+def opening_ci(kind: Column, width: Column | None = None, model: ErrorModel = LIDAR) -> Column:
+    """Width of a door (two jambs of 8 mm), a window (20 mm), another opening (two edges of 30 mm); no edge is better known than the tier's
+    faces, and the tier's scale error grows with the width."""
+    edge = lambda s: F.lit(2**0.5 * max(s, model.face))
+    base = F.when(kind == "door", edge(0.008)).when(kind == "window", F.lit(0.02)).otherwise(edge(0.03))
+    return F.lit(Z) * (base if width is None else F.hypot(base, model.scale * width))
+
+
+def ceiling_ci(value: Column, std: Column, n: Column, sigma_floor: Column, model: ErrorModel = LIDAR) -> Column:
+    """Height of a ceiling: of its plane, of the floor, and of the tier's faces and scale."""
+    plane = 3 * std / F.sqrt(F.greatest(n, F.lit(1)))
+    return F.lit(Z) * F.sqrt(plane * plane + model.face**2 + sigma_floor * sigma_floor + (model.scale * value) * (model.scale * value))
 
 
 def region_ci(area: Column, exposed_sides: Column, tile: float = 0.4) -> Column:

@@ -14,18 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import priors
-from . import intervals, raster, robust
-from .graph import connected_components
-
-
-def wall_families(points: DataFrame, h_band: tuple[float, float], keys: list[str], *, vertical: float = 0.3, facing: float = 0.85) -> DataFrame:
-    """Points on walls as (axis, sign, at, along, h): axis u for planes of constant u; at is the plane's coordinate."""
-    p = points.filter((F.abs("ny") < vertical) & (F.col("h") > h_band[0]) & (F.col("h") < h_band[1]))
-    side = lambda n, at, along, axis: p.filter(F.abs(n) > facing).select(*keys, F.lit(axis).alias("axis"), F.signum(n).cast("int").alias("sign"), F.col(at).cast("double").alias("at"), F.col(along).cast("double").alias("along"), F.col("h").cast("double").alias("h"))
+from ..functions.intervals95 import LIDAR, ErrorModel, measured, opening_ci
+from . import intervals, raster, robust, spatial
+from .graph import cell_components, connected_components
+
+
+def height_bands(points: DataFrame, keys: list[str], *, least: float = 0.25, most: float = 9.0, below: float = 0.15, rise: float = 1.8, enough: int = 2000) -> DataFrame:
+    """keys, band_lo, band_hi: each capture's band of wall heights, up to the 97th percentile of its vertical surfaces or a little below its
+    ceiling, if there is one, whichever is lower. points: plan coordinates (h, ny)."""
+    high = points.filter((F.abs("ny") < 0.3) & (F.col("h") > 0.1)).groupBy(*keys).agg(F.percentile("h", 0.97).alias("_top"))
+    down = robust.trimmed_mode(points.filter((F.col("ny") < -0.95) & (F.col("h") > rise)), "h", 0.01, 0.03, keys).filter(F.col("n") >= enough).select(*keys, F.col("value").alias("_ceiling"))
+    both = high.join(down, keys, "left") if keys else high.join(F.broadcast(down), F.lit(True), "left")
+    top = F.least(F.coalesce("_top", F.lit(most)), F.coalesce(F.col("_ceiling") - below, F.lit(most)))
+    return both.select(*keys, F.lit(least).alias("band_lo"), top.cast("double").alias("band_hi"))
+
+
+def wall_families(points: DataFrame, h_band: tuple[float, float] | DataFrame, keys: list[str], *, vertical: float = 0.3, facing: float = 0.85) -> DataFrame:
+    """Points on walls as (axis, sign, at, along, h, band_lo, band_hi): axis u for planes of constant u; at is the plane's coordinate. The
+    band is one for all, or each key's (height_bands)."""
+    p = points.filter(F.abs("ny") < vertical)
+    if isinstance(h_band, DataFrame):
+        p = p.join(h_band, keys) if keys else p.crossJoin(F.broadcast(h_band))  # one row without keys
+    else:
+        p = p.withColumns({"band_lo": F.lit(float(h_band[0])), "band_hi": F.lit(float(h_band[1]))})
+    p = p.filter((F.col("h") > F.col("band_lo")) & (F.col("h") < F.col("band_hi")))
+    side = lambda n, at, along, axis: p.filter(F.abs(n) > facing).select(*keys, F.lit(axis).alias("axis"), F.signum(n).cast("int").alias("sign"), F.col(at).cast("double").alias("at"), F.col(along).cast("double").alias("along"), F.col("h").cast("double").alias("h"), "band_lo", "band_hi")
     return side("nu", "u", "v", "u").unionByName(side("nv", "v", "u", "v"))
 
 
-def wall_faces(walls: DataFrame, h_band: tuple[float, float], keys: list[str], *, width: float = 0.01, least: int = 60, reach: float = 0.03, column: float = 0.05, h_step: float = 0.15, cover: float = priors.WALL_COVERAGE, solid: float = priors.WALL_SOLID) -> tuple[DataFrame, DataFrame]:
+def wall_faces(walls: DataFrame, keys: list[str], *, width: float = 0.01, least: int = 60, reach: float = 0.03, column: float = 0.05, h_step: float = 0.15, cover: float = priors.WALL_COVERAGE, solid: float = priors.WALL_SOLID) -> tuple[DataFrame, DataFrame]:
     """(faces, face_intervals): peaks of the smoothed histogram of each family, with the mean, spread and count of what lies within
     ``reach`` of the peak, and the solid intervals: columns along the wall, closed over small gaps, whose height is covered."""
     fam = [*keys, "axis", "sign"]
@@ -37,7 +54,7 @@ def wall_faces(walls: DataFrame, h_band: tuple[float, float], keys: list[str], *
     near = walls.withColumn("_b", F.floor(F.col("at") / reach)).join(peaks.withColumn("_b", F.explode(F.sequence(F.floor((F.col("peak") - reach) / reach), F.floor((F.col("peak") + reach) / reach)))), [*fam, "_b"]).filter(F.abs(F.col("at") - F.col("peak")) < reach).drop("_b")
     face = [*fam, "peak"]
     stats = robust.inlier_stats(near, "at", reach, face).filter(F.col("n") >= least)
-    cols = robust.height_coverage(near.withColumn("col", F.floor(F.col("along") / column)), [*face, "col"], F.col("h"), h_band[0], h_band[1], h_step).filter(F.col("coverage") >= cover)
+    cols = robust.height_coverage(near.withColumn("col", F.floor(F.col("along") / column)), [*face, "col"], F.col("h"), F.col("band_lo"), F.col("band_hi"), h_step).filter(F.col("coverage") >= cover)
     runs = intervals.closed_runs(cols, "col", face, 2, column, 0.25)
     length = runs.groupBy(*face).agg(F.sum(F.col("b") - F.col("a")).alias("length")).filter(F.col("length") >= solid)
     faces = stats.join(length, face).select(*keys, "axis", "sign", "peak", F.col("mean").alias("coord"), "std", "n", "length")
@@ -82,9 +99,21 @@ def complex_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
     return right.unionByName(up)
 
 
-def classified_edges(edges: DataFrame, parts: DataFrame, keys: list[str], *, near: float = 0.04, cover: float = 0.5, door: tuple[float, float] = (priors.DOOR_MIN, priors.DOOR_MAX), collinear: float = 0.5) -> DataFrame:
-    """edges with covered, gap_a, gap_b and kind: door if the line's wall has a gap at the edge's middle, bounded on both sides, of a door's
-    width, on a line with enough wall; wall if solid intervals cover over half of the edge; else open."""
+def jambs(parts: DataFrame, lines: DataFrame, keys: list[str], *, least: float = 0.8, reach: float = 0.1, half: float = 0.005) -> DataFrame:
+    """keys, axis, line, a, b: where the long faces that run across a line meet it, or end just before it: what a door beside a corner closes
+    against. lines: axis, line, coord; parts: the faces' solid intervals."""
+    size = 1.0
+    long = parts.groupBy(*keys, "face_id").agg(F.sum(F.col("b") - F.col("a")).alias("_len")).filter(F.col("_len") >= least).drop("_len")
+    p = parts.join(long, [*keys, "face_id"], "left_semi").select(*keys, F.when(F.col("axis") == "u", "v").otherwise("u").alias("axis"), F.col("coord").alias("_at"), (F.col("a") - reach).alias("_lo"), (F.col("b") + reach).alias("_hi"))
+    p = p.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
+    on = lines.withColumn("_bin", F.floor(F.col("coord") / size)).join(p, [*keys, "axis", "_bin"]).filter((F.col("coord") >= F.col("_lo")) & (F.col("coord") <= F.col("_hi")))
+    return on.select(*keys, "axis", "line", (F.col("_at") - half).alias("a"), (F.col("_at") + half).alias("b")).distinct()
+
+
+def classified_edges(edges: DataFrame, parts: DataFrame, keys: list[str], *, near: float = 0.04, touch: float = 0.03, cover: float = 0.5, door: tuple[float, float] = (priors.DOOR_MIN, priors.DOOR_MAX), collinear: float = 0.5) -> DataFrame:
+    """edges with covered, gap_a, gap_b and kind: door if the line's wall has a gap at the edge's middle, bounded on both sides by wall or jambs
+    (on one by wall of the line itself), of a door's width, on a line with enough wall; wall if solid intervals cover over half of the
+    edge; else open."""
     line = [*keys, "axis", "line"]
     lines = edges.select(*line, "coord").distinct()
     p = parts.select(*keys, "axis", F.col("coord").alias("_pc"), F.col("a").alias("_pa"), F.col("b").alias("_pb"))
@@ -92,18 +121,22 @@ def classified_edges(edges: DataFrame, parts: DataFrame, keys: list[str], *, nea
     on = lines.withColumn("_bin", F.floor(F.col("coord") / near)).join(p, [*keys, "axis", "_bin"]).filter(F.abs(F.col("coord") - F.col("_pc")) < near)
     on = intervals.merged(on.select(*line, F.col("_pa").alias("a"), F.col("_pb").alias("b")), "a", "b", line)
     walls = on.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_w"))
-    e = edges.join(walls, line, "left").withColumn("_w", F.coalesce("_w", F.expr("cast(array() as array<struct<a:double,b:double>>)")))
+    across = jambs(parts, lines, keys).groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_j"))
+    none = F.expr("cast(array() as array<struct<a:double,b:double>>)")
+    e = edges.join(walls, line, "left").join(across, line, "left").withColumns({"_w": F.coalesce("_w", none), "_j": F.coalesce("_j", none)})
+    e = e.withColumn("_j", F.concat("_w", "_j"))
     mid = (F.col("a") + F.col("b")) / 2
     part = F.aggregate("_w", F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), F.least(F.col("b"), x["b"]) - F.greatest(F.col("a"), x["a"])))
-    lo = F.array_max(F.transform(F.filter("_w", lambda x: x["b"] <= mid + 1e-9), lambda x: x["b"]))
-    hi = F.array_min(F.transform(F.filter("_w", lambda x: x["a"] >= mid - 1e-9), lambda x: x["a"]))
+    lo = F.array_max(F.transform(F.filter("_j", lambda x: x["b"] <= mid + 1e-9), lambda x: x["b"]))
+    hi = F.array_min(F.transform(F.filter("_j", lambda x: x["a"] >= mid - 1e-9), lambda x: x["a"]))
     total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["b"] - x["a"])
     e = e.withColumns({"covered": part / (F.col("b") - F.col("a")), "gap_a": lo, "gap_b": hi, "_t": total})
     gap = F.col("gap_b") - F.col("gap_a")
     free = ~F.exists("_w", lambda x: (x["a"] < mid) & (x["b"] > mid))
-    doorway = F.coalesce(free & (gap >= door[0] - 1e-9) & (gap <= door[1] + 1e-9) & (F.col("_t") >= collinear), F.lit(False))
+    own = F.exists("_w", lambda x: (x["b"] - x["a"] > 0.02) & ((F.abs(x["b"] - F.col("gap_a")) < touch) | (F.abs(x["a"] - F.col("gap_b")) < touch)))
+    doorway = F.coalesce(free & own & (gap >= door[0] - 1e-9) & (gap <= door[1] + 1e-9) & (F.col("_t") >= collinear), F.lit(False))
     kind = F.when(doorway, "door").when(F.col("covered") > cover, "wall").otherwise("open")
-    return e.withColumn("kind", kind).drop("_w", "_t")
+    return e.withColumn("kind", kind).drop("_w", "_j", "_t")
 
 
 def filled(cells: DataFrame, edges: DataFrame, keys: list[str], *, inside: float = 0.5, rounds: int = 4, some: float = 0.08) -> DataFrame:
@@ -120,8 +153,18 @@ def filled(cells: DataFrame, edges: DataFrame, keys: list[str], *, inside: float
     return now
 
 
+def numbered(cells: DataFrame, group: str, keys: list[str], least: float = priors.SPACE_MIN_AREA) -> DataFrame:
+    """cells with room (1, 2, ... in the order of the groups' lowest cells) for their group; cells of no group, and groups under ``least``, go."""
+    r = cells.filter(F.col(group).isNotNull())
+    g = r.groupBy(*keys, group).agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("_area"), F.min(F.struct("i", "j")).alias("_first")).filter(F.col("_area") >= least)
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    g = g.select(*keys, F.col(group).alias("_g"), F.row_number().over(w.orderBy("_first")).alias("_room"))
+    out = r.withColumn("_g", F.col(group)).join(g, [*keys, "_g"]).drop("_g", group)
+    return out.withColumnRenamed("_room", "room")
+
+
 def rooms_of(cells: DataFrame, edges: DataFrame, keys: list[str], least: float = priors.SPACE_MIN_AREA) -> DataFrame:
-    """Inside cells with room (1, 2, ... from the lowest cell on): joined over open edges; rooms under ``least`` go."""
+    """Inside cells with room: joined over open edges; rooms under ``least`` go."""
     name = lambda i, j: (F.col(i) * F.lit(1 << 20) + F.col(j)).cast("long")
     ins = cells.filter("inside").withColumn("node", name("i", "j"))
     links = edges.filter(F.col("kind") == "open").select(*keys, name("i", "j").alias("a"), name("i2", "j2").alias("b"))
@@ -129,10 +172,34 @@ def rooms_of(cells: DataFrame, edges: DataFrame, keys: list[str], least: float =
     links = links.join(ok.withColumnRenamed("node", "a"), [*keys, "a"], "left_semi").join(ok.withColumnRenamed("node", "b"), [*keys, "b"], "left_semi")
     comp = connected_components(links, keys=keys)
     r = ins.join(comp, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
-    area = r.groupBy(*keys, "component").agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("_area")).filter(F.col("_area") >= least)
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    area = area.withColumn("room", F.row_number().over(order.orderBy("component")))
-    return r.join(area.drop("_area"), [*keys, "component"]).drop("node", "component")
+    return numbered(r, "component", keys, least).drop("node")
+
+
+def rooms_by_barrier(cells: DataFrame, edges: DataFrame, closed: DataFrame, res: float, keys: list[str], *, core: float = 0.6, half: float = 0.05, least: float = priors.SPACE_MIN_AREA) -> DataFrame:
+    """Inside cells with room: the plan's raster without its barrier (closed: keys, r, c) and without the wall and door edges falls into
+    connected pieces; a cell belongs to the piece, of ``core`` square metres or more, that holds most of it, a cell without one to the
+    neighbour with the longest open edge."""
+    ins = cells.filter("inside")
+    own = raster.rectangle_cells(ins, res, [*keys, "i", "j"])
+    grow = max(half, res)
+    c, a, b = F.col("coord"), F.col("a"), F.col("b")
+    wall = edges.filter("kind <> 'open'").select(*keys, F.when(F.col("axis") == "u", c - grow).otherwise(a).alias("u0"), F.when(F.col("axis") == "u", c + grow).otherwise(b).alias("u1"), F.when(F.col("axis") == "u", a).otherwise(c - grow).alias("v0"), F.when(F.col("axis") == "u", b).otherwise(c + grow).alias("v1"))
+    cell = [*keys, "r", "c"]
+    free = own.join(closed.select(*cell).unionByName(raster.rectangle_cells(wall, res, keys)).distinct(), cell, "left_anti").checkpoint()
+    piece = cell_components(free.select(*cell).distinct(), "r", "c", keys, diagonal=False)
+    large = piece.groupBy(*keys, "component").agg(F.count("*").alias("_n")).filter(F.col("_n") * res * res >= core).drop("_n")
+    most = free.join(piece.join(large, [*keys, "component"], "left_semi"), cell).groupBy(*keys, "i", "j", "component").agg(F.count("*").alias("_n"))
+    most = most.groupBy(*keys, "i", "j").agg(F.max_by("component", F.struct("_n", -F.col("component"))).alias("room"))
+    labelled = orphans_joined(ins.join(most, [*keys, "i", "j"], "left"), edges, keys)
+    return numbered(labelled.withColumnRenamed("room", "piece"), "piece", keys, least)
+
+
+def borders(cells: DataFrame, edges: DataFrame, keys: list[str], region: str = "room") -> DataFrame:
+    """keys, a, b, length: how long different regions of cells border on each other; a is the lower one."""
+    of = lambda i, j, n: cells.select(*keys, F.col("i").alias(i), F.col("j").alias(j), F.col(region).cast("long").alias(n))
+    e = edges.select(*keys, "i", "j", "i2", "j2", (F.col("b") - F.col("a")).alias("_len"))
+    e = e.join(of("i", "j", "_x"), [*keys, "i", "j"]).join(of("i2", "j2", "_y"), [*keys, "i2", "j2"]).filter("_x <> _y")
+    return e.groupBy(*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).agg(F.sum("_len").alias("length"))
 
 
 def orphans_joined(cells: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 3) -> DataFrame:
@@ -149,12 +216,14 @@ def orphans_joined(cells: DataFrame, edges: DataFrame, keys: list[str], rounds:
 
 
 def room_openings(edges: DataFrame, rooms: DataFrame, keys: list[str], least: float = 0.45) -> DataFrame:
-    """keys, axis, coord, a, b, room_a, room_b, kind: runs of door edges between the same two rooms, and open ones; a is the lower room."""
+    """keys, axis, coord, a, b, room_a, room_b, kind (door up to a door's width, else opening): runs of edges without wall between the same two
+    rooms; a is the lower room."""
     r = lambda i, j, n: rooms.select(*keys, F.col("i").alias(i), F.col("j").alias(j), F.col("room").alias(n))
     e = edges.filter(F.col("kind") != "wall").join(r("i", "j", "_r1"), [*keys, "i", "j"]).join(r("i2", "j2", "_r2"), [*keys, "i2", "j2"]).filter("_r1 <> _r2")
     e = e.withColumns({"room_a": F.least("_r1", "_r2"), "room_b": F.greatest("_r1", "_r2")})
-    runs = intervals.opening_runs(e.withColumns({"lo": F.coalesce("gap_a", "a"), "hi": F.coalesce("gap_b", "b")}), "ord", [*keys, "axis", "line", "coord", "room_a", "room_b", "kind"], "lo", "hi")
-    return runs.filter(F.col("b") - F.col("a") >= least).select(*keys, "axis", "coord", "a", "b", "room_a", "room_b", "kind")
+    runs = intervals.opening_runs(e.withColumns({"lo": F.coalesce("gap_a", "a"), "hi": F.coalesce("gap_b", "b")}), "ord", [*keys, "axis", "line", "coord", "room_a", "room_b"], "lo", "hi")
+    kind = F.when(F.col("b") - F.col("a") <= priors.DOOR_MAX + 1e-9, "door").otherwise("opening")
+    return runs.filter(F.col("b") - F.col("a") >= least).select(*keys, "axis", "coord", "a", "b", "room_a", "room_b", kind.alias("kind"))
 
 
 def adjacency(openings: DataFrame, keys: list[str]) -> DataFrame:
@@ -244,7 +313,8 @@ def cleaned_regions(regions: DataFrame, borders: DataFrame, keys: list[str], *,
             out.insert(0, k, v)
         return out
 
-    return regions.groupBy(*keys).cogroup(borders.groupBy(*keys)).applyInPandas(run, f"{head}region long, to long")
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns])  # noqa: E731  new columns: both tables may stem from one
+    return fresh(regions).groupBy(*keys).cogroup(fresh(borders).groupBy(*keys)).applyInPandas(run, f"{head}region long, to long")
 
 
 def neck_splits(rooms: DataFrame, edges: DataFrame, keys: list[str], *, most: float = priors.NECK_MAX, least_area: float = priors.NECK_MIN_AREA) -> DataFrame:
@@ -354,17 +424,31 @@ def core_splits(cells: DataFrame, keys: list[str], res: float, *, from_area: flo
     return cells.groupBy(*keys).applyInPandas(run, f"{head}, part long")
 
 
-def windows_of(parts: DataFrame, points: DataFrame, keys: list[str], *, least: float = 0.5, most: float = priors.WINDOW_MAX, low: tuple[float, float] = (0.25, 0.85), high: tuple[float, float] = (1.1, 1.8), low_points: int = 30, share: float = 0.3, near: float = 0.08) -> DataFrame:
+def windows_of(parts: DataFrame, points: DataFrame, keys: list[str], *, least: float = 0.5, most: float = priors.WINDOW_MAX, low: tuple[float, float] = (0.25, 0.85), high: tuple[float, float] = (1.1, 1.8), low_points: int = 30, share: float = 0.3, near: float = 0.06, inset: float = 0.05) -> DataFrame:
     """keys, face_id, axis, coord, a, b, sill: gaps between a face's solid intervals with wall below (points on the plane) and little above."""
     g = intervals.gaps(parts, [*keys, "face_id", "axis", "coord"], least=least, most=most)
     p = points.select(*keys, "axis", F.floor(F.col("at") / near).alias("_b"), "at", "along", "h")
     j = g.withColumn("_b", F.explode(F.sequence(F.floor((F.col("coord") - near) / near), F.floor((F.col("coord") + near) / near)))).join(p, [*keys, "axis", "_b"])
-    j = j.filter((F.abs(F.col("at") - F.col("coord")) < near) & (F.col("along") > F.col("a")) & (F.col("along") < F.col("b")))
+    j = j.filter((F.abs(F.col("at") - F.col("coord")) < near) & (F.col("along") > F.col("a") + inset) & (F.col("along") < F.col("b") - inset))
     is_low = F.col("h").between(*low)
     s = j.groupBy(*keys, "face_id", "axis", "coord", "a", "b").agg(F.count_if(is_low).alias("_low"), F.count_if(F.col("h").between(*high)).alias("_high"), F.percentile(F.when(is_low, F.col("h")), 0.98).alias("sill"))
     return s.filter((F.col("_low") > low_points) & (F.col("_high") < share * F.col("_low"))).drop("_low", "_high")
 
 
+def exterior_windows(windows: DataFrame, faces: DataFrame, rooms: DataFrame, keys: list[str], model: ErrorModel = LIDAR, *, inner: float = 0.15, outer: float = 0.25) -> DataFrame:
+    """windows with room and width {value, ci95}: those with a room just in front of the face and none behind it."""
+    w = windows.join(faces.select(*keys, "face_id", "sign"), [*keys, "face_id"])
+    mid = (F.col("a") + F.col("b")) / 2
+    for name, at in (("in", F.col("coord") + inner * F.col("sign")), ("out", F.col("coord") - outer * F.col("sign"))):
+        w = w.withColumns({f"_u_{name}": F.when(F.col("axis") == "u", at).otherwise(mid), f"_v_{name}": F.when(F.col("axis") == "u", mid).otherwise(at)})
+    r = rooms.select(*keys, "room", "u0", "u1", "v0", "v1")
+    hit = spatial.point_in_rectangles(w, r, "_u_in", "_v_in", "room", "room", keys=keys)
+    behind = spatial.point_in_rectangles(w.select(*keys, "face_id", "a", "_u_out", "_v_out"), r, "_u_out", "_v_out", "room", "room", keys=keys)
+    out = hit.join(behind.select(*keys, "face_id", "a"), [*keys, "face_id", "a"], "left_anti")
+    width = F.col("b") - F.col("a")
+    return out.select(*windows.columns, "room", measured(width, opening_ci(F.lit("window"), width, model)).alias("width"))
+
+
 def wall_solids(rooms: DataFrame, keys: list[str], shell: float = 0.20) -> DataFrame:
     """keys, room, u0, u1, v0, v1: the rooms' rectangles grown by the outer wall's thickness."""
     return rooms.select(*keys, "room", *[(F.col(c) + s * shell).alias(c) for c, s in (("u0", -1), ("u1", 1), ("v0", -1), ("v1", 1))])
@@ -382,12 +466,12 @@ def side_by_side(rooms: DataFrame, order: list[Column], keys: list[str], gap: fl
     return rooms.withColumn("offset", F.coalesce(F.sum(F.col("width") + gap).over(w), F.lit(0.0)))
 
 
-def oriented_walls(walls: DataFrame, keys: list[str], res: float, h_band: tuple[float, float], *, h_step: float = 0.15, cover: float = 0.4) -> DataFrame:
+def oriented_walls(walls: DataFrame, keys: list[str], res: float, *, h_step: float = 0.15, cover: float = 0.4) -> DataFrame:
     """keys, axis, r, c: cells of each wall family in whose surroundings (three by three) enough of the height is covered."""
     at_u = F.col("axis") == "u"
     u, v = F.when(at_u, F.col("at")).otherwise(F.col("along")), F.when(at_u, F.col("along")).otherwise(F.col("at"))
     cells = walls.withColumns({"r": F.floor(v / res), "c": F.floor(u / res)})
-    cov = robust.height_coverage(cells, [*keys, "axis", "r", "c"], F.col("h"), h_band[0], h_band[1], h_step)
+    cov = robust.height_coverage(cells, [*keys, "axis", "r", "c"], F.col("h"), F.col("band_lo"), F.col("band_hi"), h_step)
     return raster.boxed_sum(cov, "coverage").filter(F.least(F.col("coverage"), F.lit(1.0)) > cover).drop("coverage")
 
 

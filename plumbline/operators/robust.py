@@ -130,11 +130,12 @@ def confidence_levels(df: DataFrame, conf: str, view: str, least: int = 100) ->
     return d.withColumn("level", F.when(F.col("_n") < least, 0).when(F.col(conf) < F.col("_p15"), 0).when(F.col(conf) < F.col("_p40"), 1).otherwise(2)).drop("_p15", "_p40", "_n")
 
 
-def height_coverage(df: DataFrame, cell: list[str], h: Column, lo: float, hi: float, step: float) -> DataFrame:
-    """cell, coverage: the share of the height bins in (lo, hi) that hold a point."""
-    bins = max(1, math.ceil((hi - lo) / step - 1e-9))
-    b = F.least(F.floor((h - lo) / step), F.lit(bins - 1))
-    return df.filter((h > lo) & (h < hi)).groupBy(*cell).agg((F.count_distinct(b) / bins).alias("coverage"))
+def height_coverage(df: DataFrame, cell: list[str], h: Column, lo: float | Column, hi: float | Column, step: float) -> DataFrame:
+    """cell, coverage: the share of the height bins in (lo, hi) that hold a point. Columns lo and hi are the same throughout a cell."""
+    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
+    bins = F.greatest(F.lit(1).cast("long"), F.ceil((hi - lo) / step - 1e-9))
+    d = df.filter((h > lo) & (h < hi)).select(*cell, F.least(F.floor((h - lo) / step), bins - 1).alias("_b"), bins.alias("_bins"))
+    return d.groupBy(*cell).agg((F.count_distinct("_b") / F.max("_bins")).alias("coverage"))
 
 
 def voxel_nearest(df: DataFrame, xyz: list[str], size: float, order: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import priors
-from ..functions.intervals95 import LIDAR, ErrorModel, area_ci, face_sigma, length_ci, measured
+from ..functions.intervals95 import LIDAR, ErrorModel, area_ci, ceiling_ci, face_sigma, length_ci, measured
 from . import intervals, spatial
 
 
@@ -48,10 +48,10 @@ def room_areas(cells: DataFrame, dims: DataFrame, keys: list[str]) -> DataFrame:
     return r.select(*keys, "room", measured(F.col("_area"), ci, 3).alias("area"), *[measured(F.col(f"{c}_{a}"), F.col(f"{c}_ci_{a}")).alias(f"{c}_{a}") for c in ("length", "extent") for a in ("u", "v")], (F.col("bounded_u") & F.col("bounded_v")).alias("bounded"))
 
 
-def room_ceilings(points: DataFrame, areas: DataFrame, keys: list[str], *, band: tuple[float, float] = (1.9, 4.5), width: float = 0.01, top: int = 40, reach: float = 0.03, cell: float = 0.25, least: int = 150, cover: float = priors.CEILING_COVERAGE, rise: float = 0.05) -> DataFrame:
-    """keys, room, ceiling, n, coverage: of the fullest height bins of down-facing points those whose level has enough points over enough
-    of the room; in the order of their counts, a later one wins if it is higher by ``rise``. No such level: no row.
-    points: room, u, v, h; areas: room, area."""
+def room_ceilings(points: DataFrame, areas: DataFrame, keys: list[str], floors: DataFrame | None = None, model: ErrorModel = LIDAR, *, band: tuple[float, float] = (1.9, 4.5), width: float = 0.01, top: int = 40, reach: float = 0.03, cell: float = 0.25, least: int = 150, cover: float = priors.CEILING_COVERAGE, rise: float = 0.05) -> DataFrame:
+    """keys, room, ceiling (mean of the level's points), ci95, n, coverage: of the fullest height bins of down-facing points those whose level
+    has enough points over enough of the room; in the order of their counts, a later one wins if its level is higher by ``rise``. No such
+    level: no row. points: room, u, v, h; areas: room, area; floors: keys, floor_sigma (4 mm without)."""
     by = [*keys, "room"]
     p = points.filter((F.col("h") >= band[0]) & (F.col("h") < band[1])).withColumn("_bin", F.floor((F.col("h") - band[0]) / width))
     bins = p.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
@@ -60,22 +60,43 @@ def room_ceilings(points: DataFrame, areas: DataFrame, keys: list[str], *, band:
     cand = top_k(bins, by, [F.desc("_n"), F.desc("_bin")], top, "_rank").withColumn("_level", band[0] + (F.col("_bin") + 0.5) * width)
     q = p.withColumn("_k", F.floor(F.col("h") / reach))
     j = cand.withColumn("_k", F.explode(F.sequence(F.floor((F.col("_level") - reach) / reach), F.floor((F.col("_level") + reach) / reach)))).drop("_bin").join(q, [*by, "_k"]).filter(F.abs(F.col("h") - F.col("_level")) < reach)
-    lev = j.groupBy(*by, "_rank").agg(F.count("*").alias("n"), F.median("h").alias("ceiling"), F.count_distinct(F.struct(F.floor(F.col("u") / cell), F.floor(F.col("v") / cell))).alias("_cells"))
+    lev = j.groupBy(*by, "_rank").agg(F.first("_level").alias("_level"), F.count("*").alias("n"), F.avg("h").alias("ceiling"), F.stddev_pop("h").alias("_std"), F.count_distinct(F.struct(F.floor(F.col("u") / cell), F.floor(F.col("v") / cell))).alias("_cells"))
     lev = lev.join(areas.select(*by, "area"), by).withColumn("coverage", F.least(F.col("_cells") * cell * cell / F.col("area"), F.lit(1.0))).filter((F.col("n") >= least) & (F.col("coverage") >= cover))
-    item = F.struct("_rank", "ceiling", "n", "coverage")
+    item = F.struct("_rank", "_level", "ceiling", "_std", "n", "coverage")
     folded = lev.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_l"))  # at most ``top``
-    best = F.aggregate(F.slice("_l", 2, top), F.element_at("_l", 1), lambda b, x: F.when(x["ceiling"] > b["ceiling"] + rise, x).otherwise(b))
-    return folded.select(*by, best.alias("_b")).select(*by, "_b.ceiling", "_b.n", "_b.coverage")
+    best = F.aggregate(F.slice("_l", 2, top), F.element_at("_l", 1), lambda b, x: F.when(x["_level"] > b["_level"] + rise, x).otherwise(b))
+    got = folded.select(*by, best.alias("_b")).select(*by, "_b.*")
+    if floors is not None:
+        got = got.join(floors.select(*keys, "floor_sigma"), keys, "left") if keys else got.join(F.broadcast(floors.select("floor_sigma")), F.lit(True), "left")
+    sigma = F.coalesce("floor_sigma", F.lit(0.004)) if floors is not None else F.lit(0.004)
+    return got.select(*by, "ceiling", ceiling_ci(F.col("ceiling"), F.col("_std"), F.col("n"), sigma, model).alias("ci95"), "n", "coverage")
 
 
-def room_features(cells: DataFrame, openings: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, room, area, long_side, short_side, elongation, n_openings, degree (of the axis-aligned bounding box; rooms are rectilinear)."""
+def room_features(cells: DataFrame, openings: DataFrame, keys: list[str], *, res: float = 0.05, below: DataFrame | None = None, seen: DataFrame | None = None, walked: DataFrame | None = None) -> DataFrame:
+    """keys, room, area, long_side, short_side, elongation (of the axis-aligned bounding box; rooms are rectilinear), inscribed_width, n_openings,
+    degree, below_points, seen, walked. below: points (u, v) of surfaces below the floor's level; seen, walked: rasters (r, c) of floor
+    evidence and of the camera's way. What isn't given counts as nothing."""
+    from . import raster
+
     by = [*keys, "room"]
     g = cells.groupBy(*by).agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"), (F.max("u1") - F.min("u0")).alias("_w"), (F.max("v1") - F.min("v0")).alias("_h"))
     ends = openings.select(*keys, F.explode(F.array(F.struct(F.col("room_a").alias("room"), F.col("room_b").alias("other")), F.struct(F.col("room_b").alias("room"), F.col("room_a").alias("other")))).alias("_e")).select(*keys, "_e.*")
     o = ends.filter("room is not null").groupBy(*by).agg(F.count("*").alias("n_openings"), F.count_distinct("other").alias("degree"))
-    g = g.join(o, by, "left").fillna(0, ["n_openings", "degree"])
-    return g.select(*by, "area", F.greatest("_w", "_h").alias("long_side"), F.least("_w", "_h").alias("short_side"), (F.greatest("_w", "_h") / F.least("_w", "_h")).alias("elongation"), "n_openings", "degree")
+    mask = raster.rectangle_cells(cells, res, by).checkpoint()
+    g = g.join(o, by, "left").join(raster.inscribed_width(mask, by, res), by, "left")
+    if below is not None:
+        hit = spatial.point_in_rectangles(below.select(*keys, "u", "v", F.monotonically_increasing_id().alias("_id")), cells.select(*by, "u0", "u1", "v0", "v1"), "u", "v", "room", "room", keys=keys)
+        g = g.join(hit.groupBy(*by).agg(F.count("*").alias("below_points")), by, "left")
+    else:
+        g = g.withColumn("below_points", F.lit(0).cast("long"))
+    for name, cover in (("seen", seen), ("walked", walked)):
+        if cover is not None:
+            g = g.join(raster.overlap_share(mask, cover, keys, "room").withColumnRenamed("share", name), by, "left")
+        else:
+            g = g.withColumn(name, F.lit(0.0))
+    g = g.fillna(0, ["n_openings", "degree", "below_points", "seen", "walked"])
+    long, short = F.greatest("_w", "_h"), F.least("_w", "_h")
+    return g.select(*by, "area", long.alias("long_side"), short.alias("short_side"), (long / F.greatest(short, F.lit(0.1))).alias("elongation"), "inscribed_width", "n_openings", "degree", "below_points", "seen", "walked")
 
 
 def _table(spark, rows: list[tuple], names: list[str]) -> DataFrame:

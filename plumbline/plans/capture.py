@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import priors
 from ..functions.geometry import grid_index
-from ..functions.intervals95 import LIDAR, ErrorModel, opening_ci
-from ..operators import plan2d, raster, robust, rooms
+from ..functions.intervals95 import LIDAR, ErrorModel, floor_sigma, measured, opening_ci
+from ..operators import plan2d, raster, robust, rooms, spatial
 
 POINT_COLUMNS = ["u", "v", "h", "nu", "nv", "ny"]
 
@@ -24,6 +25,11 @@ class PlanTables:
     openings: DataFrame
     adjacency: DataFrame
     ceilings: DataFrame
+    windows: DataFrame
+    outlines: DataFrame
+    features: DataFrame
+    types: DataFrame
+    footprint: DataFrame
 
 
 def plan_coordinates(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,35 +43,83 @@ def plan_coordinates(points: DataFrame, keys: list[str]) -> DataFrame:
     return p.withColumns({"u": u, "v": v, "h": F.col("y") - F.col("floor"), "nu": nu, "nv": nv}).drop("floor", "yaw")
 
 
-def height_band(points: DataFrame, least: float = 0.25, most: float = 9.0) -> tuple[float, float]:
-    """The band of wall heights: up to the 97th percentile of vertical surfaces."""
-    top = points.filter((F.abs("ny") < 0.3) & (F.col("h") > 0.1)).agg(F.percentile("h", 0.97)).first()[0]
-    return least, min(top if top is not None else most, most)
+def _evidence(points: DataFrame, floor: DataFrame, cameras: DataFrame | None, res: float, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(cells with floor, furniture tops or free space near the floor or the way, closed; cells of the camera's way)."""
+    cell = lambda d: d.select(*keys, grid_index(F.col("v"), 0.0, res).alias("r"), grid_index(F.col("u"), 0.0, res).alias("c")).distinct()
+    seen, walked = cell(floor), None
+    sure = seen
+    if cameras is not None:
+        walked = raster.dilated(cell(cameras), raster.disk(max(1, round(0.1 / res)))).checkpoint()
+        sure = raster.union(seen, walked)
+    near = raster.dilated(sure, raster.disk(max(1, round(0.6 / res))))
+    extra = cell(points.filter((F.col("ny") > 0.9) & F.col("h").between(0.08, 1.3)))
+    if cameras is not None and "frame_id" in points.columns:
+        hits = points.filter(F.col("h").between(0.4, 1.6)).select(*keys, "frame_id", F.col("u").alias("u1"), F.col("v").alias("v1")).join(cameras.select(*keys, "frame_id", F.col("u").alias("u0"), F.col("v").alias("v0")), [*keys, "frame_id"])
+        extra = raster.union(extra, raster.ray_cells(hits, res, keys, stop_short=max(1, round(0.06 / res))))
+    return raster.closed(raster.union(sure, raster.both(extra, near)), raster.disk(max(1, round(0.08 / res)))), walked
 
 
-def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float] | None = None, res: float = 0.05, model: ErrorModel = LIDAR, cover: float = 0.55) -> PlanTables:
-    """points: keys, u, v, h, nu, nv, ny (plan coordinates). Faces, cut lines, the complex, rooms, openings, dimensions, ceilings."""
-    band = band or height_band(points)
-    walls = plan2d.wall_families(points, band, keys)
-    faces, parts = plan2d.wall_faces(walls, band, keys, cover=cover)
+def _spaces(cells: DataFrame, edges: DataFrame, seen: DataFrame, walked: DataFrame | None, res: float, keys: list[str]) -> DataFrame:
+    """Rooms cut at necks; then voids go and slivers join their neighbours; numbered anew."""
+    parts = plan2d.neck_splits(cells, edges, keys).withColumnRenamed("part", "_part")
+    cut = cells.join(parts, [*keys, "room", "i", "j"]).withColumn("_g", F.col("room").cast("long") * F.lit(1 << 20) + F.col("_part")).drop("room", "_part")
+    cut = plan2d.numbered(cut, "_g", keys, 0.0).checkpoint()
+    by = [*keys, "room"]
+    mask = raster.rectangle_cells(cut, res, by).checkpoint()
+    region = cut.groupBy(*by).agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"))
+    region = region.join(raster.inscribed_width(mask, by, res).withColumnRenamed("inscribed_width", "width"), by).join(raster.overlap_share(mask, seen, keys, "room").withColumnRenamed("share", "seen"), by)
+    region = region.join(raster.overlap_share(mask, walked, keys, "room").withColumnRenamed("share", "walked"), by) if walked is not None else region.withColumn("walked", F.lit(0.0))
+    to = plan2d.cleaned_regions(region.withColumn("room", F.col("room").cast("long")).withColumnRenamed("room", "region"), plan2d.borders(cut, edges, keys), keys)
+    named = cut.join(to.select(*keys, F.col("region").cast("int").alias("room"), "to"), [*keys, "room"]).drop("room")
+    return plan2d.numbered(named, "to", keys, 0.0)
+
+
+def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float] | None = None, res: float = 0.05, model: ErrorModel = LIDAR, cover: float = 0.55, cameras: DataFrame | None = None, fixtures: DataFrame | None = None) -> PlanTables:
+    """points: keys, u, v, h, nu, nv, ny (plan coordinates) and, for free space, frame_id; cameras: keys, frame_id, u, v; fixtures: keys, u, v,
+    class, conf. Faces, cut lines, the complex, rooms parted by barriers and necks, openings, windows, outlines, dimensions, ceilings,
+    features and types. Each key is a capture with a band of heights of its own; without keys give points a constant one."""
+    walls = plan2d.wall_families(points, band or plan2d.height_bands(points, keys).checkpoint(), keys)
+    faces, parts = plan2d.wall_faces(walls, keys, cover=cover)
     faces, parts = faces.checkpoint(), parts.checkpoint()
     floor = points.filter((F.col("ny") > 0.9) & (F.abs("h") < 0.04))
+    seen, walked = _evidence(points, floor, cameras, res, keys)
+    seen = seen.checkpoint()
     bounds = points.groupBy(*keys).agg(F.min("u").cast("double").alias("u0"), F.max("u").cast("double").alias("u1"), F.min("v").cast("double").alias("v0"), F.max("v").cast("double").alias("v1"))
     cuts = plan2d.cut_coordinates(faces, bounds, keys)
-    cells = plan2d.complex_cells(cuts, keys)
-    seen = floor.select(*keys, grid_index(F.col("v"), 0.0, res).alias("r"), grid_index(F.col("u"), 0.0, res).alias("c")).distinct()
-    seen = raster.closed(seen, raster.box(1))
-    cells = plan2d.cell_fractions(cells, seen, res, keys).checkpoint()
+    cells = plan2d.cell_fractions(plan2d.complex_cells(cuts, keys), seen, res, keys).checkpoint()
     edges = plan2d.classified_edges(plan2d.complex_edges(cells, keys), parts, keys).checkpoint()
     cells = plan2d.filled(cells, edges, keys).checkpoint()
-    found = plan2d.rooms_of(cells, edges, keys).checkpoint()
+    closed = plan2d.barrier(plan2d.oriented_walls(walls, keys, res), keys, int(priors.DOOR_MAX / res))
+    found = plan2d.rooms_by_barrier(cells, edges, closed, res, keys).checkpoint()
+    found = _spaces(found, edges, seen, walked, res, keys).checkpoint()
     openings = plan2d.room_openings(edges, found, keys)
+    width = F.col("b") - F.col("a")
+    openings = openings.withColumn("width", measured(width, opening_ci(F.col("kind"), width, model)))
+    if walked is not None:
+        mid = (F.col("a") + F.col("b")) / 2
+        at = {"r": F.floor(F.when(F.col("axis") == "u", mid).otherwise(F.col("coord")) / res), "c": F.floor(F.when(F.col("axis") == "u", F.col("coord")).otherwise(mid) / res)}
+        way = walked.select(*keys, "r", "c").distinct().withColumn("_walked", F.lit(True))
+        openings = openings.withColumns(at).join(way, [*keys, "r", "c"], "left").withColumn("walked_through", F.coalesce("_walked", F.lit(False))).drop("r", "c", "_walked")
+    openings = openings.checkpoint()
     bound = rooms.edge_faces(plan2d.boundary_edges(found, keys), faces, keys)
-    measured = rooms.room_areas(found, rooms.room_dimensions(bound, keys, model), keys)
-    from ..operators.spatial import point_in_rectangles
-
-    down = points.filter(F.col("ny") < -0.9).select(*keys, "u", "v", "h").distinct()
-    inside = point_in_rectangles(down, found.select(*keys, "room", "u0", "u1", "v0", "v1"), "u", "v", "room", "room", keys=keys)
-    ceilings = rooms.room_ceilings(inside, measured.select(*keys, "room", F.col("area.value").alias("area")), keys)
-    openings = openings.withColumn("width", F.struct((F.col("b") - F.col("a")).alias("value"), F.bround(opening_ci(F.col("kind")), 4).alias("ci95")))
-    return PlanTables(floor, faces, found, edges, measured, openings, plan2d.adjacency(openings, keys), ceilings)
+    measured_rooms = rooms.room_areas(found, rooms.room_dimensions(bound, keys, model), keys)
+    rects = found.select(*keys, "room", "u0", "u1", "v0", "v1")
+    down = points.filter(F.col("ny") < -0.95).select(*keys, "u", "v", "h", F.monotonically_increasing_id().alias("_id"))
+    inside = spatial.point_in_rectangles(down, rects, "u", "v", "room", "room", keys=keys)
+    floors = floor.groupBy(*keys).agg(floor_sigma(F.stddev_pop("h"), F.count("*")).alias("floor_sigma"))
+    areas = found.groupBy(*keys, "room").agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"))
+    ceilings = rooms.room_ceilings(inside, areas, keys, floors, model)
+    windows = plan2d.exterior_windows(plan2d.windows_of(parts, _wall_points(points, keys), keys), faces, found, keys, model)
+    below = points.filter((F.col("ny") > 0.9) & (F.col("h") < -0.12) & (F.col("h") > -3.5))
+    features = rooms.room_features(found, openings, keys, res=res, below=below, seen=seen, walked=walked)
+    if fixtures is not None:
+        placed = spatial.point_in_rectangles(fixtures.filter(F.col("conf") > 0.3), rects, "u", "v", "room", "room", keys=keys)
+        counted = placed.groupBy(*keys, "room", "class").agg(F.count("*").alias("n"))
+    else:
+        counted = found.select(*keys, "room", F.lit("").alias("class"), F.lit(0).cast("long").alias("n")).limit(0)
+    return PlanTables(floor, faces, found, edges, measured_rooms, openings, plan2d.adjacency(openings, keys), ceilings, windows, plan2d.outlines(found, keys), features, rooms.space_types(features, counted, keys), rooms.footprint(found, keys))
+
+
+def _wall_points(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points of vertical surfaces at any height over the floor, by axis."""
+    return plan2d.wall_families(points, (0.1, 99.0), keys)

@@ -107,7 +107,7 @@ def test_cracks_are_major_by_their_tiles(spark):
 def test_barriers_close_doors(spark):
     p = known_room.points_m(spark, "/root/testdata/sf0.1")
     walls = plan2d.wall_families(p, (0.25, 2.4), ["capture_id"])
-    cells = plan2d.oriented_walls(walls, ["capture_id"], 0.1, (0.25, 2.4)).checkpoint()
+    cells = plan2d.oriented_walls(walls, ["capture_id"], 0.1).checkpoint()
     bar = plan2d.barrier(cells, ["capture_id"], 14)
     door = bar.filter("c between 24 and 25 and r between 13 and 19").select("r").distinct().count()
     assert door == 7 and cells.filter("axis = 'u' and c between 24 and 25 and r between 14 and 18").count() == 0
