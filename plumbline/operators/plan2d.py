@@ -50,16 +50,16 @@ def wall_faces(walls: DataFrame, keys: list[str], *, width: float = 0.01, least:
     ends = hist.groupBy(*fam).agg(F.first("lo").alias("lo"), F.greatest(F.ceil((F.first("hi") - F.first("lo")) / width), F.lit(1)).cast("long").alias("bins"))
     s = robust.smoothed(hist.join(ends.select(*fam, "bins"), fam).select(*fam, "bin", "n", "bins"), F.col("bins"), 1.2, fam)
     peaks = robust.local_peaks(s.withColumn("bin", F.col("bin").cast("long")), "bin", "s", fam, 4, 30.0)
-    peaks = peaks.join(ends, fam).select(*fam, (F.col("lo") + (F.col("bin") + 0.5) * width).alias("peak"))
+    peaks = peaks.join(ends, fam).select(*fam, (F.col("lo") + (F.col("bin") + 0.5) * width).alias("peak")).checkpoint()  # some dozens a capture
     near = walls.withColumn("_b", F.floor(F.col("at") / reach)).join(peaks.withColumn("_b", F.explode(F.sequence(F.floor((F.col("peak") - reach) / reach), F.floor((F.col("peak") + reach) / reach)))), [*fam, "_b"]).filter(F.abs(F.col("at") - F.col("peak")) < reach).drop("_b")
     face = [*fam, "peak"]
     stats = robust.inlier_stats(near, "at", reach, face).filter(F.col("n") >= least)
     cols = robust.height_coverage(near.withColumn("col", F.floor(F.col("along") / column)), [*face, "col"], F.col("h"), F.col("band_lo"), F.col("band_hi"), h_step).filter(F.col("coverage") >= cover)
-    runs = intervals.closed_runs(cols, "col", face, 2, column, 0.25)
+    runs = intervals.closed_runs(cols, "col", face, 2, column, 0.25).checkpoint()
     length = runs.groupBy(*face).agg(F.sum(F.col("b") - F.col("a")).alias("length")).filter(F.col("length") >= solid)
     faces = stats.join(length, face).select(*keys, "axis", "sign", "peak", F.col("mean").alias("coord"), "std", "n", "length")
     order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    faces = faces.withColumn("face_id", F.row_number().over(order.orderBy("axis", "coord", "sign", "peak")))
+    faces = faces.withColumn("face_id", F.row_number().over(order.orderBy("axis", "coord", "sign", "peak"))).checkpoint()
     parts = runs.join(faces.select(*face, "face_id", "coord"), face).select(*keys, "face_id", "axis", "sign", "coord", "a", "b")
     return faces.drop("peak"), parts
 

@@ -80,7 +80,7 @@ def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float
     features and types. Each key is a capture with a band of heights of its own; without keys give points a constant one."""
     walls = plan2d.wall_families(points, band or plan2d.height_bands(points, keys).checkpoint(), keys)
     faces, parts = plan2d.wall_faces(walls, keys, cover=cover)
-    faces, parts = faces.checkpoint(), parts.checkpoint()
+    parts = parts.checkpoint()
     floor = points.filter((F.col("ny") > 0.9) & (F.abs("h") < 0.04))
     seen, walked = _evidence(points, floor, cameras, res, keys)
     seen = seen.checkpoint()
