@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,14 +169,3 @@ def greedy_instances(sightings: DataFrame, keys: list[str], xy: tuple[str, str],
         return out
 
     return sightings.groupBy(*keys).applyInPandas(cluster, f"{head}, instance int, u double, v double, views int")
-
-
-def fixed_point(step: Callable[[DataFrame], DataFrame], start: DataFrame, state: list[str], rounds: int) -> DataFrame:
-    """Applies a step until the rows' ``state`` stays the same (counted and hashed), at most so many rounds."""
-    now, before = start.checkpoint(), None
-    for _ in range(rounds):
-        s = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(*state).cast("decimal(38,0)"))).first())
-        if s == before:
-            break
-        before, now = s, step(now).checkpoint()
-    return now

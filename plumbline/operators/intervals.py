@@ -51,13 +51,16 @@ def gaps(intervals: DataFrame, keys: list[str], lo: str = "a", hi: str = "b", le
     return d.filter(length >= least) if most is None else d.filter((length >= least) & (length <= most))
 
 
-def coverage(targets: DataFrame, parts: DataFrame, keys: list[str], target_id: list[str]) -> DataFrame:
-    """targets with covered: the share of [a, b] that the keys' (disjoint) intervals [pa, pb] cover; 0 without any."""
-    p = parts.select(*keys, F.col("a").alias("pa"), F.col("b").alias("pb"))
-    over = F.greatest(F.lit(0.0), F.least("b", "pb") - F.greatest("a", "pa"))
-    j = targets.join(p, keys, "left").withColumn("_o", F.coalesce(over, F.lit(0.0)))
-    got = j.groupBy(*dict.fromkeys([*keys, *target_id])).agg(F.sum("_o").alias("_s"))
-    return targets.join(got, list(dict.fromkeys([*keys, *target_id]))).withColumn("covered", F.coalesce(F.try_divide("_s", F.col("b") - F.col("a")), F.lit(0.0))).drop("_s")
+def coverage(targets: DataFrame, parts: DataFrame, keys: list[str], target_id: list[str], width: float = 1.0) -> DataFrame:
+    """targets with covered: the share of [a, b] that the keys' (disjoint) intervals cover; 0 without any. Both sides are cut at multiples of
+    ``width`` and meet by bin, so that a long key isn't compared with itself."""
+    cut = lambda d, lo, hi: d.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    p = cut(parts.select(*keys, F.col("a").alias("pa"), F.col("b").alias("pb")), "pa", "pb")
+    by = list(dict.fromkeys([*keys, *target_id]))
+    edge = F.col("_bin") * width
+    over = F.greatest(F.lit(0.0), F.least("b", "pb", edge + width) - F.greatest("a", "pa", edge))
+    got = cut(targets.select(*by, "a", "b"), "a", "b").join(p, [*keys, "_bin"]).groupBy(*by).agg(F.sum(over).alias("_s"))
+    return targets.join(got, by, "left").withColumn("covered", F.coalesce(F.try_divide("_s", F.col("b") - F.col("a")), F.lit(0.0))).drop("_s")
 
 
 def cut_lines(df: DataFrame, coord: str, weight: str, keys: list[str], merge: float = 0.035) -> DataFrame:
@@ -104,12 +107,22 @@ def opening_runs(edges: DataFrame, ord_col: str, keys: list[str], a: str, b: str
 
 
 def tightened(spans: DataFrame, walls: DataFrame, keys: list[str], span_id: list[str]) -> DataFrame:
-    """spans with a moved up to the last wall end at or before their middle, b down to the first wall start at or after it."""
-    mid = (F.col("a") + F.col("b")) / 2
-    w = walls.select(*keys, F.col("a").alias("wa"), F.col("b").alias("wb"))
-    j = spans.join(w, keys, "left")
-    g = j.groupBy(*dict.fromkeys([*keys, *span_id])).agg(F.first("a").alias("_a"), F.first("b").alias("_b"), F.max(F.when(F.col("wb") <= mid, F.col("wb"))).alias("_lo"), F.min(F.when(F.col("wa") >= mid, F.col("wa"))).alias("_hi"))
-    return g.select(*dict.fromkeys([*keys, *span_id]), F.greatest("_a", "_lo").alias("a"), F.least("_b", "_hi").alias("b"))
+    """spans with a moved up to the last wall end at or before their middle, b down to the first wall start at or after it: two passes over
+    each key in the order of the line, not pairs."""
+    by = list(dict.fromkeys([*keys, *span_id]))
+    own = [c for c in by if c not in keys]
+    mids = spans.select(*keys, ((F.col("a") + F.col("b")) / 2).cast("double").alias("_x"), F.struct(*own, "a", "b").alias("_span"), F.lit(None).cast("double").alias("_end"), F.lit(None).cast("double").alias("_start"))
+    no = F.lit(None).cast(mids.schema["_span"].dataType)
+    wall = lambda c, end: walls.select(*keys, F.col(c).cast("double").alias("_x"), no.alias("_span"), (F.col(c) if end else F.lit(None)).cast("double").alias("_end"), (F.lit(None) if end else F.col(c)).cast("double").alias("_start"))
+    rows = mids.unionByName(wall("b", True)).unionByName(wall("a", False))
+    # at one place: wall ends, then middles, then wall starts
+    turn = F.when(F.col("_end").isNotNull(), 0).when(F.col("_span").isNotNull(), 1).otherwise(2)
+    w = Window.partitionBy(*keys).orderBy("_x", turn)
+    lo = F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first("_start", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    got = rows.withColumns({"_lo": lo, "_hi": hi}).filter(F.col("_span").isNotNull())
+    kinds = spans.schema
+    return got.select(*[F.col(c) if c in keys else F.col(f"_span.{c}").alias(c) for c in by], F.greatest(F.col("_span.a"), F.col("_lo").cast(kinds["a"].dataType)).alias("a"), F.least(F.col("_span.b"), F.col("_hi").cast(kinds["b"].dataType)).alias("b"))
 
 
 def last_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:

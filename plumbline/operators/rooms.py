@@ -186,13 +186,3 @@ def cross_room_matches(matches: DataFrame, keys: list[str], *, least: int = 25,
 
     best = matches.filter((F.col("room") != F.col("other")) & (F.col("inliers") >= least)).groupBy(*keys, "room", "other", "photo").agg(F.max("inliers").alias("inliers"))
     return top_k(best, [*keys, "room"], [F.desc("inliers"), F.col("photo"), F.col("other")], k, "rank")
-
-
-def opening_lists(edges: DataFrame, keys: list[str], least: float = 0.45) -> DataFrame:
-    """Openings between exactly two different mapped rooms, wide enough."""
-    two = F.array_distinct(F.filter(F.array("room_a", "room_b"), lambda x: x.isNotNull()))
-    return edges.filter((F.size(two) == 2) & (F.col("b") - F.col("a") >= least))
-
-
-def struct_of(value: Column, ci: Column) -> Column:
-    return F.struct(value.alias("value"), ci.alias("ci95"))

@@ -31,21 +31,17 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str | Column,
 
 
 def point_in_rectangles(points: DataFrame, rects: DataFrame, u: str, v: str, region: str, order: str, *, pad: float = 0.0, size: float = 0.5, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
-    """points with the first region (by ``order``) one of whose rectangles (u0, u1, v0, v1), padded, holds them. Each point is one row of
-    ``points``: give rows something that tells them apart. ``how``: inner or left."""
+    """points with the first region (by ``order``) one of whose rectangles (u0, u1, v0, v1), padded, holds them; row for row. A point lies in
+    one bin, whose rectangles come as one sorted list: those of a plan that reach into a bin of ``size`` are few. ``how``: inner or left."""
     keys = keys or []
-    r = rects.select(*keys, F.col(region), F.col(order).alias("_ord"), (F.col("u0") - pad).alias("_u0"), (F.col("u1") + pad).alias("_u1"), (F.col("v0") - pad).alias("_v0"), (F.col("v1") + pad).alias("_v1"))
+    r = rects.select(*keys, F.col(order).alias("_ord"), F.col(region).alias("_region"), (F.col("u0") - pad).alias("_u0"), (F.col("u1") + pad).alias("_u1"), (F.col("v0") - pad).alias("_v0"), (F.col("v1") + pad).alias("_v1"))
     r = r.withColumn("_bu", _bins(F.col("_u0"), F.col("_u1"), size)).withColumn("_bv", _bins(F.col("_v0"), F.col("_v1"), size))
+    bins = r.groupBy(*keys, "_bu", "_bv").agg(F.sort_array(F.collect_list(F.struct("_ord", "_region", "_u0", "_u1", "_v0", "_v1"))).alias("_rects"))
     p = points.withColumns({"_bu": F.floor(F.col(u) / size), "_bv": F.floor(F.col(v) / size)})
-    inside = F.col(u).between(F.col("_u0"), F.col("_u1")) & F.col(v).between(F.col("_v0"), F.col("_v1"))
-    hit = p.join(r, [*keys, "_bu", "_bv"]).filter(inside)
-    first = hit.groupBy(*points.columns).agg(F.min_by(region, "_ord").alias(region))
-    if how == "inner":
-        return first
-    same = F.lit(True)
-    for c in points.columns:
-        same = same & points[c].eqNullSafe(first[c])
-    return points.join(first, same, "left").select(*[points[c] for c in points.columns], first[region])
+    inside = F.filter("_rects", lambda x: F.col(u).between(x["_u0"], x["_u1"]) & F.col(v).between(x["_v0"], x["_v1"]))
+    hit = p.join(bins, [*keys, "_bu", "_bv"], how).withColumn("_first", F.try_element_at(inside, F.lit(1)))
+    hit = hit if how == "left" else hit.filter(F.col("_first").isNotNull())
+    return hit.select(*points.columns, F.col("_first._region").alias(region))
 
 
 def band_match(left: DataFrame, right: DataFrame, left_id: list[str], at: str, to: str, reach: float, order: list[Column], keys: list[str], take: str, condition: Column | None = None) -> DataFrame:
@@ -115,37 +111,48 @@ def revisit_distance(points: DataFrame, point_id: str, xy: tuple[str, ...], time
     return nearest_within(points, points, point_id, point_id, xy, radius, keys=keys, condition=F.abs(F.col(f"l_{time}") - F.col(f"r_{time}")) >= apart)
 
 
-def top_neighbours(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+#: Bytes of query vectors that are broadcast; more are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def top_neighbours(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str, k: int, block: int = 4096, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k greatest dot products, exactly. Queries are a stated set, compared in blocks with every
-    row; each block of vectors sends k rows a query onwards."""
+    block of rows; a block sends k rows a query onwards. The blocks of queries are broadcast up to a checked size, else both sides are
+    shuffled by block."""
     from collections.abc import Iterator
 
     import numpy as np
     import pyarrow as pa
 
-    q = queries.select(F.col(vec_id).alias("query_id"), F.col(vector).alias("_qv")).withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(64)))
-    qb = q.groupBy("_qb").agg(F.collect_list(F.struct("query_id", "_qv")).alias("_qs"))
-    blocks = vectors.select(F.col(vec_id).alias("_id"), F.col(vector).alias("_v"))
+    q = queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("_qv"))
+    size = q.agg(F.count("*").alias("n"), F.sum(F.size("_qv")).alias("values")).first()
+    parts = max(1, -(-size["n"] // 1024))
+    qb = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).groupBy("_qb").agg(F.collect_list(F.struct("query_id", "_qv")).alias("_qs"))  # about 1024 a block
+    blocks = vectors.select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, block):
                 part = b.slice(i, block)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate([np.asarray(x.values, np.float64) for x in part.column(1)])], pa.list_(pa.float64()))], ["_ids", "_m"])
+                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([whole(part.column(0)), whole(part.column(1).flatten())], ["_ids", "_m"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids = np.asarray(b.column("_ids")[r].values)
-                m = np.asarray(b.column("_m")[r].values).reshape(len(ids), -1)
-                qs = b.column("_qs")[r].as_py()
-                s = np.array([x["_qv"] for x in qs], np.float64) @ m.T
-                for j, x in enumerate(qs):
-                    o = np.lexsort((ids, -s[j]))[: k + 1]
-                    o = o[ids[o] != x["query_id"]][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["query_id"]] * len(o), pa.int64()), pa.array(ids[o]), pa.array(s[j][o])], ["query_id", "vec_id", "score"])
-
-    pairs = blocks.mapInArrow(matrix, "_ids array<bigint>, _m array<double>").crossJoin(F.broadcast(qb))
+                ids = b.column("_ids")[r].values.to_numpy()
+                m = b.column("_m")[r].values.to_numpy().reshape(len(ids), -1)
+                qs = b.column("_qs")[r].values
+                asked = qs.field("query_id").to_numpy()
+                s = qs.field("_qv").flatten().to_numpy().reshape(len(asked), -1) @ m.T
+                s[asked[:, None] == ids[None, :]] = -np.inf
+                keep = min(k, len(ids))
+                edge = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+                i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))  # ties at the edge are settled by id later
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+
+    qb = F.broadcast(qb) if (size["values"] or 0) * 8 <= broadcast_bytes else qb
+    pairs = blocks.mapInArrow(matrix, "_ids array<bigint>, _m array<double>").withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(qb, "_qb").drop("_qb")
     got = pairs.mapInArrow(score, "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -47,7 +47,7 @@ def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = intervals.merged(s, "a", "b", ["k"], 0).drop("n")
     x = F.explode(F.array(F.floor(F.col("a") / 200), F.floor(F.col("a") / 200) + 1))
     t = s.select("k", x.alias("x")).distinct().select("k", (F.col("x") * 200).alias("a"), (F.col("x") * 200 + 200).alias("b"))
-    return intervals.coverage(t, parts, ["k"], ["a", "b"]).withColumn("covered", F.round("covered", 6))
+    return intervals.coverage(t, parts, ["k"], ["a", "b"], 50).withColumn("covered", F.round("covered", 6))
 
 
 @query(

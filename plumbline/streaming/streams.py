@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,8 +68,21 @@ def keyframes(frames: DataFrame, key: str = "capture_id", *, least_shift: float
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns the rows of its memory sink (tests and small results)."""
+    """Runs a stream over what there is and returns its rows from Parquet files in the shared folder: those of every batch, or of the last
+    one in mode complete. A batch that runs twice overwrites its own files, so that it counts once."""
+    from ..operators.graph import checkpoint_dir
+
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    checkpoint_dir(spark)
+    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{name}-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/{number}")
+        done.append(number)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}-progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    paths = [f"{where}/{n}" for n in sorted(set(done))]
+    paths = paths[-1:] if mode == "complete" else paths
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
