@@ -11,7 +11,7 @@ p(w | h) = (c(hw) - D) / c(h) + weight(h) p(w | h'), for every pair and triple o
 what these leave, so that every distribution sums to one (up to quantisation).
 
 Building takes a pass over the training texts for each level. A task counts its own n-grams (sorted, summed) and sends them, delta-coded
-byte planes, to the shard of their first word; a shard's task merges them and writes its file. Each pass looks the words, or pairs, of
+byte planes, to the shard of their first word, or for triples of their first pair; a shard's task merges them and writes its file. Each pass looks the words, or pairs, of
 its candidates up in the level before. Nothing of the model passes through the driver but a row for each shard. Scoring maps the files.
 
 Null text is empty text: its one token is the end. Repeated rows count and score as often as they stand there. Without training texts
@@ -74,11 +74,11 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return k[at], np.add.reduceat(counts[order], at)
 
 
-def merged(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over sorted runs, a few million keys at a time."""
+def merged(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over sorted runs, taken one by one: what is held is the distinct keys so far, about twice."""
     done: list[tuple[np.ndarray, np.ndarray]] = []
     for b in blobs:
-        done.append(unpack(b.as_py()))
+        done.append(unpack(b))
         while len(done) > 1 and len(done[-2][0]) <= 2 * len(done[-1][0]):
             (k1, c1), (k2, c2) = done.pop(), done.pop()
             done.append(summed(np.concatenate((k1, k2)), np.concatenate((c1, c2))))
@@ -210,7 +210,7 @@ class Trie:
     def children(self, level: str, context: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Number, in its level, of each context's child, or -1; sorted by context. The child's value is searched among the level's values,
         shifted by the last value before its context."""
-        base = self.info["words" if level == "pairs" else "pairs"]
+        base = self.info["words" if level == "pairs" else "spans"]
         out = np.full(len(context), -1, np.int64)
         for s, part in self.by_shard(np.searchsorted(base, context, "right") - 1):
             f = self.file(level, s)
@@ -231,13 +231,31 @@ class Trie:
 
     def value(self, level: str, field: str, number: np.ndarray) -> np.ndarray:
         """A quantised field (log10) of sorted numbers; a field of level "triples" that belongs to pairs is numbered as they are."""
-        base = self.info["words" if (level, field) == ("pairs", "weight") else "pairs" if level == "pairs" or field == "weight" else "triples"]
+        base = self.info[{("pairs", "weight"): "words", ("pairs", "prob"): "pairs", ("triples", "weight"): "spans", ("triples", "prob"): "triples"}[level, field]]
         out = np.zeros(len(number))
         for s, part in self.by_shard(np.searchsorted(base, number, "right") - 1):
             f = self.file(level, s)
             out[part] = f[f"{field}_book"][f[field][number[part] - base[s]]]
         return out
 
+    def second_word(self, pair: np.ndarray) -> np.ndarray:
+        """Numbers of the second words of sorted pairs."""
+        base = self.info["pairs"]
+        out = np.zeros(len(pair), np.int64)
+        for s, part in self.by_shard(np.searchsorted(base, pair, "right") - 1):
+            f, own = self.file("pairs", s), pair[part] - base[s]
+            pointers = f["pointers"].access(np.arange(f["pointers"].n)).astype(np.int64)
+            begin = pointers[np.searchsorted(pointers, own, "right") - 1]
+            shift = np.where(begin > 0, f["values"].access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0)
+            out[part] = f["values"].access(own).astype(np.int64) - shift
+        return out
+
+    def pair_counts(self, lo: int, hi: int) -> np.ndarray:
+        """Counts of the pairs numbered from lo on, below hi."""
+        base = self.info["pairs"]
+        parts = [np.asarray(self.file("pairs", s)["counts"])[max(lo - base[s], 0) : max(hi - base[s], 0)] for s in range(self.shards) if base[s] < hi and base[s + 1] > lo]
+        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+
     def first_child(self, word: np.ndarray) -> np.ndarray:
         """Number of the first pair of sorted words."""
         base = self.info["words"]
@@ -364,10 +382,18 @@ def context_weights(context: np.ndarray, counts: np.ndarray, totals: np.ndarray)
 
 def _grouped(rows: DataFrame, write, spark: SparkSession) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            shard = table.column("shard")[0].as_py()
-            n, total = write(shard, *merged(table.column("blob")))
+        shard = None
+
+        def blobs() -> Iterator[bytes]:
+            nonlocal shard
+            for b in batches:
+                for row in range(b.num_rows):
+                    shard = b.column("shard")[row].as_py()
+                    yield b.column("blob")[row].as_py()
+
+        keys, counts = merged(blobs())
+        if shard is not None:
+            n, total = write(shard, keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["shard", "n", "total"])
 
     return rows.groupBy("shard").applyInArrow(run, "shard int, n long, total long").collect()  # a row a shard
@@ -445,27 +471,24 @@ def build(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     if info["pairs"][-1] >= 1 << PAIR_BITS:
         raise ValueError(f"2^{PAIR_BITS} pairs or more")
 
+    # a triple's shard is its first pair's, in spans of equally many pairs: the triples of a common word fall into many
+    info["spans"] = np.arange(shards + 1) * int(info["pairs"][-1]) // shards
+
     def count_triples(batches, info=dict(info)):
         trie = Trie(info)
         for keys, n, _ in token_batches(batches):
             k, c = Batch(trie, keys, n).triple_keys()
-            yield from emit(np.searchsorted(info["pairs"], (k >> _U(CHILD_BITS)).astype(np.int64), "right") - 1, k, c)
+            yield from emit(np.searchsorted(info["spans"], (k >> _U(CHILD_BITS)).astype(np.int64), "right") - 1, k, c)
 
     def write_triples(shard, keys, counts, info=dict(info)):
         trie = Trie(info)
-        base, own = info["pairs"][shard], int(info["pairs"][shard + 1] - info["pairs"][shard])
+        base, own = info["spans"][shard], int(info["spans"][shard + 1] - info["spans"][shard])
         context, child = (keys >> _U(CHILD_BITS)).astype(np.int64) - base, (keys & _U((1 << CHILD_BITS) - 1)).astype(np.int64)
-        pairs = trie.file("pairs", shard)
-        totals = np.asarray(pairs["counts"]).astype(np.int64)
+        totals = trie.pair_counts(int(base), int(base) + own)
         weight = context_weights(context, counts, totals)
         # the second word v of each context, and the pair (v, w) that the child stands for
-        own_context, where = distinct(context)
-        pointers = pairs["pointers"].access(np.arange(pairs["pointers"].n)).astype(np.int64)
-        first = np.searchsorted(pointers, own_context, "right") - 1
-        begin = pointers[first]
-        shift = np.where(begin > 0, pairs["values"].access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0) if len(begin) else begin
-        second = pairs["values"].access(own_context).astype(np.int64) - shift if len(begin) else begin
-        lower = trie.sorted_call(trie.first_child, second)[where] + child if len(begin) else child
+        own_context, where = runs(context)
+        lower = trie.sorted_call(trie.first_child, trie.second_word(own_context + base))[where] + child if len(context) else child
         u, where2 = distinct(lower)
         p2 = 10 ** trie.value("pairs", "prob", u)[where2]
         prob = np.log10((counts - DISCOUNT) / np.maximum(totals[context], 1) + 10 ** weight[context] * p2)
@@ -476,7 +499,7 @@ def build(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
         return len(keys), int(counts.sum())
 
     got = _grouped(texts.mapInArrow(count_triples, "shard int, blob binary"), write_triples, spark)
-    empty("triples", info["pairs"], set(range(shards)) - {r["shard"] for r in got})
+    empty("triples", info["spans"], set(range(shards)) - {r["shard"] for r in got})
     info["triples"] = _bases(got, shards)
     return info
 
