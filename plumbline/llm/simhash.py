@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, spare, stored, text_bytes
+from .common import columns, discard, partitions, spare, stored, text_bytes
 from .components import components
 from .vptree import Labels, Tree
 
-#: Fingerprints that a shard holds, more or less; shards at most, and sampled fingerprints a shard for the tree above the shards (8 MB in all).
-SHARD_ROWS, MAX_SHARDS, SAMPLE = 4_096, 65_536, 16
+#: Fingerprints at home in a shard, more or less: as few as the first while the session has partitions for more shards, up to the second
+#: otherwise, as the copies at the shards' borders grow with about the square root of their number; shards at most (they get larger then),
+#: and sampled fingerprints a shard for the tree above the shards (8 MB in all).
+SHARD_ROWS, LARGE_ROWS, MAX_SHARDS, SAMPLE = 4_096, 65_536, 65_536, 16
 _x = xxhash.xxh64_intdigest
 
 
@@ -67,7 +69,7 @@ def links(distinct: DataFrame, bits: int, shard_rows: int = SHARD_ROWS) -> DataF
     """Edges (a, b) over a table of distinct fingerprints (fp) whose components are those of all pairs at ``bits`` or fewer differing bits."""
     spark = distinct.sparkSession
     n = distinct.count()
-    shards = min(MAX_SHARDS, max(1, -(-n // shard_rows)))
+    shards = min(MAX_SHARDS, max(1, -(-n // LARGE_ROWS), min(-(-n // shard_rows), partitions(spark))))
     sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(shards * SAMPLE * 4 if shards < 64 else shards * SAMPLE).collect()
     top = Tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), leaf=1, max_leaves=shards)
     top.order = top.points = np.zeros(0, np.uint64)
@@ -116,12 +118,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of docs that are the first of their component (least id, nulls last), one row each, all columns as they are."""
     c = clusters(docs, id_col, text_col, **options)
     first = c.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), F.col("_id"), F.col("_th"))).alias("_k")).select(F.col("_k._id").alias("kept_id"), F.col("_k._th").alias("kept_th")).distinct()
-    first = stored(first, "kept-ids")
-    th, kept_id, kept_th = spare(docs, "th", "kept_id", "kept_th")
-    first = first.select(F.col("kept_id").alias(kept_id), F.col("kept_th").alias(kept_th))
-    rows = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = rows.join(first, rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(th) == F.col(kept_th)), "left_semi")
-    return rows.dropDuplicates([id_col, th]).select(*columns(docs))
+    # ids as text, so that null is a key like any other: the join and the choice among equal rows share one shuffle
+    id_key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    first = stored(first.select(id_key("kept_id").alias("k"), F.col("kept_th").alias("th")), "kept-ids")
+    th, k = spare(docs, "th", "k")
+    rows = docs.withColumns({th: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), k: id_key(id_col)})
+    rows = rows.join(first.select(F.col("k").alias(k), F.col("th").alias(th)), [k, th], "left_semi")
+    return rows.dropDuplicates([k, th]).select(*columns(docs))
 
 
 __all__ = ["clusters", "discard", "fingerprint", "fingerprints", "keep_one", "links", "near_duplicates"]

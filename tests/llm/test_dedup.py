@@ -105,6 +105,7 @@ def clusters_by_brute_force(pairs):
 def test_simhash(spark, docs, odd, monkeypatch, shard_rows):
     links = simhash.links
     monkeypatch.setattr(simhash, "links", lambda d, bits: links(d, bits, shard_rows))
+    monkeypatch.setattr(simhash, "LARGE_ROWS", shard_rows)
     for d in (docs, odd):
         got = simhash.near_duplicates(d).collect()
         assert len(got) == d.count()
