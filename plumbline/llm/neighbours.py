@@ -29,6 +29,7 @@ from .language_model import local_path
 
 DEGREE, BEAM, BLOCK, SHARD, ROUNDS, STOP = 24, 400, 1024, 8192, 15, 0.02
 STARTS, EXPAND = 512, 8
+BROADCAST_NODES = 1 << 20  # of 16 bytes each
 _files: dict[str, list[dict]] = {}
 
 
@@ -136,8 +137,10 @@ def merged(edges: DataFrame, degree: int) -> DataFrame:
     return edges.select("id", "nb", "dist", "new").repartition(partitions(edges.sparkSession), "id").sortWithinPartitions("id").mapInArrow(merge, _GRAPH)
 
 
-def descend(graph: DataFrame, index: dict, degree: int, round_: int) -> DataFrame:
-    """One round: local joins at every node, then the nearest of old and proposed neighbours. Vectors are read from the index's files."""
+def descend(graph: DataFrame, index: dict, n: int, degree: int, round_: int) -> DataFrame:
+    """One round: local joins at every node, then the nearest of old and proposed neighbours. Vectors are read from the index's files. The
+    nodes' radii are broadcast up to BROADCAST_NODES nodes; of more they are joined by node, where adaptive execution splits the rows of a
+    node that very many point at."""
     parts = partitions(graph.sparkSession)
     pointed = graph.select(F.col("nb").alias("u"), F.col("id").alias("m"), "new")
     w = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("m", F.lit(round_)))
@@ -145,7 +148,7 @@ def descend(graph: DataFrame, index: dict, degree: int, round_: int) -> DataFram
     members = graph.select(F.col("id").alias("u"), F.col("nb").alias("m"), "new").unionByName(pointed)
     reach = graph.groupBy("id").agg(F.max("radius").alias("radius"), F.max("n").alias("n"))
     known = reach.select(F.col("id").alias("m"), F.when(F.col("n") < degree, F.lit(float("inf"))).otherwise(F.col("radius")).alias("radius"))
-    met = members.join(known, "m").repartition(parts, "u").sortWithinPartitions("u", "m")
+    met = members.join(F.broadcast(known) if n <= BROADCAST_NODES else known, "m").repartition(parts, "u").sortWithinPartitions("u", "m")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(index)
@@ -205,7 +208,7 @@ def write_nodes(nodes: DataFrame, n: int) -> dict:
 def neighbour_graph(nodes: DataFrame, n: int, index: dict, degree: int, rounds: int, stop: float) -> DataFrame:
     graph = stored(first_graph(nodes, n, degree), "ann-graph")
     for r in range(rounds):
-        after = stored(descend(graph, index, degree, r), "ann-graph")
+        after = stored(descend(graph, index, n, degree, r), "ann-graph")
         discard(graph)
         graph = after
         if after.filter("new").count() <= stop * n * degree:
