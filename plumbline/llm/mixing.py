@@ -25,6 +25,7 @@ from decimal import Decimal
 from fractions import Fraction
 from math import gcd, lcm
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,7 +102,7 @@ def _placed(rows: DataFrame, source: str, order: list[str], names: list[str], do
     b, position, release, deadline, slot = names
     keyed = rows.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
     ordered = keyed.repartitionByRange(partitions(rows.sparkSession), key, *order).sortWithinPartitions(key, *order).withColumn(m, F.monotonically_increasing_id())
-    ordered = stored(ordered, "mix-order")
+    ordered = stored(ordered, "mix-order", few=True)
     each = ordered.groupBy(F.shiftright(m, 33).alias(part), key).agg(F.count("*").alias("n"), F.min(m).alias("least"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = each.select(part, key, (before - F.col("least")).alias(shift))
@@ -109,7 +110,7 @@ def _placed(rows: DataFrame, source: str, order: list[str], names: list[str], do
     numbered = numbered.withColumns({b: F.expr(f"`{rank}` div {block}"), position: F.col(rank) % block})
 
     plan, groups = frames(docs, source_col, **options)
-    plan = stored(plan, "mix-frame")  # at most MAX_FRAME + GROUP rows a group
+    plan = stored(plan, "mix-frame", few=True)  # at most MAX_FRAME + GROUP rows a group
     small = F.broadcast if groups is None else (lambda df: df)
     shares = plan.select(F.col("source").alias(share), F.col("a").alias(own_a), F.col("size").alias(own_size), F.col("group").alias(outer)).distinct()
     placed = numbered.join(small(shares), numbered[source].eqNullSafe(F.col(share)), "left")
@@ -119,7 +120,7 @@ def _placed(rows: DataFrame, source: str, order: list[str], names: list[str], do
     if groups is None:
         ahead, due = f"`{b}` * `{own_size}` div `{own_a}`", f"((`{b}` + 1) * `{own_size}` + `{own_a}` - 1) div `{own_a}`"
     else:  # the slot so far is the number of a block of the group
-        top = stored(groups, "mix-groups").select(F.col("source").cast("long").alias("g"), F.col("in_frame").alias("gi"), F.col("slot_in_frame").alias("gt"), F.col("a").alias("ga"), F.col("size").alias("gs"))
+        top = stored(groups, "mix-groups", few=True).select(F.col("source").cast("long").alias("g"), F.col("in_frame").alias("gi"), F.col("slot_in_frame").alias("gt"), F.col("a").alias("ga"), F.col("size").alias("gs"))
         of = top.select(F.col("g").alias("g2"), "ga", "gs").distinct()
         placed = placed.join(F.broadcast(of), F.col(outer) == F.col("g2"), "left")
         placed = placed.join(F.broadcast(top.select("g", "gi", "gt")), (F.col(outer) == F.col("g")) & (F.expr(f"`{slot}` % ga") == F.col("gi")), "left")
@@ -143,12 +144,28 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     return _placed(rows, "source", ["_order", "_id", "_tie"], names, docs, source_col, block, options).select("_id", "_order", "source", *names)
 
 
+def filed(docs: DataFrame) -> DataFrame:
+    """docs as a plain table of Parquet files, whose rows have places: itself, or a stored copy."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
+            return docs
+        except AnalysisException:
+            pass
+    return stored(docs, "mix-input")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, block: int = 16, **options) -> DataFrame:
     """The rows and columns of docs in the order of the mix: files, and rows in them, follow the slots. Nothing is dropped or repeated, but for
-    sources of weight zero. Rows that share an id come in the order of a hash of all their columns."""
-    source, order, h, tie, *names = spare(docs, "_source", "_order", "_hash", "_tie", "_block", "_position", "_release", "_deadline", "_slot")
-    rows = docs.withColumns({source: F.col(source_col).cast("string"), order: _order_of(id_col), h: F.xxhash64(F.to_json(F.struct(*columns(docs)))), tie: F.monotonically_increasing_id()})
-    placed = _placed(rows, source, [order, h, tie], names, docs, source_col, block, options)
-    place = [names[4], names[1]]
-    placed = placed.filter(F.col(names[4]).isNotNull())
-    return placed.repartitionByRange(partitions(docs.sparkSession), *place).sortWithinPartitions(*place).select(*columns(docs))
+    sources of weight zero. Rows that share an id come in the order of their places in the input's files, by which they get their slots."""
+    docs = filed(docs)
+    source, order, file, row, *names = spare(docs, "_source", "_order", "_file", "_row", "_block", "_position", "_release", "_deadline", "_slot")
+    where = docs.metadataColumn("_metadata")
+    place = {file: F.xxhash64(where["file_path"]), row: where["row_index"]}
+    rows = docs.select(F.col(source_col).cast("string").alias(source), _order_of(id_col).alias(order), *[c.alias(n) for n, c in place.items()])
+    placed = _placed(rows, source, [order, file, row], names, docs, source_col, block, options)
+    at = [names[4], names[1]]
+    slots = placed.filter(F.col(names[4]).isNotNull()).select(file, row, *at)
+    whole = docs.select(*columns(docs), *[c.alias(n) for n, c in place.items()]).join(slots, [file, row])
+    return whole.repartitionByRange(partitions(docs.sparkSession), *at).sortWithinPartitions(*at).select(*columns(docs))
