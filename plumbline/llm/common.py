@@ -156,12 +156,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
-def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """The rows written once to the shared folder and read again: cuts the lineage and survives lost executors. ``few``: in four files a
-    core at most, for tables without texts that would otherwise come in many tiny files."""
+def stored(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
+    """The rows written once to the shared folder and read again: cuts the lineage and survives lost executors. ``per_core``: in so many
+    files a core at most, for tables that would otherwise come in many tiny files."""
     path = new_path(df.sparkSession, name)
     _made.append(path)
-    (df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if few else df).write.parquet(path)
+    (df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism) if per_core else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out

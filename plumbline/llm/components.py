@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round writes its edges, at most as many as before, to the shared folder; the rounds end when a round changes nothing.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", few=True)
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", per_core=1)
     before = None
     while True:
-        made = stored(_small_star(_large_star(now)), "links", few=True)
+        made = stored(_small_star(_large_star(now)), "links", per_core=1)
         state = made.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         discard(now)
         now = made

@@ -229,7 +229,7 @@ def dictionaries(texts: Iterable[tuple[bytes, int]], *, kind: str, lower: bool,
 
 def train(rows: DataFrame, *, kind: str, sizes: tuple[int, ...], lower: bool, base_bytes: int = 32_768, z_least: float = 6.0, ratio: float = 8.0) -> Model:
     """Dictionaries from two thirds of the sampled rows (by the text's hash), calibration on the rest."""
-    rows = stored(rows, "sample", few=True)
+    rows = stored(rows, "sample", per_core=1)
     rest = F.pmod("_h", F.lit(3)) == 0
     build = rows.filter(~rest).orderBy("_h", "_y", "_id").select("_t", "_y").toLocalIterator()
     model = Model(dictionaries(((bytes(r["_t"]), r["_y"]) for r in build), kind=kind, lower=lower, base_bytes=base_bytes, z_least=z_least, ratio=ratio), sizes, lower, kind == "contrast")

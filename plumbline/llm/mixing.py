@@ -102,7 +102,7 @@ def _placed(rows: DataFrame, source: str, order: list[str], names: list[str], do
     b, position, release, deadline, slot = names
     keyed = rows.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
     ordered = keyed.repartitionByRange(partitions(rows.sparkSession), key, *order).sortWithinPartitions(key, *order).withColumn(m, F.monotonically_increasing_id())
-    ordered = stored(ordered, "mix-order", few=True)
+    ordered = stored(ordered, "mix-order", per_core=4)
     each = ordered.groupBy(F.shiftright(m, 33).alias(part), key).agg(F.count("*").alias("n"), F.min(m).alias("least"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = each.select(part, key, (before - F.col("least")).alias(shift))
@@ -110,7 +110,7 @@ def _placed(rows: DataFrame, source: str, order: list[str], names: list[str], do
     numbered = numbered.withColumns({b: F.expr(f"`{rank}` div {block}"), position: F.col(rank) % block})
 
     plan, groups = frames(docs, source_col, **options)
-    plan = stored(plan, "mix-frame", few=True)  # at most MAX_FRAME + GROUP rows a group
+    plan = stored(plan, "mix-frame", per_core=1)  # at most MAX_FRAME + GROUP rows a group
     small = F.broadcast if groups is None else (lambda df: df)
     shares = plan.select(F.col("source").alias(share), F.col("a").alias(own_a), F.col("size").alias(own_size), F.col("group").alias(outer)).distinct()
     placed = numbered.join(small(shares), numbered[source].eqNullSafe(F.col(share)), "left")
@@ -120,7 +120,7 @@ def _placed(rows: DataFrame, source: str, order: list[str], names: list[str], do
     if groups is None:
         ahead, due = f"`{b}` * `{own_size}` div `{own_a}`", f"((`{b}` + 1) * `{own_size}` + `{own_a}` - 1) div `{own_a}`"
     else:  # the slot so far is the number of a block of the group
-        top = stored(groups, "mix-groups", few=True).select(F.col("source").cast("long").alias("g"), F.col("in_frame").alias("gi"), F.col("slot_in_frame").alias("gt"), F.col("a").alias("ga"), F.col("size").alias("gs"))
+        top = stored(groups, "mix-groups", per_core=1).select(F.col("source").cast("long").alias("g"), F.col("in_frame").alias("gi"), F.col("slot_in_frame").alias("gt"), F.col("a").alias("ga"), F.col("size").alias("gs"))
         of = top.select(F.col("g").alias("g2"), "ga", "gs").distinct()
         placed = placed.join(F.broadcast(of), F.col(outer) == F.col("g2"), "left")
         placed = placed.join(F.broadcast(top.select("g", "gi", "gt")), (F.col(outer) == F.col("g")) & (F.expr(f"`{slot}` % ga") == F.col("gi")), "left")

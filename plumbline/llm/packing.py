@@ -150,10 +150,10 @@ def _ranked(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, Dat
     """The rows, each with its rank among the rows of its key (0, 1, ...), and the count of each key. Range partitioning lets a common key
     span partitions; what is added up afterwards is a count for each partition and key in it."""
     ordered = rows.repartitionByRange(partitions(rows.sparkSession), key, *order).sortWithinPartitions(key, *order).withColumn("_m", F.monotonically_increasing_id())
-    ordered = stored(ordered, "ranked", few=True)
+    ordered = stored(ordered, "ranked", per_core=4)
     part = F.shiftright("_m", 33)
     each = ordered.groupBy(part.alias("_part"), F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.min("_m").alias("_least"))
-    each = stored(each, "rank-offsets", few=True)
+    each = stored(each, "rank-offsets", per_core=1)
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = each.withColumn("_before", before)
     ranked = ordered.withColumns({"_part": part, "_key": F.col(key)}).join(offsets, ["_part", "_key"])

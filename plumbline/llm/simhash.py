@@ -99,8 +99,8 @@ def links(distinct: DataFrame, bits: int, shard_rows: int = SHARD_ROWS) -> DataF
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 2, shingle: int = 3) -> DataFrame:
     """_id, _th, fp, root (a fingerprint that names the component) and component_id, a row for each document."""
-    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = stored(fps.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fingerprints", few=True)
+    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints", per_core=16)
+    reps = stored(fps.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fingerprints", per_core=4)
     comps = components(links(reps, bits))
     rooted = reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only components of two or more fingerprints need another look at their members
@@ -120,7 +120,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     first = c.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), F.col("_id"), F.col("_th"))).alias("_k")).select(F.col("_k._id").alias("kept_id"), F.col("_k._th").alias("kept_th")).distinct()
     # ids as text, so that null is a key like any other: the join and the choice among equal rows share one shuffle
     id_key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
-    first = stored(first.select(id_key("kept_id").alias("k"), F.col("kept_th").alias("th")), "kept-ids", few=True)
+    first = stored(first.select(id_key("kept_id").alias("k"), F.col("kept_th").alias("th")), "kept-ids", per_core=1)
     th, k = spare(docs, "th", "k")
     rows = docs.withColumns({th: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), k: id_key(id_col)})
     rows = rows.join(first.select(F.col("k").alias(k), F.col("th").alias(th)), [k, th], "left_semi")
