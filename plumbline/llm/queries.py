@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, language, language_model, line_dedup, mixing, neighbours, packing, quality, repetition, simhash, toxicity
+from . import compression, language, language_model, line_dedup, mixing, neighbours, packing, quality, repetition, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -103,6 +103,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.scored(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"), window=35).drop("spans")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT rid, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+s AS (SELECT rid, s.s AS pos, md5(array_to_string(words[s.s : s.s + 34], ' ')) AS seq FROM d, unnest(range(1, len(words) - 33)) AS s(s)),
+r AS (SELECT rid, pos FROM s QUALIFY count(*) OVER (PARTITION BY seq) > 1),
+m AS (SELECT w.*, max(CASE WHEN r.pos IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.rid ORDER BY w.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN r ON w.rid = r.rid AND w.pos = r.pos),
+k AS (SELECT rid, count(*) AS n_removed FROM m WHERE gone = 1 GROUP BY rid),
+t AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS kept FROM m WHERE gone = 0 GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid LEFT JOIN t ON d.rid = t.rid
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -115,8 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op11_substring": op11_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op11_substring": OP11_SQL}
