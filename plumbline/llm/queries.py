@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, language, language_model, line_dedup, mixing, neighbours, packing, quality, repetition, simhash, substring, toxicity
+from . import compression, hard_negatives, language, language_model, line_dedup, mixing, neighbours, packing, quality, repetition, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -121,6 +121,25 @@ FROM d LEFT JOIN k ON d.rid = k.rid LEFT JOIN t ON d.rid = t.rid
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchors=F.col("id") % 100 == 0, relabel=shifted, scale=256, positives=5, negatives=5, least_percent=80).drop("positive_rank")
+
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS r, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id, r) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY n.score DESC, n.id, n.r)::INTEGER AS rank, n.id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -134,8 +153,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
         "op11_substring": op11_substring,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op11_substring": OP11_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op11_substring": OP11_SQL, "op12_hard_negatives": OP12_SQL}
