@@ -38,7 +38,8 @@ SHARD_BYTES = 16 << 20
 BROADCAST_EDGES = 1 << 20
 HEAD, COPIES, EDGES, MARKS = 0, 1, 2, 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PATHS = "array<struct<s:long,n:long,b:boolean,a:boolean,c:int>>"
+#: A path in a document: first window, number of windows, whether what precedes and follows may belong to it, how often it occurs (255 at most).
+_PATH = np.dtype([("s", "<i8"), ("n", "<i8"), ("b", "?"), ("a", "?"), ("c", "u1")])
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -201,9 +202,9 @@ def edge_rows(k: int, shards: int, size: int, bits: int):
             used = m[m > 0]
             ids = batch.column("_id").take(pa.array(rows))
             chunk = int(np.uint64(xxhash.xxh3_64_intdigest(e.tobytes() + repr((w.first, used.tolist(), ids.to_pylist())).encode())).view(np.int64))
-            home = (chunk >> 11) % shards
+            home = (used * 40503 + np.arange(len(used)) + (chunk >> 11)) % shards
             nulls = batch.column("_id").slice(0, 1).take(pa.array([None], pa.int32()))
-            out = [_table(HEAD, chunk, shard=pa.array(np.full(len(rows), home, np.int32)), _id=ids, _th=batch.column("_th").take(pa.array(rows)), w=pa.array(np.full(len(rows), w.first, np.int64)), first=pa.array((np.cumsum(used) - used).astype(np.int32)), m=pa.array(used.astype(np.int32)))]
+            out = [_table(HEAD, chunk, shard=pa.array(home.astype(np.int32)), _id=ids, _th=batch.column("_th").take(pa.array(rows)), w=pa.array(np.full(len(rows), w.first, np.int64)), first=pa.array((np.cumsum(used) - used).astype(np.int32)), m=pa.array(used.astype(np.int32)))]
             if len(first) < len(e):  # windows that repeat an earlier one, as runs with the same distance
                 source = np.empty(len(e), np.int64)
                 source[order] = np.repeat(first, many)
@@ -211,7 +212,7 @@ def edge_rows(k: int, shards: int, size: int, bits: int):
                 back = later - source[later]
                 starts = _runs(np.diff(later) != 1, np.diff(back) != 0)
                 table = np.stack((later[starts], back[starts], np.diff(np.append(starts, len(later))))).astype("<u4")
-                out.append(_table(COPIES, chunk, shard=pa.array([home], pa.int32()), blob=pa.array([table.tobytes()]), _id=nulls))
+                out.append(_table(COPIES, chunk, shard=pa.array(home[:1].astype(np.int32)), blob=pa.array([table.tobytes()]), _id=nulls))
 
             seat = np.argsort(first)
             first, flags, total, e_of = first[seat], flags[seat], total[seat], e[first[seat]]
@@ -325,12 +326,12 @@ def path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.append(same[1:], len(at)) - 1
         row = of[same]
         bounds = np.concatenate((_runs(np.diff(row) != 0), [len(row)]))
-        struct = pa.StructArray.from_arrays(
-            [pa.array(at[same] - first[row] + w[row]), pa.array((at[last] - at[same] + 1).astype(np.int64)), pa.array(mark[at[same]] & 2 == 0), pa.array(mark[at[last]] & 4 == 0), pa.array(count[at[same]].astype(np.int32))],
-            ["s", "n", "b", "a", "c"],
-        )
+        paths = np.empty(len(same), _PATH)
+        paths["s"], paths["n"], paths["c"] = at[same] - first[row] + w[row], at[last] - at[same] + 1, count[at[same]]
+        paths["b"], paths["a"] = mark[at[same]] & 2 == 0, mark[at[last]] & 4 == 0
         take = pa.array(row[bounds[:-1]])
-        yield pa.RecordBatch.from_arrays([head.column("_id").combine_chunks().take(take), head.column("_th").combine_chunks().take(take), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), struct)], ["_id", "_th", "paths"])
+        blobs = pa.array([paths[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([head.column("_id").combine_chunks().take(take), head.column("_th").combine_chunks().take(take), blobs], ["_id", "_th", "paths"])
 
     for batch in batches:
         ids, kinds, blobs = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy(), batch.column("blob")
@@ -346,10 +347,10 @@ def path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def joined(s: np.ndarray, n: np.ndarray, b: np.ndarray, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Paths (start, windows) in order; those that only a part's border cuts are one."""
-    order = np.argsort(s)
-    s, n, b, a, c = s[order], n[order], b[order], a[order], c[order]
+def joined(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Paths (start, windows) in order, each once; those that only a part's border cuts are one."""
+    paths = np.unique(paths)
+    s, n, b, a, c = (paths[x] for x in ("s", "n", "b", "a", "c"))
     if not len(s):
         return s, n
     begin = _runs(s[1:] != s[:-1] + n[:-1], ~a[:-1], ~b[1:], c[1:] != c[:-1])
@@ -424,10 +425,7 @@ def _apply(k: int, size: int):
             data, offsets = bytes_of(batch.column("_text"))
             out = []
             for i, paths in enumerate(batch.column("paths")):
-                if paths.is_valid and len(paths):
-                    s, n = joined(*(paths.values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "b", "a", "c")))
-                else:
-                    s = n = np.zeros(0, np.int64)
+                s, n = joined(np.frombuffer(b"".join(paths.as_py() or ()), _PATH))
                 out.append(measured(data[offsets[i] : offsets[i + 1]], s, n, k, size))
             digests = pa.array([[dict(zip(("s", "n", "hi", "lo", "times"), d, strict=True)) for d in x[3]] for x in out], pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "n", "hi", "lo", "times")])))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), *(pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))), digests], ["_id", "_th", "n_words", "n_removed", "kept_sha256", "digests"])
@@ -445,8 +443,8 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def compacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 35, size: int = CHUNK, bits: int = 64) -> DataFrame:
-    """(_id, _th, paths): for each document with repeated edges the compacted paths that run through it, as starts and numbers of windows (with whether
-    what precedes and follows may belong to the same path, and how often it occurs, 255 at most). Candidates: hashes decide."""
+    """(_id, _th, paths): for each document with repeated edges the compacted paths that run through it, each part's as records of _PATH. Candidates:
+    hashes decide."""
     src = _source(docs, id_col, text_col)
     id_type = src.schema["_id"].dataType.simpleString()
     n = partitions(docs.sparkSession)
@@ -456,8 +454,8 @@ def compacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     dealt = edges.repartition(n, "shard").sortWithinPartitions("shard", "kind")
     marks = dealt.mapInArrow(decide, _schema(id_type))
     by_chunk = marks.repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    paths = by_chunk.mapInArrow(path_rows, f"_id {id_type}, _th long, paths {_PATHS}")
-    return paths.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_set("paths"))).alias("paths"))
+    paths = by_chunk.mapInArrow(path_rows, f"_id {id_type}, _th long, paths binary")
+    return paths.groupBy("_id", "_th").agg(F.collect_set("paths").alias("paths"))
 
 
 def window_rows(k: int, size: int, wanted: Broadcast | None = None):
@@ -479,14 +477,11 @@ def window_rows(k: int, size: int, wanted: Broadcast | None = None):
     return run
 
 
-def _verified(src: DataFrame, spans: DataFrame, k: int, size: int) -> DataFrame:
-    """(_id, _th, s) of the windows inside the spans (_id, _th, s, n) which do occur elsewhere, by two further hashes over the window's words."""
+def _one_by_one(src: DataFrame, docs: DataFrame, k: int, size: int) -> DataFrame:
+    """(_id, _th, paths) of the documents (_id, _th): each window that does occur elsewhere, by its edge and two further hashes over its words."""
     spark, id_type = src.sparkSession, src.schema["_id"].dataType.simpleString()
     schema = f"edge long, hi long, lo long, _id {id_type}, _th long, s long"
-    docs = spans.select("_id", "_th").distinct()
-    theirs = src.join(docs, _same(src, docs), "left_semi").mapInArrow(window_rows(k, size), schema)
-    starts = spans.select("_id", "_th", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("s"))
-    theirs = stored(theirs.join(starts, _same(theirs, starts) & (theirs["s"] == starts["s"]), "left_semi").distinct(), "doubtful")
+    theirs = stored(src.join(docs, _same(src, docs), "left_semi").mapInArrow(window_rows(k, size), schema).distinct(), "doubtful")
     edges = theirs.select("edge").distinct()
     if edges.count() <= BROADCAST_EDGES:
         wanted = spark.sparkContext.broadcast(np.array([r["edge"] for r in edges.collect()], np.int64).view(np.uint64))
@@ -494,7 +489,18 @@ def _verified(src: DataFrame, spans: DataFrame, k: int, size: int) -> DataFrame:
     else:
         everywhere = src.mapInArrow(window_rows(k, size), schema).join(edges, "edge", "left_semi")
     twice = everywhere.groupBy("edge", "hi", "lo").agg(F.count("*").alias("times")).filter("times > 1")
-    return theirs.join(twice, ["edge", "hi", "lo"], "left_semi").select("_id", "_th", "s")
+    good = theirs.join(twice, ["edge", "hi", "lo"], "left_semi").groupBy("_id", "_th").agg(F.collect_list("s").alias("s"))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for starts in batch.column("s"):
+                p = np.zeros(len(starts), _PATH)
+                p["s"], p["n"] = starts.values.to_numpy(), 1
+                blobs.append([p.tobytes()])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(blobs, pa.list_(pa.binary()))], ["_id", "_th", "paths"])
+
+    return good.mapInArrow(paths, f"_id {id_type}, _th long, paths array<binary>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 35, size: int = CHUNK, bits: int = 64) -> DataFrame:
@@ -513,10 +519,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = out.select("_id", "_th", F.explode("digests").alias("d")).select("_id", "_th", "d.*")
     alone = d.groupBy("hi", "lo", "n").agg(F.sum("times").alias("times"), F.min(F.struct("_id", "_th", "s")).alias("at")).filter("times = 1")
     alone = stored(alone.select("at.*", "n"), "alone-paths", per_core=1)
-    if not alone.isEmpty():  # all windows of these documents are decided one by one
-        touched = alone.select("_id", "_th").distinct()
-        spans = paths.join(touched, _same(paths, touched), "left_semi").select("_id", "_th", F.explode("paths").alias("p")).select("_id", "_th", "p.s", "p.n")
-        good = _verified(src, spans, window, size).distinct()
-        good = good.groupBy("_id", "_th").agg(F.collect_list(F.struct("s", F.lit(1).cast("long").alias("n"), F.lit(False).alias("b"), F.lit(False).alias("a"), F.lit(0).alias("c"))).alias("paths"))
-        out = out.join(touched, _same(out, touched), "left_anti").unionByName(applied(src.join(touched, _same(src, touched), "left_semi"), good))
+    if not alone.isEmpty():
+        touched = stored(alone.select("_id", "_th").distinct(), "touched", per_core=1)
+        again = applied(src.join(touched, _same(src, touched), "left_semi"), _one_by_one(src, touched, window, size))
+        out = out.join(touched, _same(out, touched), "left_anti").unionByName(again)
     return out.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.transform("digests", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"))).alias("spans"))
