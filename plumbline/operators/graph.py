@@ -20,6 +20,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(where or "/tmp/checkpoints")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or the session's own checkpoints where it is unset."""
+    checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: list[str] | None = None, rounds: int = 100) -> DataFrame:
     """keys, node, component (its least node): alternating large stars (all greater neighbours link to the least of a neighbourhood) and
     small stars (all lesser ones do), checkpointed, until no edge changes. The rounds grow with the logarithm of the nodes, whatever the
