@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
+IS_NEWLINE = np.zeros(256, bool)
+IS_NEWLINE[10] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -72,6 +74,21 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPAC
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def text_pieces(data: np.ndarray, size: int, separator: np.ndarray = IS_SPACE) -> Iterator[np.ndarray]:
+    """Consecutive slices of about ``size`` bytes that cut no word (run without separators); a separator ends none, it begins the next."""
+    i = 0
+    while i < len(data):
+        j = min(len(data), i + size)
+        while j < len(data):
+            gap = np.flatnonzero(separator[data[j : j + 65536]])
+            if len(gap):
+                j += int(gap[0])
+                break
+            j = min(len(data), j + 65536)
+        yield data[i:j]
+        i = j
+
+
 def per_doc(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of values, one run a document (zero for empty runs)."""
     total = np.concatenate(([0], np.cumsum(values)))

@@ -30,10 +30,10 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, IS_SPACE, bytes_of, mix, partitions, span_hashes, stored, text_bytes, words
+from .common import CHUNK, IS_SPACE, bytes_of, mix, partitions, span_hashes, stored, text_bytes, text_pieces, words
 
 #: Bytes of text whose edges one shard decides at once; the tables' sum gives the number of shards.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Unverified edges that may be broadcast as one sorted array (8 bytes each); more are joined.
 BROADCAST_EDGES = 1 << 20
 HEAD, COPIES, EDGES, MARKS = 0, 1, 2, 3
@@ -69,21 +69,6 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def text_pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Consecutive slices of about ``size`` bytes that cut no word."""
-    i = 0
-    while i < len(data):
-        j = min(len(data), i + size)
-        while j < len(data):
-            gap = np.flatnonzero(IS_SPACE[data[j : j + 65536]])
-            if len(gap):
-                j += int(gap[0])
-                break
-            j = min(len(data), j + 65536)
-        yield data[i:j]
-        i = j
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray | None = None, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and how many each text has; with a salt another function (of the bytes combined with it)."""
     starts, ends, counts = words(data, np.array([0, len(data)]) if offsets is None else offsets)
