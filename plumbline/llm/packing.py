@@ -16,7 +16,6 @@ like any others. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from math import isqrt
@@ -36,10 +35,20 @@ from .common import discard, partitions, stored, text_bytes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that the pattern above can't be matched against: its matcher gives up on runs of about a million characters.
 _LONG_SPACE = 50_000
-_long_space = re.compile(r"\s{%d}" % _LONG_SPACE)
 _encoders: dict[str, Encoder] = {}
 
 
+def has_long_space(text: str, least: int = _LONG_SPACE) -> bool:
+    """Whether a run of ``least`` white-space characters is in the text. Such a run covers a place divisible by ``least``, so only the runs there
+    are measured, each at most ``least`` characters either way."""
+    for i in range(0, len(text), least):
+        if text[i].isspace():
+            before, after = text[max(0, i - least) : i], text[i : i + least]
+            if len(before) - len(before.rstrip()) + len(after) - len(after.lstrip()) >= least:
+                return True
+    return False
+
+
 class Encoder:
     """Ids of a byte-level BPE vocabulary file. Texts without added tokens or very long white space go through the faster of two equal
     implementations."""
@@ -58,7 +67,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("plumbline", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(t in text for t in self.added) or (len(text) >= _LONG_SPACE and _long_space.search(text)):
+        if self.fast is None or any(t in text for t in self.added) or has_long_space(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
