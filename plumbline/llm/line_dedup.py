@@ -7,7 +7,8 @@ groups at a partition's two ends can go on next door; their counts, two rows a p
 What comes back is one bitmap a document, deflated, never text.
 
 A document is a (doc_id, text) pair: rows repeated as a whole count once and get the same bitmap. Null text is empty text, which is
-one empty line. A null doc_id is an id like any other. An empty table gives an empty result.
+one empty line. A null doc_id is an id like any other. An empty table gives an empty result. Very long texts and texts of very many lines are read in
+pieces of CHUNK bytes; beside the text a task holds FLUSH rows, and a byte a line while it applies a bitmap.
 """
 
 from __future__ import annotations
@@ -24,56 +25,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, columns, partitions, spare, stored, text_bytes
+from .common import CHUNK, IS_NEWLINE, SPACES, bytes_of, columns, partitions, spare, stored, text_bytes, text_pieces
 
+#: Rows that a task holds before it sends them on.
+FLUSH = 50_000
 _ROW = "hi long, lo long, pos int, n_lines int"
 #: A row to drop; one whose group goes on next door; the first row there of such a group; such a group's count of documents.
 DROP, OPEN, FIRST, COUNT = 1, 2, 3, 4
 
 
-def line_keys(min_chars: int):
-    """Rows of a document's lines: the header (pos -1, with the number of lines) and each line whose key is long enough."""
+def line_keys(min_chars: int, size: int = CHUNK):
+    """Rows of a document's lines: each line whose key is long enough, then the header (pos -1, with the number of lines). At most FLUSH rows and a
+    piece of ``size`` bytes of a text are held as Python objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = bytes_of(batch.column("_text"))
             parts: list[list] = [[], [], [], [], []]
-            size = 0
-            for i, text in enumerate(batch.column("_text")):
-                lines = (text.as_py() or b"").split(b"\n")
-                seen = 0
-                for pos, line in enumerate(lines):
-                    key = line.strip(SPACES).lower()
-                    if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars):
-                        d = xxhash.xxh3_128_intdigest(key)
-                        parts[0].append(d >> 64)
-                        parts[1].append(d & 0xFFFFFFFFFFFFFFFF)
-                        parts[2].append(pos)
-                        seen += 1
-                        size += len(line)
-                parts[0].append(0)
-                parts[1].append(0)
-                parts[2].append(-1)
-                parts[3].append((i, seen + 1))
-                parts[4].append(len(lines))
-                if len(parts[0]) > 200_000:
-                    yield _flush(batch, parts)
-                    parts = [[], [], [], [], []]
-            if parts[0]:
-                yield _flush(batch, parts)
+            for i in range(batch.num_rows):
+                pos = 0
+                for lines in line_pieces(data[offsets[i] : offsets[i + 1]], size):
+                    for line in lines:
+                        key = line.strip(SPACES).lower()
+                        if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars):
+                            d = xxhash.xxh3_128_intdigest(key)
+                            for part, x in zip(parts, (i, d >> 64, d & 0xFFFFFFFFFFFFFFFF, pos, 0), strict=True):
+                                part.append(x)
+                        pos += 1
+                        if len(parts[0]) >= FLUSH:
+                            yield _flush(batch, parts)
+                            parts = [[], [], [], [], []]
+                for part, x in zip(parts, (i, 0, 0, -1, pos), strict=True):
+                    part.append(x)
+            yield _flush(batch, parts)
 
     return run
 
 
+def line_pieces(data: np.ndarray, size: int) -> Iterator[list[bytes]]:
+    """The lines of a text, a few at a time."""
+    if not len(data):
+        yield [b""]
+        return
+    for k, piece in enumerate(text_pieces(data, size, IS_NEWLINE)):
+        lines = piece.tobytes().split(b"\n")
+        yield lines[1:] if k else lines  # later pieces begin with the line break that ends the one before
+
+
 def _flush(batch: pa.RecordBatch, parts: list[list]) -> pa.RecordBatch:
-    rows = np.repeat([i for i, _ in parts[3]], [n for _, n in parts[3]])
-    pos = np.array(parts[2], np.int32)
-    n_lines = np.zeros(len(pos), np.int32)
-    n_lines[pos < 0] = parts[4]
-    take = pa.array(rows)
-    return pa.RecordBatch.from_arrays(
-        [batch.column("_id").take(take), batch.column("_th").take(take), pa.array(np.array(parts[0], np.uint64).view(np.int64)), pa.array(np.array(parts[1], np.uint64).view(np.int64)), pa.array(pos), pa.array(n_lines)],
-        ["_id", "_th", "hi", "lo", "pos", "n_lines"],
-    )
+    take = pa.array(parts[0], pa.int32())
+    hi, lo = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in parts[1:3])
+    return pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_th").take(take), hi, lo, pa.array(parts[3], pa.int32()), pa.array(parts[4], pa.int32())], ["_id", "_th", "hi", "lo", "pos", "n_lines"])
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -180,10 +184,25 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), batch.column("n_lines"), batch.column("n_dropped"), pa.array(out, pa.binary())], ["_id", "_th", "n_lines", "n_dropped", "keep"])
 
 
+def kept_pieces(data: np.ndarray, n_lines: int, keep: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """The text without the lines that the bitmap drops, in pieces."""
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n_lines, bitorder="little").astype(bool)
+    at, held = 0, b""
+    pieces = text_pieces(data, size, IS_NEWLINE) if len(data) else [data]
+    for k, piece in enumerate(pieces):
+        body = np.concatenate((piece[1:] if k else piece, np.array([10], np.uint8)))  # every line with its break
+        ends = np.flatnonzero(body == 10) + 1
+        kept = body[np.repeat(bits[at : at + len(ends)], np.diff(ends, prepend=0))].tobytes()
+        at += len(ends)
+        if kept:
+            yield held
+            held = kept
+    yield held[:-1]  # the last line's break isn't one between lines
+
+
 def kept_lines(text: bytes | None, n_lines: int, keep: bytes) -> bytes:
     """The text without the lines that the bitmap drops."""
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n_lines, bitorder="little")
-    return b"\n".join(line for line, bit in zip((text or b"").split(b"\n"), bits, strict=True) if bit)
+    return b"".join(kept_pieces(np.frombuffer(text or b"", np.uint8), n_lines, keep))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
@@ -237,7 +256,14 @@ def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_co
 
     @F.arrow_udf("string")
     def sha(text: pa.Array, n: pa.Array, keep: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(kept_lines(t.as_py(), k.as_py(), b.as_py())).hexdigest() for t, k, b in zip(text, n, keep, strict=True)], pa.string())
+        data, offsets = bytes_of(text)
+        out = []
+        for i, (k, b) in enumerate(zip(n, keep, strict=True)):
+            digest = hashlib.sha256()
+            for piece in kept_pieces(data[offsets[i] : offsets[i + 1]], k.as_py(), b.as_py()):
+                digest.update(piece)
+            out.append(digest.hexdigest())
+        return pa.array(out, pa.string())
 
     b = bitmaps.select(F.col("_id").alias("b_id"), F.col("_th").alias("b_th"), "n_lines", "n_dropped", "keep")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("d_th", F.xxhash64("_text"))
