@@ -4,7 +4,8 @@ Word hashes come from one prefix sum over the bytes, n-gram hashes by rolling th
 document, shows the repeats. For each n the covered words are the union of the windows that repeat an earlier one; their share of
 the text's characters is held against a limit, as are repeated lines.
 
-Null is a text without words. Every row gives a row; ids may repeat or be null. An empty table gives an empty result.
+Null is a text without words. Every row gives a row; ids may repeat or be null. An empty table gives an empty result. A text beyond CHUNK bytes is
+measured alone, in pieces: beside the text a task holds about 14 bytes a word and 12 a line (for a moment twice the lines').
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, mix, per_doc, span_hashes, text_bytes, words
+from .common import CHUNK, IS_NEWLINE, bytes_of, chunks, mix, per_doc, span_hashes, text_bytes, text_pieces, words
 
 #: The largest share of characters inside repeated n-grams, by n, and of lines and their characters inside repeated lines.
 NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_NEWLINE = np.zeros(256, bool)
-_NEWLINE[10] = True
 _ROLL = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -65,7 +64,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], bas
     symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
     out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
 
-    ls, le, n_lines = words(data, offsets, _NEWLINE)
+    ls, le, n_lines = words(data, offsets, IS_NEWLINE)
     solid = np.searchsorted(starts, le) > np.searchsorted(starts, ls)  # has a word
     doc = np.repeat(np.arange(n_docs), n_lines)[solid]
     ls, le = ls[solid], le[solid]
@@ -97,6 +96,72 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], bas
     return out
 
 
+#: Windows of a long text whose hashes are sorted at once.
+SORTED = 4 << 20
+
+
+def measure_long(data: np.ndarray, lengths: tuple[int, ...], base_n: int = 8, piece: int = CHUNK, most: int = SORTED) -> dict[str, np.ndarray]:
+    """As measure(), of one text of any length: read in pieces, word and line hashes kept (12 bytes each), window hashes made anew by spans and compared
+    in as many parts of the hash range as keep a sort under ``most``."""
+    hashes, chars, symbols = [], [], 0
+    for part in text_pieces(data, piece):
+        starts, ends, _ = words(part, np.array([0, len(part)]))
+        points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+        hashes.append(span_hashes(part, starts, ends))
+        chars.append((points[ends] - points[starts]).astype(np.uint32))
+        symbols += int(_SYMBOL[part].sum())
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    hashes.clear()
+    chars = np.concatenate(chars) if chars else np.zeros(0, np.uint32)
+    line_hashes, line_chars = [], []
+    for part in text_pieces(data, piece, IS_NEWLINE):
+        starts, _, _ = words(part, np.array([0, len(part)]))
+        ls, le, _ = words(part, np.array([0, len(part)]), IS_NEWLINE)
+        solid = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
+        points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+        line_hashes.append(span_hashes(part, ls[solid], le[solid]))
+        line_chars.append((points[le[solid]] - points[ls[solid]]).astype(np.uint32))
+    lines = np.concatenate(line_hashes) if line_hashes else np.zeros(0, np.uint64)
+    line_hashes.clear()
+    line_chars = np.concatenate(line_chars) if line_chars else np.zeros(0, np.uint32)
+
+    def marks(values: np.ndarray, k: int, which: int) -> np.ndarray:
+        """Windows of k values that occur again anywhere (which 0), or occurred before (1)."""
+        n = max(0, len(values) - k + 1)
+        out, parts = np.zeros(n, bool), -(-n // most)
+        for p in range(parts):
+            keys, places = [], []
+            for a in range(0, n, most):
+                z = min(n, a + most)
+                roll = values[a:z].copy()
+                for j in range(1, k):
+                    roll *= _ROLL
+                    roll += values[a + j : z + j]
+                roll = mix(roll)
+                at = np.flatnonzero((roll >> np.uint64(20)) % np.uint64(parts) == p) if parts > 1 else np.arange(z - a)
+                keys.append(roll[at])
+                places.append(at + a)
+            out[np.concatenate(places)[repeats(np.concatenate(keys))[which]]] = True
+        return out
+
+    def inside(k: int, which: int, weights: np.ndarray | None) -> int:
+        """Words (or their weights) inside the marked windows."""
+        found, total = marks(h, k, which), 0
+        for a in range(0, len(h), most):
+            z, first = min(len(h), a + most), max(0, a - k + 1)
+            at = np.flatnonzero(found[first:z])
+            hit = covered(at, k, z - first + k)[a - first : z - first]
+            total += int(hit.sum() if weights is None else weights[a:z][hit].sum(dtype=np.int64))
+        return total
+
+    later = marks(lines, 1, 1)
+    one = lambda x: np.array([int(x)], np.int64)
+    return {
+        "n_words": one(len(h)), "word_chars": one(chars.sum(dtype=np.int64)), "n_symbols": one(symbols), "n_lines": one(len(lines)), "n_dup_lines": one(later.sum()), "line_chars": one(line_chars.sum(dtype=np.int64)),
+        "dup_line_chars": one(line_chars[later].sum(dtype=np.int64)), "n_repeat_words": one(inside(base_n, 0, None)), "dup_chars": np.array([[inside(k, 1, chars) for k in lengths]], np.int64).reshape(1, -1),
+    }
+
+
 def verdicts(m: dict[str, np.ndarray], limits: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept)"""
     base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
@@ -112,7 +177,8 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
-            m = measure(*bytes_of(batch.column("_text")), lengths)
+            data, offsets = bytes_of(batch.column("_text"))
+            m = measure_long(data, lengths) if len(data) > CHUNK else measure(data, offsets, lengths)  # only a single text is longer
             base, kept = verdicts(m, limits)
             shares = m["dup_chars"] / np.maximum(m["word_chars"], 1)[:, None]
             longs = [pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
