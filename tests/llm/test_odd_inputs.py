@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -102,3 +103,75 @@ def test_tables_on_the_way_are_deleted(spark, odd):
     before = set(os.listdir(folder))
     kept = stored_alone(spark, lambda: simhash.keep_one(odd), "kept")
     assert set(os.listdir(folder)) - before == {os.path.basename(kept._plumbline_path)} and kept.count() == 6
+
+
+def test_white_space_runs_of_any_length():
+    """The check for very long white space, and the encoder, take time linear in the text whatever its runs are."""
+    import re
+    import time
+
+    import public_tokenizers
+
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for least, n in ((1, 1), (3, 40), (7, 100)):
+        for seed in range(60):
+            rng = np.random.default_rng(seed)
+            text = "".join(rng.choice(list(" \n　ab"), n, p=[0.3, 0.2, 0.3, 0.1, 0.1]))
+            assert packing.has_long_space(text, least) == bool(re.search(r"\s{%d}" % least, text))
+    for run in (1, 2, 100, 4_999, 20_000, 49_999, 50_000, 60_000):
+        text = ("word" + " " * run) * (1_000_000 // (run + 4))
+        began = time.time()
+        ids = encode(text)
+        assert time.time() - began < 5, run
+        assert ids == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_one_long_text_of_many_lines():
+    """Line keys, kept lines and repetition of one text hold little beside it."""
+    import hashlib
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = b"".join(b"%d\n" % (i % 4000) for i in range(1_000_000))  # 5 MB
+    batch = pa.RecordBatch.from_pydict({"_id": pa.array([1]), "_th": pa.array([2]), "_text": pa.array([text], pa.binary())})
+    began = time.time()
+    tracemalloc.start()
+    n = sum(b.num_rows for b in line_dedup.line_keys(1)(iter([batch])))
+    assert n == 1_000_001
+    bits = np.ones(1_000_001, np.uint8)
+    bits[::3] = 0
+    import zlib
+
+    keep = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+    digest = hashlib.sha256()
+    for piece in line_dedup.kept_pieces(np.frombuffer(text, np.uint8), 1_000_001, keep):
+        digest.update(piece)
+    lines_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    m = repetition.measure_long(np.frombuffer(text, np.uint8), (5, 10), piece=1 << 18, most=1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert digest.hexdigest() == hashlib.sha256(b"\n".join(x for x, b in zip(text.split(b"\n"), bits, strict=True) if b)).hexdigest()
+    assert m["n_words"][0] == m["n_repeat_words"][0] == m["n_lines"][0] == 1_000_000 and m["n_dup_lines"][0] == 996_000
+    assert lines_peak < 60e6 and peak < 60 * 1_000_000 and time.time() - began < 90
+
+
+def test_long_texts_are_measured_alike():
+    """Pieces, spans and parts of the hash range make no difference to what is counted."""
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        n = int(rng.integers(0, 400))
+        text = "".join(rng.choice(["a", "bé", "c#", " ", "\n", " \n", "\t"], n)).encode()
+        data = np.frombuffer(text, np.uint8)
+        a = repetition.measure(data, np.array([0, len(data)]), (2, 3, 5), 3)
+        b = repetition.measure_long(data, (2, 3, 5), 3, piece=int(rng.integers(1, 50)), most=int(rng.integers(1, 60)))
+        assert {k: v.tolist() for k, v in a.items()} == {k: v.tolist() for k, v in b.items()}
+        bits = rng.integers(0, 2, text.count(b"\n") + 1).astype(np.uint8)
+        import zlib
+
+        keep = zlib.compress(np.packbits(bits, bitorder="little").tobytes())
+        expected = b"\n".join(x for x, k in zip(text.split(b"\n"), bits, strict=True) if k)
+        assert b"".join(line_dedup.kept_pieces(data, len(bits), keep, int(rng.integers(1, 20)))) == expected == line_dedup.kept_lines(text, len(bits), keep)
+        assert [x for lines in line_dedup.line_pieces(data, int(rng.integers(1, 20))) for x in lines] == text.split(b"\n")
