@@ -73,13 +73,14 @@ def room_ceilings(points: DataFrame, areas: DataFrame, keys: list[str], floors:
 
 
 def room_features(cells: DataFrame, openings: DataFrame, keys: list[str], *, res: float = 0.05, below: DataFrame | None = None, seen: DataFrame | None = None, walked: DataFrame | None = None) -> DataFrame:
-    """keys, room, area, long_side, short_side, elongation (of the axis-aligned bounding box; rooms are rectilinear), inscribed_width, n_openings,
-    degree, below_points, seen, walked. below: points (u, v) of surfaces below the floor's level; seen, walked: rasters (r, c) of floor
+    """keys, room, area, long_side, short_side, elongation (of the smallest rotated rectangle), inscribed_width, n_openings, degree, below_points, seen, walked. below: points (u, v) of surfaces below the floor's level; seen, walked: rasters (r, c) of floor
     evidence and of the camera's way. What isn't given counts as nothing."""
-    from . import raster
+    from . import polygons, raster
 
     by = [*keys, "room"]
-    g = cells.groupBy(*by).agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"), (F.max("u1") - F.min("u0")).alias("_w"), (F.max("v1") - F.min("v0")).alias("_h"))
+    g = cells.groupBy(*by).agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"))
+    corners = cells.select(*by, F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a in ("u0", "u1") for b in ("v0", "v1")])).alias("_c")).select(*by, "_c.*")
+    g = g.join(polygons.rotated_rectangles(polygons.hulls(corners, by, "u", "v"), by), by)
     ends = openings.select(*keys, F.explode(F.array(F.struct(F.col("room_a").alias("room"), F.col("room_b").alias("other")), F.struct(F.col("room_b").alias("room"), F.col("room_a").alias("other")))).alias("_e")).select(*keys, "_e.*")
     o = ends.filter("room is not null").groupBy(*by).agg(F.count("*").alias("n_openings"), F.count_distinct("other").alias("degree"))
     mask = raster.rectangle_cells(cells, res, by).checkpoint()
@@ -95,8 +96,7 @@ def room_features(cells: DataFrame, openings: DataFrame, keys: list[str], *, res
         else:
             g = g.withColumn(name, F.lit(0.0))
     g = g.fillna(0, ["n_openings", "degree", "below_points", "seen", "walked"])
-    long, short = F.greatest("_w", "_h"), F.least("_w", "_h")
-    return g.select(*by, "area", long.alias("long_side"), short.alias("short_side"), (long / F.greatest(short, F.lit(0.1))).alias("elongation"), "inscribed_width", "n_openings", "degree", "below_points", "seen", "walked")
+    return g.select(*by, "area", "long_side", "short_side", (F.col("long_side") / F.greatest("short_side", F.lit(0.1))).alias("elongation"), "inscribed_width", "n_openings", "degree", "below_points", "seen", "walked")
 
 
 def _table(spark, rows: list[tuple], names: list[str]) -> DataFrame:
