@@ -22,7 +22,7 @@ from .graph import cell_components, connected_components
 def height_bands(points: DataFrame, keys: list[str], *, least: float = 0.25, most: float = 9.0, below: float = 0.15, rise: float = 1.8, enough: int = 2000) -> DataFrame:
     """keys, band_lo, band_hi: each capture's band of wall heights, up to the 97th percentile of its vertical surfaces or a little below its
     ceiling, if there is one, whichever is lower. points: plan coordinates (h, ny)."""
-    high = points.filter((F.abs("ny") < 0.3) & (F.col("h") > 0.1)).groupBy(*keys).agg(F.percentile("h", 0.97).alias("_top"))
+    high = robust.selection.quantiles(points.filter((F.abs("ny") < 0.3) & (F.col("h") > 0.1)), "h", [0.97], keys, ["_top"])
     down = robust.trimmed_mode(points.filter((F.col("ny") < -0.95) & (F.col("h") > rise)), "h", 0.01, 0.03, keys).filter(F.col("n") >= enough).select(*keys, F.col("value").alias("_ceiling"))
     both = high.join(down, keys, "left") if keys else high.join(F.broadcast(down), F.lit(True), "left")
     top = F.least(F.coalesce("_top", F.lit(most)), F.coalesce(F.col("_ceiling") - below, F.lit(most)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import priors
+from .selection import quantiles
 
 
 @dataclass
@@ -49,8 +50,8 @@ def robust_similarity(pairs: DataFrame, a: list[str], b: list[str], *, rounds: i
     fit = umeyama(pairs, a, b, with_scale=with_scale)
     for _ in range(rounds - 1):
         d = pairs.withColumn("_r", fit.residual(a, b))
-        limit = d.agg(F.percentile("_r", keep)).first()[0]
-        fit = umeyama(d.filter(F.col("_r") <= limit), a, b, with_scale=with_scale)
+        limit = quantiles(d, "_r", [keep]).first()
+        fit = umeyama(d.filter(F.col("_r") <= (limit[0] if limit else 0.0)), a, b, with_scale=with_scale)
     return fit
 
 

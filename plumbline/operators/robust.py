@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import selection
+
 
 def _least(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
@@ -101,16 +103,14 @@ def manhattan_yaw(df: DataFrame, dx: str, dz: str, keys: list[str] | None = None
 
 
 def percentiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
-    """keys, p<share>: exact percentiles, linear between ranks."""
-    x = F.col(value).cast("double")
-    names = [f"p{s * 100:g}".replace(".", "_") for s in shares]
-    return df.groupBy(*(keys or [])).agg(*[F.percentile(x, s).alias(n) for s, n in zip(shares, names, strict=True)])
+    """keys, p<share>: exact percentiles, linear between ranks, of groups of any size."""
+    return selection.quantiles(df, value, shares, keys, [f"p{s * 100:g}".replace(".", "_") for s in shares])
 
 
 def inlier_stats(df: DataFrame, value: str, reach: float, keys: list[str] | None = None) -> DataFrame:
     """keys, median, mean, std (population), n: of the values nearer than ``reach`` to the median."""
     keys = keys or []
-    m = df.groupBy(*keys).agg(F.median(value).alias("median"))
+    m = selection.quantiles(df, value, [0.5], keys, ["median"])
     d = _join(df.filter(F.col(value).isNotNull()), m, keys).filter(F.abs(F.col(value) - F.col("median")) < reach)
     x = F.col(value).cast("double")
     return d.groupBy(*keys).agg(F.first("median").alias("median"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count("*").alias("n"))

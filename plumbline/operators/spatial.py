@@ -106,11 +106,6 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return best.select(*keys, left_id, F.col(f"_b.r_{right_id}").alias(f"near_{right_id}"), F.col("_b._d2").alias("d2"))
 
 
-def revisit_distance(points: DataFrame, point_id: str, xy: tuple[str, ...], time: str, radius: float, apart: float, keys: list[str] | None = None) -> DataFrame:
-    """point_id, near id, d2: the nearest point seen at least ``apart`` earlier or later, within the radius."""
-    return nearest_within(points, points, point_id, point_id, xy, radius, keys=keys, condition=F.abs(F.col(f"l_{time}") - F.col(f"r_{time}")) >= apart)
-
-
 #: Bytes of query vectors that are broadcast; more are shuffled.
 BROADCAST_BYTES = 64 << 20
 

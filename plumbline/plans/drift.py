@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import priors
-from ..operators import register, robust, spatial, windows
+from ..operators import register, revisits, robust, selection, spatial, windows
 
 
 def ghosting(points: DataFrame, keys: list[str], radius: float = 0.15, apart: float = priors.REVISIT_S) -> DataFrame:
     """keys, ghosting: the median distance to the nearest point seen long before or after. points: id, u, v, t."""
-    d = spatial.revisit_distance(points, "id", ("u", "v"), "t", radius, apart, keys)
-    return d.groupBy(*keys).agg(F.sqrt(F.median("d2")).alias("ghosting"))
+    d = revisits.revisit_distance(points, "id", ("u", "v"), "t", radius, apart, keys)
+    return selection.quantiles(d.checkpoint(), F.sqrt("d2"), [0.5], keys, ["ghosting"])
 
 
 def correct_drift(points: DataFrame, cameras: DataFrame, keys: list[str], *, segment: int = priors.DRIFT_SEGMENT, fps: float = 60.0, mode: str = "auto") -> tuple[DataFrame, DataFrame]:

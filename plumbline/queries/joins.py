@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, spatial
+from ..operators import graph, revisits, spatial
 from ..plans.known_room import POINTS_SQL, points_mm
 from . import query, table
 
@@ -101,8 +101,8 @@ def revisit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each floor point's nearest point seen 200 frames or more apart, within 60 mm."""
     p = points_mm(spark, sf_dir).filter("nh = 1").groupBy(F.col("u_mm").alias("u"), F.col("v_mm").alias("v"), F.col("frame_id").alias("t")).agg(F.min("l_orderkey").alias("id"))
     p = p.withColumn("n", F.xxhash64("id", "u", "v", "t"))
-    d = spatial.revisit_distance(p, "n", ("u", "v"), "t", 60, 200)
-    return d.agg(F.count("*").alias("n"), F.sum("d2").alias("d2"), F.median("d2").alias("median"))
+    d = revisits.revisit_distance(p, "n", ("u", "v"), "t", 60, 200)
+    return d.agg(F.count("*").alias("n"), F.sum("d2").cast("long").alias("d2"), F.median("d2").alias("median"))
 
 
 @query(
