@@ -88,19 +88,103 @@ def seeded(components: DataFrame, seeds: DataFrame, keys: list[str], least: int)
 
 def off_border(components: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Components without a cell on the border of their grid (r0, r1, c0, c1)."""
-    g = components.join(F.broadcast(grid), keys) if keys else components.crossJoin(F.broadcast(grid))
+    g = components.join(grid, keys) if keys else components.crossJoin(F.broadcast(grid))  # one row without keys
     edge = (F.col("r") <= F.col("r0")) | (F.col("r") >= F.col("r1")) | (F.col("c") <= F.col("c0")) | (F.col("c") >= F.col("c1"))
     return components.join(g.filter(edge).select(*keys, "component").distinct(), [*keys, "component"], "left_anti")
 
 
-def filled_holes(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The cells and the holes in them: 4-connected empty regions of the bounding box that don't reach its border."""
-    from .graph import cell_components
+_BOX = ["_r0", "_r1", "_c0", "_c1"]
 
-    g = cells.groupBy(*keys).agg((F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1"))
-    empty = g.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1"))).select(*keys, "r", "c")
-    comp = cell_components(minus(empty, cells.select(*keys, "r", "c")), "r", "c", keys, diagonal=False)
-    return union(cells.select(*keys, "r", "c"), off_border(comp, g, keys).select(*keys, "r", "c"))
+
+def _empty_regions(pdf: pd.DataFrame, tr: int, tc: int, size: int):
+    """(r, c, first): the empty cells of a tile inside its raster's bounding box, by row and column, and the place of the first cell of each one's 4-connected
+    region."""
+    import numpy as np
+
+    from .graph import _tile_labels
+
+    box = pdf[_BOX].iloc[0].to_numpy(np.int64)
+    r0, r1, c0, c1 = max(box[0], tr * size), min(box[1], tr * size + size - 1), max(box[2], tc * size), min(box[3], tc * size + size - 1)
+    empty = np.ones((r1 - r0 + 1, c1 - c0 + 1), bool)
+    empty[pdf["r"].to_numpy(np.int64) - r0, pdf["c"].to_numpy(np.int64) - c0] = False
+    y, x = np.nonzero(empty)
+    first = _tile_labels(y, x, False) if len(y) else np.zeros(0, np.int64)
+    return y + r0, x + c0, first, box
+
+
+def filled_holes(cells: DataFrame, keys: list[str], size: int = 256) -> DataFrame:
+    """The cells and the holes in them: 4-connected empty regions that don't reach the border of the raster's bounding box.
+
+    Empty regions are labelled inside tiles of cells. A region that stays inside its tile is decided there; of the others only the cells at tile borders meet,
+    as a graph with one node for the outside; a tile without cells is one node. Work grows with the cells, and with the box's area only by the tile of ``size`` x ``size`` cells (256 at most).
+    """
+    import numpy as np
+
+    from .graph import checkpoint_dir, connected_components
+
+    checkpoint_dir(cells.sparkSession)
+    cells = cells.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
+    box = cells.groupBy(*keys).agg(F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
+    tile = {"_tr": F.floor(F.col("r") / size), "_tc": F.floor(F.col("c") / size)}
+    tiles = (cells.join(box, keys) if keys else cells.crossJoin(F.broadcast(box))).withColumns(tile)  # one row without keys
+    own = [*keys, "_tr", "_tc"]
+    head = "".join(f"`{k}` {cells.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def named(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
+        out = pd.DataFrame(columns)
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(pdf["_tr"].iloc[0]), int(pdf["_tc"].iloc[0])
+        r, c, first, b = _empty_regions(pdf, tr, tc, size)
+        out = np.isin(r, b[:2]) | np.isin(c, b[2:])
+        edge = np.isin(r % size, (0, size - 1)) | np.isin(c % size, (0, size - 1))
+        n = len(r)
+        outside, open_ = np.zeros(n, bool), np.zeros(n, bool)
+        outside[first[out]], open_[first[edge]] = True, True
+        outside, open_ = outside[first], open_[first]
+        node = (r * (1 << 20) + c)[first] if n else first
+        inner, border = ~outside & ~open_, open_ & edge
+        keep = inner | border
+        return named(pdf, r=r[keep], c=c[keep], node=node[keep], inner=inner[keep], outside=outside[keep])
+
+    first = tiles.groupBy(*own).applyInPandas(decide, f"{head}r long, c long, node long, inner boolean, outside boolean").checkpoint()
+    found = cells.unionByName(first.filter("inner").select(*keys, "r", "c"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    empty = box.withColumn("_tr", span("_r0", "_r1")).withColumn("_tc", span("_c0", "_c1")).join(tiles.select(*own).distinct(), own, "left_anti")
+    ends = {"_a0": F.greatest("_r0", F.col("_tr") * size), "_a1": F.least("_r1", F.col("_tr") * size + size - 1), "_b0": F.greatest("_c0", F.col("_tc") * size), "_b1": F.least("_c1", F.col("_tc") * size + size - 1)}
+    empty = empty.withColumns(ends).withColumns({"node": (F.col("_a0") * (1 << 20) + F.col("_b0")).cast("long"), "outside": (F.col("_a0") == F.col("_r0")) | (F.col("_a1") == F.col("_r1")) | (F.col("_b0") == F.col("_c0")) | (F.col("_b1") == F.col("_c1"))}).checkpoint()
+    border = first.filter("NOT inner").select(*keys, "r", "c", "node", "outside")
+    if border.isEmpty() and empty.isEmpty():
+        return found
+    out = F.lit(-(1 << 62))
+    nodes = border.select(*keys, "node", "outside").unionByName(empty.select(*keys, "node", "outside")).distinct().checkpoint()
+    links = [nodes.filter("outside").select(*keys, F.col("node").alias("a"), out.alias("b"))]
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+    beyond = border.withColumn("_s", sides).select(*keys, F.col("node").alias("a"), (F.col("r") + F.col("_s.i")).alias("r"), (F.col("c") + F.col("_s.j")).alias("c"))
+    links.append(beyond.join(border.select(*keys, "r", "c", F.col("node").alias("b")), [*keys, "r", "c"]).select(*keys, "a", "b"))
+    links.append(beyond.withColumns(tile).join(empty.select(*own, F.col("node").alias("b")), own).select(*keys, "a", "b"))
+    along = empty.withColumn("_s", sides).select(*keys, F.col("node").alias("a"), (F.col("_tr") + F.col("_s.i")).alias("_tr"), (F.col("_tc") + F.col("_s.j")).alias("_tc"))
+    links.append(along.join(empty.select(*own, F.col("node").alias("b")), own).select(*keys, "a", "b"))
+    graph = links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]).filter("a <> b").distinct()
+    reached = connected_components(graph, keys=keys).filter(F.col("component") == out)
+    holes = nodes.select(*keys, "node").distinct().join(reached.select(*keys, "node"), [*keys, "node"], "left_anti").checkpoint()
+    whole = empty.join(holes, [*keys, "node"], "left_semi").withColumn("r", F.explode(F.sequence("_a0", "_a1"))).withColumn("c", F.explode(F.sequence("_b0", "_b1"))).select(*keys, "r", "c")
+
+    def pick(pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(wanted):
+            return named(pdf if len(pdf) else wanted, r=np.zeros(0, np.int64), c=np.zeros(0, np.int64))
+        r, c, first, _ = _empty_regions(pdf, int(pdf["_tr"].iloc[0]), int(pdf["_tc"].iloc[0]), size)
+        keep = np.isin((r * (1 << 20) + c)[first], wanted["node"].to_numpy(np.int64)) if len(r) else np.zeros(0, bool)
+        return named(pdf, r=r[keep], c=c[keep])
+
+    # a node's tile is that of its name: r * 2^20 + c, c from -2^19 on
+    row = F.floor((F.col("node") + (1 << 19)) / (1 << 20))
+    at = holes.select(*keys, "node", row.alias("r"), (F.col("node") - row * (1 << 20)).alias("c")).withColumns(tile).select(*[F.col(k).alias(f"h_{k}") for k in own], "node")
+    parts = tiles.groupBy(*own).cogroup(at.groupBy(*[f"h_{k}" for k in own])).applyInPandas(lambda a, b: pick(a, b.rename(columns={f"h_{k}": k for k in own})), f"{head}r long, c long")
+    return found.unionByName(parts).unionByName(whole)
 
 
 def rectangle_cells(rects: DataFrame, res: float, keep: list[str], origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -122,6 +206,7 @@ def ray_cells(rays: DataFrame, res: float, keys: list[str], *, stop_short: int =
     a = [F.floor(F.col(c) / res) for c in ("v0", "u0", "v1", "u1")]
     n = F.greatest(F.abs(a[2] - a[0]), F.abs(a[3] - a[1])).cast("int")
     d = d.withColumns({"_r0": a[0], "_c0": a[1], "_r1": a[2], "_c1": a[3], "_n": n}).filter(F.col("_n") > stop_short)
+    d = d.select(*keys, "_r0", "_c0", "_r1", "_c1", "_n").distinct()  # rays between the same cells cross the same ones
     d = d.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - stop_short)))
     at = lambda p, q: F.round(F.col(p) + (F.col(q) - F.col(p)) * F.col("_i") / F.col("_n")).cast("long")
     return d.select(*keys, at("_r0", "_r1").alias("r"), at("_c0", "_c1").alias("c")).distinct()

@@ -58,12 +58,13 @@ def band_match(left: DataFrame, right: DataFrame, left_id: list[str], at: str, t
 def first_surface(points: DataFrame, surfaces: DataFrame, *, reach: float = 0.05, normal: float = 0.8, least_h: float = 0.02, margin: float = 0.1) -> DataFrame:
     """points (axis, at, along, n, h) with the least surface (surface_id, axis, sign, coord, a, b) they lie on: within ``reach`` of its
     plane, facing its way, above the floor, within its interval."""
-    s = surfaces.select("surface_id", "axis", F.col("sign").alias("_sign"), F.col("coord").alias("_coord"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-    s = s.withColumn("_bin", _bins(F.col("_coord") - reach, F.col("_coord") + reach, reach))
-    p = points.withColumns({"_bin": F.floor(F.col("at") / reach), "_sign": F.signum("n").cast("int")})
-    j = p.join(s.withColumn("_sign", F.col("_sign").cast("int")), ["axis", "_bin", "_sign"])
-    j = j.filter((F.abs(F.col("at") - F.col("_coord")) < reach) & (F.abs(F.col("n")) > normal) & (F.col("h") > least_h) & F.col("along").between(F.col("_a") - margin, F.col("_b") + margin))
-    return j.groupBy(*points.columns).agg(F.min("surface_id").alias("surface_id"))
+    s = surfaces.select("axis", F.col("sign").cast("int").alias("_sign"), F.struct("surface_id", "coord", "a", "b").alias("_s"))
+    s = s.withColumn("_bin", _bins(F.col("_s.coord") - reach, F.col("_s.coord") + reach, reach))
+    bins = s.groupBy("axis", "_sign", "_bin").agg(F.sort_array(F.collect_list("_s")).alias("_surfaces"))  # those of a plan that reach into a bin are few
+    p = points.filter((F.abs(F.col("n")) > normal) & (F.col("h") > least_h)).withColumns({"_bin": F.floor(F.col("at") / reach), "_sign": F.signum("n").cast("int")})
+    on = F.filter("_surfaces", lambda x: (F.abs(F.col("at") - x["coord"]) < reach) & F.col("along").between(x["a"] - margin, x["b"] + margin))
+    first = p.join(bins, ["axis", "_bin", "_sign"]).withColumn("surface_id", F.try_element_at(on, F.lit(1))["surface_id"])
+    return first.filter("surface_id IS NOT NULL").select(*points.columns, "surface_id")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], size: float, least: float = 0.0) -> DataFrame:
