@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import streams
+from ..operators.graph import shared_dir
+from ..streaming import ordered, streams
 from . import query, table
 
 
@@ -59,3 +60,37 @@ def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("frame_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s"), (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharpness"))
     return streams.drained(streams.keyframes(e, "user_id", gap_s=3600.0), _name())
+
+
+def _out_of_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """A stream of the events from three files, in which rows come up to two days out of order, and one far event at the end, so that the watermark passes all others."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    end = spark.range(2).select((F.lit(-1) - F.col("id")).alias("event_id"), F.timestamp_micros(F.lit(1_800_000_000_000_000)).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.when(F.col("id") == 0, "click").otherwise("view").alias("event_type"), F.lit(0.0).alias("value"))
+    part = F.least(F.floor((F.dayofmonth("ts") + F.col("event_id") % 2) / 11), F.lit(2))
+    where = f"{shared_dir(spark)}/{_name()}"
+    for i in range(3):
+        rows = e.filter(part == i)
+        (rows.unionByName(end) if i == 2 else rows).coalesce(1).write.mode("append").parquet(where)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where), where
+
+
+@query(
+    """WITH f AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY ALL), q AS (SELECT user_id, ts, min(value) AS v FROM events WHERE event_type = 'view' GROUP BY ALL),
+a AS (SELECT f.event_id, max(p.ts) AS t, arg_max(p.v, p.ts) AS v FROM f JOIN p ON f.user_id = p.user_id AND p.ts <= f.ts AND p.ts >= f.ts - INTERVAL 6 HOUR GROUP BY ALL), b AS (SELECT f.event_id, min(q.ts) AS t, arg_min(q.v, q.ts) AS v FROM f JOIN q ON f.user_id = q.user_id AND q.ts >= f.ts AND q.ts <= f.ts + INTERVAL 6 HOUR GROUP BY ALL)
+SELECT f.user_id, f.event_id, round(coalesce(a.v + (b.v - a.v) * coalesce((epoch_us(f.ts) - epoch_us(a.t))::DOUBLE / nullif(epoch_us(b.t) - epoch_us(a.t), 0), 0), a.v, b.v), 6) AS value FROM f LEFT JOIN a ON f.event_id = a.event_id LEFT JOIN b ON f.event_id = b.event_id WHERE a.t IS NOT NULL OR b.t IS NOT NULL"""
+)
+def posed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks between the views around them, as two streams that are joined by time."""
+    e, where = _out_of_order(spark, sf_dir)
+    other = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    s = ordered.between_poses(e.filter("event_type = 'click'"), other.filter("event_type = 'view'"), "user_id", "event_id", "ts", ["value"], reach="6 hours", late="3 days")
+    return streams.drained(s, _name()).select("user_id", "event_id", F.round("value", 6).alias("value"))
+
+
+@query()
+def ordered_keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key frames of each user's events in the order of their times, which they don't come in."""
+    e, _ = _out_of_order(spark, sf_dir)
+    frames = e.select("user_id", F.col("event_id").alias("frame_id"), "ts", (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharpness"))
+    with ordered.keyed_state(spark):
+        return streams.drained(ordered.keyframes(frames, "user_id", late="3 days", gap_s=3600.0), _name())
