@@ -318,9 +318,9 @@ def cleaned_regions(regions: DataFrame, borders: DataFrame, keys: list[str], *,
 
 
 def neck_splits(rooms: DataFrame, edges: DataFrame, keys: list[str], *, most: float = priors.NECK_MAX, least_area: float = priors.NECK_MIN_AREA) -> DataFrame:
-    """rooms' cells with part: a room is cut along the narrowest line whose cross-section is at most ``most`` and that leaves two parts of
-    ``least_area`` or more, again and again. A room has a few hundred cells."""
-    e = edges.filter(F.col("kind") == "open").select(*keys, "axis", "line", "i", "j", "i2", "j2", (F.col("b") - F.col("a")).alias("len"))
+    """rooms' cells with part: a room is cut along the narrowest line whose cross-section (of edges without wall, doors too) is at most ``most`` and that
+    leaves two parts of ``least_area`` or more; every part that the cut leaves is looked at again, small ones too. A room has a few hundred cells."""
+    e = edges.filter(F.col("kind") != "wall").select(*keys, "axis", "line", "i", "j", "i2", "j2", (F.col("b") - F.col("a")).alias("len"))
     fresh = lambda *names: rooms.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  new columns: cells and edges stem from the same table
     ra = fresh(*keys, "i", "j", "room")
     e = e.join(ra, [*keys, "i", "j"]).join(ra.select(*keys, F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("room").alias("_r2")), [*keys, "i2", "j2"]).filter("room = _r2").drop("_r2")
@@ -358,8 +358,7 @@ def neck_splits(rooms: DataFrame, edges: DataFrame, keys: list[str], *, most: fl
             for line in sorted((x for x in width if width[x] <= most), key=lambda x: (width[x], x)):
                 p = parts(members, line)
                 if len(p) > 1 and sum(area[c] for c in p[1]) >= least_area:
-                    rest = set().union(*p) - p[1]
-                    return split(rest) + split(p[1])
+                    return [q for part in p for q in split(part)]
             return [members]
 
         found = sorted(split(set(area)), key=min) if area else []
@@ -373,57 +372,102 @@ def neck_splits(rooms: DataFrame, edges: DataFrame, keys: list[str], *, most: fl
     return cells.groupBy(*keys, "room").cogroup(e.groupBy(*keys, "room")).applyInPandas(run, f"{head}room {kind}, i int, j int, part int")
 
 
-def core_splits(cells: DataFrame, keys: list[str], res: float, *, from_area: float = 15.0, radii: tuple[float, ...] = (0.65, 0.75, 0.85), boundary: float = 2.2, least_area: float = 3.0) -> DataFrame:
-    """Raster cells (keys, r, c) of regions with part: for the first radius at which the cells farther than it from the wall fall into
-    several cores, the region is flooded from them, and kept so if the parts are large and their common border short."""
+def core_splits(cells: DataFrame, keys: list[str], res: float, *, from_area: float = 15.0, radii: tuple[float, ...] = (0.65, 0.75, 0.85), boundary: float = 2.2, least_area: float = 3.0, least_core: float = 0.0) -> DataFrame:
+    """Raster cells (keys, r, c) of regions with part: for the first radius at which the cells farther than it from the wall fall into several cores (of
+    ``least_core`` or more), the region is flooded from them; kept if the parts are large and no two share a long border, and then every part is looked
+    at again. A region is a room: one task each."""
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys, "r", "c").schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
         import numpy as np
 
-        pdf = pdf.sort_values(["r", "c"])
-        m, r, c = raster._mask(pdf)
-        part = np.zeros(len(pdf), np.int64)
-        if m.sum() * res * res >= from_area:
+        def around(i: int, j: int, of: np.ndarray) -> list[tuple[int, int]]:
+            return [(a, b) for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= a < of.shape[0] and 0 <= b < of.shape[1] and of[a, b]]
+
+        def cores(inner: np.ndarray) -> tuple[np.ndarray, int]:
+            label, n = np.zeros(inner.shape, np.int64), 0
+            for i, j in zip(*np.nonzero(inner), strict=True):
+                if label[i, j]:
+                    continue
+                own, stack = [(i, j)], [(i, j)]
+                label[i, j] = n + 1
+                while stack:
+                    for p in around(*stack.pop(), inner):
+                        if not label[p]:
+                            label[p] = n + 1
+                            own.append(p)
+                            stack.append(p)
+                if len(own) * res * res >= least_core:
+                    n += 1
+                else:
+                    label[tuple(zip(*own, strict=True))] = -1  # too small; taken back below
+            return np.maximum(label, 0), n
+
+        def flooded(m: np.ndarray) -> np.ndarray | None:
+            """Numbers (1, 2, ...) of the parts of a mask, if it falls into parts."""
+            if m.sum() * res * res < from_area:
+                return None
             depth = raster._distance(m) * res
             for radius in radii:
-                core = depth >= radius
-                label, n = np.zeros(m.shape, np.int64), 0
-                for i, j in zip(*np.nonzero(core), strict=True):
-                    if not label[i, j]:
-                        n += 1
-                        stack = [(i, j)]
-                        label[i, j] = n
-                        while stack:
-                            y, x = stack.pop()
-                            for a, b in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                                if 0 <= a < m.shape[0] and 0 <= b < m.shape[1] and core[a, b] and not label[a, b]:
-                                    label[a, b] = n
-                                    stack.append((a, b))
+                label, n = cores(depth >= radius)
                 if n < 2:
                     continue
                 front = [(-depth[i, j], k, i, j) for k, (i, j) in enumerate(zip(*np.nonzero(label), strict=True))]
-                import heapq
-
                 heapq.heapify(front)
                 k = len(front)
                 while front:
                     _, _, i, j = heapq.heappop(front)
-                    for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
-                        if 0 <= a < m.shape[0] and 0 <= b < m.shape[1] and m[a, b] and not label[a, b]:
-                            label[a, b] = label[i, j]
+                    for p in around(i, j, m):
+                        if not label[p]:
+                            label[p] = label[i, j]
                             k += 1
-                            heapq.heappush(front, (-depth[a, b], k, a, b))
+                            heapq.heappush(front, (-depth[p], k, *p))
+                label[m & (label == 0)] = 1  # what no core reaches (behind walls inside the region) stays with the first
                 sizes = np.bincount(label[m], minlength=n + 1)[1:] * res * res
-                border = ((label[1:] != label[:-1]) & m[1:] & m[:-1]).sum() + ((label[:, 1:] != label[:, :-1]) & m[:, 1:] & m[:, :-1]).sum()
-                if sizes.min() >= least_area and border * res <= boundary:
-                    part = label[r, c] - 1
-                    break
-        return pdf[[*keys, "r", "c"]].assign(part=part)
+                pairs = [(label[1:], label[:-1]), (label[:, 1:], label[:, :-1])]
+                shared = np.concatenate([np.stack((np.minimum(x, y), np.maximum(x, y)))[:, (x != y) & (x > 0) & (y > 0)] for x, y in pairs], 1)
+                longest = np.unique(shared, axis=1, return_counts=True)[1].max(initial=0) * res
+                if sizes.min() >= least_area and 0 < longest <= boundary:
+                    return label
+            return None
+
+        pdf = pdf.sort_values(["r", "c"])
+        m, r, c = raster._mask(pdf)
+        found, todo, n = np.zeros(m.shape, np.int64), [m], 0
+        while todo:
+            now = todo.pop()
+            label = flooded(now)
+            if label is None:
+                found[now] = n
+                n += 1
+            else:
+                todo += [label == k for k in range(label.max(), 0, -1)]
+        return pdf[[*keys, "r", "c"]].assign(part=found[r, c])
 
     return cells.groupBy(*keys).applyInPandas(run, f"{head}, part long")
 
 
+def split_by_cores(rooms: DataFrame, edges: DataFrame, keys: list[str], res: float, *, from_area: float = 15.0) -> DataFrame:
+    """rooms' cells with part: large rooms are rastered, walls inside them burnt in, and split by their cores; a cell goes with most of its raster."""
+    by = [*keys, "room"]
+    fresh = rooms.select(*[F.col(c).alias(c) for c in rooms.columns])  # new columns: rooms and edges stem from the same table
+    size = F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")))
+    large = fresh.join(fresh.groupBy(*by).agg(size.alias("_area")).filter(F.col("_area") >= from_area).select(*by), by, "left_semi").checkpoint()
+    if large.isEmpty():
+        return rooms.withColumn("part", F.lit(0).cast("long"))
+    w = edges.filter(F.col("kind") == "wall").select(*keys, "axis", F.col("coord").cast("double").alias("coord"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    at = lambda axis, lo, hi: F.when(F.col("axis") == axis, F.col("coord") + (res if hi else -res)).otherwise(F.col("b" if hi else "a"))
+    walls = raster.rectangle_cells(w.select(*keys, at("u", 0, 0).alias("u0"), at("u", 0, 1).alias("u1"), at("v", 0, 0).alias("v0"), at("v", 0, 1).alias("v1")), res, keys)
+    fine = raster.rectangle_cells(large, res, [*by, "i", "j"]).checkpoint()
+    free = fine.select(*by, "r", "c").distinct().join(walls.select(*[F.col(c).alias(c) for c in (*keys, "r", "c")]), [*keys, "r", "c"], "left_anti")
+    parts = core_splits(free, by, res, from_area=from_area * 0.9, least_core=1.0)  # the burnt walls take some of the area
+    votes = fine.join(parts, [*by, "r", "c"]).groupBy(*by, "i", "j", "part").agg(F.count("*").alias("_n"))
+    most = votes.groupBy(*by, "i", "j").agg(F.max_by("part", F.struct("_n", -F.col("part"))).alias("part"))
+    return rooms.join(most, [*by, "i", "j"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+
+
 def windows_of(parts: DataFrame, points: DataFrame, keys: list[str], *, least: float = 0.5, most: float = priors.WINDOW_MAX, low: tuple[float, float] = (0.25, 0.85), high: tuple[float, float] = (1.1, 1.8), low_points: int = 30, share: float = 0.3, near: float = 0.06, inset: float = 0.05) -> DataFrame:
     """keys, face_id, axis, coord, a, b, sill: gaps between a face's solid intervals with wall below (points on the plane) and little above."""
     g = intervals.gaps(parts, [*keys, "face_id", "axis", "coord"], least=least, most=most)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import priors
 from ..functions.geometry import grid_index
 from ..functions.intervals95 import LIDAR, ErrorModel, floor_sigma, measured, opening_ci
-from ..operators import plan2d, raster, robust, rooms, spatial
+from ..operators import graph, plan2d, polygons, raster, robust, rooms, spatial
 
 POINT_COLUMNS = ["u", "v", "h", "nu", "nv", "ny"]
 
@@ -30,6 +30,14 @@ class PlanTables:
     features: DataFrame
     types: DataFrame
     footprint: DataFrame
+    objects: DataFrame
+
+
+def instances(fixtures: DataFrame, rects: DataFrame, keys: list[str], *, least: float = 0.3) -> DataFrame:
+    """keys, class, instance, u, v, views, room (null: in none): detections over ``least`` become objects, the surest first; one seen once is none."""
+    d = fixtures.filter(F.col("conf") > least).select(*keys, "class", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"), (-F.col("conf")).alias("_o"))
+    found = graph.greedy_instances(d, [*keys, "class"], ("u", "v"), ["_o", "u", "v"])
+    return spatial.point_in_rectangles(found, rects, "u", "v", "room", "room", pad=0.05, keys=keys, how="left")
 
 
 def plan_coordinates(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,10 +68,11 @@ def _evidence(points: DataFrame, floor: DataFrame, cameras: DataFrame | None, re
 
 
 def _spaces(cells: DataFrame, edges: DataFrame, seen: DataFrame, walked: DataFrame | None, res: float, keys: list[str]) -> DataFrame:
-    """Rooms cut at necks; then voids go and slivers join their neighbours; numbered anew."""
-    parts = plan2d.neck_splits(cells, edges, keys).withColumnRenamed("part", "_part")
-    cut = cells.join(parts, [*keys, "room", "i", "j"]).withColumn("_g", F.col("room").cast("long") * F.lit(1 << 20) + F.col("_part")).drop("room", "_part")
-    cut = plan2d.numbered(cut, "_g", keys, 0.0).checkpoint()
+    """Rooms cut at necks, then large ones by their cores; then voids go and slivers join their neighbours; numbered anew."""
+    group = (F.col("room").cast("long") * F.lit(1 << 20) + F.col("part")).alias("_g")
+    renamed = lambda d: plan2d.numbered(d.withColumn("_g", group).drop("room", "part"), "_g", keys, 0.0).checkpoint()
+    cut = renamed(cells.join(plan2d.neck_splits(cells, edges, keys), [*keys, "room", "i", "j"]))
+    cut = renamed(plan2d.split_by_cores(cut, edges, keys, res))
     by = [*keys, "room"]
     mask = raster.rectangle_cells(cut, res, by).checkpoint()
     region = cut.groupBy(*by).agg(F.sum((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"))
@@ -76,8 +85,8 @@ def _spaces(cells: DataFrame, edges: DataFrame, seen: DataFrame, walked: DataFra
 
 def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float] | None = None, res: float = 0.05, model: ErrorModel = LIDAR, cover: float = 0.55, cameras: DataFrame | None = None, fixtures: DataFrame | None = None) -> PlanTables:
     """points: keys, u, v, h, nu, nv, ny (plan coordinates) and, for free space, frame_id; cameras: keys, frame_id, u, v; fixtures: keys, u, v,
-    class, conf. Faces, cut lines, the complex, rooms parted by barriers and necks, openings, windows, outlines, dimensions, ceilings,
-    features and types. Each key is a capture with a band of heights of its own; without keys give points a constant one."""
+    class, conf (detections in single frames, which are gathered to objects). Faces, cut lines, the complex, rooms parted by barriers, necks and cores,
+    openings, windows, outlines, dimensions, ceilings, features and types. Each key is a capture with a band of heights of its own; without keys give points a constant one."""
     walls = plan2d.wall_families(points, band or plan2d.height_bands(points, keys).checkpoint(), keys)
     faces, parts = plan2d.wall_faces(walls, keys, cover=cover)
     parts = parts.checkpoint()
@@ -113,11 +122,11 @@ def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float
     below = points.filter((F.col("ny") > 0.9) & (F.col("h") < -0.12) & (F.col("h") > -3.5))
     features = rooms.room_features(found, openings, keys, res=res, below=below, seen=seen, walked=walked)
     if fixtures is not None:
-        placed = spatial.point_in_rectangles(fixtures.filter(F.col("conf") > 0.3), rects, "u", "v", "room", "room", keys=keys)
-        counted = placed.groupBy(*keys, "room", "class").agg(F.count("*").alias("n"))
+        objects = instances(fixtures, rects, keys).checkpoint()
     else:
-        counted = found.select(*keys, "room", F.lit("").alias("class"), F.lit(0).cast("long").alias("n")).limit(0)
-    return PlanTables(floor, faces, found, edges, measured_rooms, openings, plan2d.adjacency(openings, keys), ceilings, windows, plan2d.outlines(found, keys), features, rooms.space_types(features, counted, keys), rooms.footprint(found, keys))
+        objects = found.select(*keys, F.lit("").alias("class"), F.lit(0).alias("instance"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0).alias("views"), "room").limit(0)
+    counted = objects.filter("room IS NOT NULL").groupBy(*keys, "room", "class").agg(F.count("*").alias("n"))
+    return PlanTables(floor, faces, found, edges, measured_rooms, openings, plan2d.adjacency(openings, keys), ceilings, windows, polygons.simplified(plan2d.outlines(found, keys), 0.005), features, rooms.space_types(features, counted, keys), rooms.footprint(found, keys), objects)
 
 
 def _wall_points(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import priors
 from ..operators import damage
+from ..operators import windows as windows_of_rank
 
 TILE_KEY = ["surface_id", "a", "b"]
 #: Fixed value: the order of the classes in ingested probabilities.
@@ -31,7 +32,7 @@ def scan_damage(pixels: DataFrame, probs: DataFrame, surfaces: DataFrame, rooms:
     seen = probs.join(best.select(*keys, "frame", *TILE_KEY), [*keys, "frame", *TILE_KEY], "left_semi")
     tiles = damage.voted(seen, TILE_KEY, keys, classes, report=dict(priors.DAMAGE_CLASS))
     reg = damage.regions(tiles, keys).join(surfaces, [*keys, "surface_id"])
-    reg = reg.withColumn("damage_id", F.concat_ws("-", F.lit("D"), F.col("surface_id").cast("string"), "class", F.col("component").cast("string")))
+    reg = windows_of_rank.numbered(reg, [F.desc("area.value"), F.col("surface_id"), F.col("class"), F.col("component")], keys, "D", "damage_id")  # the largest is D1
     flat = reg.select(*keys, "damage_id", "class", "kind", "room", "axis", "coord", F.col("a0"), (F.col("a0") + F.col("extent_a")).alias("a1"), F.col("b0").alias("height"), F.greatest("extent_a", "extent_b").alias("extent"), F.col("area.value").alias("area"), "severity")
     flags = damage.concealed_flags(flat, rooms, adjacent, windows, keys)
     return Damage(best, reg, damage.inspected(best, TILE_KEY, keys), flags, damage.scope_items(flat, flags, keys))

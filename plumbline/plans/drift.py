@@ -15,10 +15,10 @@ def ghosting(points: DataFrame, keys: list[str], radius: float = 0.15, apart: fl
     return selection.quantiles(d.checkpoint(), F.sqrt("d2"), [0.5], keys, ["ghosting"])
 
 
-def correct_drift(points: DataFrame, cameras: DataFrame, keys: list[str], *, segment: int = priors.DRIFT_SEGMENT, fps: float = 60.0, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """(points, report). points: keys, frame, u, v, axis, at (wall points); cameras: keys, frame, cu, cv. The corrections are those of the
-    segments' middles, interpolated to the frames; the report says what they did to ghosting and crispness, how many segments were anchored, and whether they
-    apply."""
+def corrections(points: DataFrame, cameras: DataFrame, keys: list[str], *, segment: int = priors.DRIFT_SEGMENT, fps: float = 60.0, mode: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, walls, report): the cameras' frames with their corrections yaw, du, dv; the wall points so corrected; and what that does to ghosting and
+    crispness, how many segments were anchored, and whether it applies. points: keys, frame, u, v, axis, at (wall points); cameras: keys, frame, cu, cv. The
+    corrections are those of the segments' middles, interpolated to the frames."""
     seg = points.withColumn("segment", windows.segment_of(F.col("frame"), segment).cast("long"))
     found = register.anchors(seg.select(*keys, "segment", "u", "v"), keys=keys, segment_s=segment / fps)
     every = seg.select(*keys, "segment").distinct().join(found, [*keys, "segment"], "left").checkpoint()
@@ -30,7 +30,12 @@ def correct_drift(points: DataFrame, cameras: DataFrame, keys: list[str], *, seg
     r = both[0].select(*keys, F.col("ghosting").alias("ghosting_raw"), F.col("crispness").alias("crispness_raw")).join(both[1], keys).withColumn("_mode", F.lit(mode))
     bent = graph.groupBy(*keys).agg(F.max(F.hypot("du", "dv")).alias("max_correction"), F.max(F.degrees(F.abs("yaw"))).alias("max_yaw_deg"))
     r = r.join(every.groupBy(*keys).agg(F.count("*").alias("segments"), F.count("weight").alias("anchors")), keys).join(bent, keys)
-    report = register.drift_gate(r, "ghosting_raw", "ghosting", "crispness_raw", "crispness", "_mode").drop("_mode")
+    return at, new, register.drift_gate(r, "ghosting_raw", "ghosting", "crispness_raw", "crispness", "_mode").drop("_mode")
+
+
+def correct_drift(points: DataFrame, cameras: DataFrame, keys: list[str], *, segment: int = priors.DRIFT_SEGMENT, fps: float = 60.0, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(points, report): the wall points, corrected in the captures where it applies; see corrections()."""
+    _, new, report = corrections(points, cameras, keys, segment=segment, fps=fps, mode=mode)
     yes = report.filter("apply").select(*keys)
     kept = new.join(yes, keys, "left_semi").unionByName(points.join(yes, keys, "left_anti").select(*new.columns))
     return kept, report

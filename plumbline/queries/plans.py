@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.intervals95 import LIDAR, PHOTO, opening_ci
 from ..operators import damage, frames, graph, plan2d, raster, rooms
-from ..plans.capture import plan_capture
+from ..plans.capture import instances, plan_capture
 from ..plans.known_room import POINTS_SQL, points_m, points_mm
 from ..plans.photo import global_ceiling
 from ..sources import captures
@@ -166,3 +166,16 @@ def opening_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, w = F.col("p_partkey"), F.col("p_size") / 10.0
     kind = F.when(k % 3 == 0, "door").when(k % 3 == 1, "window").otherwise("opening")
     return table(spark, sf_dir, "part").select(k.alias("id"), F.round(opening_ci(kind, w, LIDAR), 6).alias("lidar"), F.round(opening_ci(kind, w, PHOTO), 6).alias("photo"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey % 5 AS k, o_custkey % 60 AS spot, CASE o_custkey % 3 WHEN 0 THEN 'toilet' WHEN 1 THEN 'sink' ELSE 'bed' END AS class, 0.25::DOUBLE + o_orderkey % 7 / 8.0::DOUBLE AS conf FROM orders),
+s AS (SELECT k, class, spot, count(*) AS views FROM d WHERE conf > 0.3 GROUP BY ALL HAVING count(*) >= 2) SELECT k, CASE WHEN spot % 10 < 4 THEN 1 WHEN spot % 10 < 8 THEN 2 END AS room, class, count(*) AS objects, sum(views)::BIGINT AS views FROM s GROUP BY ALL"""
+)
+def plan_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections in single frames, gathered to objects that were seen twice or more, by room: spots lie 2 m apart, detections of a spot within 12 cm."""
+    k, spot = F.col("o_orderkey"), F.col("o_custkey") % 60
+    kind = F.when(F.col("o_custkey") % 3 == 0, "toilet").when(F.col("o_custkey") % 3 == 1, "sink").otherwise("bed")
+    d = table(spark, sf_dir, "orders").select((k % 5).alias("k"), (spot % 10 * 2 + k % 5 * 0.02 + 1).cast("double").alias("u"), (F.floor(spot / 10) * 2 + k % 3 * 0.03 + 1).cast("double").alias("v"), kind.alias("class"), (0.25 + k % 7 / 8).alias("conf"))
+    rects = spark.range(5).select(F.col("id").alias("k"), F.explode(F.array(*[F.struct(F.lit(r).alias("room"), F.lit(a).alias("u0"), F.lit(b).alias("u1")) for r, a, b in ((1, 0.0, 8.0), (2, 8.0, 16.0))])).alias("_r")).select("k", "_r.*", F.lit(0.0).alias("v0"), F.lit(20.0).alias("v1"))
+    return instances(d, rects, ["k"]).groupBy("k", "room", "class").agg(F.count("*").alias("objects"), F.sum("views").alias("views"))

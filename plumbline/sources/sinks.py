@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "plumbline.plan/1.0"
 
 
 def plan_documents(captures: DataFrame, rooms: DataFrame, openings: DataFrame, adjacent: DataFrame, key: str = "capture_id") -> DataFrame:
     """One nested row a capture: schema, tier, rooms, openings, adjacency, footprint."""
-    listed = lambda d, name: d.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in d.columns if c != key]))).alias(name))
+
+    def listed(d: DataFrame, name: str) -> DataFrame:
+        """The rows of each capture, in the order of their columns (maps don't count)."""
+        cols = [c for c in d.columns if c != key]
+        order = F.struct(*[c for c in cols if not isinstance(d.schema[c].dataType, T.MapType)]).alias("o")
+        before = lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)
+        rows = F.array_sort(F.collect_list(F.struct(order, F.struct(*cols).alias("v"))), before)
+        return d.groupBy(key).agg(F.transform(rows, lambda x: x["v"]).alias(name))
+
     out = captures
     for d, name in ((rooms, "rooms"), (openings, "openings"), (adjacent, "adjacency")):
         out = out.join(listed(d, name), key, "left")
