@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import priors
+from .graph import checkpoint_dir
 from .selection import quantiles
 
 
@@ -218,3 +219,43 @@ def offset_search(faces: DataFrame, other: DataFrame, *, step: float = 0.1, half
     n = faces.count()
     hit = t.join(cells, ["cx", "cy"], "left_semi").groupBy("k", "i", "j").agg((F.count("*") / n).alias("share"))
     return hit.select("k", (F.col("i") * step).alias("du"), (F.col("j") * step).alias("dv"), "share")
+
+
+#: A transform as the 12 numbers of the first three rows of its matrix, row by row: scale and rotation (or any linear part), then the shift.
+IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def after(outer: Column, inner: Column) -> Column:
+    """The transform that does ``inner`` first, then ``outer`` (arrays of 12)."""
+    cell = lambda i, j: sum((outer[4 * i + k] * inner[4 * k + j] for k in range(1, 3)), start=outer[4 * i] * inner[j])
+    return F.array(*[cell(i, j) + (outer[4 * i + 3] if j == 3 else 0.0) for i in range(3) for j in range(4)])
+
+
+def plan_transform(yaw: Column, du: Column, dv: Column) -> Column:
+    """A turn about the vertical and a shift in the plan (u, v, height)."""
+    c, s, one, no = F.cos(yaw), F.sin(yaw), F.lit(1.0), F.lit(0.0)
+    return F.array(c, -s, no, du, s, c, no, dv, no, no, one, no)
+
+
+def composed_poses(tree: DataFrame, keys: list[str], node: str = "node", parent: str = "parent", transform: str = "m", *, rounds: int = 64) -> DataFrame:
+    """keys, node, root, m: each node's transform to its root, from its transform to its parent. A root has a null parent (or one without a row, which is the
+    frame of reference then) and its own transform counts.
+
+    Pointers double: a node that knows the way to an ancestor takes over the ancestor's way, so a chain of n nodes takes log2(n) rounds, each a join of the
+    nodes on their way with all. Composition isn't commutative, so ways are always taken on the outside. A cycle is an error.
+    """
+    checkpoint_dir(tree.sparkSession)
+    now = tree.select(*keys, F.col(node).alias("_n"), F.col(parent).alias("_p"), F.coalesce(F.col(parent), F.col(node)).alias("_root"), F.col(transform).alias("_m")).checkpoint()
+    for _ in range(rounds):
+        on_way = now.filter("_p IS NOT NULL")
+        if on_way.isEmpty():
+            return now.select(*keys, F.col("_n").alias(node), F.col("_root").alias("root"), F.col("_m").alias(transform))
+        far = now.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_n").alias("_an"), F.col("_p").alias("_ap"), F.col("_root").alias("_ar"), F.col("_m").alias("_am"))
+        same = F.col("_p") == F.col("_an")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        j = on_way.join(far, same, "left")
+        known = F.col("_an").isNotNull()
+        step = j.select(*keys, "_n", F.when(known, F.col("_ap")).alias("_p"), F.when(known, F.col("_ar")).otherwise(F.col("_root")).alias("_root"), F.when(known, after(F.col("_am"), F.col("_m"))).otherwise(F.col("_m")).alias("_m"))
+        now = now.filter("_p IS NULL").unionByName(step).checkpoint()
+    raise ValueError("the parents form a cycle, or a chain beyond 2 to the power of the rounds")

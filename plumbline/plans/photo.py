@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
@@ -15,35 +16,41 @@ from ..operators import plan2d, register, spatial
 def placed_rooms(links: DataFrame, room_areas: DataFrame, key: str = "capture_id", *, residual: float = priors.LINK_RESIDUAL, inliers: int = 200) -> DataFrame:
     """key, room, parent, step, yaw, du, dv (null: unplaced): from the largest room on, the best-scored link to a placed room places the
     next; its transform is composed with that room's, turned to the nearest right angle. links: room_a, room_b, yaw, du, dv (b's
-    coordinates in a's), inliers, residual; room_areas: room, area. A capture has a few dozen rooms."""
+    coordinates in a's), inliers, residual; room_areas: room, area. The order of
+    placing is that of one capture's links; the transforms are composed for all captures at once."""
     good = links.filter((F.col("residual") <= residual) & (F.col("inliers") >= inliers)).withColumn("score", register.link_score(F.col("inliers"), F.col("residual")))
     kind = room_areas.schema["room"].dataType.simpleString()
 
-    def place(k: tuple, areas: pd.DataFrame, ls: pd.DataFrame) -> pd.DataFrame:
+    def place(k0: tuple, areas: pd.DataFrame, ls: pd.DataFrame) -> pd.DataFrame:
         order = areas.sort_values(["area", "room"], ascending=[False, True])["room"].tolist()
-        pose = {order[0]: (0.0, 0.0, 0.0)}
+        placed = {order[0]}
         rows = [(order[0], None, 0, 0.0, 0.0, 0.0)]
         near: dict = {}
         for r in ls.itertuples():
             near.setdefault(r.room_a, []).append((r.score, r.room_b, r.yaw, r.du, r.dv))
             c, s = math.cos(r.yaw), math.sin(r.yaw)  # the inverse, for b as parent
             near.setdefault(r.room_b, []).append((r.score, r.room_a, -r.yaw, -(c * r.du + s * r.dv), s * r.du - c * r.dv))
-        while True:
-            best = max(((x[0], p, *x[1:]) for p in pose for x in near.get(p, ()) if x[1] not in pose), default=None, key=lambda t: (t[0],))
-            if best is None:
-                break
-            _, p, room, yaw, du, dv = best
-            py, pu, pv = pose[p]
-            yaw = py + round(yaw / (math.pi / 2)) * (math.pi / 2)
-            pose[room] = (yaw, pu + math.cos(py) * du - math.sin(py) * dv, pv + math.sin(py) * du + math.cos(py) * dv)
-            rows.append((room, p, len(rows), *pose[room]))
-        rows += [(r, None, None, None, None, None) for r in order if r not in pose]
+        front = [(-x[0], 0, k, order[0], x) for k, x in enumerate(near.get(order[0], ()))]
+        heapq.heapify(front)
+        while front:  # the best link of a placed room; of equal ones that of the room placed first
+            _, _, _, p, (_, room, yaw, du, dv) = heapq.heappop(front)
+            if room in placed:
+                continue
+            placed.add(room)
+            rows.append((room, p, len(rows), round(yaw / (math.pi / 2)) * (math.pi / 2), du, dv))
+            for k, x in enumerate(near.get(room, ())):
+                heapq.heappush(front, (-x[0], len(rows) - 1, k, room, x))
+        rows += [(r, None, None, None, None, None) for r in order if r not in placed]
         out = pd.DataFrame(rows, columns=["room", "parent", "step", "yaw", "du", "dv"])
         out["step"] = out["step"].astype("Int64")
-        out.insert(0, key, k[0])
+        out.insert(0, key, k0[0])
         return out
 
-    return room_areas.groupBy(key).cogroup(good.groupBy(key)).applyInPandas(place, f"`{key}` {room_areas.schema[key].dataType.simpleString()}, room {kind}, parent {kind}, step int, yaw double, du double, dv double")
+    schema = f"`{key}` {room_areas.schema[key].dataType.simpleString()}, room {kind}, parent {kind}, step int, yaw double, du double, dv double"
+    steps = room_areas.groupBy(key).cogroup(good.groupBy(key)).applyInPandas(place, schema).checkpoint()
+    tree = steps.filter("step IS NOT NULL").select(key, "room", "parent", register.plan_transform(F.col("yaw"), F.col("du"), F.col("dv")).alias("m"))
+    poses = register.composed_poses(tree, [key], "room").select(key, "room", F.atan2(F.col("m")[4], F.col("m")[0]).alias("yaw"), F.col("m")[3].alias("du"), F.col("m")[7].alias("dv"))
+    return steps.select(key, "room", "parent", "step").join(poses, [key, "room"], "left")
 
 
 def plan_photo_rooms(rects: DataFrame, links: DataFrame, key: str = "capture_id") -> tuple[DataFrame, DataFrame, DataFrame]:

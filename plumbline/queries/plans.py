@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.intervals95 import LIDAR, PHOTO, opening_ci
-from ..operators import damage, frames, graph, plan2d, raster, rooms
+from ..operators import damage, frames, graph, plan2d, raster, register, rooms
 from ..plans.capture import instances, plan_capture
 from ..plans.known_room import POINTS_SQL, points_m, points_mm
 from ..plans.photo import global_ceiling
@@ -179,3 +180,20 @@ def plan_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "orders").select((k % 5).alias("k"), (spot % 10 * 2 + k % 5 * 0.02 + 1).cast("double").alias("u"), (F.floor(spot / 10) * 2 + k % 3 * 0.03 + 1).cast("double").alias("v"), kind.alias("class"), (0.25 + k % 7 / 8).alias("conf"))
     rects = spark.range(5).select(F.col("id").alias("k"), F.explode(F.array(*[F.struct(F.lit(r).alias("room"), F.lit(a).alias("u0"), F.lit(b).alias("u1")) for r, a, b in ((1, 0.0, 8.0), (2, 8.0, 16.0))])).alias("_r")).select("k", "_r.*", F.lit(0.0).alias("v0"), F.lit(20.0).alias("v1"))
     return instances(d, rects, ["k"]).groupBy("k", "room", "class").agg(F.count("*").alias("objects"), F.sum("views").alias("views"))
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT c_nationkey AS k, c_custkey AS node, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS parent, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS c, CASE c_custkey % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS s, c_custkey * 7 % 11 - 5 AS x, c_custkey * 5 % 13 - 6 AS y FROM customer),
+w AS (SELECT k, node, node AS root, c::BIGINT AS c, s::BIGINT AS s, x::BIGINT AS x, y::BIGINT AS y FROM t WHERE parent IS NULL UNION ALL SELECT t.k, t.node, w.root, w.c * t.c - w.s * t.s, w.s * t.c + w.c * t.s, w.c * t.x - w.s * t.y + w.x, w.s * t.x + w.c * t.y + w.y FROM w JOIN t ON t.k = w.k AND t.parent = w.node)
+SELECT k, node, root, c, s, x, y FROM w"""
+)
+def composed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's customers as a chain of frames, each turned by quarters and shifted against the one before: where they all stand against the first."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    cos, sin = F.when(k % 4 == 0, 1.0).when(k % 4 == 2, -1.0).otherwise(0.0), F.when(k % 4 == 1, 1.0).when(k % 4 == 3, -1.0).otherwise(0.0)
+    x, y, no, one = (k * 7 % 11 - 5).cast("double"), (k * 5 % 13 - 6).cast("double"), F.lit(0.0), F.lit(1.0)
+    tree = c.select(F.col("c_nationkey").alias("k"), k.alias("node"), before.alias("parent"), F.array(cos, -sin, no, x, sin, cos, no, y, no, no, one, no).alias("m"))
+    m = register.composed_poses(tree, ["k"])
+    return m.select("k", "node", "root", *[F.col("m")[i].cast("long").alias(n) for i, n in ((0, "c"), (4, "s"), (3, "x"), (7, "y"))])
