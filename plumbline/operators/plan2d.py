@@ -81,12 +81,10 @@ def complex_cells(cuts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cell_fractions(cells: DataFrame, evidence: DataFrame, res: float, keys: list[str]) -> DataFrame:
-    """cells with fr: the share of a cell's area with evidence (raster r, c). Raster cells find their complex cell through its bins."""
-    e = evidence.select(*keys, ((F.col("c") + 0.5) * res).alias("_u"), ((F.col("r") + 0.5) * res).alias("_v"))
-    b = cells.withColumn("_bu", F.explode(F.sequence(F.floor("u0"), F.floor("u1")))).withColumn("_bv", F.explode(F.sequence(F.floor("v0"), F.floor("v1"))))
-    j = e.withColumns({"_bu": F.floor("_u"), "_bv": F.floor("_v")}).join(b, [*keys, "_bu", "_bv"])
-    j = j.filter((F.col("_u") >= F.col("u0")) & (F.col("_u") < F.col("u1")) & (F.col("_v") >= F.col("v0")) & (F.col("_v") < F.col("v1")))
-    n = j.groupBy(*keys, "i", "j").agg(F.count("*").alias("_n"))
+    """cells with fr: the share of a cell's area with evidence (raster r, c), by four lookups in the evidence's summed-area table."""
+    lo, hi = (lambda c: F.ceil(F.col(c) / res - 0.5)), (lambda c: F.ceil(F.col(c) / res - 0.5) - 1)
+    boxes = cells.select(*keys, "i", "j", lo("v0").alias("r0"), hi("v1").alias("r1"), lo("u0").alias("c0"), hi("u1").alias("c1"))
+    n = raster.box_sums(evidence.select(*keys, "r", "c"), boxes, keys, ["i", "j"]).withColumnRenamed("n", "_n")
     area = (F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))
     return cells.join(n, [*keys, "i", "j"], "left").withColumn("fr", F.coalesce(F.col("_n") * res * res / area, F.lit(0.0))).drop("_n")
 

@@ -194,6 +194,54 @@ def rectangle_cells(rects: DataFrame, res: float, keep: list[str], origin: tuple
     return r.withColumn("r", span("v0", "v1", origin[1])).withColumn("c", span("u0", "u1", origin[0])).select(*keep, "r", "c").distinct()
 
 
+def box_sums(cells: DataFrame, boxes: DataFrame, keys: list[str], by: list[str], *, size: int = 256, weight: str | None = None) -> DataFrame:
+    """keys, by, n: how many cells (or their whole weights) lie in each box (r0, r1, c0, c1, all inclusive); boxes without cells give 0.
+
+    A summed-area table in tiles: what lies at or before a corner is what does so in its own tile, in the tiles above it (prefix sums along its columns), in
+    those beside it (along its rows), and in whole tiles before both. The last three are prefix sums of counts by tile row and column, of tile column and row,
+    and of tile, that are carried over borders. A box takes four lookups, whatever its size; a task holds a tile, a strip, or the grid of tiles.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    far = lambda name: F.floor(F.col(name) / size).cast("long")
+    rest = lambda name: F.pmod(F.col(name), F.lit(size)).cast("long")
+    no = F.lit(0).cast("long")
+    w = F.lit(1) if weight is None else F.col(weight)
+    own = cells.select(*keys, far("r").alias("_tr"), far("c").alias("_tc"), rest("r").alias("_r"), rest("c").alias("_c"), w.cast("long").alias("_w"))
+    shape = lambda d, kind, a, b, r, c, *more: d.select(*keys, F.lit(kind).alias("_kind"), a.alias("_a"), b.alias("_b"), r.alias("_y"), c.alias("_x"), *more)
+    tr, tc, r, c = (F.col(x) for x in ("_tr", "_tc", "_r", "_c"))
+    levels = [(0, tr, tc, r, c), (1, no, tc, tr, c), (2, tr, no, r, tc), (3, no, no, tr, tc)]
+    data = None
+    for level in levels:
+        part = shape(own, *level, "_w").groupBy(*keys, "_kind", "_a", "_b", "_y", "_x").agg(F.sum("_w").alias("_w"))
+        data = part if data is None else data.unionByName(part)
+    box = boxes.select(*keys, *by, *[F.col(x).cast("long").alias(x) for x in ("r0", "r1", "c0", "c1")])
+    corner = lambda y, x, sign: F.struct(y.alias("r"), x.alias("c"), F.lit(sign).cast("long").alias("s"))
+    four = F.array(corner(F.col("r1"), F.col("c1"), 1), corner(F.col("r0") - 1, F.col("c1"), -1), corner(F.col("r1"), F.col("c0") - 1, -1), corner(F.col("r0") - 1, F.col("c0") - 1, 1))
+    at = box.withColumn("_q", F.explode(four)).select(*keys, *by, "_q.*").withColumns({"_tr": far("r"), "_tc": far("c"), "_r": rest("r"), "_c": rest("c")})
+    asked = None
+    for kind, a, b, y, x in levels:
+        part = shape(at, kind, a, b, y - int(kind in (1, 3)), x - int(kind in (2, 3)), *by, "s")
+        asked = part if asked is None else asked.unionByName(part)
+    asked = asked.select(*[F.col(x).alias(x if x in by else f"q{x}") for x in asked.columns])
+    group = [*keys, "_kind", "_a", "_b"]
+
+    def look(cells_: pa.Table, corners: pa.Table) -> pa.Table:
+        y, x, w = (cells_.column(n).to_numpy() for n in ("_y", "_x", "_w"))
+        rows, cols = np.unique(y), np.unique(x)
+        table = np.zeros((len(rows) + 1, len(cols) + 1), np.int64)
+        np.add.at(table, (np.searchsorted(rows, y) + 1, np.searchsorted(cols, x) + 1), w)
+        table = table.cumsum(0).cumsum(1)
+        got = table[np.searchsorted(rows, corners.column("q_y").to_numpy(), "right"), np.searchsorted(cols, corners.column("q_x").to_numpy(), "right")]
+        return pa.table({**{k: corners.column(f"q{k}") for k in keys}, **{b: corners.column(b) for b in by}, "n": got * corners.column("qs").to_numpy()})
+
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in box.select(*keys, *by).schema.fields)
+    sums = data.groupBy(*group).cogroup(asked.groupBy(*[f"q{g}" for g in group])).applyInArrow(look, f"{head}n long")
+    sums = sums.groupBy(*keys, *by).agg(F.sum("n").alias("_n"))
+    return box.select(*keys, *by).join(sums, [*keys, *by], "left").withColumn("n", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
+
+
 def overlap_share(regions: DataFrame, seen: DataFrame, keys: list[str], region: str) -> DataFrame:
     """keys, region, share: how much of each region's cells another raster covers."""
     s = seen.select(*keys, "r", "c").distinct().withColumn("_s", F.lit(1))

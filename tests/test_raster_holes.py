@@ -53,3 +53,22 @@ def test_rays_between_equal_cells_are_walked_once(spark):
     rays = spark.createDataFrame([(0.05, 0.05, 1.0, 1.0)] * 50 + [(0.06, 0.07, 1.01, 1.02)] * 50, "u0 double, v0 double, u1 double, v1 double")
     d = raster.ray_cells(rays, 0.1, [])
     assert d.count() == 8 and d.groupBy("r", "c").count().filter("count > 1").count() == 0 and d.agg(F.max("r")).first()[0] == 7
+
+
+@pytest.mark.parametrize("size", [4, 256])
+def test_box_sums_across_tiles(spark, size):
+    rng = np.random.default_rng(size)
+    cells = [(k, int(r), int(c), int(w)) for k in (1, None) for r, c, w in zip(rng.integers(-20, 30, 400), rng.integers(-15, 25, 400), rng.integers(-3, 9, 400), strict=True)]
+    boxes = []
+    for i in range(80):
+        r, c = sorted(rng.integers(-25, 35, 2).tolist()), sorted(rng.integers(-20, 30, 2).tolist())
+        boxes.append((1, i, r[0], r[1], c[0], c[1]))
+    boxes.append((1, 99, 5, 4, 0, 3))  # nothing lies in an empty box
+    d, b = spark.createDataFrame(cells, "k int, r long, c long, w long"), spark.createDataFrame(boxes, "k int, id int, r0 long, r1 long, c0 long, c1 long")
+    mine = [x for x in cells if x[0] == 1]
+    for weight in (None, "w"):
+        got = {r.id: r.n for r in raster.box_sums(d, b, ["k"], ["id"], size=size, weight=weight).collect()}
+        assert got == {i: sum((w if weight else 1) for _, r, c, w in mine if r0 <= r <= r1 and c0 <= c <= c1) for _, i, r0, r1, c0, c1 in boxes}
+    alone = raster.box_sums(d.filter("k = 1").drop("k"), b.drop("k"), [], ["id"], size=size)
+    assert {r.id: r.n for r in alone.collect()} == {i: sum(r0 <= r <= r1 and c0 <= c <= c1 for _, r, c, _ in mine) for _, i, r0, r1, c0, c1 in boxes}
+    assert raster.box_sums(d.limit(0), b, ["k"], ["id"], size=size).agg(F.sum("n")).first()[0] == 0
