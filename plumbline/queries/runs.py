@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tables
 from ..operators import intervals, windows
 from ..plans.known_room import POINTS_SQL, points_mm
 from . import query, table
@@ -50,17 +51,35 @@ def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.coverage(t, parts, ["k"], ["a", "b"], 50).withColumn("covered", F.round("covered", 6))
 
 
-@query(
-    """WITH RECURSIVE d AS (SELECT c_nationkey AS k, (c_custkey * 7919 % 10000) / 100.0::DOUBLE AS c, (1 + c_custkey % 5)::DOUBLE AS w, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey * 7919 % 10000, 1 + c_custkey % 5) AS rn FROM customer),
+CUT_LINES_SQL = """WITH RECURSIVE d AS (SELECT c_nationkey AS k, (c_custkey * 7919 % 10000) / 100.0::DOUBLE AS c, (1 + c_custkey % 5)::DOUBLE AS w, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey * 7919 % 10000, 1 + c_custkey % 5) AS rn FROM customer),
 f(k, rn, ord, c, w) AS (SELECT k, rn, 0, c, w FROM d WHERE rn = 1 UNION ALL SELECT d.k, d.rn, CASE WHEN d.c - f.c < 0.6 THEN f.ord ELSE f.ord + 1 END, CASE WHEN d.c - f.c < 0.6 THEN (f.c * f.w + d.c * d.w) / (f.w + d.w) ELSE d.c END, CASE WHEN d.c - f.c < 0.6 THEN f.w + d.w ELSE d.w END FROM f JOIN d ON d.k = f.k AND d.rn = f.rn + 1)
 SELECT k, ord, round(arg_max(c, rn), 6) AS coord, arg_max(w, rn) AS weight FROM f GROUP BY k, ord"""
-)
+
+
+@query(CUT_LINES_SQL)
 def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ordered fold: each position joins the line before while it is near that line's running weighted mean."""
     d = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") * 7919 % 10000 / 100.0).cast("double").alias("c"), (1 + F.col("c_custkey") % 5).cast("double").alias("w"))
     return intervals.cut_lines(d, "c", "w", ["k"], 0.6).select("k", "ord", F.round("coord", 6).alias("coord"), "weight")
 
 
+@query(CUT_LINES_SQL)
+def cut_lines_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold through a table function."""
+    d = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") * 7919 % 10000 / 100.0).cast("double").alias("c"), (1 + F.col("c_custkey") % 5).cast("double").alias("w"))
+    m = tables.merged_lines(d.asTable().partitionBy("k").orderBy("c", "w"), F.lit(0.6))
+    return m.select(F.col("key").cast("int").alias("k"), "ord", F.round("coord", 6).alias("coord"), "weight")
+
+
+@query("SELECT o_orderkey, greatest(abs(o_custkey % 60 - o_orderkey % 50), abs(o_orderkey * 7 % 60 - o_custkey * 3 % 50)) + 1 AS n FROM orders")
+def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of exact lines, one for each step of the longer side."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 50).alias("r0"), (c * 3 % 50).alias("c0"), (c % 60).alias("r1"), (k * 7 % 60).alias("c1"))
+    cells = o.lateralJoin(tables.line_cells(F.col("r0").outer(), F.col("c0").outer(), F.col("r1").outer(), F.col("c1").outer(), F.lit(0)))
+    return cells.groupBy("o_orderkey").agg(F.count_distinct("r", "c").alias("n"))
+
+
 @query(
     """WITH e AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 200 AS ord FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT *, ord - row_number() OVER (PARTITION BY k ORDER BY ord) AS g FROM e)
 SELECT k, min(ord) AS a, max(ord) + 1 AS b, count(*) AS n FROM r GROUP BY k, g"""
@@ -140,13 +159,32 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.sum("l_quantity").over(w).cast("long").alias("so_far"), F.rank().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_quantity"))).alias("by_quantity"))
 
 
-@query()
+def key_frames_sql(gap_s: float, frame: str) -> str:
+    """The rule step by step: one recursion a frame of each user."""
+    return f"""WITH RECURSIVE f AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, value % 1 / 10 AS shift, value AS q, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::DOUBLE AS last_t, 0::DOUBLE AS moved, 0::BIGINT AS since, []::STRUCT(q DOUBLE, m BIGINT)[] AS l, NULL::BIGINT AS best FROM f),
+w AS (SELECT * FROM s UNION ALL
+  SELECT user_id, n, CASE WHEN due THEN t ELSE last_t END, CASE WHEN due THEN 0 ELSE moved END, CASE WHEN due THEN 0 ELSE since END, CASE WHEN due THEN [] ELSE l END, CASE WHEN due THEN -(list_max(l)).m END
+  FROM (SELECT f.user_id, f.n, f.t, w.last_t, w.moved + f.shift AS moved, w.since + 1 AS since, list_append(w.l, {{'q': f.q, 'm': -f.event_id}})[-3:] AS l, w.last_t IS NULL OR (w.since + 1 >= 2 AND (w.moved + f.shift >= 0.12 OR f.t - w.last_t >= {gap_s})) AS due
+    FROM w JOIN f ON f.user_id = w.user_id AND f.n = w.n + 1))
+SELECT user_id, best AS {frame} FROM w WHERE best IS NOT NULL"""
+
+
+@query(key_frames_sql(3600.0, "frame"))
 def key_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key frames of each user's events, as frames: a sequential rule, tested against the stream."""
     e = table(spark, sf_dir, "events").filter("user_id is not null").select("user_id", F.col("event_id").alias("frame"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharp"))
     return windows.keyframes(e, ["user_id"], "frame", "ts", "shift", "sharp", gap_s=3600.0)
 
 
+@query(key_frames_sql(3600.0, "frame_id"))
+def key_frames_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a table function, which holds a few numbers a user."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null").select("user_id", F.col("event_id").alias("frame"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharp"))
+    k = tables.key_frames(e.asTable().partitionBy("user_id").orderBy("frame"), F.lit(0.12), F.lit(3600.0), F.lit(3), F.lit(2))
+    return k.select(F.col("key").cast("long").alias("user_id"), "frame_id")
+
+
 @query()
 def farthest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value"), (F.col("event_id") % 97).cast("double").alias("y"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import shared_dir
 from ..streaming import ordered, streams
 from . import query, table
+from .runs import key_frames_sql
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"))
 
 
-@query()
+@query(key_frames_sql(3600.0, "frame_id"))
 def keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("frame_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s"), (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharpness"))
     return streams.drained(streams.keyframes(e, "user_id", gap_s=3600.0), _name())
@@ -87,7 +88,7 @@ def posed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(s, _name()).select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(key_frames_sql(3600.0, "frame_id"))
 def ordered_keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key frames of each user's events in the order of their times, which they don't come in."""
     e, _ = _out_of_order(spark, sf_dir)
