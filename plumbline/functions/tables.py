@@ -1,7 +1,7 @@
 """Table functions: ordered folds over a table argument, and the exact cells of a line.
 
     register(spark)
-    SELECT * FROM key_frames(TABLE(frames) PARTITION BY capture_id ORDER BY frame_id, 0.12, 0.5, 3, 2)
+    SELECT * FROM key_frames(TABLE(frames) PARTITION BY capture_id ORDER BY (frame_id), 0.12, 0.5, 3, 2)
     SELECT * FROM merged_lines(TABLE(positions) PARTITION BY capture_id ORDER BY (c, w), 0.035)
     SELECT r.*, l.r, l.c FROM rays r, LATERAL line_cells(r.r0, r.c0, r.r1, r.c1, 0) l
 

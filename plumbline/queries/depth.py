@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images
 from ..operators.graph import shared_dir
 from ..sources import captures, depth_source
 from . import query, table
@@ -42,3 +43,16 @@ def depth_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = captures.pixels(frames).filter("conf > 0 AND depth > 0")
     right, down = (F.col("col") - F.col("cx")) * F.col("depth") / F.col("fx"), (F.col("row") - F.col("cy")) * F.col("depth") / F.col("fy")
     return p.groupBy("capture_id", "frame_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("depth") * 1000)).cast("long").alias("mm"), F.sum(F.round(right * 16000)).cast("long").alias("right_mm16"), F.sum(F.round(down * 12000)).cast("long").alias("down_mm12"))
+
+
+@query(
+    """WITH p AS (SELECT 'c' || (l_suppkey % 25) AS k, l_orderkey // 8000 AS f, (l_partkey % 12) AS r, (l_orderkey % 16) AS c, max((500 + l_quantity * 50 + l_linenumber)::INTEGER) AS mm FROM lineitem GROUP BY ALL),
+g AS (SELECT k, f, r, c, coalesce(p.mm, 0) AS mm FROM (SELECT k, f, r, c FROM (SELECT DISTINCT k, f FROM p), range(12) a(r), range(16) b(c)) LEFT JOIN p USING (k, f, r, c)),
+n AS (SELECT k, f, r, c, -4 * mm AS v FROM g UNION ALL SELECT g.k, g.f, t.r, t.c, g.mm FROM (SELECT r, c, unnest([{'y': r - 1, 'x': c}, {'y': r + 1, 'x': c}, {'y': r, 'x': c - 1}, {'y': r, 'x': c + 1}]) AS o FROM range(12) a(r), range(16) b(c)) t
+  JOIN g ON g.r = CASE WHEN o.y < 0 THEN 1 WHEN o.y > 11 THEN 10 ELSE o.y END AND g.c = CASE WHEN o.x < 0 THEN 1 WHEN o.x > 15 THEN 14 ELSE o.x END),
+l AS (SELECT k, f, r, c, sum(v)::DOUBLE AS v FROM n GROUP BY ALL) SELECT k AS capture_id, f AS frame_id, round(var_pop(v) / 1e6, 4) AS sharpness FROM l GROUP BY ALL"""
+)
+def frame_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth frames' sharpness, as if they were pictures: the variance of their Laplacian."""
+    f = frames_of(spark, sf_dir).withColumn("mm", F.transform("depth", lambda x: F.round(x * 1000)))
+    return f.select("capture_id", "frame_id", F.round(images.sharpness("mm", "w") / 1e6, 4).alias("sharpness"))

@@ -19,7 +19,7 @@ def test_folds_in_sql(spark):
     assert spark.sql("SELECT * FROM merged_lines(TABLE(SELECT * FROM tf_positions WHERE k = 'z') PARTITION BY k ORDER BY (c, w), 0.05D)").count() == 0
     frames = [("x", i, i * 0.1, 0.05, s) for i, s in enumerate([1.0, 2.0, 9.0, 9.0, 1.0, 0.0])]
     spark.createDataFrame(frames, "k string, f long, t double, shift double, sharp double").createOrReplaceTempView("tf_frames")
-    got = spark.sql("SELECT frame_id FROM key_frames(TABLE(tf_frames) PARTITION BY k ORDER BY f, 0.12D, 0.5D, 3, 2)").collect()
+    got = spark.sql("SELECT frame_id FROM key_frames(TABLE(tf_frames) PARTITION BY k ORDER BY (f), 0.12D, 0.5D, 3, 2)").collect()
     assert [r.frame_id for r in got] == [0, 2]
 
 
