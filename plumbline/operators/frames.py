@@ -20,9 +20,9 @@ def camera_points(pixels: DataFrame, stride: int = 1) -> DataFrame:
     return p.withColumns({"px": x, "py": y, "pz": z})
 
 
-def normals(points: DataFrame, stride: int = 1, *, least: float = 0.15, most: float = priors.MAX_DEPTH, conf: int = priors.MIN_CONFIDENCE) -> DataFrame:
+def normals(points: DataFrame, stride: int = 1, *, least: float = 0.15, most: float = priors.MAX_DEPTH, conf: int = priors.MIN_CONFIDENCE, jump: float = 0.02) -> DataFrame:
     """Valid points with unit normals (cnx, cny, cnz) that face the camera: central differences along rows and columns; a point is valid
-    if it is near and sure enough, inside the image, and depth changes little around it. Two windows, one frame's rows and columns."""
+    if it is near and sure enough, inside the image, and depth changes by under 8 % and ``jump`` around it. Two windows, one frame's rows and columns."""
     across, down = Window.partitionBy(*FRAME, "row").orderBy("col"), Window.partitionBy(*FRAME, "col").orderBy("row")
     d = points
     for name, w in (("h", across), ("v", down)):
@@ -33,7 +33,7 @@ def normals(points: DataFrame, stride: int = 1, *, least: float = 0.15, most: fl
     size = G.norm(n)
     p = tuple(F.col(c) for c in ("px", "py", "pz"))
     away = F.when(G.dot(n, p) > 0, -1.0).otherwise(1.0) / F.greatest(size, F.lit(1e-9))
-    ok = (F.col("depth") > least) & (F.col("depth") < most) & (F.col("conf") >= conf) & (size > 0) & (F.greatest(F.abs(h[2]), F.abs(v[2])) < 0.08 * F.col("depth") * stride + 0.02)
+    ok = (F.col("depth") > least) & (F.col("depth") < most) & (F.col("conf") >= conf) & (size > 0) & (F.greatest(F.abs(h[2]), F.abs(v[2])) < 0.08 * F.col("depth") * stride + jump)
     d = d.withColumns({f"cn{a}": c * away for a, c in zip("xyz", n, strict=True)}).filter(ok)  # on the border a difference is null
     return d.drop(*[f"_{a}{c}" for a in "hv" for c in ("px", "py", "pz")])
 

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import aggregates, depth, jobs, joins, plans, rasters, runs, scores, shapes, streams, surveys  # noqa: E402, F401
+from . import aggregates, depth, jobs, joins, optics, plans, rasters, runs, scores, shapes, streams, surveys  # noqa: E402, F401
