@@ -46,6 +46,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: lis
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     roots = now.select(*keys, F.col("_x").alias("node"), F.col("_y").alias("_root"))
     return nodes.join(roots, [*keys, "node"], "left").select(*keys, "node", F.coalesce("_root", "node").alias("component"))
 

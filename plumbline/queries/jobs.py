@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobs import sightings, site_notes
 
@@ -31,7 +32,7 @@ v AS (SELECT site, lang AS site_lang FROM n WHERE lang IS NOT NULL GROUP BY site
 t AS (SELECT site, lang, string_agg(doc_id::VARCHAR || ':' || words::VARCHAR, ',' ORDER BY r) AS longest FROM
   (SELECT *, row_number() OVER (PARTITION BY site, lang ORDER BY words DESC, doc_id) AS r FROM n QUALIFY r <= 3) GROUP BY ALL),
 l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY ALL)
-SELECT n.site, n.lang, count(*) AS notes, coalesce(any_value(f.k), 0) + count(*) FILTER (WHERE text IS NULL) AS originals, sum(words)::BIGINT AS words, quantile_cont(words, 0.5) AS p50, quantile_cont(words, 0.9) AS p90,
+SELECT n.site, n.lang, count(*) AS notes, coalesce(any_value(f.k), 0) + count(*) FILTER (WHERE text IS NULL) AS originals, sum(words)::BIGINT AS words, round(quantile_cont(words, 0.5), 6) AS p50, round(quantile_cont(words, 0.9), 6) AS p90,
   any_value(longest) AS longest, any_value(site_lang) AS site_lang, count(l.doc_id) AS labelled, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
 FROM n LEFT JOIN f ON n.site IS NOT DISTINCT FROM f.site AND n.lang IS NOT DISTINCT FROM f.lang LEFT JOIN t ON n.site IS NOT DISTINCT FROM t.site AND n.lang IS NOT DISTINCT FROM t.lang
 LEFT JOIN v ON n.site IS NOT DISTINCT FROM v.site LEFT JOIN l ON n.doc_id = l.doc_id GROUP BY n.site, n.lang""")
@@ -39,4 +40,4 @@ def job2_site_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = f"{shared_dir(spark)}/job2-site-notes-{uuid.uuid4().hex}"
     for _ in range(2):
         out = site_notes.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", where)
-    return out.drop("votes")
+    return out.drop("votes").withColumns({c: F.round(c, 6) for c in ("p50", "p90")})
