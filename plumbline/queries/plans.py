@@ -20,7 +20,13 @@ P = f"WITH {POINTS_SQL}"
 _FACES = "f AS (SELECT round(avg(u_mm) FILTER (WHERE s = 2) / 1000.0, 2) AS u0, round(avg(u_mm) FILTER (WHERE s = 6) / 1000.0, 2) AS um, round(avg(u_mm) FILTER (WHERE s = 3) / 1000.0, 2) AS u1, round(avg(v_mm) FILTER (WHERE s = 0) / 1000.0, 2) AS v0, round(avg(v_mm) FILTER (WHERE s = 1) / 1000.0, 2) AS v1 FROM points)"
 
 
-@query(P + ", m AS (SELECT count(*) AS n FROM points) SELECT 1 AS room_a, 2 AS room_b, 'door' AS kind, 'u' AS axis, 2.5::DOUBLE AS coord, 1.2::DOUBLE AS a, 2.1::DOUBLE AS b, 0.9::DOUBLE AS width, 0.0222::DOUBLE AS ci95 FROM m WHERE n > 0")
+#: What the partition's points leave open, and the sides of it that have a floor, numbered from the least u.
+_DOOR = """w AS (SELECT DISTINCT v_mm FROM points WHERE s = 6), g AS (SELECT v_mm AS a, lead(v_mm) OVER (ORDER BY v_mm) AS b FROM w), d AS (SELECT a / 1000.0::DOUBLE AS a, b / 1000.0::DOUBLE AS b FROM g WHERE b - a BETWEEN 550 AND 1300),
+x AS (SELECT avg(u_mm) / 1000.0::DOUBLE AS um FROM points WHERE s = 6), side AS (SELECT side, row_number() OVER (ORDER BY min(u_mm))::INTEGER AS room FROM (SELECT u_mm, u_mm / 1000.0::DOUBLE > um AS side FROM points, x WHERE s = 4) GROUP BY side)"""
+
+
+@query(P + f""", {_DOOR} SELECT min(room) AS room_a, max(room) AS room_b, CASE WHEN any_value(b - a) <= 1.3 THEN 'door' ELSE 'opening' END AS kind, 'u' AS axis, round(any_value(um), 2) AS coord, round(any_value(a) * 10) / 10 AS a, round(any_value(b) * 10) / 10 AS b, round(any_value(b - a) * 10) / 10 AS width,
+round(1.96 * sqrt(2 * 0.008::DOUBLE * 0.008::DOUBLE), 4) AS ci95 FROM d, x, side GROUP BY d.a""")
 def plan_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The known room's one door, to the half decimetre of its wall columns."""
     o = plan_capture(points_m(spark, sf_dir), ["capture_id"], cover=0.30).openings
@@ -38,8 +44,8 @@ def plan_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    P + f""", {_FACES}, r AS (SELECT 1 AS room, um - u0 AS w, v1 - v0 AS h FROM f UNION ALL SELECT 2, u1 - um, v1 - v0 FROM f)
-SELECT room, round(w * h, 1) AS area, round(greatest(w, h), 2) AS long_side, round(least(w, h), 2) AS short_side, 1::BIGINT AS n_openings, 1::BIGINT AS degree, 0::BIGINT AS below_points, CASE WHEN least(w, h) < 1.6 AND greatest(w, h) >= 2 * least(w, h) THEN 'Corridor' ELSE 'Room' END AS type, round((SELECT sum(w * h) FROM r), 1) AS footprint FROM r"""
+    P + f""", {_FACES}, {_DOOR}, r AS (SELECT room, CASE WHEN side THEN u1 - f.um ELSE f.um - u0 END AS w, v1 - v0 AS h FROM f, side), o AS (SELECT count(*) AS n FROM d), z AS (SELECT count(*) FILTER (WHERE nh = 1 AND h_mm < -120) AS n FROM points)
+SELECT room, round(w * h, 1) AS area, round(greatest(w, h), 2) AS long_side, round(least(w, h), 2) AS short_side, (SELECT n FROM o) AS n_openings, (SELECT least(n, 1) FROM o) AS degree, (SELECT n FROM z) AS below_points, CASE WHEN least(w, h) < 1.6 AND greatest(w, h) >= 2 * least(w, h) THEN 'Corridor' ELSE 'Room' END AS type, round((SELECT sum(w * h) FROM r), 1) AS footprint FROM r"""
 )
 def plan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = plan_capture(points_m(spark, sf_dir), ["capture_id"], cover=0.30)
