@@ -496,6 +496,19 @@ def wall_solids(rooms: DataFrame, keys: list[str], shell: float = 0.20) -> DataF
     return rooms.select(*keys, "room", *[(F.col(c) + s * shell).alias(c) for c, s in (("u0", -1), ("u1", 1), ("v0", -1), ("v1", 1))])
 
 
+def partitions(rooms: DataFrame, keys: list[str], thick: float = 0.11) -> DataFrame:
+    """keys, room_a, room_b, u0, u1, v0, v1: a band of an inner wall's thickness on every unit edge that two rooms share. rooms: room, i, j, u0 to v1."""
+    e = boundary_edges(rooms, keys).groupBy(*keys, "axis", "coord", "a", "b").agg(F.min("room").alias("room_a"), F.max("room").alias("room_b"), F.count_distinct("room").alias("_n"))
+    return e.filter("_n = 2").select(*keys, "room_a", "room_b", opening_rectangle(F.col("axis"), F.col("coord"), F.col("a"), F.col("b"), thick).alias("_r")).select(*keys, "room_a", "room_b", "_r.*")
+
+
+def wall_cells(rooms: DataFrame, keys: list[str], res: float, *, shell: float = 0.20, gap: float = 0.40) -> DataFrame:
+    """keys, r, c: the raster of a plan's outer walls: gaps between rooms narrower than ``gap`` (walls with two faces), and the shell round them and the rooms."""
+    inside = raster.rectangle_cells(rooms, res, keys).checkpoint()
+    filled = raster.closed(inside, raster.box(max(1, round(gap / 2 / res)))).checkpoint()
+    return raster.minus(raster.dilated(filled, raster.box(max(1, round(shell / res)))), inside)
+
+
 def opening_rectangle(axis: Column, coord: Column, a: Column, b: Column, thick: float = 0.11) -> Column:
     t = thick / 2
     along_v = F.struct((coord - t).alias("u0"), (coord + t).alias("u1"), a.alias("v0"), b.alias("v1"))

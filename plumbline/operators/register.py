@@ -221,6 +221,27 @@ def offset_search(faces: DataFrame, other: DataFrame, *, step: float = 0.1, half
     return hit.select("k", (F.col("i") * step).alias("du"), (F.col("j") * step).alias("dv"), "share")
 
 
+def plan_registration(faces: DataFrame, other: DataFrame, *, reach: float = 0.3, **search) -> DataFrame:
+    """k, yaw, du, dv, share, inliers: the best quarter turn and offset of offset_search(), refined by ICP: a point p of faces lands on
+    R(yaw) (quarter turn k of p) + (du, dv); share is the search's, inliers ICP's. Points are two plans' sampled walls: some thousand each, which one task holds;
+    without points in common there is no row."""
+    best = offset_search(faces, other, **search).orderBy(F.desc("share"), "k", "du", "dv").limit(1)
+    side = lambda d, which: d.select(F.lit(which).alias("side"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    both = side(faces, 0).unionByName(side(other, 1)).join(F.broadcast(best), F.lit(True))  # one row
+
+    def refine(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, t0 = int(pdf["k"].iloc[0]), pdf[["du", "dv"]].iloc[0].to_numpy(float)
+        a, b = (pdf.loc[pdf["side"] == s, ["u", "v"]].to_numpy(float) for s in (0, 1))
+        quarter = np.array([[1, 0], [0, 1]]) if k == 0 else np.array([[0, -1], [1, 0]]) if k == 1 else np.array([[-1, 0], [0, -1]]) if k == 2 else np.array([[0, 1], [-1, 0]])
+        moved = a @ quarter.T + t0
+        yaw, shift, share = icp_2d(moved, b, reach=reach)
+        r, centre = np.array([[np.cos(yaw), -np.sin(yaw)], [np.sin(yaw), np.cos(yaw)]]), moved.mean(0)
+        t = r @ t0 + centre - r @ centre + shift
+        return pd.DataFrame({"k": [k], "yaw": [yaw], "du": [t[0]], "dv": [t[1]], "share": [float(pdf["share"].iloc[0])], "inliers": [share]})
+
+    return both.groupBy("k", "share").applyInPandas(refine, "k int, yaw double, du double, dv double, share double, inliers double")
+
+
 #: A transform as the 12 numbers of the first three rows of its matrix, row by row: scale and rotation (or any linear part), then the shift.
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
 
