@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: cuts the lineage as checkpoint() does, and with it the constraints that the optimiser would carry
+    through every later join of tables that stem from one."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: list[str] | None = None, rounds: int = 100) -> DataFrame:
     """keys, node, component (its least node): alternating large stars (all greater neighbours link to the least of a neighbourhood) and
     small stars (all lesser ones do), checkpointed, until no edge changes. The rounds grow with the logarithm of the nodes, whatever the

@@ -51,7 +51,7 @@ def wall_faces(walls: DataFrame, keys: list[str], *, width: float = 0.01, least:
     s = robust.smoothed(hist.join(ends.select(*fam, "bins"), fam).select(*fam, "bin", "n", "bins"), F.col("bins"), 1.2, fam)
     peaks = robust.local_peaks(s.withColumn("bin", F.col("bin").cast("long")), "bin", "s", fam, 4, 30.0)
     peaks = peaks.join(ends, fam).select(*fam, (F.col("lo") + (F.col("bin") + 0.5) * width).alias("peak")).checkpoint()  # some dozens a capture
-    near = walls.withColumn("_b", F.floor(F.col("at") / reach)).join(peaks.withColumn("_b", F.explode(F.sequence(F.floor((F.col("peak") - reach) / reach), F.floor((F.col("peak") + reach) / reach)))), [*fam, "_b"]).filter(F.abs(F.col("at") - F.col("peak")) < reach).drop("_b")
+    near = walls.withColumn("_b", F.floor(F.col("at") / reach)).join(peaks.withColumn("_b", F.explode(F.sequence(F.floor((F.col("peak") - reach) / reach), F.floor((F.col("peak") + reach) / reach)))), [*fam, "_b"]).filter(F.abs(F.col("at") - F.col("peak")) < reach).drop("_b").checkpoint()  # read several times for medians and columns
     face = [*fam, "peak"]
     stats = robust.inlier_stats(near, "at", reach, face).filter(F.col("n") >= least)
     cols = robust.height_coverage(near.withColumn("col", F.floor(F.col("along") / column)), [*face, "col"], F.col("h"), F.col("band_lo"), F.col("band_hi"), h_step).filter(F.col("coverage") >= cover)

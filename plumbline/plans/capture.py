@@ -70,7 +70,7 @@ def _evidence(points: DataFrame, floor: DataFrame, cameras: DataFrame | None, re
 def _spaces(cells: DataFrame, edges: DataFrame, seen: DataFrame, walked: DataFrame | None, res: float, keys: list[str]) -> DataFrame:
     """Rooms cut at necks, then large ones by their cores; then voids go and slivers join their neighbours; numbered anew."""
     group = (F.col("room").cast("long") * F.lit(1 << 20) + F.col("part")).alias("_g")
-    renamed = lambda d: plan2d.numbered(d.withColumn("_g", group).drop("room", "part"), "_g", keys, 0.0).checkpoint()
+    renamed = lambda d: graph.settled(plan2d.numbered(d.withColumn("_g", group).drop("room", "part"), "_g", keys, 0.0))
     cut = renamed(cells.join(plan2d.neck_splits(cells, edges, keys), [*keys, "room", "i", "j"]))
     cut = renamed(plan2d.split_by_cores(cut, edges, keys, res))
     by = [*keys, "room"]
@@ -96,11 +96,11 @@ def plan_capture(points: DataFrame, keys: list[str], *, band: tuple[float, float
     bounds = points.groupBy(*keys).agg(F.min("u").cast("double").alias("u0"), F.max("u").cast("double").alias("u1"), F.min("v").cast("double").alias("v0"), F.max("v").cast("double").alias("v1"))
     cuts = plan2d.cut_coordinates(faces, bounds, keys)
     cells = plan2d.cell_fractions(plan2d.complex_cells(cuts, keys), seen, res, keys).checkpoint()
-    edges = plan2d.classified_edges(plan2d.complex_edges(cells, keys), parts, keys).checkpoint()
+    edges = graph.settled(plan2d.classified_edges(plan2d.complex_edges(cells, keys), parts, keys))
     cells = plan2d.filled(cells, edges, keys).checkpoint()
     closed = plan2d.barrier(plan2d.oriented_walls(walls, keys, res), keys, int(priors.DOOR_MAX / res))
-    found = plan2d.rooms_by_barrier(cells, edges, closed, res, keys).checkpoint()
-    found = _spaces(found, edges, seen, walked, res, keys).checkpoint()
+    found = graph.settled(plan2d.rooms_by_barrier(cells, edges, closed, res, keys))
+    found = graph.settled(_spaces(found, edges, seen, walked, res, keys))
     openings = plan2d.room_openings(edges, found, keys)
     width = F.col("b") - F.col("a")
     openings = openings.withColumn("width", measured(width, opening_ci(F.col("kind"), width, model)))
