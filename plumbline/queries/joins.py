@@ -33,8 +33,8 @@ SELECT c_custkey, arg_min(s_suppkey, (abs(x - y), s_suppkey)) AS supplier, min(a
 def band_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), (F.col("c_custkey") * 53 % 1000).alias("x"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_suppkey") * 37 % 1000).alias("y"))
-    m = spatial.band_match(c, s, ["c_custkey", "x"], "x", "y", 60, [F.abs(F.col("x") - F.col("y")), F.col("s_suppkey")], ["k"], "m").filter("m is not null")
-    return m.select("c_custkey", F.col("m.s_suppkey").alias("supplier"), F.abs(F.col("x") - F.col("m.y")).alias("off"))
+    m = spatial.nearest_in_band(c, s, "c_custkey", "s_suppkey", "x", "y", 60, ["k"])
+    return m.select("c_custkey", F.col("s_suppkey").alias("supplier"), F.abs(F.col("x") - F.col("y")).alias("off"))
 
 
 SURFACES = [(1, "u", 1, 0.0, 0.0, 3.0), (2, "u", -1, 4.0, 0.0, 3.0), (3, "u", 1, 2.5, 0.0, 1.2), (4, "u", 1, 2.5, 2.1, 3.0), (5, "v", 1, 0.0, 0.0, 4.0), (6, "v", -1, 3.0, 0.0, 4.0)]

@@ -24,3 +24,14 @@ def test_lifted_boxes_of_copies(spark, monkeypatch):
     got = spatial.lifted_detections(px, boxes, ["frame"], "box").collect()
     assert sorted(tuple(r) for r in got) == [(0, i, 1.5, 60) for i in range(50)]
     assert made[0].count() == 6
+
+
+def test_nearest_in_band_of_copies(spark, monkeypatch):
+    made = watched(monkeypatch, "band_match")
+    left = spark.createDataFrame([(i, 1, i % 2 * 10) for i in range(40)], "l int, k int, x int")
+    right = spark.createDataFrame([(100 + i, 1, 4 + i % 2 * 12) for i in range(40)] + [(7, 2, 0)], "r int, k int, y int")
+    got = spatial.nearest_in_band(left, right, "l", "r", "x", "y", 6, ["k"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, i, 0, 100, 4) for i in range(0, 40, 2)]
+    assert made[0].count() == 2
+    wide = spatial.nearest_in_band(left, right, "l", "r", "x", "y", 7, ["k"]).collect()
+    assert {(r["x"], r["r"]) for r in wide} == {(0, 100), (10, 100)} and len(wide) == 40
