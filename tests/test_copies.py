@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.operators import spatial
+from plumbline.operators import scoring, spatial
 
 
 def watched(monkeypatch, name):
@@ -35,3 +35,15 @@ def test_nearest_in_band_of_copies(spark, monkeypatch):
     assert made[0].count() == 2
     wide = spatial.nearest_in_band(left, right, "l", "r", "x", "y", 7, ["k"]).collect()
     assert {(r["x"], r["r"]) for r in wide} == {(0, 100), (10, 100)} and len(wide) == 40
+
+
+FACES = "face_id int, axis string, sign int, coord double, a double, b double"
+
+
+def test_matched_faces_of_copies(spark, monkeypatch):
+    made = watched(monkeypatch, "overlap_join")
+    a = spark.createDataFrame([(i, "u", 1, 1.0, 0.0, 9.0) for i in range(30)], FACES)
+    b = spark.createDataFrame([(100 - i, "u", 1, 1.1, 1.0, 8.0) for i in range(30)] + [(i, "u", 1, 1.3, 0.0, 9.0) for i in range(9)], FACES)
+    got = [(r["face_id"], r["other"], round(r["diff"], 6), r["overlap"]) for r in scoring.matched_faces(a, b).collect()]
+    assert sorted(got) == [(i, 71, 0.1, 7.0) for i in range(30)]
+    assert made[0].count() <= 2
