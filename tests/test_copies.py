@@ -47,3 +47,11 @@ def test_matched_faces_of_copies(spark, monkeypatch):
     got = [(r["face_id"], r["other"], round(r["diff"], 6), r["overlap"]) for r in scoring.matched_faces(a, b).collect()]
     assert sorted(got) == [(i, 71, 0.1, 7.0) for i in range(30)]
     assert made[0].count() <= 2
+
+
+def test_facing_walls_of_copies(spark, monkeypatch):
+    made = watched(monkeypatch, "overlap_join")
+    f = spark.createDataFrame([(i, "u", 1, 1.0, 0.0, 3.0) for i in range(20)] + [(100 + i, "u", -1, 4.0, 1.0, 9.0) for i in range(10)] + [(200, "u", -1, 30.0, 0.0, 3.0), (201, "u", -1, 9.0, 0.0, 3.0)], FACES)
+    got = [tuple(r) for r in scoring.facing_walls(f, []).collect()]
+    assert sorted(got) == [(i, 100 + j, 3.0) for i in range(20) for j in range(10)]
+    assert made[0].count() <= 2
