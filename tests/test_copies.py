@@ -55,3 +55,19 @@ def test_facing_walls_of_copies(spark, monkeypatch):
     got = [tuple(r) for r in scoring.facing_walls(f, []).collect()]
     assert sorted(got) == [(i, 100 + j, 3.0) for i in range(20) for j in range(10)]
     assert made[0].count() <= 2
+
+
+def test_overlap_area_of_copies(spark, monkeypatch):
+    made = watched(monkeypatch, "_shared")
+    copies = [(i, 0.0, 2.0, 0.0, 2.0) for i in range(1, 13)] + [(i, 1.0, 5.0, 1.0, 3.0) for i in range(20, 30)]
+    parted = [(15, 0.0, 1.0, 0.0, 1.0), (15, 1.0, 2.0, 0.0, 0.5), (16, 0.0, 0.5, 0.0, 1.0), (16, 0.5, 1.5, 0.0, 0.2)]
+    rects = copies + parted
+    got = spatial.overlap_area(spark.createDataFrame(rects, "room int, u0 double, u1 double, v0 double, v1 double"), "room").collect()
+    want: dict = {}
+    for x in rects:
+        for y in rects:
+            du, dv = min(x[2], y[2]) - max(x[1], y[1]), min(x[4], y[4]) - max(x[3], y[3])
+            if x[0] < y[0] and du > 0 and dv > 0:
+                want[x[0], y[0]] = want.get((x[0], y[0]), 0) + du * dv
+    assert sorted((r["a"], r["b"], round(r["area"], 9)) for r in got) == sorted((*k, round(v, 9)) for k, v in want.items() if v > 0.25)
+    assert made[0].count() <= 4
