@@ -115,3 +115,20 @@ def test_simplified_rings_stay_near(spark):
             assert r.polygon == [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]
         else:
             assert len(r.polygon) == 4
+
+
+def test_polygons_on_one_another(spark):
+    """Behind a polygon that covers a bin no other is listed there."""
+    squares = [(i, [[-0.1 * (i % 3), 0.0], [8.0, -0.1], [8.0 + i % 2, 8.0], [0.0, 8.0]]) for i in range(300)] + [(-1, [[3.0, 3.0], [3.4, 3.0], [3.2, 3.4]])]
+    g = spark.createDataFrame(squares, "room int, polygon array<array<double>>")
+    p = spark.createDataFrame([(i * 0.37 - 0.5, j * 0.41 - 0.5) for i in range(27) for j in range(24)], "u double, v double")
+    hit = polygons.points_in_polygons(p, g, "u", "v", "room", "room", how="left")
+
+    def holds(ring, u, v):
+        return sum((a[1] > v) != (b[1] > v) and u < (b[0] - a[0]) * (v - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+    assert all(r["room"] == min((k for k, ring in squares if holds(ring, r["u"], r["v"])), default=None) for r in hit.collect())
+    edges = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("u0", "v0", "u1", "v1"), e, strict=True)]) for e in ((0, 0, 8, 0), (8, 0, 8, 8), (8, 8, 0, 8), (0, 8, 0, 0))])
+    bins = spark.range(100).select(F.floor(F.col("id") / 10).alias("bu"), (F.col("id") % 10).alias("bv"))
+    inside = bins.filter(polygons._covers(edges, F.col("bu"), F.col("bv"), 1.0)).collect()
+    assert {(r["bu"], r["bv"]) for r in inside} == {(i, j) for i in range(1, 7) for j in range(1, 7)}
