@@ -16,8 +16,12 @@ OTHER = "o AS (SELECT DISTINCT l_suppkey AS k, l_partkey * 31 % 60 AS r, l_order
 SPARSE = "c AS (SELECT DISTINCT l_suppkey AS k, l_orderkey * 31 % 90 AS r, l_partkey * 17 % 90 AS c FROM lineitem)"
 
 
+def _hits(spark: SparkSession, sf_dir: str, r: str, c: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.expr(r).alias("r"), F.expr(c).alias("c"))
+
+
 def _raster(spark: SparkSession, sf_dir: str, r: str, c: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.expr(r).alias("r"), F.expr(c).alias("c")).distinct()
+    return _hits(spark, sf_dir, r, c).distinct()
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +68,7 @@ def boxed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CELLS}, {OTHER} SELECT 'or' AS op, count(*) AS n FROM (SELECT * FROM c UNION SELECT * FROM o) UNION ALL SELECT 'and', count(*) FROM (SELECT * FROM c INTERSECT SELECT * FROM o) UNION ALL SELECT 'minus', count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM o)")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = cells(spark, sf_dir), other_cells(spark, sf_dir)
-    n = lambda d, op: d.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
-    return n(raster.union(a, b), "or").unionByName(n(raster.both(a, b), "and")).unionByName(n(raster.minus(a, b), "minus"))
+    return raster.set_sizes(_hits(spark, sf_dir, "l_orderkey * 31 % 60", "l_partkey * 17 % 60"), _hits(spark, sf_dir, "l_partkey * 31 % 60", "l_orderkey * 17 % 60"))
 
 
 NEAR_8, NEAR_4 = "abs(i) <= 1 AND abs(j) <= 1", "abs(i) + abs(j) <= 1"
