@@ -79,9 +79,11 @@ def concealed_flags(regions_: DataFrame, rooms: DataFrame, adjacent: DataFrame,
     ends = adjacent.select(*keys, F.col("a").alias("room"), F.col("b").alias("_n")).unionByName(adjacent.select(*keys, F.col("b").alias("room"), F.col("a").alias("_n")))
     near_wet = ends.join(wet.withColumnRenamed("room", "_n"), [*keys, "_n"], "left_semi").select(*keys, "room")
     by_water = wet.unionByName(near_wet).distinct().withColumn("_wet", F.lit(True))
-    w = windows.select(*keys, "axis", F.col("coord").alias("_wc"), F.col("a").alias("_wa"), F.col("b").alias("_wb")).withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_wc") - 0.1) / 0.1), F.floor((F.col("_wc") + 0.1) / 0.1))))
-    r = regions_.withColumn("_bin", F.floor(F.col("coord") / 0.1))
-    by_window = r.join(w, [*keys, "axis", "_bin"]).filter((F.abs(F.col("coord") - F.col("_wc")) <= 0.1) & (F.col("a0") < F.col("_wb") + 0.6) & (F.col("a1") > F.col("_wa") - 0.6)).select(*keys, "damage_id").distinct().withColumn("_win", F.lit(True))
+    w = windows.select(*keys, "axis", F.col("coord").alias("_wc"), F.col("a").alias("_wa"), F.col("b").alias("_wb")).distinct().withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_wc") - 0.1) / 0.1), F.floor((F.col("_wc") + 0.1) / 0.1))))
+    place = [*keys, "axis", "coord", "a0", "a1"]
+    r = regions_.select(*place).distinct().withColumn("_bin", F.floor(F.col("coord") / 0.1))  # equal places meet equal windows once
+    near = r.join(w, [*keys, "axis", "_bin"]).filter((F.abs(F.col("coord") - F.col("_wc")) <= 0.1) & (F.col("a0") < F.col("_wb") + 0.6) & (F.col("a1") > F.col("_wa") - 0.6)).select(*place).distinct()
+    by_window = regions_.join(near, place, "left_semi").select(*keys, "damage_id").distinct().withColumn("_win", F.lit(True))
     d = regions_.join(by_water, [*keys, "room"], "left").join(by_window, [*keys, "damage_id"], "left")
     moist, wall = F.col("class").isin(priors.MOIST_CLASSES), F.col("kind") == "wall"
     rules = F.array(
