@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
@@ -84,6 +85,15 @@ merged_lines = udtf(MergedLines, returnType="key string, ord int, coord double,
 line_cells = udtf(LineCells, returnType="r long, c long")
 
 
+def with_line_cells(lines: DataFrame, ends: tuple[str, str, str, str], *aggs: Column, short: int = 0) -> DataFrame:
+    """lines with aggregates of their cells (r, c); ends: the names of r0, c0, r1, c1. Equal lines are drawn once. Lines without cells go."""
+    one = lines.select(*[F.col(e).cast("long").alias(f"_e{i}") for i, e in enumerate(ends)]).distinct()
+    cells = one.lateralJoin(line_cells(*[F.col(f"_e{i}").outer() for i in range(4)], F.lit(short)))
+    drawn = cells.groupBy(*[f"_e{i}" for i in range(4)]).agg(*aggs)
+    on = [F.col(e).cast("long") == F.col(f"_e{i}") for i, e in enumerate(ends)]
+    return lines.join(drawn, on).drop(*[f"_e{i}" for i in range(4)])
+
+
 def register(spark: SparkSession) -> None:
     for name, f in (("key_frames", key_frames), ("merged_lines", merged_lines), ("line_cells", line_cells)):
         spark.udtf.register(name, f)

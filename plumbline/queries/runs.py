@@ -73,11 +73,10 @@ def cut_lines_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, greatest(abs(o_custkey % 60 - o_orderkey % 50), abs(o_orderkey * 7 % 60 - o_custkey * 3 % 50)) + 1 AS n FROM orders")
 def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of exact lines, one for each step of the longer side."""
+    """Cells of exact lines, one for each step of the longer side. Equal lines are drawn once."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 50).alias("r0"), (c * 3 % 50).alias("c0"), (c % 60).alias("r1"), (k * 7 % 60).alias("c1"))
-    cells = o.lateralJoin(tables.line_cells(F.col("r0").outer(), F.col("c0").outer(), F.col("r1").outer(), F.col("c1").outer(), F.lit(0)))
-    return cells.groupBy("o_orderkey").agg(F.count_distinct("r", "c").alias("n"))
+    return tables.with_line_cells(o, ("r0", "c0", "r1", "c1"), F.count_distinct("r", "c").alias("n")).select("o_orderkey", "n")
 
 
 @query(
