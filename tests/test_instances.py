@@ -46,3 +46,20 @@ def test_many_sightings_of_few_places(spark):
         type(d.groupBy("k")).applyInPandas = apply
     assert sorted((r["u"], round(r["v"], 2), r["views"]) for r in got) == [(2.0 * i, 0.03, 40_000) for i in range(5)]
     assert seen == [105]
+
+
+def test_few_calls_for_many_keys(spark, monkeypatch):
+    """9000 keys of two sightings each: keys share calls, and each keeps its own instances."""
+    d = spark.range(18_000).selectExpr("CAST(nullif(id DIV 2, 7) AS string) AS k", "CAST(id AS double) AS o", "id % 2 * 0.1D AS u", "CAST(id DIV 2 AS double) AS v")
+    monkeypatch.setattr(graph, "_CALLS", 16)
+    apply, calls = type(d.groupBy("k")).applyInPandas, []
+
+    def watch(self, f, schema):
+        calls.append(self.agg({"*": "count"}).count())
+        return apply(self, f, schema)
+
+    monkeypatch.setattr(type(d.groupBy("k")), "applyInPandas", watch)
+    got = graph.greedy_instances(d, ["k"], ("u", "v"), ["o"]).collect()
+    want = [(None if i == 7 else str(i), 0, 0.05, float(i), 2) for i in range(9000)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert calls == [16]
