@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.operators import rooms
+from plumbline.operators import plan2d, rooms
+from plumbline.plans.known_room import points_mm
 
 
 def test_a_micrometre_does_not_decide_on_a_corridor(spark):
@@ -10,3 +11,17 @@ def test_a_micrometre_does_not_decide_on_a_corridor(spark):
     openings = spark.createDataFrame([], "k string, room_a int, room_b int")
     f = rooms.room_features(cells, openings, ["k"])
     assert f.first()["elongation"] == 2.0
+
+
+def test_points_meet_their_band_without_pairs_of_partitions(spark):
+    p = spark.range(100).selectExpr("'x' AS k", "id * 1.0D AS u", "id * 2.0D AS v", "1.0D AS h", "CASE WHEN id % 2 = 0 THEN 1.0D ELSE 0.0D END AS nu", "CASE WHEN id % 2 = 0 THEN 0.0D ELSE -1.0D END AS nv", "0.0D AS ny")
+    band = spark.createDataFrame([("x", 0.25, 2.0)], "k string, band_lo double, band_hi double").checkpoint()
+    w = plan2d.wall_families(p, band, ["k"])
+    assert "CartesianProduct" not in w._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.axis, r.sign, r["at"], r.along) for r in w.collect())
+    assert got == sorted([("u", 1, float(i), 2.0 * i) for i in range(0, 100, 2)] + [("v", -1, 2.0 * i, float(i)) for i in range(1, 100, 2)])
+
+
+def test_filters_on_points_do_not_repeat_their_making(spark, sf):
+    plan = points_mm(spark, sf).filter("nh = 1 AND h_mm > 10 AND u_mm < 90")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("1299709") == 3  # once each for s, a and b
