@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.operators import plan2d, rooms
+import numpy as np
+import pandas as pd
+
+from plumbline.operators import plan2d, robust, rooms
 from plumbline.plans.known_room import points_mm
 
 
@@ -25,3 +28,17 @@ def test_points_meet_their_band_without_pairs_of_partitions(spark):
 def test_filters_on_points_do_not_repeat_their_making(spark, sf):
     plan = points_mm(spark, sf).filter("nh = 1 AND h_mm > 10 AND u_mm < 90")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("1299709") == 3  # once each for s, a and b
+
+
+def test_crispness_gathers_no_axis(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.02, 4000) for c in (1.0, 3.0)])
+    d = spark.createDataFrame(pd.DataFrame({"axis": "u", "x": x}))
+    got = robust.crispness(d, "x", "axis")
+    lo = x.min()
+    last = max(np.ceil((x.max() - lo) / 0.01), 1) - 1
+    n = np.bincount(np.minimum(np.floor((x - lo) / 0.01), last).astype(int), minlength=int(last) + 1)
+    peaks = lo + (np.flatnonzero(n > np.percentile(n, 99)) + 0.5) * 0.01
+    dist = np.abs(x[:, None] - peaks[None]).min(1)
+    assert abs(got.first()["crispness"] - np.median(dist[dist < 0.1])) < 1e-9
+    assert "median(" not in got._jdf.queryExecution().optimizedPlan().toString()
