@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,16 +64,25 @@ def keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.keyframes(e, "user_id", gap_s=3600.0), _name())
 
 
-def _out_of_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """A stream of the events from three files, in which rows come up to two days out of order, and one far event at the end, so that the watermark passes all others."""
+#: What a file of _out_of_order holds, about; tables of less than three times so much have one file a batch.
+ROWS_A_FILE = 200_000
+
+
+def _out_of_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """A stream of the events in three batches, in which rows come up to two days out of order, and one far event at the end, so that the watermark passes all others;
+    and what makes another such stream. A batch must be whole, so each has as many files as a batch takes."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     end = spark.range(2).select((F.lit(-1) - F.col("id")).alias("event_id"), F.timestamp_micros(F.lit(1_800_000_000_000_000)).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.when(F.col("id") == 0, "click").otherwise("view").alias("event_type"), F.lit(0.0).alias("value"))
     part = F.least(F.floor((F.dayofmonth("ts") + F.col("event_id") % 2) / 11), F.lit(2))
+    counts = {r[0]: r[1] for r in e.groupBy(part).count().collect()}
+    files = max(1, min(counts.get(i, 0) for i in range(3)) // ROWS_A_FILE)
     where = f"{shared_dir(spark)}/{_name()}"
     for i in range(3):
         rows = e.filter(part == i)
-        (rows.unionByName(end) if i == 2 else rows).coalesce(1).write.mode("append").parquet(where)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where), where
+        rows = rows.unionByName(end) if i == 2 else rows
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(where)
+    stream = lambda: streams.read_stream(spark, where, e.schema, files)
+    return stream(), stream
 
 
 @query(
@@ -82,9 +92,8 @@ SELECT f.user_id, f.event_id, round(coalesce(a.v + (b.v - a.v) * coalesce((epoch
 )
 def posed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks between the views around them, as two streams that are joined by time."""
-    e, where = _out_of_order(spark, sf_dir)
-    other = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    s = ordered.between_poses(e.filter("event_type = 'click'"), other.filter("event_type = 'view'"), "user_id", "event_id", "ts", ["value"], reach="6 hours", late="3 days")
+    e, again = _out_of_order(spark, sf_dir)
+    s = ordered.between_poses(e.filter("event_type = 'click'"), again().filter("event_type = 'view'"), "user_id", "event_id", "ts", ["value"], reach="6 hours", late="3 days")
     return streams.drained(s, _name()).select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
@@ -92,6 +101,6 @@ def posed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_keyframe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key frames of each user's events in the order of their times, which they don't come in."""
     e, _ = _out_of_order(spark, sf_dir)
-    frames = e.select("user_id", F.col("event_id").alias("frame_id"), "ts", (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharpness"))
+    frames = e.select("user_id", F.col("event_id").alias("frame_id"), "ts", (F.col("value") % 1 / 10).alias("shift"), F.col("value").alias("sharpness")).filter("user_id is not null")
     with ordered.keyed_state(spark):
         return streams.drained(ordered.keyframes(frames, "user_id", late="3 days", gap_s=3600.0), _name())

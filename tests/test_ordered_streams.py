@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import spatial, windows
+from plumbline.queries import REGISTRY
+from plumbline.queries import streams as queries
 from plumbline.streaming import ordered
 
 
@@ -45,6 +48,79 @@ def test_key_frames_in_the_order_of_time(spark, stream_of):
     assert max(held) > held[-1] and held[-1] <= 12  # the captures' state is gone; what is left is the last one's
 
 
+def _in_batches(rows, schema, stream_of, spark, n=3, **options):
+    """The key frames of rows that come up to 3 s late in n files, those of the whole table, and the most rows of state held."""
+    rng = random.Random(5)
+    jittered = sorted(rows, key=lambda r: r[2] + rng.random() * 3)
+    size = -(-len(rows) // n)
+    batches = [jittered[a : a + size] for a in range(0, len(rows), size)] + [[("end", -1, 1e5, 0.0, 0.0)], [("end", -2, 2e5, 0.0, 0.0)]]
+    make = lambda s: ordered.keyframes(s.withColumn("ts", F.timestamp_micros(((F.col("t") + 1000) * 1e6).cast("long"))).drop("t"), late="5 seconds", **options)
+    with ordered.keyed_state(spark):
+        got, progress = stream_of(schema, batches, make)
+    want = windows.keyframes(spark.createDataFrame(rows, schema), ["capture_id"], "frame_id", "t", "shift", "sharpness").collect()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    order = lambda x: sorted(x, key=lambda r: (r[0] or "", r[1]))
+    return order(tuple(r) for r in got if r[0] != "end"), order(map(tuple, want)), held
+
+
+def test_state_of_key_frames_grows_by_groups_not_by_captures(spark, stream_of):
+    rng = random.Random(6)
+    rows = [(f"c{i % 4000}", i, i * 0.001, round(rng.random() * 0.1, 3), round(rng.random(), 3)) for i in range(12_000)]
+    got, want, held = _in_batches(rows, "capture_id string, frame_id long, t double, shift double, sharpness double", stream_of, spark)
+    assert got == want and len(got) > 4000
+    assert max(held) < 4000  # rows of state; with one state a capture they were 8002
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_captures_that_share_a_group(spark, stream_of, groups):
+    """Captures that begin, pause and end at their own times, one without a name."""
+    rng = random.Random(7)
+    rows = [(None if c == 7 else f"c{c}", 2**60 + 1000 * c + i, c * 20.0 + i * 0.4, round(rng.random() * 0.1, 3), round(rng.random(), 3)) for c in range(12) for i in range(40) if (c + i // 10) % 5]
+    got, want, held = _in_batches(rows, "capture_id string, frame_id long, t double, shift double, sharpness double", stream_of, spark, n=9, expire_s=30.0, groups=groups)
+    assert got == want and len(got) > 60 and any(r[0] is None for r in got)
+    assert held[-1] <= 6  # the last one's
+
+
+def test_a_capture_that_comes_back_after_its_end_begins_anew(spark, stream_of):
+    schema = "capture_id string, frame_id long, t double, shift double, sharpness double"
+    rows = [("a", i, 0.1 * i, 0.0, 0.5) for i in range(4)] + [("b", 100 + i, 10.0 * i, 0.01, 0.5) for i in range(20)] + [("a", 50, 190.0, 0.0, 0.5), ("a", 51, 190.1, 0.0, 0.9)]
+    got, _, _ = _in_batches(rows, schema, stream_of, spark, n=13, expire_s=30.0, groups=1, gap_s=1000.0)
+    assert [r for r in got if r[0] == "a"] == [("a", 0), ("a", 50)]
+
+
+def test_frames_without_a_sharpness_or_a_shift(spark, stream_of):
+    """A fold that waits with such frames goes on as that of the whole table does."""
+    rows = [(f"c{i % 2}", i, i * 0.2, None if i % 31 == 30 else 0.03, None if i % 5 < 2 else round(i * 7 % 11 / 11, 3)) for i in range(120)]
+    got, _, _ = _in_batches(rows, "capture_id string, frame_id long, t double, shift double, sharpness double", stream_of, spark, n=9, groups=1, gap_s=1.0)
+    want = []
+    for c in ("c0", "c1"):
+        last_t, moved, since, last = None, 0.0, 0, []
+        for _, f, t, shift, q in (r for r in rows if r[0] == c):
+            last = [*last, (float("nan") if q is None else q, f)][-3:]
+            moved, since = moved + (float("nan") if shift is None else shift), since + 1
+            if last_t is None or (since >= 2 and (moved >= 0.12 or int((t + 1000) * 1e6) / 1e6 - last_t >= 1.0)):
+                want.append((c, max(last, key=lambda x: (x[0], -x[1]))[1]))
+                last_t, moved, since, last = int((t + 1000) * 1e6) / 1e6, 0.0, 0, []
+    assert got == sorted(want) and len(want) > 20
+
+
+def test_batches_out_of_order_are_whole_and_of_many_files(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "ROWS_A_FILE", 40)
+    e, _ = queries._out_of_order(spark, sf)
+    batches = []
+    e.withColumn("file", F.input_file_name()).writeStream.foreachBatch(lambda d, i: batches.append(d.collect())).trigger(availableNow=True).start().awaitTermination()
+    for i, rows in enumerate(batches):
+        assert {min(int((r.ts.day + r.event_id % 2) / 11), 2) for r in rows if r.event_id >= 0} == {i}
+        each = Counter(r.file for r in rows)
+        assert len(each) > 3 and max(each.values()) < len(rows) / 2
+    assert len(batches) == 3 and sum(map(len, batches)) == spark.read.parquet(f"{sf}/events.parquet").count() + 2
+    for name, of in (("ordered_keyframe_stream", "key_frames"), ("posed_stream", None)):
+        got = sorted(map(tuple, REGISTRY[name](spark, sf).collect()))
+        monkeypatch.undo()
+        assert got == sorted(map(tuple, REGISTRY[of or name](spark, sf).collect()))
+        monkeypatch.setattr(queries, "ROWS_A_FILE", 40)
+
+
 def test_frames_between_poses(spark, stream_of):
     rng = random.Random(4)
     frames = [("f", f"k{i % 2}", i, 10.0 * i + rng.random(), 0.0) for i in range(60)]
