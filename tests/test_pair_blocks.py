@@ -48,3 +48,20 @@ def test_blocks(spark):
     assert sorted(map(len, b)) == [23, 64, 64] and {x for ids in b for x in ids} == {*range(150), None}
     got = [tuple(r) for r in scoring.facing_walls(f, []).collect()]
     assert len(got) == 151 * 70 and set(got) == {(x, 200 + y, 3.0) for x in [*range(150), None] for y in range(70)}
+
+
+RECTS = "room int, u0 double, u1 double, v0 double, v1 double"
+
+
+def test_overlap_area_shuffles_no_pairs(spark, no_broadcast):
+    rows = [(i * 30 + j, i / 100, 3.0, 0.0, 0.9) for i in range(30) for j in range(30)]
+    got, moved = shuffled(spark, lambda: sorted(tuple(r) for r in spatial.overlap_area(spark.createDataFrame(rows, RECTS), "room", size=4.0).collect()))
+    assert [r[:2] for r in got] == [(a, b) for a in range(900) for b in range(a + 1, 900)]
+    assert all(abs(x - 0.9 * (3 - b // 30 / 100)) < 1e-9 for _, b, x in got)
+    assert moved < 9 * len(rows)
+
+
+def test_overlap_area_of_many_copies(spark):
+    rows = [(i, 0.0, 1.0, 0.0, 0.7777) for i in range(150)] + [(None, 0.0, 1.0, 0.0, 1.0), (-1, None, 1.0, 0.0, 1.0), (900, 0.5, 1.0, 0.0, 9.0)]
+    got = [tuple(r) for r in spatial.overlap_area(spark.createDataFrame(rows, RECTS), "room", digits=2).collect()]
+    assert sorted(got) == sorted([(a, b, 0.78) for a in range(150) for b in range(a + 1, 150)] + [(a, 900, 0.39) for a in range(150)])
